@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,32 +40,63 @@ def settle_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], to: str, shard_rows: int = 2048) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[str], to: str, shard_rows: int = 512) -> DataFrame:
     """Add column `to`: consecutive numbers from 0 within each group, without one task per group.
 
     Rows of a group are dealt to shards by a hash of the order columns, numbered inside each shard, and lifted by
     the rows in the shards before. Equal rows get different numbers; which of them gets which doesn't matter. The
     order is by shard, then by the order columns, the same on every run.
     """
-    total = df.count()
-    shards = max(1, -(-total // shard_rows))
-    one, upto = f"_{to}_one", f"_{to}_upto"
-    shard = f"_{to}_shard"
-    dealt = df.withColumn(shard, F.pmod(F.xxhash64(*order), F.lit(shards)))
-    keys = [*group, shard]
-    before = Window.partitionBy(*group).orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy(*keys).count().withColumn(upto, F.coalesce(F.sum("count").over(before), F.lit(0)))
+    shards = max(1, -(-df.count() // shard_rows))
+    dealt = df.withColumns({"_group": F.to_json(F.struct(*group)), "_shard": F.pmod(F.xxhash64(*order), F.lit(shards))})
+    before = Window.partitionBy("_group").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("_group", "_shard").count().withColumn("_upto", F.coalesce(F.sum("count").over(before), F.lit(0)))
     offsets = settle(offsets.drop("count"))
-    ranked = dealt.withColumn(one, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    for k in group:
-        offsets = offsets.withColumnRenamed(k, f"_of_{k}")
-    offsets = offsets.withColumnRenamed(shard, f"_of{shard}")
-    on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in group] + [F.col(shard) == F.col(f"_of{shard}")]
-    match = on[0]
-    for x in on[1:]:
-        match = match & x
-    out = ranked.join(offsets, match, "left")
-    return out.withColumn(to, F.col(upto) + F.col(one) - 1).select(*df.columns, to)
+    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_group", "_shard").orderBy(*order)))
+    return ranked.join(offsets, ["_group", "_shard"], "left").withColumn(to, F.col("_upto") + F.col("_rank") - 1).select(*df.columns, to)
+
+
+def sorted_groups(batches, n_keys: int):
+    """Tables of whole groups from sorted Arrow batches: rows that agree in the first n_keys columns stay together.
+
+    What is held at once is a batch and one group. Yields (table, starts): group i is rows starts[i] to starts[i+1].
+    """
+    held: list[pa.RecordBatch] = []
+
+    def starts_of(t: pa.Table) -> np.ndarray:
+        new = np.zeros(len(t), bool)
+        new[:1] = True
+        for i in range(n_keys):
+            key = t.column(i).to_numpy()
+            new[1:] |= key[1:] != key[:-1]
+        return np.append(np.flatnonzero(new), len(t))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        t = pa.Table.from_batches(held)
+        starts = starts_of(t)
+        if len(starts) > 2:
+            last = int(starts[-2])
+            yield t.slice(0, last), starts[:-1]
+            held = t.slice(last).to_batches()
+    if held and sum(b.num_rows for b in held):
+        t = pa.Table.from_batches(held)
+        yield t, starts_of(t)
+
+
+def least_labels(linked: np.ndarray) -> np.ndarray:
+    """For a symmetric boolean matrix, the smallest index in each row's connected component."""
+    n = len(linked)
+    label = np.arange(n)
+    near = linked | np.eye(n, dtype=bool)
+    while True:
+        least = np.where(near, label[None, :], n).min(axis=1)
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:

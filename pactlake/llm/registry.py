@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat_format, license_scan, quality_rules, url_filter
+from . import chat_format, license_scan, mixing, packing, quality_rules, simhash_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_packing": packing.op2_packing,
     "op4_chat_format": chat_format.op4_chat_format,
+    "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
+    "op7_mixing": mixing.op7_mixing,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLE_SQL = {
     "op1_license_scan": license_scan.OP1_SQL,
