@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +28,40 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """What is settled needs its shuffle files no more: Spark removes them when the action ends."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint; lost executors don't cost what came before it."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _shuffles_dropped(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def settle_table(df: DataFrame) -> DataFrame:
     """The same as settle for wide rows: a compressed columnar table in the shared folder, read again."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with _shuffles_dropped(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table of settle_table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.shared_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str], to: str, shard_rows: int = 512) -> DataFrame:

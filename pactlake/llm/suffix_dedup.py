@@ -10,8 +10,9 @@ A byte is removed if some 200-byte string that covers it also starts at another
    anchors, the suffixes that start at the anchor and the reversed prefixes that end there are each put in order:
    multikey quicksort to a shallow depth, then blind tries for the groups that still agree. Longest common prefixes of
    neighbours tell for each occurrence the widest stretch shared with any other through windows over this anchor.
-4. Groups over `block` occurrences are dealt to pairs of blocks; beyond `most_blocks` blocks, equal surroundings are
-   merged and the windows of what is left are counted by digest, which is linear in the group and just as exact.
+   Occurrences with equal surroundings share all their windows; one of them stands for all in its group.
+4. Groups over `block` different surroundings are dealt to pairs of blocks; beyond `most_blocks` blocks, windows are
+   counted by digest instead, which is linear in the group and just as exact.
 
 Stretches of one text are united at the end. Null texts count as empty; texts under 200 bytes stay as they are.
 Repeated rows are copies of each other. An empty table gives an empty result; extra columns of the input are left out
@@ -25,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, settle_table, sorted_groups
+from .common import drop_table, settle, settle_table, sorted_groups
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UNDO = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -193,6 +195,11 @@ def shared_stretches(left: list[bytes], right: list[bytes], k: int, length: int)
 
 
 def _anchor_table(classes: DataFrame, length: int, k: int) -> DataFrame:
+    """(a, c, tid, pos, l, r): the anchor's hash, a digest of its surroundings, its text and place, and how many bytes
+    of surroundings lie to its left and from its start on."""
+    reach = length - k
+    digest = xxhash.xxh3_64_intdigest
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = None
         for b in batches:
@@ -200,10 +207,16 @@ def _anchor_table(classes: DataFrame, length: int, k: int) -> DataFrame:
             texts = b.column(1).cast(pa.large_binary())
             offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
             data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            raw = memoryview(data)
             for text, at, x in finder.find(data, offsets):
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), b.column(0).take(pa.array(text)), pa.array(at.astype(np.int64))], names=["a", "h", "pos"])
+                left, right = np.minimum(at, reach), np.minimum(offsets[text + 1] - offsets[text] - at, length)
+                begin = offsets[text] + at
+                stretch = zip((begin - left).tolist(), (begin + right).tolist(), left.tolist(), strict=True)
+                c = np.fromiter((digest(raw[i:j], n) for i, j, n in stretch), np.uint64, len(at))
+                cols = (x.view(np.int64), c.view(np.int64), b.column(0).to_numpy()[text], at.astype(np.int64), left.astype(np.int32), right.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], names=["a", "c", "tid", "pos", "l", "r"])
 
-    return classes.select("h", "text").mapInArrow(run, "a long, h binary, pos long")
+    return classes.select("tid", "text").mapInArrow(run, "a long, c long, tid long, pos long, l int, r int")
 
 
 def _surroundings(touched: DataFrame, length: int, k: int) -> DataFrame:
@@ -211,28 +224,30 @@ def _surroundings(touched: DataFrame, length: int, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).cast(pa.binary())
+            texts, marked = b.column(1).cast(pa.binary()), b.column(2)
             for i in range(len(texts)):
-                raw, marks, h = texts[i].as_py(), b.column(2)[i].values, b.column(0)[i].as_py()
+                raw, marks, tid = texts[i].as_py(), marked[i].values, b.column(0)[i].as_py()
+                if marks is None or not len(marks):
+                    continue
                 at = marks.field("pos").to_pylist()
-                yield pa.RecordBatch.from_arrays([marks.field("a"), marks.field("n"), pa.array([h] * len(at), pa.binary()), marks.field("pos"), pa.array([raw[max(0, p - reach) : p][::-1] for p in at], pa.binary()), pa.array([raw[p : p + k + reach] for p in at], pa.binary())], names=["a", "n", "h", "pos", "left", "right"])
+                yield pa.RecordBatch.from_arrays([marks.field("a"), marks.field("n"), pa.array([tid] * len(at), pa.int64()), marks.field("pos"), pa.array([raw[max(0, p - reach) : p][::-1] for p in at], pa.binary()), pa.array([raw[p : p + k + reach] for p in at], pa.binary())], names=["a", "n", "tid", "pos", "left", "right"])
 
-    return touched.select("h", "text", "marks").mapInArrow(run, "a long, n long, h binary, pos long, left binary, right binary")
+    return touched.select("tid", "text", "marks").mapInArrow(run, "a long, n long, tid long, pos long, left binary, right binary")
 
 
 def _spans_in_groups(around: DataFrame, length: int, k: int, block: int) -> DataFrame:
-    """(h, lo, hi) from groups of equal anchors, dealt to pairs of blocks where they are large."""
+    """(tid, lo, hi) from groups of equal anchors, dealt to pairs of blocks where they are large."""
     blocks = F.ceil(F.col("n") / block)
-    small = around.filter(F.col("n") <= block).select("a", F.lit(0).cast("long").alias("pair"), "h", "pos", "left", "right")
-    own = F.pmod(F.xxhash64("h", "pos"), blocks)
+    small = around.filter(F.col("n") <= block).select("a", F.lit(0).cast("long").alias("pair"), "tid", "pos", "left", "right")
+    own = F.pmod(F.xxhash64("tid", "pos"), blocks)
     large = around.filter(F.col("n") > block).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     pair = F.least("own", "other") * (1 << 32) + F.greatest("own", "other")
-    large = large.filter((F.col("own") != F.col("other")) | (blocks == 1)).select("a", pair.alias("pair"), "h", "pos", "left", "right")
+    large = large.filter((F.col("own") != F.col("other")) | (blocks == 1)).select("a", pair.alias("pair"), "tid", "pos", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in sorted_groups(batches, 2):
-            hs, at, lefts, rights = (table.column(i) for i in (2, 3, 4, 5))
-            at, lefts, rights = at.to_numpy(), lefts.to_pylist(), rights.to_pylist()
+            tids, at = table.column(2).to_numpy(), table.column(3).to_numpy()
+            lefts, rights = table.column(4).to_pylist(), table.column(5).to_pylist()
             index, lo, hi = [], [], []
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 if e - s < 2:
@@ -243,37 +258,32 @@ def _spans_in_groups(around: DataFrame, length: int, k: int, block: int) -> Data
                         lo.append(int(at[i]) - found[0])
                         hi.append(int(at[i]) + found[1])
             if index:
-                t = pa.table([hs.take(pa.array(index)), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["h", "lo", "hi"])
-                yield from t.combine_chunks().to_batches()
+                yield pa.RecordBatch.from_arrays([pa.array(tids[index]), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["tid", "lo", "hi"])
 
-    return small.unionByName(large).repartition("a", "pair").sortWithinPartitions("a", "pair").mapInArrow(run, "h binary, lo long, hi long")
+    return small.unionByName(large).repartition("a", "pair").sortWithinPartitions("a", "pair").mapInArrow(run, "tid long, lo long, hi long")
 
 
 def _spans_by_digest(around: DataFrame, length: int, k: int) -> DataFrame:
-    """(h, lo, hi) for anchors of very many occurrences: equal surroundings are merged, the rest counted by window."""
-    key = F.sha2(F.concat(F.lpad(F.length("left").cast("string"), 8, "0").cast("binary"), F.col("left"), F.col("right")), 256)
-    keyed = around.withColumn("key", F.unhex(key))
-    same = settle_table(keyed.groupBy("a", "key").agg(F.count("*").alias("copies"), F.first("left").alias("left"), F.first("right").alias("right")))
+    """(tid, lo, hi) for anchors with very many different surroundings: windows are counted by digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a, key, left, right in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for a, tid, pos, left, right in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 whole, n = left[::-1] + right, len(left)
                 takes = [t for t in range(min(n, length - k) + 1) if n - t + length <= len(whole)]
                 found = [hashlib.blake2b(whole[n - t : n - t + length], digest_size=16).digest() for t in takes]
-                yield pa.RecordBatch.from_arrays([pa.array([a] * len(takes), pa.int64()), pa.array([key] * len(takes), pa.binary()), pa.array(takes, pa.int64()), pa.array(found, pa.binary())], names=["a", "key", "take", "window"])
+                m = len(takes)
+                yield pa.RecordBatch.from_arrays([pa.array([a] * m, pa.int64()), pa.array([tid] * m, pa.int64()), pa.array([pos] * m, pa.int64()), pa.array(takes, pa.int64()), pa.array(found, pa.binary())], names=["a", "tid", "pos", "take", "window"])
 
-    windows = settle_table(same.select("a", "key", "left", "right").mapInArrow(run, "a long, key binary, take long, window binary"))
-    twice = settle(windows.groupBy("a", "take", "window").count().filter("count > 1").select("a", "take", "window"))
-    shared = windows.join(twice, ["a", "take", "window"]).groupBy("a", "key").agg(F.max("take").alias("l"), F.min("take").alias("r"))
-    whole = same.filter((F.col("copies") > 1) & (F.length("left") + F.length("right") >= length))
-    reach = whole.select("a", "key", F.length("left").cast("long").alias("l"), (length - F.length("right")).cast("long").alias("r")).unionByName(shared)
-    reach = settle(reach.groupBy("a", "key").agg(F.max("l").alias("l"), F.min("r").alias("r")))
-    return keyed.select("a", "key", "h", "pos").join(reach, ["a", "key"]).select("h", (F.col("pos") - F.col("l")).alias("lo"), (F.col("pos") - F.col("r") + length).alias("hi"))
+    windows = settle_table(around.select("a", "tid", "pos", "left", "right").mapInArrow(run, "a long, tid long, pos long, take long, window binary"))
+    key = ["a", "take", "window"]
+    twice = settle(windows.groupBy(*key).count().filter("count > 1").select(*key))
+    shared = windows.join(twice, key).groupBy("tid", "pos").agg(F.max("take").alias("l"), F.min("take").alias("r"))
+    return shared.select("tid", (F.col("pos") - F.col("l")).alias("lo"), (F.col("pos") - F.col("r") + length).alias("hi"))
 
 
 def _cut(touched: DataFrame, spans: DataFrame) -> DataFrame:
-    """(h, removed, spans, kept_sha256, kept_text) of the texts that lose bytes."""
+    """(h, removed, spans, sha, kept) of the texts that lose bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -291,8 +301,8 @@ def _cut(touched: DataFrame, spans: DataFrame) -> DataFrame:
                 rows.append((b.column(0)[i].as_py(), int((end - begin).sum()), len(begin), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["h", "removed", "spans", "sha", "kept"])
 
-    per = spans.groupBy("h").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
-    return touched.select("h", "text").join(per, "h").select("h", "text", "found").mapInArrow(run, "h binary, removed long, spans long, sha string, kept string")
+    per = spans.groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
+    return touched.filter("copies = 1").select("tid", "h", "text").join(per, "tid").select("h", "text", "found").mapInArrow(run, "h binary, removed long, spans long, sha string, kept string")
 
 
 def find_repeats(df: DataFrame, text_col: str = "text", length: int = 200, k: int = 64, block: int = 1024, most_blocks: int = 16) -> DataFrame:
@@ -300,19 +310,36 @@ def find_repeats(df: DataFrame, text_col: str = "text", length: int = 200, k: in
     with copies have removed = -1, for all."""
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     long = df.select(F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("h"), text).filter(F.octet_length("text") >= length)
-    classes = settle_table(long.groupBy("h").agg(F.first("text").alias("text"), F.count("*").alias("copies")))
+    merged = long.groupBy("h").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    classes = settle_table(merged.withColumn("tid", F.monotonically_increasing_id()))
     anchors = settle_table(_anchor_table(classes, length, k))
-    twice = settle(anchors.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1"))
-    marks = anchors.join(twice, "a").groupBy("h").agg(F.collect_list(F.struct("a", "pos", "n")).alias("marks"))
-    touched = settle_table(classes.select("h", "text").join(marks, "h"))
+    # Anchors that occur twice; mixed: not all with equal surroundings.
+    seen = anchors.groupBy("a").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("mixed"))
+    twice = settle(seen.filter("n > 1").select("a", "mixed"))
+    again = settle_table(anchors.join(twice, "a"))
+    drop_table(anchors)
+    # Equal surroundings are merged: their windows are shared as wide as they go, one of them stands for all.
+    kinds = settle(again.filter("mixed").groupBy("a", "c").agg(F.count("*").alias("same"), F.min(F.struct("tid", "pos")).alias("one")))
+    whole = again.filter(~F.col("mixed")).select("tid", "pos", "l", "r")
+    alike = kinds.filter("same > 1").select("a", "c")
+    whole = whole.unionByName(again.filter("mixed").join(alike, ["a", "c"]).select("tid", "pos", "l", "r"))
+    whole = whole.select("tid", (F.col("pos") - F.col("l")).alias("lo"), (F.col("pos") + F.col("r")).alias("hi"))
+    sizes = settle(kinds.groupBy("a").agg(F.count("*").alias("n")))
+    marks = kinds.select("a", "one.tid", "one.pos").join(sizes, "a").groupBy("tid").agg(F.collect_list(F.struct("a", "pos", "n")).alias("marks"))
+    met = again.select("tid").distinct().join(marks, "tid", "left")
+    touched = settle_table(classes.join(met, "tid"))
     around = _surroundings(touched, length, k)
-    spans = _spans_in_groups(around.filter(F.col("n") <= block * most_blocks), length, k, block)
-    if twice.filter(F.col("n") > block * most_blocks).limit(1).count():
+    spans = whole.unionByName(_spans_in_groups(around.filter(F.col("n") <= block * most_blocks), length, k, block))
+    if sizes.filter(F.col("n") > block * most_blocks).limit(1).count():
         spans = spans.unionByName(_spans_by_digest(around.filter(F.col("n") > block * most_blocks), length, k))
-    cut = _cut(touched, settle_table(spans))
+    spans = settle_table(spans)
+    drop_table(again)
+    cut = _cut(touched, spans)
     copied = classes.filter("copies > 1").select("h", F.lit(-1).cast("long").alias("removed"), F.lit(1).cast("long").alias("spans"), F.sha2(F.lit(""), 256).alias("sha"), F.lit("").alias("kept"))
-    single = classes.filter("copies = 1").select("h")
-    return settle_table(cut.join(single, "h", "left_semi").unionByName(copied))
+    out = settle_table(cut.unionByName(copied))
+    for done in (touched, spans, classes):
+        drop_table(done)
+    return out
 
 
 def repeat_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
