@@ -26,6 +26,10 @@ def directions(role: Column) -> Column:
     return F.explode(F.when(role == "both", both).otherwise(F.array(role)))
 
 
+#: Positions whose schemas can't be compared one by one; their parents answer unknown.
+_APART = r"/(anyOf|oneOf|allOf|prefixItems)/[0-9]+|/(not|if|then|else|contains|propertyNames)(/|$)|/(\$defs|definitions|patternProperties|dependentSchemas)/"
+
+
 def _issues(direction: Column, sub: Column, sup: Column) -> Column:
     """The violated rules of one pair of nodes, in order of explanation."""
     raw = direction == "serializer"
@@ -62,7 +66,9 @@ def _issues(direction: Column, sub: Column, sup: Column) -> Column:
     told = [F.when(n(test), F.struct(F.lit(i).alias("rank"), F.lit(k).alias("keyword"), m.alias("message"))) for i, (k, test, m) in enumerate(rules)]
     unknown = F.when(sub["beyond"] | sup["beyond"], F.struct(F.lit(99).alias("rank"), F.lit("unknown").alias("keyword"), F.lit("outside the compared fragment").alias("message")))
     empty = n((sub["lo"] > sub["hi"]) | (sub["min_len"] > sub["max_len"]) | (sub["min_props"] > sub["max_props"]))
-    return F.when((sub["text"] == sup["text"]) | empty, F.array().cast(_ISSUE)).otherwise(F.array_compact(F.array(*told, unknown)).cast(_ISSUE))
+    # Equal texts are equal contracts only if nothing in them refers elsewhere.
+    equal = (sub["text"] == sup["text"]) & ~F.contains(sub["text"], F.lit('"$ref"'))
+    return F.when(equal | empty, F.array().cast(_ISSUE)).otherwise(F.array_compact(F.array(*told, unknown)).cast(_ISSUE))
 
 
 def node_issues(sides: DataFrame, pair: list[str]) -> DataFrame:
@@ -70,7 +76,7 @@ def node_issues(sides: DataFrame, pair: list[str]) -> DataFrame:
     message, rank) of violated rules; nodes that one side lacks are judged at their parents."""
     sub_side = F.when(F.col("direction") == "serializer", "new").otherwise("old")
     met = sides.groupBy(*pair, "direction", "pointer").agg(F.max_by("n", F.when(F.col("side") == sub_side, 1)).alias("sub"), F.max_by("n", F.when(F.col("side") != sub_side, 1)).alias("sup"))
-    met = met.filter(F.col("sub").isNotNull() & F.col("sup").isNotNull())
+    met = met.filter(F.col("sub").isNotNull() & F.col("sup").isNotNull() & ~F.col("pointer").rlike(_APART))
     found = met.select(*pair, "direction", "pointer", F.explode(_issues(F.col("direction"), F.col("sub"), F.col("sup"))).alias("i"))
     return found.select(*pair, "direction", "pointer", "i.keyword", "i.message", "i.rank")
 

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SINGLE = ("additionalProperties", "items", "not", "if", "then", "else", "contains", "propertyNames", "unevaluatedItems", "unevaluatedProperties", "contentSchema")
 MAPS = ("properties", "patternProperties", "$defs", "definitions", "dependentSchemas")
@@ -92,7 +93,7 @@ def irrelevant_keywords(cons: DataFrame, ids: list[str]) -> DataFrame:
     return rows.filter(F.col("_of").isNotNull() & ~F.contains("type", "_of")).select(*ids, "pointer", "keyword")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def key_sorted(texts: pd.Series) -> pd.Series:
     """Compact JSON with sorted keys: once per schema, not per record."""
 

@@ -22,10 +22,10 @@ def latest_version(history: DataFrame) -> DataFrame:
 
 def manifest_errors(history: DataFrame) -> DataFrame:
     """(stable_id, version, error) for empty ids, versions that don't rise, and hashes that don't match."""
-    before = F.lag("version").over(Window.partitionBy("stable_id").orderBy("ordinal"))
+    history = history.withColumn("_before", F.lag("version").over(Window.partitionBy("stable_id").orderBy("ordinal")))
     found = F.array(
         F.when(F.coalesce(F.col("stable_id").cast("string"), F.lit("")) == "", F.lit("empty stable_id")),
-        F.when(before >= F.col("version"), F.lit("versions must rise")),
+        F.when(F.col("_before") >= F.col("version"), F.lit("versions must rise")),
         F.when(F.col("schema_sha256") != canonical_hash(F.col("schema_json")), F.lit("hash does not match")),
     )
     return history.select("stable_id", "version", F.explode(F.array_compact(found)).alias("error"))
