@@ -29,9 +29,13 @@ class ItqCoder:
 
     def __init__(self, x: np.ndarray, bits: int = 64, rounds: int = 30, seed: int = 7) -> None:
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        self.mean = x.mean(axis=0)
-        _, vectors = np.linalg.eigh(np.cov(x - self.mean, rowvar=False, bias=True).reshape(x.shape[1], -1))
-        self.axes = vectors[:, ::-1][:, : min(bits, x.shape[1])]
+        n, d = x.shape
+        if n < 4 * d:  # too few vectors to tell a centre and axes
+            self.mean, vectors = np.zeros(d), np.eye(d)
+        else:
+            self.mean = x.mean(axis=0)
+            vectors = np.linalg.eigh(np.cov(x - self.mean, rowvar=False, bias=True).reshape(d, d))[1][:, ::-1]
+        self.axes = vectors[:, : min(bits, d)]
         v = (x - self.mean) @ self.axes
         rotation, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(v.shape[1],) * 2))
         for _ in range(rounds):
@@ -48,7 +52,7 @@ class ItqCoder:
 def table_bits(n_bits: int, tables: int, key_bits: int, seed: int = 11) -> np.ndarray:
     """Which bits each table looks at: permutations of all bits, cut into keys."""
     rng, rows = np.random.default_rng(seed), []
-    key_bits = min(key_bits, n_bits)
+    key_bits = max(1, min(key_bits, n_bits // 4))
     while len(rows) < tables:
         order = rng.permutation(n_bits)
         rows += [order[i : i + key_bits] for i in range(0, n_bits - key_bits + 1, key_bits)]

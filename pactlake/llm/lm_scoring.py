@@ -36,7 +36,7 @@ END, OTHER = 0, 1
 class LogBilinearModel:
     """P(w | c) over classes, from counts[c, w] of neighbours."""
 
-    def __init__(self, counts: np.ndarray, dim: int = 32, noise: int = 16, rounds: int = 150, rate: float = 0.05, seed: int = 3) -> None:
+    def __init__(self, counts: np.ndarray, dim: int = 32, noise: int = 16, rounds: int = 150, rate: float = 0.05, decay: float = 3.0, seed: int = 3) -> None:
         v = len(counts)
         rng = np.random.default_rng(seed)
         counts = counts.astype(np.float64)
@@ -48,11 +48,12 @@ class LogBilinearModel:
         # The objective is per token seen; rows are weighted by how often their context occurs.
         of_row = counts / total
         of_noise = noise * (seen / total)[:, None] * q[None, :]
+        pull = decay / total  # a Gaussian prior on the vectors, which fades as the counts grow
         state = [(np.zeros_like(p), np.zeros_like(p)) for p in (self.context, self.target, self.bias)]
         for i in range(1, rounds + 1):
             real = 1 / (1 + np.exp(np.clip(-(self.context @ self.target.T + self.bias - log_noise), -50, 50)))
             g = of_row * (1 - real) - of_noise * real
-            for p, (m, s), d in zip((self.context, self.target, self.bias), state, (g @ self.target, g.T @ self.context, g.sum(axis=0)), strict=True):
+            for p, (m, s), d in zip((self.context, self.target, self.bias), state, (g @ self.target - pull * self.context, g.T @ self.context - pull * self.target, g.sum(axis=0)), strict=True):
                 m += 0.1 * (d - m)
                 s += 0.001 * (d * d - s)
                 p += rate * (1 - i / (rounds + 1)) * (m / (1 - 0.9**i)) / (np.sqrt(s / (1 - 0.999**i)) + 1e-12)
