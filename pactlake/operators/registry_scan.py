@@ -63,6 +63,14 @@ def keyword_findings(nodes: DataFrame, ids: list[str], keywords: tuple[str, ...]
     return rows.filter(F.col("keyword").isin(*keywords))
 
 
+def grade_warnings(old: DataFrame, new: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids..., warnings): what both sides of a grade are warned about, the old side's first; ids without any are left
+    out. A contract's findings are bounded by its own text."""
+    sides = [keyword_findings(nodes, ids, WARNED).select(*ids, F.lit(i).alias("side"), F.concat(F.lit(f"{name}: "), "pointer", F.lit(" "), "keyword").alias("text")) for i, (name, nodes) in enumerate((("old", old), ("new", new)))]
+    listed = sides[0].unionByName(sides[1]).groupBy(*ids).agg(F.array_sort(F.collect_set(F.struct("side", "text"))).alias("w"))
+    return listed.select(*ids, F.transform("w", lambda x: x["text"]).alias("warnings"))
+
+
 def unsafe_bounds(cons: DataFrame, ids: list[str]) -> DataFrame:
     """Number bounds beyond the integers that doubles hold exactly, unless the node is integer-only."""
     types = cons.filter("keyword = 'type'").select(*ids, "pointer", F.col("value").alias("type"))
