@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pactlake.functions.predicates import compile_contract
 from pactlake.functions.values import Variant
-from pactlake.operators import generate, openapi, registry_scan, stamping
+from pactlake.operators import compat, generate, openapi, registry_scan, stamping
 
 from .codec_queries import _IDS, api_documents
 from .codec_queries import ORACLE_SQL as CODEC_SQL
@@ -123,6 +123,60 @@ def o3_overrides(spark, sf_dir):
     return params.groupBy("side", "method", "location", "name", "required").agg(F.count("*").alias("n"))
 
 
+def rich_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, doc_json): one API description for each page with a url; its surfaces follow from the page's number."""
+    k = F.col("page_id")
+    body = F.when(k % 3 == 0, '"application/json":{},"Application/JSON ":{},"text/plain":{}').otherwise('"application/json":{},"application/xml":{}')
+    headers = F.when(k % 4 == 0, '"X-Id":{},"x-id":{},"Content-Type":{}').otherwise('"X-Id":{},"Link":{}')
+    calls, hooks, ref = F.when(k % 5 == 0, ',"callbacks":{"done":{}}').otherwise(""), F.when(k % 6 == 0, ',"webhooks":{"sent":{}}').otherwise(""), F.when(k % 7 == 0, ',"/b":{"$ref":"other.json"}').otherwise("")
+    text = F.format_string('{"openapi":"3.1.0","paths":{"/a":{"post":{"requestBody":{"content":{%s}},"responses":{"200":{"headers":{%s}}}%s}}%s}%s}', body, headers, calls, ref, hooks)
+    return table(spark, sf_dir, "pages").filter(F.contains("url", F.lit("://"))).select("page_id", text.alias("doc_json"))
+
+
+def o11_duplicate_media(spark, sf_dir):
+    return openapi.duplicate_media(openapi.operations(rich_descriptions(spark, sf_dir), ["page_id"]), ["page_id"])
+
+
+def o12_response_headers(spark, sf_dir):
+    return openapi.response_headers(openapi.operations(rich_descriptions(spark, sf_dir), ["page_id"]), ["page_id"])
+
+
+def o13_unsupported(spark, sf_dir):
+    return openapi.unsupported_surfaces(rich_descriptions(spark, sf_dir), ["page_id"])
+
+
+#: id -> old contract, new contract (of the numbers a and b), and in SQL when new is within old, and old within new.
+RULES: dict[str, tuple[str, str, str, str]] = {
+    "R4_boolean": ('{"type":"object","properties":{"p%s":false}}', '{"type":"object","properties":{"p%s":true}}', "false", "true"),
+    "R5_types": ('{"type":["string","integer"],"minLength":%s}', '{"type":["string","number"],"minLength":%s}', "false", "a >= b"),
+    "R6_number_bounds": ('{"type":"number","exclusiveMinimum":%s}', '{"type":"number","minimum":%s}', "b > a", "a >= b"),
+    "R7_integer_bounds": ('{"type":"integer","minimum":%s}', '{"type":"integer","exclusiveMinimum":%s}', "b + 1 >= a", "a >= b + 1"),
+    "R8_integer_number": ('{"type":"integer","maximum":%s}', '{"type":"number","maximum":%s}', "false", "a <= b"),
+    "R9_multiple_of": ('{"type":"integer","multipleOf":1%s}', '{"type":"integer","multipleOf":1%s0}', "(100 + 10 * b) % (10 + a) = 0", "false"),
+    "R10_length": ('{"type":"string","maxLength":%s}', '{"type":"string","maxLength":%s}', "b <= a", "a <= b"),
+    "R11_pattern": ('{"type":"string","pattern":"^%s"}', '{"type":"string","pattern":"^%s"}', "a = b", "a = b"),
+    "R12_enum": ('{"enum":[3,%s]}', '{"enum":[3,"x",%s]}', "false", "a = 3 OR a = b"),
+    "R13_enum_in_type": ('{"type":"integer","minimum":%s}', '{"enum":[4,%s,9]}', "a <= 4 AND a <= b", "false"),
+    "R14_required": ('{"type":"object","required":["k%s","id"]}', '{"type":"object","required":["id","k%s"]}', "a = b", "a = b"),
+    "R15_property_counts": ('{"type":"object","maxProperties":%s}', '{"type":"object","maxProperties":%s}', "b <= a", "a <= b"),
+    "R23_item_counts": ('{"type":"array","minItems":%s}', '{"type":"array","minItems":%s}', "b >= a", "a >= b"),
+    "R24_unique_items": ('{"type":"array","uniqueItems":true,"maxItems":%s}', '{"type":"array","maxItems":%s}', "b <= a AND b <= 1", "a <= b"),
+}
+
+
+def _rule(old: str, new: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Per user, contracts with a and b events (by their numbers' parity, modulo 7) are compared both ways."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        odd = F.coalesce(F.sum(F.col("event_id") % 2), F.lit(0))
+        n = table(spark, sf_dir, "events").filter("user_id IS NOT NULL").groupBy(F.col("user_id").alias("stable_id")).agg(((F.count("event_id") - odd) % 7).alias("a"), (odd % 7).alias("b"))
+        text = lambda t, c: F.replace(F.lit(t), F.lit("%s"), F.col(c).cast("string"))
+        pairs = n.select("stable_id", F.lit("both").alias("role"), text(old, "a").alias("old"), text(new, "b").alias("new"))
+        return compat.check_compat(pairs, _ONE, max_depth=1).select("stable_id", "direction", "verdict")
+
+    return run
+
+
 #: id -> contract that generated values must meet.
 GENERATED = {
     "G1_pick": {"properties": {"a": {"enum": ["x", 2, None]}, "b": {"const": {"k": 1}}, "c": {"type": "boolean"}, "d": {"type": "null"}}, "required": ["a", "b", "c", "d"], "type": "object"},
@@ -152,10 +206,20 @@ QUERIES = {
     "N3_pointers": n3_pointers, "N4_keyword_warnings": n4_warnings, "N5_hard_errors": n5_hard_errors, "N6_unsafe_bounds": n6_unsafe_bounds, "N7_fractional_multiple_of": n7_fractional_steps,
     "N8_unresolved_refs": n8_unresolved_refs, "N9_dialect_check": n9_dialects, "N10_normalised": n10_normalised, "N12_irrelevant_keywords": n12_irrelevant, "C3_grade_warnings": c3_grade_warnings,
     "T1_manifest_errors": t1_manifest_errors, "T5_writer_schema": t5_writer_schema, "T6_reader_schema": t6_reader_schema, "T7_rewritten_refs": t7_rewritten_refs, "O3_parameter_overrides": o3_overrides,
-    **{k: _generated(c) for k, c in GENERATED.items()},
+    "O11_duplicate_media": o11_duplicate_media, "O12_response_headers": o12_response_headers, "O13_unsupported_surfaces": o13_unsupported,
+    **{k: _rule(old, new) for k, (old, new, _, _) in RULES.items()}, **{k: _generated(c) for k, c in GENERATED.items()},
 }
 _USERS = "(SELECT DISTINCT user_id AS stable_id FROM events WHERE user_id IS NOT NULL)"
 _ENVELOPE = """'{"$defs":{"v' || version || '":' || schema_json || '},"additionalProperties":false,"properties":{"data":{"$ref":"#/$defs/v' || version || '"},"version":{"const":' || version || '}},"required":["version","data"],"type":"object"}'"""
+_API = "(SELECT page_id, '/a' AS path, 'POST' AS method FROM pages WHERE strpos(url, '://') > 0)"
+_COUNTS = "n AS (SELECT user_id AS stable_id, count(event_id) FILTER (WHERE event_id % 2 = 0) % 7 AS a, count(event_id) FILTER (WHERE event_id % 2 = 1) % 7 AS b FROM events WHERE user_id IS NOT NULL GROUP BY 1)"
+
+
+def _rule_sql(within: str, around: str) -> str:
+    verdict = "CASE WHEN coalesce({0}, false) THEN 'compatible' ELSE 'incompatible' END AS verdict"
+    return f"WITH {_COUNTS} SELECT stable_id, 'serializer' AS direction, {verdict.format(within)} FROM n UNION ALL SELECT stable_id, 'deserializer', {verdict.format(around)} FROM n"
+
+
 _WARN = "CASE WHEN ({0}) % 7 = 0 THEN '{1}: #/properties/text contentEncoding' END"
 ORACLE_SQL = {
     "N3_pointers": f"SELECT '#/$defs/a~1b' AS pointer, count(*) AS n FROM {_USERS}",
@@ -175,5 +239,11 @@ ORACLE_SQL = {
     "T6_reader_schema": f"""WITH {_REG} SELECT stable_id, '{{"oneOf":[' || string_agg({_ENVELOPE}, ',' ORDER BY version DESC) || ']}}' AS envelope FROM reg GROUP BY 1""",
     "T7_rewritten_refs": f"SELECT stable_id, CASE stable_id % 3 WHEN 0 THEN '#/$defs/v3/$defs/a~1b' WHEN 1 THEN '#/$defs/v3/$defs/gone' ELSE 'other.json' END AS inner_ref, '#/$defs/v3' AS outer_ref FROM {_USERS}",
     "O3_parameter_overrides": CODEC_SQL["O2_parameters"],
+    "O11_duplicate_media": f"SELECT page_id, path, method, 'application/json' AS media, 2::BIGINT AS n FROM {_API} WHERE page_id % 3 = 0",
+    "O12_response_headers": f"""SELECT page_id, path, method, '200' AS entry, 'x-id' AS header, CASE page_id % 4 WHEN 0 THEN 2 ELSE 1 END::BIGINT AS n FROM {_API}
+        UNION ALL SELECT page_id, path, method, '200', 'link', 1 FROM {_API} WHERE page_id % 4 <> 0""",
+    "O13_unsupported_surfaces": f"""SELECT page_id, 'POST /a' AS place, 'callbacks' AS surface FROM {_API} WHERE page_id % 5 = 0 UNION ALL SELECT page_id, 'sent', 'webhook' FROM {_API} WHERE page_id % 6 = 0
+        UNION ALL SELECT page_id, '/b', 'path reference' FROM {_API} WHERE page_id % 7 = 0""",
+    **{k: _rule_sql(within, around) for k, (_, _, within, around) in RULES.items()},
     **{k: "SELECT c_mktsegment, count(*) AS n, count(*) AS accepted FROM customer GROUP BY 1" for k in GENERATED},
 }

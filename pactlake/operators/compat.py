@@ -30,6 +30,27 @@ def directions(role: Column) -> Column:
 _APART = r"/(anyOf|oneOf|allOf|prefixItems)/[0-9]+|/(not|if|then|else|contains|propertyNames)(/|$)|/(\$defs|definitions|patternProperties|dependentSchemas)/"
 
 
+def _kind(value: Column) -> Column:
+    """The type name of a value given as JSON text."""
+    first = F.substr(value, F.lit(1), F.lit(1))
+    number = value.cast("double")
+    other = F.when(number == F.floor(number), "integer").otherwise("number")
+    return F.when(first == '"', "string").when(first == "{", "object").when(first == "[", "array").when(value == "null", "null").when(value.isin("true", "false"), "boolean").otherwise(other)
+
+
+def _fits(value: Column, node: Column) -> Column:
+    """Whether a node's types, bounds, step and lengths take a value given as JSON text; never NULL."""
+    holds = lambda c: F.coalesce(c, F.lit(True))
+    kind, number = _kind(value), value.cast("double")
+    length = F.length(F.get_json_object(F.concat(F.lit("["), value, F.lit("]")), "$[0]"))
+    typed = holds(F.array_contains(node["types"], kind) | ((kind == "integer") & F.array_contains(node["types"], "number")))
+    low, high = (number > node["lo"]) | ((number == node["lo"]) & ~node["lo_open"]), (number < node["hi"]) | ((number == node["hi"]) & ~node["hi_open"])
+    step = number / node["step"]
+    numeric = holds(low) & holds(high) & holds(step == F.round(step))
+    lengths = holds(length >= node["min_len"]) & holds(length <= node["max_len"])
+    return typed & F.when(kind.isin("integer", "number"), numeric).when(kind == "string", lengths).otherwise(True)
+
+
 def _issues(direction: Column, sub: Column, sup: Column) -> Column:
     """The violated rules of one pair of nodes, in order of explanation."""
     raw = direction == "serializer"
@@ -39,12 +60,16 @@ def _issues(direction: Column, sub: Column, sup: Column) -> Column:
     missing = F.array_except(sup["required"], sub["required"])
     sup_types, sub_types = (F.when(F.array_contains(x["types"], "number"), F.array_union(x["types"], F.array(F.lit("integer")))).otherwise(x["types"]) for x in (sup, sub))
     only_sub, only_sup = F.array_except(sub["props"], sup["props"]), F.array_except(sup["props"], sub["props"])
-    enum_gone = sup["enum"].isNotNull() & (sub["enum"].isNull() | (F.size(F.array_except(sub["enum"], sup["enum"])) > 0))
+    live = F.filter(sub["enum"], lambda v: _fits(v, sub))
+    enum_gone = (sup["enum"].isNotNull() & (sub["enum"].isNull() | (F.size(F.array_except(live, sup["enum"])) > 0))) | F.exists(live, lambda v: ~_fits(v, sup))
+    # Patterns and nested values of an enumeration are not looked into.
+    unseen = F.exists(live, lambda v: _kind(v).isin("object", "array") | ((_kind(v) == "string") & sup["pattern"].isNotNull())) & sup["enum"].isNull()
     numeric = F.coalesce(F.arrays_overlap(sub_types, F.array(F.lit("number"), F.lit("integer"))), F.lit(True)) & sub["enum"].isNull()
     low = below(sub["lo"], sup["lo"]) | ((sub["lo"] == sup["lo"]) & sup["lo_open"] & ~sub["lo_open"])
     high = above(sub["hi"], sup["hi"]) | ((sub["hi"] == sup["hi"]) & sup["hi_open"] & ~sub["hi_open"])
     ratio = sub["step"] / sup["step"]
     rules = [
+        ("false", (sup["text"] == "false") & (sub["text"] != "false"), F.lit("no value is accepted")),
         ("required", F.size(missing) > 0, F.concat(F.lit("property '"), F.get(missing, F.lit(0)), F.lit("' is no longer guaranteed to be present"))),
         ("type", sup["types"].isNotNull() & (sub["types"].isNull() | (F.size(F.array_except(sub_types, sup_types)) > 0)) & sub["enum"].isNull(), F.lit("a type is no longer accepted")),
         ("enum", enum_gone, F.lit("a value is no longer accepted")),
@@ -64,8 +89,8 @@ def _issues(direction: Column, sub: Column, sup: Column) -> Column:
         ("uniqueItems", sup["uniq"] & ~sub["uniq"] & ~n(sub["max_items"] <= 1), F.lit("items may repeat")),
     ]
     told = [F.when(n(test), F.struct(F.lit(i).alias("rank"), F.lit(k).alias("keyword"), m.alias("message"))) for i, (k, test, m) in enumerate(rules)]
-    unknown = F.when(sub["beyond"] | sup["beyond"], F.struct(F.lit(99).alias("rank"), F.lit("unknown").alias("keyword"), F.lit("outside the compared fragment").alias("message")))
-    empty = n((sub["lo"] > sub["hi"]) | (sub["min_len"] > sub["max_len"]) | (sub["min_props"] > sub["max_props"]))
+    unknown = F.when(sub["beyond"] | sup["beyond"] | n(unseen), F.struct(F.lit(99).alias("rank"), F.lit("unknown").alias("keyword"), F.lit("outside the compared fragment").alias("message")))
+    empty = (sub["text"] == "false") | n((sub["lo"] > sub["hi"]) | (sub["min_len"] > sub["max_len"]) | (sub["min_props"] > sub["max_props"]))
     # Equal texts are equal contracts only if nothing in them refers elsewhere.
     equal = (sub["text"] == sup["text"]) & ~F.contains(sub["text"], F.lit('"$ref"'))
     return F.when(equal | empty, F.array().cast(_ISSUE)).otherwise(F.array_compact(F.array(*told, unknown)).cast(_ISSUE))
@@ -97,7 +122,8 @@ def check_compat(pairs: DataFrame, pair: list[str], max_depth: int = 6) -> DataF
     sides = pairs.select(*pair, directions(F.col("role")).alias("direction"), F.explode(F.array(F.struct(F.lit("old").alias("side"), F.col("old").alias("schema_json")), F.struct(F.lit("new").alias("side"), F.col("new").alias("schema_json")))).alias("s"))
     ids = [*pair, "direction", "side"]
     nodes = schema_nodes(sides.select(*pair, "direction", "s.side", "s.schema_json"), ids, max_depth)
-    return verdicts(pairs, node_issues(node_table(nodes, ids), pair), pair)
+    unread = sides.filter(F.try_parse_json("s.schema_json").isNull()).select(*pair, "direction", F.lit("#").alias("pointer"), F.lit("unknown").alias("keyword"), F.lit("not JSON").alias("message"), F.lit(99).alias("rank"))
+    return verdicts(pairs, node_issues(node_table(nodes, ids), pair).unionByName(unread), pair)
 
 
 def pair_verdict(verdict_rows: DataFrame, pair: list[str]) -> DataFrame:

@@ -64,6 +64,36 @@ def media_covered(ranges: Column, media: Column) -> Column:
     return F.when(F.array_contains(ranges, kind), kind).when(F.array_contains(ranges, wide), wide).when(F.array_contains(ranges, "*/*"), F.lit("*/*"))
 
 
+def _fields(v: Column, path: str) -> Column:
+    """The keys of the object at a path; none where it is missing or no object."""
+    return F.coalesce(F.map_keys(F.try_variant_get(v, path, "map<string,variant>")), F.array().cast("array<string>"))
+
+
+def duplicate_media(ops: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids..., path, method, media, n): media types of a request body that are the same but for case and spaces."""
+    media = F.transform(_fields(F.col("op"), "$.requestBody.content"), lambda k: F.regexp_replace(F.lower(F.trim(k)), r"\s*;\s*", ";"))
+    rows = ops.select(*ids, "path", "method", F.explode(media).alias("media"))
+    return rows.groupBy(*ids, "path", "method", "media").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def response_headers(ops: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids..., path, method, entry, header, n): header names in lower case without content-type; n > 1: a duplicate."""
+    responses = ops.select(*ids, "path", "method", _entries(F.try_variant_get("op", "$.responses", "variant")).alias("r"))
+    rows = responses.select(*ids, "path", "method", F.col("r.key").alias("entry"), F.explode(F.transform(_fields(F.col("r.value"), "$.headers"), F.lower)).alias("header"))
+    return rows.filter("header <> 'content-type'").groupBy(*ids, "path", "method", "entry", "header").agg(F.count("*").alias("n"))
+
+
+def unsupported_surfaces(docs: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids..., place, surface): webhooks, references in place of a path's operations, and callbacks."""
+    doc = F.try_parse_json("doc_json")
+    hooks = docs.select(*ids, F.explode(_fields(doc, "$.webhooks")).alias("place"), F.lit("webhook").alias("surface"))
+    items = docs.select(*ids, _entries(F.try_variant_get(doc, "$.paths", "variant")).alias("p"))
+    refs = items.filter(F.array_contains(_fields(F.col("p.value"), "$"), "$ref")).select(*ids, F.col("p.key").alias("place"), F.lit("path reference").alias("surface"))
+    ops = operations(docs, ids)
+    calls = ops.filter(F.array_contains(_fields(F.col("op"), "$"), "callbacks")).select(*ids, F.concat_ws(" ", "method", "path").alias("place"), F.lit("callbacks").alias("surface"))
+    return hooks.unionByName(refs).unionByName(calls)
+
+
 def removed_operations(old: DataFrame, new: DataFrame, ids: list[str]) -> DataFrame:
     return old.join(new.select(*ids, "path", "method"), [*ids, "path", "method"], "left_anti").select(*ids, "path", "method")
 

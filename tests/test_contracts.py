@@ -57,6 +57,10 @@ def test_references_and_patterns():
 
 
 PAIRS = [
+    ({"type": "integer", "minimum": 5}, {"enum": [3]}, "incompatible", "incompatible"),
+    ({"type": ["integer", "string"], "minimum": 5, "maxLength": 2}, {"enum": [7, "ab"]}, "compatible", "incompatible"),
+    ({"pattern": "^a"}, {"enum": ["ab"]}, "unknown", "incompatible"),
+    ({"type": "string"}, False, "compatible", "incompatible"),
     ({"required": ["a"]}, {}, "incompatible", "compatible"),
     ({"type": "integer"}, {"type": "number"}, "incompatible", "compatible"),
     ({"type": "string"}, {"type": ["string", "null"]}, "incompatible", "compatible"),
