@@ -7,7 +7,11 @@ prefix sum over +1 and -1 at segment borders.
 
 Turns are ordered by turn, then role, then text, nulls first. A null text or role counts as empty. Repeated rows are
 turns of their own. Conversations without rows don't occur; an empty table gives an empty result; extra columns of
-the input are left out. Rows of one conversation meet in one task as a sorted stream, one conversation at a time.
+the input are left out.
+
+Turns are encoded and read back where they lie, before any shuffle. Digests over a conversation's turns in order are
+then hashed from a sorted stream that holds one Arrow batch, however many turns a conversation has. format_chats
+returns a whole conversation as one row, so there a conversation must fit in a task's memory.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain, groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -95,67 +101,97 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _vocabulary(df: DataFrame, path: str | None, pattern: str | None) -> tuple:
+    import public_tokenizers
+
+    # 50,256 entries: a fixed size. The driver reads the file; executors need no copy of it.
+    ranks = df.sparkSession.sparkContext.broadcast(load_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    return ranks, pattern or public_tokenizers.PATTERN
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _packed(rows: Iterator[tuple], schema: pa.Schema, size: int = 500) -> Iterator[pa.RecordBatch]:
+    for chunk in iter(lambda: list(islice(rows, size)), []):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunk, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def _key_type(kind: str) -> pa.DataType:
+    return pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+
+
 def format_chats(df: DataFrame, tokenizer_path: str | None = None, pattern: str | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, n_turns, ids array<int>, mask array<int>, formatted), one row for each conversation."""
-    return _run(df, tokenizer_path, pattern, conv, turn, role, text, False)
+    ranks, split = _vocabulary(df, tokenizer_path, pattern)
+    kind = df.schema[conv].dataType.simpleString()
+    out = pa.schema([("key", _key_type(kind)), ("n_turns", pa.int64()), ("ids", pa.list_(pa.int32())), ("mask", pa.list_(pa.int32())), ("formatted", pa.string())])
 
+    def chats(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        template = ChatTemplate(ranks.value, split)
+        for key, rows in groupby(_rows(batches), itemgetter(0)):
+            turns = [(r or "", t or "") for _, r, t in rows]
+            ids, mask = template.encode(turns)
+            yield key, len(turns), ids.tolist(), mask.tolist(), template.render(ids)
 
-def chat_digests(df: DataFrame, tokenizer_path: str | None = None, pattern: str | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the tokens."""
-    return _run(df, tokenizer_path, pattern, conv, turn, role, text, True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _packed(chats(batches), out)
 
+    ordered = df.select(conv, role, text, turn).repartition(conv).sortWithinPartitions(conv, turn, role, text).select(conv, role, text)
+    return ordered.mapInArrow(run, f"`{conv}` {kind}, n_turns long, ids array<int>, mask array<int>, formatted string")
 
-def _run(df: DataFrame, path: str | None, pattern: str | None, conv: str, turn: str, role: str, text: str, digest: bool) -> DataFrame:
-    import public_tokenizers
 
-    # 50,256 entries: a fixed size. The driver reads the file; executors need no copy of it.
-    ranks = df.sparkSession.sparkContext.broadcast(load_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken")))
-    split = pattern or public_tokenizers.PATTERN
-    kind = df.schema[conv].dataType.simpleString()
+def read_turns(df: DataFrame, tokenizer_path: str | None = None, pattern: str | None = None, role: str = "role", text: str = "text", keys: tuple[str, ...] = ("conv_id", "turn")) -> DataFrame:
+    """(keys..., role_given, role, text_given, text, learnt, formatted_chars): each turn formatted and read back from
+    its tokens, without a shuffle. A turn's tokens end in a mark of their own, so a conversation's tokens are its
+    turns' one after the other. learnt: the loss mask covers the text; given: the field wasn't null."""
+    ranks, split = _vocabulary(df, tokenizer_path, pattern)
+    fields = [df.schema[k] for k in keys]
+    made = [("role_given", pa.bool_()), ("role", pa.string()), ("text_given", pa.bool_()), ("text", pa.string()), ("learnt", pa.bool_()), ("formatted_chars", pa.int64())]
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+    def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        template = ChatTemplate(ranks.value, split)
+        for *key, r, t in _rows(batches):
+            ids, mask = template.encode([(r or "", t or "")])
+            ((role_back, text_back),), learnt = template.read_back(ids, mask)
+            if learnt and learnt != [text_back]:
+                raise ValueError("a loss mask that covers a part of a text")
+            yield *key, r is not None, role_back, t is not None, text_back, bool(learnt), len(template.render(ids))
 
-    def chats(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        key, turns = None, []
-        for k, r, t in rows(batches):
-            if turns and k != key:
-                yield key, turns
-                turns = []
-            key = k
-            turns.append((r or "", t or ""))
-        if turns:
-            yield key, turns
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is not None:
+            out = pa.schema([*((f"key{i}", first.schema.types[i]) for i in range(len(keys))), *made])
+            yield from _packed(turns(chain([first], batches)), out)
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "role_given boolean, role string, text_given boolean, text string, learnt boolean, formatted_chars long"])
+    return df.select(*keys, F.col(role).alias("_role"), F.col(text).alias("_text")).mapInArrow(run, schema)
+
+
+def chat_digests(df: DataFrame, tokenizer_path: str | None = None, pattern: str | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the tokens."""
+    kind = df.schema[conv].dataType.simpleString()
+    out = pa.schema([("key", _key_type(kind)), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for key, turns in groupby(_rows(batches), itemgetter(0)):
+            whole, loss, n, loss_chars, chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+            for _, r, t, learnt, c in turns:
+                whole.update(f"{r}\n{t}\n".encode())
+                n, chars = n + 1, chars + c
+                if learnt:
+                    loss.update(t.encode())
+                    loss_chars += len(t)
+            yield key, n, whole.hexdigest(), loss_chars, loss.hexdigest(), chars
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template = None
-        done: list[tuple] = []
-        for key, turns in chats(batches):
-            template = template or ChatTemplate(ranks.value, split)
-            ids, mask = template.encode(turns)
-            if digest:
-                back, learnt = template.read_back(ids, mask)
-                whole, loss = "".join(f"{r}\n{t}\n" for r, t in back), "".join(learnt)
-                done.append((key, len(back), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(template.render(ids))))
-            else:
-                done.append((key, len(turns), ids.tolist(), mask.tolist(), template.render(ids)))
-            if len(done) == 500:
-                yield pack(done)
-                done = []
-        if done:
-            yield pack(done)
-
-    fields = [("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())] if digest else [("n_turns", pa.int64()), ("ids", pa.list_(pa.int32())), ("mask", pa.list_(pa.int32())), ("formatted", pa.string())]
-    key_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
-
-    def pack(done: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*done, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [key_type, *(t for _, t in fields)], strict=True)], names=["key", *(n for n, _ in fields)])
-
-    names = {pa.int64(): "long", pa.string(): "string", pa.list_(pa.int32()): "array<int>"}
-    schema = ", ".join([f"`{conv}` {kind}", *(f"{n} {names[t]}" for n, t in fields)])
-    return df.select(conv, role, text, turn).repartition(conv).sortWithinPartitions(conv, turn, role, text).select(conv, role, text).mapInArrow(run, schema)
+        return _packed(digests(batches), out)
+
+    back = read_turns(df.select(F.col(conv).alias("_conv"), F.col(turn).alias("_turn"), role, text), tokenizer_path, pattern, role, text, ("_conv", "_turn"))
+    ordered = back.repartition("_conv").sortWithinPartitions("_conv", "_turn", "role_given", "role", "text_given", "text").select("_conv", "role", "text", "learnt", "formatted_chars")
+    return ordered.mapInArrow(run, f"`{conv}` {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 #: Conversation -7 of op4: control strings behind a backslash and bare.

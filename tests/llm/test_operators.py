@@ -89,6 +89,19 @@ def test_chat_round_trip(spark):
     assert len(out.formatted) == got[1].formatted_chars and set(out.mask) == {0, 1}
 
 
+def test_chat_digests_of_a_hot_conversation(spark):
+    """A conversation over many partitions and Arrow batches, and rows without a conversation, hash in order."""
+    turn = lambda i: ("assistant" if i % 2 else "user", f"{i} </turn>")
+    df = spark.range(0, 30_000, 1, 7).selectExpr("IF(id < 20000, 5L, IF(id < 25000, NULL, id)) AS conv_id", "id AS turn", "IF(id % 2 = 1, 'assistant', 'user') AS role", "concat(id, ' </turn>') AS text")
+    got = {r.conv_id: r for r in chat_format.chat_digests(df).filter("conv_id = 5 OR conv_id IS NULL").collect()}
+    for key, ids in ((5, range(20_000)), (None, range(20_000, 25_000))):
+        turns = [turn(i) for i in ids]
+        loss = "".join(t for r, t in turns if r == "assistant")
+        assert got[key].n_turns == len(turns) and got[key].loss_chars == len(loss)
+        assert got[key].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert got[key].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
 def test_fingerprints_and_components(spark, table):
     rows = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
 
