@@ -159,8 +159,18 @@ RULES: dict[str, tuple[str, str, str, str]] = {
     "R13_enum_in_type": ('{"type":"integer","minimum":%s}', '{"enum":[4,%s,9]}', "a <= 4 AND a <= b", "false"),
     "R14_required": ('{"type":"object","required":["k%s","id"]}', '{"type":"object","required":["id","k%s"]}', "a = b", "a = b"),
     "R15_property_counts": ('{"type":"object","maxProperties":%s}', '{"type":"object","maxProperties":%s}', "b <= a", "a <= b"),
+    "R16_declared_on_both": ('{"type":"object","properties":{"p":{"type":"number","minimum":%s}}}', '{"type":"object","properties":{"p":{"type":"number","minimum":%s}}}', "b >= a", "a >= b"),
+    "R17_only_in_sub": ('{"type":"object","properties":{"k%s":{"type":"null"}},"additionalProperties":false}', '{"type":"object","properties":{"k%s":{"type":"null"}},"additionalProperties":false}', "a = b", "a = b"),
+    "R18_only_in_sup": ('{"type":"object","properties":{"k%s":{"type":"string"}}}', '{"type":"object","properties":{"k%s":{"type":"string"}}}', "a = b", "true"),
+    "R19_additional": ('{"type":"object","additionalProperties":{"type":"integer","minimum":%s}}', '{"type":"object","additionalProperties":{"type":"integer","minimum":%s}}', "b >= a", "true"),
+    "R20_same_patterns": ('{"type":"object","patternProperties":{"^x":{"type":"null"}},"minProperties":%s}', '{"type":"object","patternProperties":{"^x":{"type":"null"}},"minProperties":%s}', "b >= a", "a >= b"),
+    "R21_same_names": ('{"type":"object","propertyNames":{"maxLength":5},"maxProperties":%s}', '{"type":"object","propertyNames":{"maxLength":5},"maxProperties":%s}', "b <= a", "a <= b"),
+    "R22_dependent_required": ('{"type":"object","dependentRequired":{"a":["k%s"]}}', '{"type":"object","dependentRequired":{"a":["m"],"m":["k%s"]}}', "a = b", "false"),
     "R23_item_counts": ('{"type":"array","minItems":%s}', '{"type":"array","minItems":%s}', "b >= a", "a >= b"),
     "R24_unique_items": ('{"type":"array","uniqueItems":true,"maxItems":%s}', '{"type":"array","maxItems":%s}', "b <= a AND b <= 1", "a <= b"),
+    "R25_items": ('{"type":"array","items":{"type":"integer","maximum":%s}}', '{"type":"array","items":{"type":"integer","maximum":%s}}', "b <= a", "a <= b"),
+    "R26_contains": ('{"type":"array","contains":{"type":"null"},"minContains":%s}', '{"type":"array","contains":{"type":"null"},"minContains":%s}', "b >= a", "a >= b"),
+    "R33_empty": ('{"type":"integer","minimum":%s,"maximum":3}', '{"type":"integer","minimum":9,"maximum":%s}', "true", "a > 3"),
 }
 
 

@@ -3,7 +3,8 @@
 Serializer: what the new version writes must be readable by the old one (new within old). Deserializer: what the old
 version wrote must be readable by the new one (old within new), over values without undeclared keys. Both: and.
 A verdict is compatible, incompatible or unknown; outside the flat fragment (types, enums, bounds, lengths, counts,
-required, closed objects), changed nodes give unknown, never compatible.
+required and dependent names, closed objects), changed nodes give unknown, never compatible. So do nodes deeper than
+max_depth, and references wherever a text holds them. What didn't change beside a change is taken as equal.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ def directions(role: Column) -> Column:
     return F.explode(F.when(role == "both", both).otherwise(F.array(role)))
 
 
+#: What additional properties must be says nothing about values without undeclared keys.
+_REST = r"(?<!/properties)/additionalProperties(/|$)"
 #: Positions whose schemas can't be compared one by one; their parents answer unknown.
 _APART = r"/(anyOf|oneOf|allOf|prefixItems)/[0-9]+|/(not|if|then|else|contains|propertyNames)(/|$)|/(\$defs|definitions|patternProperties|dependentSchemas)/"
 
@@ -51,15 +54,25 @@ def _fits(value: Column, node: Column) -> Column:
     return typed & F.when(kind.isin("integer", "number"), numeric).when(kind == "string", lengths).otherwise(True)
 
 
+def _closure(names: Column, deps: Column) -> Column:
+    """The names that are there whenever the given ones are; after as many steps as there are triggers nothing changes."""
+    more = lambda acc: F.flatten(F.map_values(F.map_filter(deps, lambda k, _: F.array_contains(acc, k))))
+    return F.aggregate(F.map_keys(deps), names, lambda acc, _: F.array_union(acc, more(acc)))
+
+
 def _issues(direction: Column, sub: Column, sup: Column) -> Column:
     """The violated rules of one pair of nodes, in order of explanation."""
     raw = direction == "serializer"
     n = lambda c: F.coalesce(c, F.lit(False))
     below = lambda a, b: b.isNotNull() & (a.isNull() | (a < b))
     above = lambda a, b: b.isNotNull() & (a.isNull() | (a > b))
-    missing = F.array_except(sup["required"], sub["required"])
+    held = _closure(sub["required"], sub["deps"])
+    missing = F.array_except(sup["required"], held)
+    needs = F.flatten(F.transform(F.map_entries(sup["deps"]), lambda e: F.transform(F.array_except(e["value"], _closure(F.array_append(held, e["key"]), sub["deps"])), lambda d: F.struct(e["key"].alias("trigger"), d.alias("name")))))
+    needs = F.filter(needs, lambda d: ~F.array_contains(sub["never"], d["trigger"]) & (~sub["closed"] | F.array_contains(sub["props"], d["trigger"])))
     sup_types, sub_types = (F.when(F.array_contains(x["types"], "number"), F.array_union(x["types"], F.array(F.lit("integer")))).otherwise(x["types"]) for x in (sup, sub))
-    only_sub, only_sup = F.array_except(sub["props"], sup["props"]), F.array_except(sup["props"], sub["props"])
+    named = lambda x: F.array_union(x["props"], x["never"])
+    only_sub, only_sup = F.array_except(sub["props"], named(sup)), F.array_except(named(sup), named(sub))
     live = F.filter(sub["enum"], lambda v: _fits(v, sub))
     enum_gone = (sup["enum"].isNotNull() & (sub["enum"].isNull() | (F.size(F.array_except(live, sup["enum"])) > 0))) | F.exists(live, lambda v: ~_fits(v, sup))
     # Patterns and nested values of an enumeration are not looked into.
@@ -67,6 +80,9 @@ def _issues(direction: Column, sub: Column, sup: Column) -> Column:
     numeric = F.coalesce(F.arrays_overlap(sub_types, F.array(F.lit("number"), F.lit("integer"))), F.lit(True)) & sub["enum"].isNull()
     low = below(sub["lo"], sup["lo"]) | ((sub["lo"] == sup["lo"]) & sup["lo_open"] & ~sub["lo_open"])
     high = above(sub["hi"], sup["hi"]) | ((sub["hi"] == sup["hi"]) & sup["hi_open"] & ~sub["hi_open"])
+    same_contained = F.try_element_at(sub["beyond"], F.lit("contains")) == F.try_element_at(sup["beyond"], F.lit("contains"))
+    narrow = lambda text: text.isNotNull() & ~text.isin("true", "{}")
+    arrays = sub["types"].isNull() | F.array_contains(sub["types"], "array")
     ratio = sub["step"] / sup["step"]
     rules = [
         ("false", (sup["text"] == "false") & (sub["text"] != "false"), F.lit("no value is accepted")),
@@ -82,6 +98,10 @@ def _issues(direction: Column, sub: Column, sup: Column) -> Column:
         ("properties", sup["closed"] & (F.size(only_sub) > 0), F.lit("a declared property is not accepted")),
         ("properties", raw & ~sub["closed"] & (F.size(only_sup) > 0), F.lit("an undeclared property may not fit")),
         ("additionalProperties", sup["closed"] & ~sub["closed"], F.lit("additional properties are not accepted")),
+        ("dependentRequired", F.size(needs) > 0, F.concat(F.lit("property '"), F.get(needs, F.lit(0))["name"], F.lit("' no longer comes with '"), F.get(needs, F.lit(0))["trigger"], F.lit("'"))),
+        ("contains", same_contained & ((sub["min_contains"] < sup["min_contains"]) | above(sub["max_contains"], sup["max_contains"])), F.lit("fewer or more contained items are possible")),
+        ("items", narrow(sup["items"]) & ~sub["items"].isNotNull() & ~n(sub["max_items"] <= 0) & arrays, F.lit("items are not constrained")),
+        ("additionalProperties", raw & narrow(sup["rest"]) & (sup["rest"] != "false") & sub["rest"].isNull(), F.lit("additional properties are not constrained")),
         ("minProperties", below(sub["min_props"], sup["min_props"]) & (sup["min_props"] > F.size(sup["required"])), F.lit("fewer properties are possible")),
         ("maxProperties", above(sub["max_props"], sup["max_props"]), F.lit("more properties are possible")),
         ("minItems", below(sub["min_items"], sup["min_items"]), F.lit("fewer items are possible")),
@@ -89,8 +109,16 @@ def _issues(direction: Column, sub: Column, sup: Column) -> Column:
         ("uniqueItems", sup["uniq"] & ~sub["uniq"] & ~n(sub["max_items"] <= 1), F.lit("items may repeat")),
     ]
     told = [F.when(n(test), F.struct(F.lit(i).alias("rank"), F.lit(k).alias("keyword"), m.alias("message"))) for i, (k, test, m) in enumerate(rules)]
-    unknown = F.when(sub["beyond"] | sup["beyond"] | n(unseen), F.struct(F.lit(99).alias("rank"), F.lit("unknown").alias("keyword"), F.lit("outside the compared fragment").alias("message")))
-    empty = (sub["text"] == "false") | n((sub["lo"] > sub["hi"]) | (sub["min_len"] > sub["max_len"]) | (sub["min_props"] > sub["max_props"]))
+    pairs = lambda m: F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(" "), e["value"])))
+    changed = (pairs(sub["beyond"]) != pairs(sup["beyond"])) | F.exists(F.map_entries(sub["beyond"]), lambda e: (e["key"] == "$ref") | F.contains(e["value"], F.lit('"$ref"')))
+    # Names that only one side declares may fall under its patterns, or under what the other says of additional ones.
+    strayed = F.map_contains_key(sub["beyond"], "patternProperties") & (F.array_sort(sub["props"]) != F.array_sort(sup["props"]))
+    strayed = strayed | (n(narrow(sup["rest"])) & ~sup["closed"] & (F.size(only_sub) > 0))
+    unknown = F.when(changed | strayed | sub["cut"] | sup["cut"] | n(unseen), F.struct(F.lit(99).alias("rank"), F.lit("unknown").alias("keyword"), F.lit("outside the compared fragment").alias("message")))
+    only = lambda *ts: n((F.size(sub["types"]) == 1) & sub["types"][0].isin(*ts))
+    crossed = n(sub["lo"] > sub["hi"]) | n((sub["lo"] == sub["hi"]) & (sub["lo_open"] | sub["hi_open"]))
+    never = n(sub["min_props"] > sub["max_props"]) | F.arrays_overlap(held, sub["never"])
+    empty = (sub["text"] == "false") | (only("number", "integer") & crossed) | (only("string") & n(sub["min_len"] > sub["max_len"])) | (only("object") & never) | (only("array") & n(sub["min_items"] > sub["max_items"]))
     # Equal texts are equal contracts only if nothing in them refers elsewhere.
     equal = (sub["text"] == sup["text"]) & ~F.contains(sub["text"], F.lit('"$ref"'))
     return F.when(equal | empty, F.array().cast(_ISSUE)).otherwise(F.array_compact(F.array(*told, unknown)).cast(_ISSUE))
@@ -102,6 +130,7 @@ def node_issues(sides: DataFrame, pair: list[str]) -> DataFrame:
     sub_side = F.when(F.col("direction") == "serializer", "new").otherwise("old")
     met = sides.groupBy(*pair, "direction", "pointer").agg(F.max_by("n", F.when(F.col("side") == sub_side, 1)).alias("sub"), F.max_by("n", F.when(F.col("side") != sub_side, 1)).alias("sup"))
     met = met.filter(F.col("sub").isNotNull() & F.col("sup").isNotNull() & ~F.col("pointer").rlike(_APART))
+    met = met.filter((F.col("direction") == "serializer") | ~F.col("pointer").rlike(_REST))
     found = met.select(*pair, "direction", "pointer", F.explode(_issues(F.col("direction"), F.col("sub"), F.col("sup"))).alias("i"))
     return found.select(*pair, "direction", "pointer", "i.keyword", "i.message", "i.rank")
 
@@ -121,9 +150,10 @@ def check_compat(pairs: DataFrame, pair: list[str], max_depth: int = 6) -> DataF
 
     sides = pairs.select(*pair, directions(F.col("role")).alias("direction"), F.explode(F.array(F.struct(F.lit("old").alias("side"), F.col("old").alias("schema_json")), F.struct(F.lit("new").alias("side"), F.col("new").alias("schema_json")))).alias("s"))
     ids = [*pair, "direction", "side"]
-    nodes = schema_nodes(sides.select(*pair, "direction", "s.side", "s.schema_json"), ids, max_depth)
+    nodes = node_table(schema_nodes(sides.select(*pair, "direction", "s.side", "s.schema_json"), ids, max_depth, "_level"), [*ids, "_level"])
+    nodes = nodes.withColumn("n", F.col("n").withField("cut", (F.col("_level") == max_depth) & F.col("n.inner")))
     unread = sides.filter(F.try_parse_json("s.schema_json").isNull()).select(*pair, "direction", F.lit("#").alias("pointer"), F.lit("unknown").alias("keyword"), F.lit("not JSON").alias("message"), F.lit(99).alias("rank"))
-    return verdicts(pairs, node_issues(node_table(nodes, ids), pair).unionByName(unread), pair)
+    return verdicts(pairs, node_issues(nodes, pair).unionByName(unread), pair)
 
 
 def pair_verdict(verdict_rows: DataFrame, pair: list[str]) -> DataFrame:

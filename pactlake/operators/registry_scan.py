@@ -18,6 +18,8 @@ HARD = ("$id", "$anchor", "$dynamicRef", "$dynamicAnchor")
 DIALECTS = ("https://json-schema.org/draft/2020-12/schema", "https://spec.openapis.org/oas/3.1/dialect/base")
 #: Keywords that mean something for one type only.
 OF_TYPE = {"string": ("minLength", "maxLength", "pattern"), "number": ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf"), "array": ("items", "prefixItems", "minItems", "maxItems", "uniqueItems", "contains"), "object": ("properties", "required", "minProperties", "maxProperties", "additionalProperties", "patternProperties", "propertyNames", "dependentRequired")}
+#: Keywords that no rule on single nodes judges.
+BEYOND = (*LISTS, "not", "if", "then", "else", "$ref", "patternProperties", "propertyNames", "dependentSchemas", "contains", "unevaluatedProperties", "unevaluatedItems")
 _NODES = "array<struct<pointer:string,node:variant>>"
 SAFE = 2**53 - 1
 
@@ -42,13 +44,16 @@ def _children(n: Column) -> Column:
     return F.flatten(F.transform(_entries(n["node"]), of))
 
 
-def schema_nodes(reg: DataFrame, ids: list[str], max_depth: int = 6) -> DataFrame:
-    """(ids..., pointer, node VARIANT): every subschema to max_depth levels. Documents that don't parse give no rows."""
+def schema_nodes(reg: DataFrame, ids: list[str], max_depth: int = 6, level: str | None = None) -> DataFrame:
+    """(ids..., pointer, node VARIANT): every subschema to max_depth levels, which column `level` gives if it is named.
+    Documents that don't parse give no rows."""
     df = reg.select(*ids, F.array(F.struct(F.lit("#").alias("pointer"), F.try_parse_json("schema_json").alias("node"))).cast(_NODES).alias("_l0"))
     df = df.filter(F.col("_l0")[0]["node"].isNotNull())
     for d in range(max_depth):
         df = df.withColumn(f"_l{d + 1}", F.flatten(F.transform(F.col(f"_l{d}"), _children)))
-    return df.select(*ids, F.explode(F.concat(*(f"_l{d}" for d in range(max_depth + 1)))).alias("_n")).select(*ids, "_n.pointer", "_n.node")
+    at = lambda d: F.transform(F.col(f"_l{d}"), lambda x: F.struct(F.lit(d).alias("level"), x["pointer"].alias("pointer"), x["node"].alias("node")))
+    rows = df.select(*ids, F.explode(F.concat(*map(at, range(max_depth + 1)))).alias("_n"))
+    return rows.select(*ids, "_n.pointer", "_n.node", *([F.col("_n.level").alias(level)] if level else []))
 
 
 def constraints(nodes: DataFrame, ids: list[str]) -> DataFrame:
@@ -124,9 +129,14 @@ def dedupe_schemas(reg: DataFrame, id_col: str) -> DataFrame:
 
 
 def node_table(nodes: DataFrame, ids: list[str]) -> DataFrame:
-    """Normalised columns per node: type names, sorted distinct enum (const and boolean types included), tightest
-    bounds (closed for integers), counts with the minimums and maximums that other keywords imply."""
-    n = F.col("node")
+    """(ids..., pointer, n): the normalised form of every node; ids may name further columns of nodes."""
+    return nodes.select(*ids, "pointer", normalised(F.col("node")).alias("n"))
+
+
+def normalised(n: Column) -> Column:
+    """Struct of a node: type names, sorted distinct enum (const and boolean types included), tightest bounds (closed
+    for integers), counts with the minimums and maximums that other keywords imply. never: properties that no value
+    may have; beyond: texts of the keywords that rules on single nodes can't judge; inner: may have child schemas."""
     get = lambda k, t: F.try_variant_get(n, f"$['{k}']", t)
     type_one = F.when(F.schema_of_variant(get("type", "variant")) == "STRING", F.array(get("type", "string")))
     types = F.coalesce(type_one, get("type", "array<string>"))
@@ -139,17 +149,22 @@ def node_table(nodes: DataFrame, ids: list[str]) -> DataFrame:
     whole = F.coalesce((F.size(types) == 1) & (types[0] == "integer"), F.lit(False))
     lo_closed = F.when(whole, F.ceil(lo) + (lo_open & (lo == F.ceil(lo))).cast("int")).otherwise(lo)
     hi_closed = F.when(whole, F.floor(hi) - (hi_open & (hi == F.floor(hi))).cast("int")).otherwise(hi)
-    props = F.coalesce(F.map_keys(get("properties", "map<string,variant>")), F.array().cast("array<string>"))
+    declared = F.coalesce(get("properties", "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
+    never = F.map_keys(F.map_filter(declared, lambda _, v: F.to_json(v) == "false"))
+    props = F.array_except(F.map_keys(declared), never)
     required = F.array_sort(F.array_distinct(F.coalesce(get("required", "array<string>"), F.array().cast("array<string>"))))
     patterns = F.coalesce(F.size(F.map_keys(get("patternProperties", "map<string,variant>"))), F.lit(0))
     closed = F.coalesce(get("additionalProperties", "boolean") == F.lit(False), F.lit(False)) & (patterns == 0)
-    beyond = [*LISTS, "not", "if", "$ref", "patternProperties", "propertyNames", "dependentRequired", "dependentSchemas", "contains", "unevaluatedProperties", "unevaluatedItems"]
-    more = F.arrays_overlap(F.transform(_entries(n), lambda e: e["key"]), F.array(*map(F.lit, beyond)))
+    beyond = F.map_from_entries(F.transform(F.filter(_entries(n), lambda e: e["key"].isin(*BEYOND)), lambda e: F.struct(e["key"], F.to_json(e["value"]))))
+    has = lambda *names: F.coalesce(F.arrays_overlap(F.transform(_entries(n), lambda e: e["key"]), F.array(*map(F.lit, names))), F.lit(False))
+    deps = F.coalesce(get("dependentRequired", "map<string,array<string>>"), F.from_json(F.lit("{}"), "map<string,array<string>>"))
     cols = {
         "text": F.to_json(n), "types": types, "enum": enum, "lo": lo_closed, "lo_open": lo_open & ~whole, "hi": hi_closed, "hi_open": hi_open & ~whole,
         "step": get("multipleOf", "double"), "min_len": get("minLength", "long"), "max_len": get("maxLength", "long"), "pattern": get("pattern", "string"),
         "min_items": F.greatest(get("minItems", "long"), F.when(get("contains", "variant").isNotNull(), F.coalesce(get("minContains", "long"), F.lit(1)))), "max_items": get("maxItems", "long"), "uniq": F.coalesce(get("uniqueItems", "boolean"), F.lit(False)),
-        "props": props, "required": required, "closed": closed, "beyond": F.coalesce(more, F.lit(False)),
+        "props": props, "never": never, "required": required, "closed": closed, "deps": deps, "beyond": beyond,
+        "items": F.to_json(get("items", "variant")), "rest": F.to_json(get("additionalProperties", "variant")),
+        "min_contains": F.coalesce(get("minContains", "long"), F.lit(1)), "max_contains": get("maxContains", "long"), "inner": has("properties", "items", "prefixItems", *BEYOND) | (has("additionalProperties") & ~closed),
         "min_props": F.greatest(get("minProperties", "long"), F.size(required).cast("long")), "max_props": F.least(get("maxProperties", "long"), F.when(closed, F.size(props).cast("long"))),
     }
-    return nodes.select(*ids, "pointer", F.struct(*(c.alias(k) for k, c in cols.items())).alias("n"))
+    return F.struct(*(c.alias(k) for k, c in cols.items()))

@@ -56,6 +56,10 @@ def test_references_and_patterns():
     assert pattern_supported("^a+$") and not pattern_supported("(")
 
 
+def deep(levels, leaf):
+    return {"properties": {"x": deep(levels - 1, leaf)}} if levels else leaf
+
+
 PAIRS = [
     ({"type": "integer", "minimum": 5}, {"enum": [3]}, "incompatible", "incompatible"),
     ({"type": ["integer", "string"], "minimum": 5, "maxLength": 2}, {"enum": [7, "ab"]}, "compatible", "incompatible"),
@@ -73,6 +77,13 @@ PAIRS = [
     ({"properties": {"a": {"type": "string"}}}, {"properties": {"a": {"type": "string"}}, "additionalProperties": False}, "compatible", "incompatible"),
     ({"uniqueItems": True}, {"maxItems": 1}, "compatible", "incompatible"),
     ({"$defs": {"a": {"minimum": 1}}, "properties": {"x": {"$ref": "#/$defs/a"}}}, {"$defs": {"a": {"minimum": 9}}, "properties": {"x": {"$ref": "#/$defs/a"}}}, "unknown", "unknown"),
+    ({"type": "array", "items": {"type": "integer"}}, {"type": "array"}, "incompatible", "compatible"),
+    ({"additionalProperties": {"type": "integer"}}, {}, "incompatible", "compatible"),
+    ({"additionalProperties": {"type": "integer"}}, {"properties": {"a": {"type": "integer"}}, "additionalProperties": {"type": "integer"}}, "unknown", "compatible"),
+    ({"required": ["a"], "dependentRequired": {"a": ["b"]}}, {"required": ["a", "b"]}, "compatible", "compatible"),
+    ({"type": "object", "properties": {"a": False}, "required": ["a"]}, {"type": "object"}, "incompatible", "compatible"),
+    ({"anyOf": [{"type": "string"}], "maxProperties": 3}, {"anyOf": [{"type": "string"}], "maxProperties": 2}, "compatible", "incompatible"),
+    (deep(9, {"minimum": 1}), deep(9, {"minimum": 2}), "unknown", "unknown"),
     ({"anyOf": [{"minimum": 1}]}, {"anyOf": [{"minimum": 2}]}, "unknown", "unknown"),
 ]
 
