@@ -1,6 +1,7 @@
 """A training corpus from documents: quality rules, near-duplicates, repeated passages, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet and read again as the next one's docs.
+Mixing orders the rows it writes; packing fills the batches of each bucket in that order.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from pactlake.llm import mixing, packing, quality_rules, simhash_dedup, suffix_dedup
-from pactlake.llm.common import shared_dir
+from pactlake.llm.common import shared_dir, stored_order
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def mixing_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, order=stored_order())
 
 
 STAGES = [

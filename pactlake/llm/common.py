@@ -8,7 +8,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space that separates words in every operator here (space, \t, \n, \v, \f, \r).
@@ -64,15 +64,19 @@ def drop_table(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], to: str, shard_rows: int = 512) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[str], to: str, shard_rows: int = 512, along: str | None = None) -> DataFrame:
     """Add column `to`: consecutive numbers from 0 within each group, without one task per group.
 
     Rows of a group are dealt to shards by a hash of the order columns, numbered inside each shard, and lifted by
     the rows in the shards before. Equal rows get different numbers; which of them gets which doesn't matter. The
-    order is by shard, then by the order columns, the same on every run.
+    order is by shard, then by the order columns, the same on every run. With `along`, a column of whole numbers that
+    few rows share, numbers rise with it: the shards are ranges of it.
     """
-    shards = max(1, -(-df.count() // shard_rows))
-    dealt = df.withColumns({"_group": F.to_json(F.struct(*group)), "_shard": F.pmod(F.xxhash64(*order), F.lit(shards))})
+    if along:
+        shard, order = F.expr(f"coalesce({along}, 0) div {shard_rows}"), [along, *order]
+    else:
+        shard = F.pmod(F.xxhash64(*order), F.lit(max(1, -(-df.count() // shard_rows))))
+    dealt = df.withColumns({"_group": F.to_json(F.struct(*group)), "_shard": shard})
     before = Window.partitionBy("_group").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("_group", "_shard").count().withColumn("_upto", F.coalesce(F.sum("count").over(before), F.lit(0)))
     offsets = settle(offsets.drop("count"))
@@ -80,6 +84,15 @@ def numbered(df: DataFrame, group: list[str], order: list[str], to: str, shard_r
     return ranked.join(offsets, ["_group", "_shard"], "left").withColumn(to, F.col("_upto") + F.col("_rank") - 1).select(*df.columns, to)
 
 
+def stored_order() -> Column:
+    """Where a row of a Parquet table that Spark wrote stands in it: whole numbers that rise in the order of writing.
+
+    Files are named after their partition, part-00012-..., and then the file in it, -c003; a file that is not is first.
+    """
+    number = lambda pattern: F.coalesce(F.regexp_extract("_metadata.file_name", pattern, 1).try_cast("long"), F.lit(0))
+    return F.shiftleft(number(r"^part-(\d+)"), 42) + F.shiftleft(number(r"-c(\d+)[.]"), 32) + F.col("_metadata.row_index")
+
+
 def sorted_groups(batches, n_keys: int):
     """Tables of whole groups from sorted Arrow batches: rows that agree in the first n_keys columns stay together.
 

@@ -1,7 +1,10 @@
 import corpus_pipeline
 from conftest import SF
+from pyspark.sql import functions as F
 from test_operators import brute_repeats, words
 
+from pactlake.llm import common, mixing
+
 
 def test_stages_against_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -31,3 +34,28 @@ def test_stages_against_brute_force(spark, tmp_path):
             assert {k: len(words(before[k].text)) for k in before} == {k: sum(r.n_tokens for r in rows if r.doc_id == k) for k in before}
     assert len(seen) == 5
 
+
+def test_mixing_decides_where_packing_puts_pieces(spark, monkeypatch):
+    """In run()'s rows the pieces of a bucket stand in the mixed order, so other target weights give other batches."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = sorted(r[0] for r in docs.select("source").filter("source IS NOT NULL").distinct().collect())
+    found = []
+    for weights in ({n: 1 + 50 * (n == names[0]) for n in names}, {n: 1 + 50 * (n == names[-1]) for n in names}):
+        mixed = lambda spark, docs, sf_dir, w=weights: mixing.in_mixed_order(docs, weights=w)
+        monkeypatch.setattr(corpus_pipeline, "STAGES", [("mixing", mixed), corpus_pipeline.STAGES[-1]])
+        rows = corpus_pipeline.run(spark, SF).collect()
+        at = {r.doc_id: r.position for r in mixing.mix(docs, weights).collect()}
+        for bucket in {r.bucket for r in rows}:
+            own = [(at[r.doc_id], r.piece) for r in sorted(rows, key=lambda r: (r.batch, r.place)) if r.bucket == bucket]
+            assert own == sorted(own)
+        found.append({(r.doc_id, r.piece): (r.bucket, r.batch, r.place) for r in rows})
+    assert found[0].keys() == found[1].keys() and found[0] != found[1]
+
+
+def test_numbers_along_the_stored_order(spark, tmp_path):
+    """Files are read in any order; the order of writing is kept over many files, and those of one partition."""
+    docs = spark.range(5000).select("id", (-F.col("id")).alias("key")).repartition(7).sort("key")
+    docs.write.option("maxRecordsPerFile", 300).parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t")).select("id", (F.col("id") % 2).alias("g"), common.stored_order().alias("at"))
+    rows = common.numbered(read, ["g"], ["id"], "k", shard_rows=64, along="at").collect()
+    assert {r.id: r.k for r in rows} == {i: (4999 - i) // 2 for i in range(5000)}
