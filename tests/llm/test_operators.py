@@ -2,6 +2,7 @@ import hashlib
 import math
 import zlib
 from collections import Counter
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -239,6 +240,48 @@ def test_mixing_deviates_less_than_a_block(spark, docs):
     assert sorted(map(str, mixing.in_mixed_order(docs).collect())) == sorted(map(str, docs.collect()))
 
 
+def most_lag(rows, weights, blocks):
+    """The largest distance, in blocks, of any source from its exact weight after any slot of (lane, phase, slot)."""
+    left, worst, phase = list(blocks), Fraction(0), None
+    for lane, at, slot in sorted(rows, key=lambda r: r[2]):
+        if at != phase:
+            phase, start, had = at, slot, [0] * len(left)
+            live = [i for i, n in enumerate(left) if n]
+            total = sum(weights[i] for i in live)
+        had[lane] += 1
+        left[lane] -= 1
+        worst = max(worst, *(abs(had[i] * total - weights[i] * (slot + 1 - start)) / total for i in live))
+    assert not any(left)
+    return worst
+
+
+def test_mixing_keeps_to_the_weights_themselves(spark):
+    """Against the weights as they are given or follow from the counts, over several thousand slots, for every source."""
+    many = {f"s{i}": Fraction(3 if i == 299 else 1, 1 + i % 7) for i in range(300)}
+    cases = [({"s0": 40_000} | {f"s{i}": 4_000 for i in range(1, 20)}, None), ({f"s{i}": 40 - i % 3 for i in range(300)}, many)]
+    for sizes, weights in cases:
+        df = spark.createDataFrame([(i, n) for i, n in enumerate(n for n, k in sizes.items() for _ in range(k))], "doc_id long, source string")
+        rows = mixing.mix(df, weights, block_rows=20).collect()
+        assert len({r.position for r in rows}) == len(rows) == sum(sizes.values())
+        of = {r.source: r.lane for r in rows}
+        assert len(set(of.values())) == len(sizes)
+        goal = {of[n]: Fraction(weights[n] if weights else k**0.7) for n, k in sizes.items()}
+        blocks = {of[n]: -(-k // 20) for n, k in sizes.items()}
+        lanes = range(len(sizes))
+        assert most_lag({(r.lane, r.phase, r.slot) for r in rows}, [goal[i] for i in lanes], [blocks[i] for i in lanes]) < 1
+
+
+def test_mixing_with_a_joined_schedule_and_odd_weights(spark, docs):
+    """The schedule joined by shuffle gives the same rows; a weight of zero comes last."""
+    for weights in (None, {"a": 0, None: 2.5}):
+        rows = [sorted(map(str, mixing.mix(docs, weights, block_rows=1, broadcast_blocks=n).collect())) for n in (0, 1000)]
+        assert rows[0] == rows[1] and len(rows[0]) == len(ROWS)
+    last = mixing.mix(docs, {"a": 0, "b": 1, None: 1}, block_rows=1).orderBy("position").collect()
+    assert [r.source for r in last[-4:]] == ["a"] * 4
+    with pytest.raises(ValueError):
+        list(mixing.schedule([1], [-1]))
+
+
 def test_language_model(spark, table, docs):
     rows = {r.doc_id: r for r in lm_scoring.score_texts(table, head=500, classes=200, offer=300).collect()}
     texts = {r.doc_id: words(r.text) for r in table.select("doc_id", "text").collect()}
