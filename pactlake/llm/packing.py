@@ -1,8 +1,9 @@
 """Packing into optimal length buckets, then token-budget batches inside each bucket.
 
-Lengths are rounded up to multiples of `step` tokens. A document longer than max_len is cut into pieces of max_len
-tokens and a rest, so there are at most max_len / step distinct lengths, and the histogram over all documents fits
-the driver by construction. Dynamic programming over it chooses the bucket boundaries that minimise padding, exactly.
+A document longer than max_len is cut into pieces of max_len tokens and a rest, so there are at most max_len distinct
+lengths, and the histogram over all documents fits the driver by construction. Dynamic programming over it chooses the
+bucket boundaries that minimise padding, exactly. With a `step` above 1, for hardware that wants aligned lengths, they
+are rounded up to multiples of it first, and the boundaries are the best ones among those.
 A batch of a bucket with boundary b holds budget // b pieces (at least one).
 
 A null text counts as empty; a document without words is one piece of length 0. Repeated rows are packed each on its
@@ -28,13 +29,14 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
     for k in range(min(buckets, n)):
         now, came = np.empty(n + 1, np.int64), np.zeros(n + 1, np.int64)
         now[0] = 0
-        for j in range(1, n + 1):
-            if k == 0:
-                now[j] = v[j - 1] * upto[j]
-            else:
-                cost = best[:j] + v[j - 1] * (upto[j] - upto[:j])
-                came[j] = int(cost.argmin())
-                now[j] = cost[came[j]]
+        if k == 0:
+            now[1:] = v * upto[1:]
+        else:
+            for j in range(1, n + 1):
+                least = came[j - 1]  # the best cut never moves back as j grows
+                cost = best[least:j] + v[j - 1] * (upto[j] - upto[least:j])
+                came[j] = least + int(cost.argmin())
+                now[j] = cost[came[j] - least]
         best = now
         choice.append(came)
     out, j = [], n
@@ -50,7 +52,7 @@ def word_count(text: str) -> Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 8, budget: int = 65_536, max_len: int = 32_768, step: int = 8, length: Column | None = None, order: Column | None = None) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 8, budget: int = 65_536, max_len: int = 32_768, step: int = 1, length: Column | None = None, order: Column | None = None) -> DataFrame:
     """(id, piece, n_tokens, bucket, bucket_len, batch, place): piece p of a document stands at `place` of a batch of
     its bucket; every batch but a bucket's last is full."""
     n = length if length is not None else word_count(text_col)

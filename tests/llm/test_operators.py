@@ -224,6 +224,16 @@ def test_packing_is_optimal_and_whole(spark, docs):
         assert sorted(r.batch * room + r.place for r in own) == list(range(len(own)))
 
 
+def test_packing_pads_least_for_the_lengths_themselves(spark):
+    """Of all boundaries, not only multiples of 8: by brute force over every choice of three lengths."""
+    counts = {9: 40, 11: 3, 14: 25, 17: 8, 23: 30, 30: 2, 33: 11, 41: 5}
+    df = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(n for n, k in counts.items() for _ in range(k))], "doc_id long, text string")
+    padded = lambda cuts: sum(min(c for c in cuts if c >= n) * k for n, k in counts.items())
+    best = min(padded([*c, 41]) for c in combinations(list(counts)[:-1], 2))
+    assert sum(r.bucket_len for r in packing.pack(df, buckets=3).collect()) == best
+    assert all(r.bucket_len % 8 == 0 for r in packing.pack(df, buckets=3, step=8).collect())
+
+
 def test_mixing_deviates_less_than_a_block(spark, docs):
     for weights in ([0.5, 0.3, 0.2], [0.9, 0.05, 0.05], [1, 1, 1, 1]):
         shares = mixing.apportion(weights, 64)
