@@ -1,22 +1,27 @@
 """Contracts (JSON Schema 2020-12) compiled to Column predicates.
 
-Every keyword becomes one predicate that is never NULL and is vacuously true for values of another JSON type. The
-checks of a conjunction are kept apart, each with its keyword and JSON pointer, so that a failing row can say why.
-Local references are inlined; recursive ones are unrolled to max_depth, and what lies deeper counts as not valid.
+Every keyword becomes one predicate that is vacuously true for values of another JSON type. The checks of a
+conjunction are kept apart, each with its keyword and JSON pointer, so that a failing row can say why.
+Local references are inlined. A recursive one is unrolled: max_depth is how often the same reference may be entered
+again below itself. A predicate is NULL only for values that reach beyond that bound, and only where what lies there
+would decide; NULL runs through and, or and not by three-valued logic.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .values import Guard, Typed, all_of, any_of, col_of, implies, negate
+from .values import Guard, Typed, all_of, any_of, col_of, column, implies, negate
 
 Check = tuple[str, str, Guard]
+_UNDECIDED = "boolean"
 
 
 def pointer_token(key: str) -> str:
@@ -43,23 +48,62 @@ def pattern_supported(pattern: str) -> bool:
     return not re.search(r"\\c[A-Za-z]|\(\?<[=!]|\\k<|\\u\{", pattern)
 
 
+def java_pattern(pattern: str) -> str:
+    """The pattern with $ as the very end of the text; Java's also stands before a last line break."""
+    out, in_class, i = [], False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            out.append(pattern[i : i + 2])
+            i += 2
+            continue
+        in_class = c == "[" or (in_class and c != "]")
+        out.append(r"\z" if c == "$" and not in_class else c)
+        i += 1
+    return "".join(out)
+
+
 def _matches(text: Column, pattern: str) -> Guard:
     if not pattern_supported(pattern):
         raise ValueError(f"unsupported pattern: {pattern}")
-    return col_of(text.rlike(pattern))
+    return col_of(text.rlike(java_pattern(pattern)))
+
+
+@dataclass(frozen=True)
+class _Scope:
+    """Where a contract is compiled: the document, the references entered so far, and whether one was cut."""
+
+    root: object
+    max_depth: int
+    entered: tuple[str, ...] = ()
+    cuts: list = field(default_factory=list)
+
+    def enter(self, ref: str) -> _Scope | None:
+        if self.entered.count(ref) > self.max_depth:
+            self.cuts.append(ref)
+            return None
+        return replace(self, entered=(*self.entered, ref))
 
 
 def compile_contract(schema, value: Typed, root=None, max_depth: int = 4) -> Column:
-    return col_of(all_of(*(c for _, _, c in contract_checks(schema, value, "#", root, max_depth))))
+    """One predicate; NULL where the value reaches deeper into a recursive contract than max_depth."""
+    return _whole(schema, value, _Scope(schema if root is None else root, max_depth))
 
 
 def contract_checks(schema, value: Typed, pointer: str = "#", root=None, max_depth: int = 4) -> list[Check]:
-    root = schema if root is None else root
+    return _checks(schema, value, pointer, _Scope(schema if root is None else root, max_depth))
+
+
+def _whole(schema, value: Typed, scope: _Scope) -> Column:
+    return column(all_of(*(c for _, _, c in _checks(schema, value, "#", scope))))
+
+
+def _checks(schema, value: Typed, pointer: str, scope: _Scope) -> list[Check]:
     if schema is True or schema == {}:
         return []
     if schema is False:
         return [("false", pointer, False)]
-    sub = lambda s, v=value: col_of(all_of(*(c for _, _, c in contract_checks(s, v, pointer, root, max_depth))))
+    sub = lambda s, v=value: _whole(s, v, scope)
     out: list[Check] = []
     put = lambda keyword, check: out.append((keyword, f"{pointer}/{keyword}", check))
     v, s = value, schema
@@ -77,23 +121,19 @@ def contract_checks(schema, value: Typed, pointer: str = "#", root=None, max_dep
             put(k, implies(string, col_of(test(s[k])) if string is not False else True))
     if "pattern" in s:
         put("pattern", implies(string, _matches(v.text(), s["pattern"])) if string is not False else True)
-    bounds = {"minimum": lambda n: v.number() >= n, "maximum": lambda n: v.number() <= n, "exclusiveMinimum": lambda n: v.number() > n, "exclusiveMaximum": lambda n: v.number() < n}
+    bounds = {"minimum": lambda x, n: x >= n, "maximum": lambda x, n: x <= n, "exclusiveMinimum": lambda x, n: x > n, "exclusiveMaximum": lambda x, n: x < n}
     for k, test in bounds.items():
         if k in s:
-            put(k, implies(number, col_of(test(s[k]))) if number is not False else True)
+            put(k, implies(number, v.compared(test, s[k])) if number is not False else True)
     if "multipleOf" in s and number is not False:
-        ratio = v.number() / float(s["multipleOf"])
-        near = F.abs(ratio - F.round(ratio)) <= 4 * 2.0**-52 * F.greatest(F.abs(ratio), F.lit(1.0))
-        whole = isinstance(s["multipleOf"], int) or float(s["multipleOf"]).is_integer()
-        exact = (v.number() % int(s["multipleOf"])) == 0 if whole else near
-        put("multipleOf", implies(number, col_of(exact)))
+        put("multipleOf", implies(number, v.multiple(s["multipleOf"])))
     if obj is not False:
-        _object_checks(s, v, obj, sub, put, out, pointer, root, max_depth)
+        _object_checks(s, v, obj, sub, put, out, pointer, scope)
     if arr is not False:
-        _array_checks(s, v, arr, sub, put)
+        _array_checks(s, v, arr, sub, put, scope)
     if "allOf" in s:
         for i, x in enumerate(s["allOf"]):
-            out += contract_checks(x, v, f"{pointer}/allOf/{i}", root, max_depth)
+            out += _checks(x, v, f"{pointer}/allOf/{i}", scope)
     if "anyOf" in s:
         put("anyOf", any_of(*(sub(x) for x in s["anyOf"])))
     if "oneOf" in s:
@@ -101,15 +141,15 @@ def contract_checks(schema, value: Typed, pointer: str = "#", root=None, max_dep
     if "not" in s:
         put("not", negate(sub(s["not"])))
     if "if" in s and ("then" in s or "else" in s):
-        put("if", F.when(sub(s["if"]), sub(s.get("then", True))).otherwise(sub(s.get("else", True))))
+        holds, then, other = sub(s["if"]), sub(s.get("then", True)), sub(s.get("else", True))
+        put("if", (~holds | then) & (holds | other))
     if "$ref" in s:
-        target = resolve(root, s["$ref"])
-        deeper = all_of(*(c for _, _, c in contract_checks(target, v, pointer, root, max_depth - 1))) if max_depth > 0 else False
-        put("$ref", deeper)
+        inner = scope.enter(s["$ref"])
+        put("$ref", all_of(*(c for _, _, c in _checks(resolve(scope.root, s["$ref"]), v, pointer, inner))) if inner else F.when(v.col.isNull(), True).otherwise(F.lit(None).cast(_UNDECIDED)))
     return out
 
 
-def _object_checks(s, v, obj, sub, put, out, pointer, root, max_depth) -> None:
+def _object_checks(s, v, obj, sub, put, out, pointer, scope) -> None:
     if "required" in s:
         put("required", implies(obj, all_of(*(v.has(k) for k in s["required"]))))
     for k, needs in s.get("dependentRequired", {}).items():
@@ -119,7 +159,7 @@ def _object_checks(s, v, obj, sub, put, out, pointer, root, max_depth) -> None:
     for k, x in s.get("properties", {}).items():
         inner = v.get(k)
         if inner is not None:
-            for keyword, at, check in contract_checks(x, inner, f"{pointer}/properties/{pointer_token(k)}", root, max_depth):
+            for keyword, at, check in _checks(x, inner, f"{pointer}/properties/{pointer_token(k)}", scope):
                 out.append((keyword, at, implies(all_of(obj, v.has(k)), check)))
     patterns = s.get("patternProperties", {})
     for p, x in patterns.items():
@@ -128,20 +168,17 @@ def _object_checks(s, v, obj, sub, put, out, pointer, root, max_depth) -> None:
         known = lambda key: any_of(key.isin(*s["properties"]) if s.get("properties") else False, *(_matches(key, p) for p in patterns))
         put("additionalProperties", implies(obj, v.each_entry(lambda key, inner: any_of(known(key), sub(s["additionalProperties"], inner)))))
     if "propertyNames" in s:
-        from pyspark.sql import types as T
-
         put("propertyNames", implies(obj, F.forall(v.keys(), lambda key: sub(s["propertyNames"], Typed(key, T.StringType())))))
     if "minProperties" in s:
         put("minProperties", implies(obj, col_of(F.size(v.keys()) >= s["minProperties"])))
     if "maxProperties" in s:
         put("maxProperties", implies(obj, col_of(F.size(v.keys()) <= s["maxProperties"])))
     if "unevaluatedProperties" in s:
-        seen = evaluated_keys({k: x for k, x in s.items() if k != "unevaluatedProperties"}, v, sub, root, max_depth)
-        rest = v.each_entry(lambda key, inner: any_of(F.array_contains(seen, key), sub(s["unevaluatedProperties"], inner)))
-        put("unevaluatedProperties", implies(obj, rest))
+        seen = evaluated({k: x for k, x in s.items() if k != "unevaluatedProperties"}, v, sub, scope, keys=True)
+        put("unevaluatedProperties", implies(obj, v.each_entry(lambda key, inner: any_of(F.array_contains(seen, key), sub(s["unevaluatedProperties"], inner)))))
 
 
-def _array_checks(s, v, arr, sub, put) -> None:
+def _array_checks(s, v, arr, sub, put, scope) -> None:
     items, prefix = v.items(), s.get("prefixItems", [])
     for i, x in enumerate(prefix):
         put("prefixItems", implies(arr, implies(col_of(F.size(items) > i), sub(x, v.item(F.get(items, F.lit(i)))))))
@@ -155,48 +192,49 @@ def _array_checks(s, v, arr, sub, put) -> None:
     if s.get("uniqueItems"):
         put("uniqueItems", implies(arr, col_of(F.size(F.array_distinct(F.transform(items, lambda e: v.item(e).canonical()))) == F.size(items))))
     if "contains" in s:
-        found = F.size(F.filter(items, lambda e: sub(s["contains"], v.item(e))))
-        put("contains", implies(arr, col_of(found >= s.get("minContains", 1)) & (col_of(found <= s["maxContains"]) if "maxContains" in s else F.lit(True))))
+        before = len(scope.cuts)
+        at_least = F.size(F.filter(items, lambda e: sub(s["contains"], v.item(e))))
+        enough = lambda n: (n >= s.get("minContains", 1)) & (n <= s["maxContains"] if "maxContains" in s else F.lit(True))
+        check = col_of(enough(at_least))
+        if len(scope.cuts) > before:  # items that are not decided may count or not
+            at_most = F.size(F.filter(items, lambda e: F.coalesce(sub(s["contains"], v.item(e)), F.lit(True))))
+            check = F.when(at_least == at_most, check)
+        put("contains", implies(arr, check))
     if "unevaluatedItems" in s:
-        n = _evaluated_items(s, v, sub)
-        rest = F.slice(items, n + 1, F.greatest(F.size(items), F.lit(1))) if "contains" not in s else F.filter(items, lambda e, i: (i >= n) & ~sub(s["contains"], v.item(e)))
-        put("unevaluatedItems", implies(arr, F.forall(rest, lambda e: sub(s["unevaluatedItems"], v.item(e)))))
+        seen = evaluated({k: x for k, x in s.items() if k != "unevaluatedItems"}, v, sub, scope, keys=False)
+        left = F.filter(F.transform(items, lambda e, i: F.struct(i.alias("i"), e.alias("e"))), lambda x: ~F.array_contains(seen, x["i"]))
+        put("unevaluatedItems", implies(arr, F.forall(left, lambda x: sub(s["unevaluatedItems"], v.item(x["e"])))))
 
 
-def evaluated_keys(s, v: Typed, sub, root, depth: int) -> Column:
-    """Names of properties that the schema (and those of its branches that hold) looks at."""
-    none = F.array().cast("array<string>")
-    if not isinstance(s, dict) or depth < 0:
+def evaluated(s, v: Typed, sub, scope: _Scope, keys: bool) -> Column:
+    """Names of properties, or positions of items, that the schema and those of its branches that hold look at."""
+    none = F.array().cast("array<string>" if keys else "array<int>")
+    every = v.keys() if keys else F.transform(v.items(), lambda _, i: i)
+    if not isinstance(s, dict):
         return none
-    parts = [F.array(*map(F.lit, s["properties"])) if s.get("properties") else none]
-    if "additionalProperties" in s or "unevaluatedProperties" in s:
-        parts.append(v.keys())
-    for p in s.get("patternProperties", {}):
-        parts.append(F.filter(v.keys(), lambda key, p=p: _matches(key, p)))
-    if "$ref" in s:
-        parts.append(evaluated_keys(resolve(root, s["$ref"]), v, sub, root, depth - 1))
-    for x in s.get("allOf", []):
-        parts.append(evaluated_keys(x, v, sub, root, depth))
-    for x in [*s.get("anyOf", []), *s.get("oneOf", [])]:
-        parts.append(F.when(sub(x), evaluated_keys(x, v, sub, root, depth)).otherwise(none))
+    inner = lambda x: evaluated(x, v, sub, scope, keys)
+    parts = [none]
+    if keys:
+        if s.get("properties"):
+            parts.append(F.array(*map(F.lit, s["properties"])))
+        if "additionalProperties" in s or "unevaluatedProperties" in s:
+            parts.append(every)
+        for p in s.get("patternProperties", {}):
+            parts.append(F.filter(every, lambda key, p=p: _matches(key, p)))
+        for k, x in s.get("dependentSchemas", {}).items():
+            parts.append(F.when(col_of(v.has(k)), inner(x)).otherwise(none))
+    else:
+        if "items" in s or "unevaluatedItems" in s:
+            parts.append(every)
+        if s.get("prefixItems"):
+            parts.append(F.array(*map(F.lit, range(len(s["prefixItems"])))))
+        if "contains" in s:
+            parts.append(F.filter(every, lambda i: sub(s["contains"], v.item(F.get(v.items(), i)))))
+    if "$ref" in s and (within := scope.enter(s["$ref"])):
+        parts.append(evaluated(resolve(scope.root, s["$ref"]), v, lambda x, y=v: _whole(x, y, within), within, keys))
+    parts += [inner(x) for x in s.get("allOf", [])]
+    parts += [F.when(sub(x), inner(x)).otherwise(none) for x in [*s.get("anyOf", []), *s.get("oneOf", [])]]
     if "if" in s:
-        holds = evaluated_keys(s["if"], v, sub, root, depth)
-        then, other = (evaluated_keys(s.get(k, True), v, sub, root, depth) for k in ("then", "else"))
-        parts.append(F.when(sub(s["if"]), F.array_union(holds, then)).otherwise(other))
-    for k, x in s.get("dependentSchemas", {}).items():
-        parts.append(F.when(col_of(v.has(k)), evaluated_keys(x, v, sub, root, depth)).otherwise(none))
+        then, other = (inner(s.get(k, True)) for k in ("then", "else"))
+        parts.append(F.when(sub(s["if"]), F.array_union(inner(s["if"]), then)).otherwise(other))
     return reduce(F.array_union, parts)
-
-
-def _evaluated_items(s, v: Typed, sub) -> Column:
-    """How many items from the front the schema and its holding branches look at."""
-    if not isinstance(s, dict):
-        return F.lit(0)
-    if "items" in s:
-        return F.size(v.items())
-    parts = [F.lit(len(s.get("prefixItems", []))), F.lit(0)]
-    parts += [_evaluated_items(x, v, sub) for x in s.get("allOf", [])]
-    parts += [F.when(sub(x), _evaluated_items(x, v, sub)).otherwise(0) for x in [*s.get("anyOf", []), *s.get("oneOf", [])]]
-    if "if" in s:
-        parts.append(F.when(sub(s["if"]), F.greatest(*(_evaluated_items(s.get(k, True), v, sub) for k in ("if", "then")), F.lit(0))).otherwise(_evaluated_items(s.get("else", True), v, sub)))
-    return F.greatest(*parts)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pactlake.functions.predicates import compile_contract
-from pactlake.functions.values import Variant
+from pactlake.functions.values import EXACT, Variant
 
 _PLAIN = {"string": T.StringType(), "integer": T.LongType(), "number": T.DoubleType(), "boolean": T.BooleanType(), "null": T.NullType()}
 
@@ -36,22 +36,24 @@ def to_struct_type(schema: Mapping) -> T.StructType:
 def decode(df: DataFrame, json_col: str, schema: Mapping, keep: list[str]) -> tuple[DataFrame, DataFrame]:
     """(typed rows, rejected rows). Typed: keep..., a column per property, present ARRAY of declared keys that occur
     (with null too), and extra MAP of undeclared ones (empty where the contract is closed). Rejected: text that is no
-    JSON (duplicate keys, NaN) or not valid."""
+    JSON (duplicate keys, NaN), not valid, or deeper than a recursive contract is unrolled. Whole numbers beyond 64 bits
+    decode to NULL in a BIGINT column."""
     parsed = df.withColumn("_v", F.try_parse_json(json_col))
-    flagged = parsed.withColumn("_ok", F.col("_v").isNotNull() & compile_contract(schema, Variant(F.col("_v"))))
-    names = list(schema.get("properties", {}))
-    v = Variant(F.col("_v"))
-    fields = [_field(v.get(k).col, type_of(s)).alias(k) for k, s in schema.get("properties", {}).items()]
-    present = F.array_compact(F.array(*(F.when(v.get(k).col.isNotNull(), F.lit(k)) for k in names))).alias("present")
-    extra = F.map_filter(F.try_variant_get("_v", "$", "map<string,variant>"), lambda k, _: ~k.isin(*names)).alias("extra")
-    return flagged.filter("_ok").select(*keep, *fields, present, extra), flagged.filter("NOT _ok").select(*keep, json_col)
+    flagged = parsed.withColumn("_ok", F.col("_v").isNotNull() & F.coalesce(compile_contract(schema, Variant(F.col("_v"))), F.lit(False)))
+    props = schema.get("properties", {})
+    good = flagged.filter("_ok").withColumn("_m", F.try_variant_get("_v", "$", "map<string,variant>"))
+    fields = [_field(F.try_element_at("_m", F.lit(k)), type_of(s)).alias(k) for k, s in props.items()]
+    declared = F.array(*map(F.lit, props)).cast("array<string>")
+    present = F.array_intersect(declared, F.coalesce(F.map_keys("_m"), F.array().cast("array<string>"))).alias("present")
+    extra = F.map_filter("_m", lambda k, _: ~F.array_contains(declared, k)).alias("extra")
+    return good.select(*keep, *fields, present, extra), flagged.filter("NOT _ok").select(*keep, json_col)
 
 
 def _field(v: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.VariantType):
         return v
-    if isinstance(kind, T.LongType):
-        return F.try_variant_get(v, "$", "double").cast("long")
+    if isinstance(kind, T.LongType):  # 7.0 and 1e3 are whole numbers too, but not by way of a double where it has more digits
+        return F.when(F.schema_of_variant(v) == "BIGINT", F.try_variant_get(v, "$", "long")).otherwise(F.try_variant_get(v, "$", EXACT).try_cast("long"))
     return F.try_variant_get(v, "$", kind.simpleString())
 
 
@@ -60,7 +62,8 @@ def is_missing(name: str) -> Column:
 
 
 def is_null(name: str) -> Column:
-    return F.array_contains("present", name) & F.col(name).isNull()
+    """Whether the key is there with null: an SQL NULL in a typed column, the variant null in a VARIANT one."""
+    return F.array_contains("present", name) & F.coalesce(F.to_json(F.struct(F.col(name).alias("x"))).isin("{}", '{"x":null}'), F.lit(True))
 
 
 def get_additional_property(key: str) -> Column:

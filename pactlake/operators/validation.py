@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactlake.functions.predicates import compile_contract, contract_checks
-from pactlake.functions.values import col_of, value_of
+from pactlake.functions.values import column, value_of
 
 _FAILED = "array<struct<keyword:string,pointer:string>>"
 
@@ -19,11 +20,14 @@ def as_record(df: DataFrame, columns: list[str] | None = None, to: str = "record
 
 
 def validate(df: DataFrame, value_col: str, schema, max_depth: int = 4) -> DataFrame:
-    """df with valid BOOLEAN and failed ARRAY<STRUCT<keyword, pointer>>."""
+    """df with valid BOOLEAN and failed ARRAY<STRUCT<keyword, pointer>>; valid is NULL where a value that fails no check
+    reaches deeper into a recursive contract than max_depth."""
     checks = contract_checks(schema, value_of(df, value_col), max_depth=max_depth)
-    told = [F.when(~col_of(c), F.struct(F.lit(k).alias("keyword"), F.lit(p).alias("pointer"))) for k, p, c in checks]
+    told = [F.when(~column(c), F.struct(F.lit(k).alias("keyword"), F.lit(p).alias("pointer"))) for k, p, c in checks]
     failed = F.array_compact(F.array(*told)) if told else F.array()
-    return df.withColumn("failed", failed.cast(_FAILED)).withColumn("valid", F.size("failed") == 0)
+    open_ones = [column(c).isNull() for _, _, c in checks if not isinstance(c, bool)]
+    undecided = reduce(lambda a, b: a | b, open_ones, F.lit(False))
+    return df.withColumn("failed", failed.cast(_FAILED)).withColumn("valid", F.when((F.size("failed") > 0) | ~undecided, F.size("failed") == 0))
 
 
 def flag_valid(df: DataFrame, value_col: str, schema, to: str = "valid", max_depth: int = 4) -> DataFrame:
@@ -32,9 +36,9 @@ def flag_valid(df: DataFrame, value_col: str, schema, to: str = "valid", max_dep
 
 
 def split_valid(df: DataFrame, value_col: str, schema) -> tuple[DataFrame, DataFrame]:
-    """(accepted rows, quarantined rows)."""
+    """(accepted rows, quarantined rows); rows that are not decided go to quarantine, with valid NULL."""
     flagged = validate(df, value_col, schema)
-    return flagged.filter("valid").drop("valid", "failed"), flagged.filter("NOT valid")
+    return flagged.filter("valid").drop("valid", "failed"), flagged.filter("valid IS NOT TRUE")
 
 
 def validity_matrix(df: DataFrame, value_col: str, schemas: Mapping[str, object], keep: list[str]) -> DataFrame:

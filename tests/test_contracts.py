@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pactlake.functions.predicates import compile_contract, pattern_supported, resolve
 from pactlake.functions.values import Variant
 from pactlake.operators import codec, compat, generate, openapi, registry_scan, stamping
-from pactlake.operators.validation import validate
+from pactlake.operators.validation import split_valid, validate
 from pactlake.sources import files
 
 CASES = [
@@ -33,6 +33,21 @@ CASES = [
     ({"properties": {"next": {"$ref": "#"}, "v": {"type": "integer"}}, "required": ["v"]}, ['{"v":1,"next":{"v":2}}'], ['{"v":1,"next":{}}']),
     (False, [], ["1", "{}"]),
     ({}, ["1", "null"], []),
+    ({"maximum": 2**53}, ["9007199254740992", "9007199254740992.0"], ["9007199254740993", "9007199254740992.5"]),
+    ({"exclusiveMinimum": 2**53}, ["9007199254740993"], ["9007199254740992"]),
+    ({"const": 2**53 + 1}, ["9007199254740993"], ["9007199254740992"]),
+    ({"multipleOf": 2}, ["9007199254740994", "1e3"], ["9007199254740993"]),
+    ({"type": "integer"}, ["12345678901234567890123", "1e3"], ["12345678901234567890.5"]),
+    ({"uniqueItems": True}, ["[9007199254740992,9007199254740993]", '[[1],[true]]', '["1.0]","1]"]'], ["[9007199254740993,9007199254740993.0]", "[[1e0],[1]]"]),
+    ({"const": 12345678901234567890123456789}, ["12345678901234567890123456789"], ["1"]),
+    ({"required": ["a'b", 'c"d', "e\\f"]}, ['{"a\'b":1,"c\\"d":2,"e\\\\f":3}'], ['{"a\'b":1}']),
+    ({"properties": {"a'b": {"type": "string"}}, "dependentRequired": {"x'": ["y"]}}, ['{"a\'b":"s"}'], ['{"a\'b":1}', '{"x\'":1}']),
+    ({"pattern": "a$"}, ['"ba"', '"a"'], ['"ba\\n"', '"ab"']),
+    ({"pattern": "[$]"}, ['"$"'], ['"a"']),
+    ({"$defs": {"p": {"prefixItems": [True]}}, "$ref": "#/$defs/p", "contains": {"type": "string"}, "unevaluatedItems": False}, ['[1,"a","b"]'], ['[1,"a",2]']),
+    ({"allOf": [{"prefixItems": [True], "unevaluatedItems": {"type": "null"}}], "unevaluatedItems": False}, ["[1,null,null]"], ["[1,2]"]),
+    ({"$defs": {f"d{i}": {"$ref": f"#/$defs/d{i + 1}"} for i in range(8)} | {"d8": {"maximum": 3}}, "$ref": "#/$defs/d0"}, ["3", '"x"'], ["4"]),
+    ({"properties": {"next": {"$ref": "#"}, "v": {"type": "integer"}}, "not": {"required": ["w"]}}, ['{"v":1,"next":' * 4 + "{}" + "}" * 4], ['{"next":' * 3 + '{"w":1}' + "}" * 3]),
 ]
 
 
@@ -49,6 +64,19 @@ def test_failed_checks_name_keyword_and_pointer(spark):
     assert not row.valid and {(f.keyword, f.pointer) for f in row.failed} == {("required", "#/required"), ("maximum", "#/properties/a~1b/maximum")}
 
 
+def test_what_lies_too_deep_is_not_decided(spark):
+    """A list of 12 nodes is longer than the bound: NULL, unless something within the bound decides; not is no way out."""
+    chain = lambda leaf, n=12: '{"next":' * n + leaf + "}" * n
+    schema = {"properties": {"next": {"$ref": "#"}, "v": {"type": "integer"}}}
+    rows = [(chain("{}"), None), (chain('{"v":"x"}'), None), (chain("{}", 3), True), ('{"v":"x","next":' + chain("{}") + "}", False)]
+    df = spark.createDataFrame(rows, "t string, want boolean").withColumn("doc", F.parse_json("t"))
+    got = validate(df, "doc", schema).withColumn("negated", compile_contract({"not": {"$ref": "#/$defs/n"}, "$defs": {"n": {"properties": {"next": {"$ref": "#/$defs/n"}, "v": {"type": "integer"}}}}}, Variant(F.col("doc"))))
+    for r in got.collect():
+        assert r.valid is r.want and r.negated is (None if r.want is None else not r.want)
+    good, rest = split_valid(df, "doc", schema)
+    assert (good.count(), rest.count()) == (1, 3)
+
+
 def test_references_and_patterns():
     assert resolve({"a": [{"b%": 1}]}, "#/a/0/b%25") == 1
     with pytest.raises(ValueError):
@@ -144,6 +172,16 @@ def test_codec_keeps_missing_null_and_extras(spark):
     assert codec.round_trip_audit(df, "t", schema, ["id"]).filter("NOT same").count() == 0
 
 
+def test_codec_keeps_whole_numbers_and_tells_variant_nulls(spark):
+    schema = {"properties": {"a": {"type": "integer"}, "b": {"type": ["number", "null"]}, "c'd": {"type": "string"}}}
+    df = spark.createDataFrame([(1, '{"a":9007199254740993,"b":null}'), (2, '{"a":7.0,"b":1,"c\'d":"x"}'), (3, "{}")], "id int, t string")
+    good, _ = codec.decode(df, "t", schema, ["id"])
+    rows = {r.id: r for r in good.select("*", codec.is_null("b").alias("null"), codec.is_missing("b").alias("missing")).collect()}
+    assert [rows[i].a for i in (1, 2, 3)] == [9007199254740993, 7, None]
+    assert [(rows[i].null, rows[i].missing) for i in (1, 2, 3)] == [(True, False), (False, False), (False, True)]
+    assert rows[2]["c'd"] == "x" and codec.round_trip_audit(df, "t", schema, ["id"]).filter("NOT same").count() == 0
+
+
 def test_openapi_media_and_detection(spark):
     df = spark.createDataFrame([('{"openapi":"3.1.0","paths":{}}', "text/Plain; charset=x"), ("[]", "image/png")], "doc_json string, m string")
     rows = df.select(openapi.is_openapi().alias("is"), openapi.media_covered(F.array(F.lit("text/*"), F.lit("*/*")), F.col("m")).alias("by")).collect()
