@@ -1,17 +1,28 @@
-"""Backward compatibility of contract versions by one grouping over node rows.
+"""Backward compatibility of contract versions, by joins over tables of schema nodes.
 
 Serializer: what the new version writes must be readable by the old one (new within old). Deserializer: what the old
 version wrote must be readable by the new one (old within new), over values without undeclared keys. Both: and.
-A verdict is compatible, incompatible or unknown; outside the flat fragment (types, enums, bounds, lengths, counts,
-required and dependent names, closed objects), changed nodes give unknown, never compatible. So do nodes deeper than
-max_depth, and references wherever a text holds them. What didn't change beside a change is taken as equal.
+A verdict is compatible, incompatible or unknown; what the rules don't decide is unknown, never compatible.
+
+Contracts whose nodes only stand in properties and items meet at equal pointers, in one grouping. For those with
+references, combinators, conditionals, patterns or the like, goals "this node of one version within that node of the
+other" are expanded level by level: each goal is a conjunction of clauses, each clause a choice of sets of further
+goals. Equal goals are one, so recursive contracts end; then values are lowered until nothing changes. A clause whose
+choices all fail says incompatible only where the split into choices is exact, unknown otherwise.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pactlake.functions.settled import settle
+from pactlake.functions.values import EXACT, Variant
+
+from .registry_scan import HARD, SAFE_PATTERN, canonical_hash, constraints, dialect_findings, keyword_findings, let, node_table, normalised, ref_target, schema_nodes, unresolved_refs
+
 _ISSUE = "array<struct<rank:int,keyword:string,message:string>>"
 
 
@@ -27,111 +38,146 @@ def directions(role: Column) -> Column:
     return F.explode(F.when(role == "both", both).otherwise(F.array(role)))
 
 
-#: What additional properties must be says nothing about values without undeclared keys.
-_REST = r"(?<!/properties)/additionalProperties(/|$)"
-#: Positions whose schemas can't be compared one by one; their parents answer unknown.
-_APART = r"/(anyOf|oneOf|allOf|prefixItems)/[0-9]+|/(not|if|then|else|contains|propertyNames)(/|$)|/(\$defs|definitions|patternProperties|dependentSchemas)/"
+#: Contracts with these go by goals, others by equal pointers.
+_RICH = r'"(\$ref|allOf|anyOf|oneOf|not|if|patternProperties|propertyNames|contains|prefixItems|dependentSchemas|unevaluated[A-Z][a-z]+|\$dynamicRef)"\s*:|"additionalProperties"\s*:\s*\{'
+#: Pointers that contracts without those leave to the rules on their parents.
+_APART = r"(?<!/properties)/(additionalProperties|items)$|/(\$defs|definitions)/"
+_TYPES = ("null", "boolean", "integer", "number", "string", "array", "object")
+_STRINGS = "array<string>"
 
 
 def _kind(value: Column) -> Column:
     """The type name of a value given as JSON text."""
     first = F.substr(value, F.lit(1), F.lit(1))
-    number = value.cast("double")
-    other = F.when(number == F.floor(number), "integer").otherwise("number")
+    other = F.when(value.try_cast(EXACT) % 1 == 0, "integer").when(value.try_cast(EXACT).isNull() & (value.try_cast("double") % 1 == 0), "integer").otherwise("number")
     return F.when(first == '"', "string").when(first == "{", "object").when(first == "[", "array").when(value == "null", "null").when(value.isin("true", "false"), "boolean").otherwise(other)
 
 
-def _fits(value: Column, node: Column) -> Column:
-    """Whether a node's types, bounds, step and lengths take a value given as JSON text; never NULL."""
+def _has(node: Column, *kinds: str) -> Column:
+    """Whether values of one of the types may be among the node's."""
+    named = F.array(*map(F.lit, {*kinds, *(["number"] if "integer" in kinds else [])}))
+    return F.coalesce(F.arrays_overlap(node["types"], named), F.lit(True))
+
+
+def _fits(value: Column, node: Column, among: bool = True) -> Column:
+    """Whether a node takes a value given as JSON text; NULL where its own keywords can't be tried on it. With among, the
+    node's enum counts too."""
     holds = lambda c: F.coalesce(c, F.lit(True))
-    kind, number = _kind(value), value.cast("double")
-    length = F.length(F.get_json_object(F.concat(F.lit("["), value, F.lit("]")), "$[0]"))
+    kind, number = _kind(value), value.try_cast(EXACT)
+    text = F.get_json_object(F.concat(F.lit("["), value, F.lit("]")), "$[0]")
+    length = F.length(text)
     typed = holds(F.array_contains(node["types"], kind) | ((kind == "integer") & F.array_contains(node["types"], "number")))
     low, high = (number > node["lo"]) | ((number == node["lo"]) & ~node["lo_open"]), (number < node["hi"]) | ((number == node["hi"]) & ~node["hi_open"])
-    step = number / node["step"]
-    numeric = holds(low) & holds(high) & holds(step == F.round(step))
-    lengths = holds(length >= node["min_len"]) & holds(length <= node["max_len"])
-    return typed & F.when(kind.isin("integer", "number"), numeric).when(kind == "string", lengths).otherwise(True)
+    bounded = node["lo"].isNotNull() | node["hi"].isNotNull() | node["step"].isNotNull()
+    numeric = F.when(number.isNull() & bounded, F.lit(None).cast("boolean")).otherwise(holds(low) & holds(high) & holds(number % node["step"] == 0))
+    pattern = node["pattern"]
+    matched = F.when(pattern.isNull(), True).when(pattern.rlike(SAFE_PATTERN), _like(text, pattern))
+    lengths = holds(length >= node["min_len"]) & holds(length <= node["max_len"]) & matched
+    array_says = node["at_items"].isNotNull() | (F.size(node["at_prefix"]) > 0) | node["at_contains"].isNotNull() | node["min_items"].isNotNull() | node["max_items"].isNotNull() | node["uniq"]
+    object_says = (F.size(node["at_props"]) > 0) | (F.size(node["at_pats"]) > 0) | node["at_rest"].isNotNull() | node["at_names"].isNotNull() | node["shut"] | (F.size(node["required"]) > 0) | (F.size(node["deps"]) > 0) | node["min_props"].isNotNull() | node["max_props"].isNotNull()
+    own = F.when(kind.isin("integer", "number"), numeric).when(kind == "string", lengths)
+    own = own.when((kind == "array") & array_says, F.lit(None).cast("boolean")).when((kind == "object") & object_says, F.lit(None).cast("boolean")).otherwise(True)
+    listed = holds(F.array_contains(node["enum"], value)) if among else F.lit(True)
+    return (node["text"] != "false") & typed & listed & F.when(node["opaque"] & kind.isin("object", "array"), F.lit(None).cast("boolean")).otherwise(own)
+
+
+def _like(text: Column, pattern: Column) -> Column:
+    """Whether a pattern of the safe kind occurs in the text; false for other patterns."""
+    return F.when(pattern.rlike(SAFE_PATTERN), F.regexp_like(text, F.replace(pattern, F.lit("$"), F.lit(r"\z")))).otherwise(False)
 
 
 def _closure(names: Column, deps: Column) -> Column:
     """The names that are there whenever the given ones are; after as many steps as there are triggers nothing changes."""
     more = lambda acc: F.flatten(F.map_values(F.map_filter(deps, lambda k, _: F.array_contains(acc, k))))
-    return F.aggregate(F.map_keys(deps), names, lambda acc, _: F.array_union(acc, more(acc)))
+    return F.when(F.size(deps) == 0, names).otherwise(F.aggregate(F.map_keys(deps), names, lambda acc, _: F.array_union(acc, more(acc))))
+
+
+def _no_value(n: Column, held: Column) -> Column:
+    """Whether a node certainly accepts nothing."""
+    c = lambda x: F.coalesce(x, F.lit(False))
+    only = lambda *ts: c((F.size(n["types"]) > 0) & (F.size(F.array_except(n["types"], F.array(*map(F.lit, ts)))) == 0))
+    crossed = c(n["lo"] > n["hi"]) | c((n["lo"] == n["hi"]) & (n["lo_open"] | n["hi_open"]))
+    never = c(n["min_props"] > n["max_props"]) | F.arrays_overlap(held, n["never"])
+    listed = c(F.forall(n["enum"], lambda v: ~F.coalesce(_fits(v, n, False), F.lit(True))))
+    return (n["text"] == "false") | listed | (only("number", "integer") & crossed) | (only("string") & c(n["min_len"] > n["max_len"])) | (only("object") & never) | (only("array") & c(n["min_items"] > n["max_items"]))
+
 
+def _issues(raw: Column, sub: Column, sup: Column) -> Column:
+    """The violated rules of one pair of nodes, in order of explanation; raw: undeclared properties count too."""
+    return let(_closure(sub["required"], sub["deps"]), lambda held: _rules(raw, sub, sup, held))
 
-def _issues(direction: Column, sub: Column, sup: Column) -> Column:
-    """The violated rules of one pair of nodes, in order of explanation."""
-    raw = direction == "serializer"
+
+def _span(lo: Column, hi: Column) -> Column:
+    """A range as text, an end without bound as ..."""
+    plain = lambda c: F.coalesce(F.regexp_replace(c.cast("string"), r"(\.[0-9]*?)0+$", "$1"), F.lit(".."))
+    return F.concat(F.lit("["), F.regexp_replace(plain(lo), r"\.$", ""), F.lit(", "), F.regexp_replace(plain(hi), r"\.$", ""), F.lit("]"))
+
+
+def _rules(raw: Column, sub: Column, sup: Column, held: Column) -> Column:
     n = lambda c: F.coalesce(c, F.lit(False))
+    says = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
     below = lambda a, b: b.isNotNull() & (a.isNull() | (a < b))
     above = lambda a, b: b.isNotNull() & (a.isNull() | (a > b))
-    held = _closure(sub["required"], sub["deps"])
+    free, listed = sub["enum"].isNull(), sub["enum"].isNotNull()
+    obj, arr, text, number = (free & _has(sub, *k) for k in (("object",), ("array",), ("string",), ("integer", "number")))
     missing = F.array_except(sup["required"], held)
     needs = F.flatten(F.transform(F.map_entries(sup["deps"]), lambda e: F.transform(F.array_except(e["value"], _closure(F.array_append(held, e["key"]), sub["deps"])), lambda d: F.struct(e["key"].alias("trigger"), d.alias("name")))))
     needs = F.filter(needs, lambda d: ~F.array_contains(sub["never"], d["trigger"]) & (~sub["closed"] | F.array_contains(sub["props"], d["trigger"])))
-    sup_types, sub_types = (F.when(F.array_contains(x["types"], "number"), F.array_union(x["types"], F.array(F.lit("integer")))).otherwise(x["types"]) for x in (sup, sub))
-    named = lambda x: F.array_union(x["props"], x["never"])
-    only_sub, only_sup = F.array_except(sub["props"], named(sup)), F.array_except(named(sup), named(sub))
-    live = F.filter(sub["enum"], lambda v: _fits(v, sub))
-    enum_gone = (sup["enum"].isNotNull() & (sub["enum"].isNull() | (F.size(F.array_except(live, sup["enum"])) > 0))) | F.exists(live, lambda v: ~_fits(v, sup))
-    # Patterns and nested values of an enumeration are not looked into.
-    unseen = F.exists(live, lambda v: _kind(v).isin("object", "array") | ((_kind(v) == "string") & sup["pattern"].isNotNull())) & sup["enum"].isNull()
-    numeric = F.coalesce(F.arrays_overlap(sub_types, F.array(F.lit("number"), F.lit("integer"))), F.lit(True)) & sub["enum"].isNull()
+    wide = lambda x: F.when(F.array_contains(x["types"], "number"), F.array_append(x["types"], F.lit("integer"))).otherwise(x["types"])
+    gone = F.array_except(F.coalesce(sub["types"], F.array(*map(F.lit, _TYPES))), wide(sup))
+    declared = lambda x: F.map_keys(x["at_props"])
+    under_pattern = lambda name: F.exists(F.map_keys(sup["at_pats"]), lambda p: _like(name, p))
+    only_sub = F.filter(F.array_except(sub["props"], declared(sup)), lambda k: (F.size(sup["at_pats"]) == 0) | ~under_pattern(k))
+    only_sup = F.array_except(F.array_except(declared(sup), sup["free"]), declared(sub))
+    tried = F.transform(sub["enum"], lambda v: F.struct(v.alias("v"), _fits(v, sub, False).alias("live"), _fits(v, sup).alias("ok")))
+    rejected = F.filter(tried, lambda t: n(t["live"]) & n(~t["ok"]))
+    unseen = F.exists(tried, lambda t: F.coalesce(t["live"], F.lit(True)) & (t["ok"].isNull() | (t["live"].isNull() & ~t["ok"])))
     low = below(sub["lo"], sup["lo"]) | ((sub["lo"] == sup["lo"]) & sup["lo_open"] & ~sub["lo_open"])
     high = above(sub["hi"], sup["hi"]) | ((sub["hi"] == sup["hi"]) & sup["hi_open"] & ~sub["hi_open"])
-    same_contained = F.try_element_at(sub["beyond"], F.lit("contains")) == F.try_element_at(sup["beyond"], F.lit("contains"))
-    narrow = lambda text: text.isNotNull() & ~text.isin("true", "{}")
-    arrays = sub["types"].isNull() | F.array_contains(sub["types"], "array")
-    ratio = sub["step"] / sup["step"]
+    step = F.coalesce(sub["step"], F.when(sub["whole"], F.lit(1).cast(EXACT)))
+    same_contained = sub["contains"] == sup["contains"]
+    first = lambda a: F.get(a, F.lit(0))
+    ends = lambda what, a, b: says(what, " ", _span(sub[a], sub[b]), " not contained by required ", what, " ", _span(sup[a], sup[b]))
     rules = [
-        ("false", (sup["text"] == "false") & (sub["text"] != "false"), F.lit("no value is accepted")),
-        ("required", F.size(missing) > 0, F.concat(F.lit("property '"), F.get(missing, F.lit(0)), F.lit("' is no longer guaranteed to be present"))),
-        ("type", sup["types"].isNotNull() & (sub["types"].isNull() | (F.size(F.array_except(sub_types, sup_types)) > 0)) & sub["enum"].isNull(), F.lit("a type is no longer accepted")),
-        ("enum", enum_gone, F.lit("a value is no longer accepted")),
-        ("minimum", numeric & low, F.lit("lower bound is not contained")),
-        ("maximum", numeric & high, F.lit("upper bound is not contained")),
-        ("multipleOf", numeric & sup["step"].isNotNull() & (ratio.isNull() | (ratio != F.round(ratio))), F.lit("step is not a multiple")),
-        ("minLength", below(sub["min_len"], sup["min_len"]) & sub["enum"].isNull(), F.lit("shorter strings are possible")),
-        ("maxLength", above(sub["max_len"], sup["max_len"]) & sub["enum"].isNull(), F.lit("longer strings are possible")),
-        ("pattern", sup["pattern"].isNotNull() & ~sub["pattern"].eqNullSafe(sup["pattern"]) & sub["enum"].isNull(), F.lit("pattern is not kept")),
-        ("properties", sup["closed"] & (F.size(only_sub) > 0), F.lit("a declared property is not accepted")),
-        ("properties", raw & ~sub["closed"] & (F.size(only_sup) > 0), F.lit("an undeclared property may not fit")),
-        ("additionalProperties", sup["closed"] & ~sub["closed"], F.lit("additional properties are not accepted")),
-        ("dependentRequired", F.size(needs) > 0, F.concat(F.lit("property '"), F.get(needs, F.lit(0))["name"], F.lit("' no longer comes with '"), F.get(needs, F.lit(0))["trigger"], F.lit("'"))),
-        ("contains", same_contained & ((sub["min_contains"] < sup["min_contains"]) | above(sub["max_contains"], sup["max_contains"])), F.lit("fewer or more contained items are possible")),
-        ("items", narrow(sup["items"]) & ~sub["items"].isNotNull() & ~n(sub["max_items"] <= 0) & arrays, F.lit("items are not constrained")),
-        ("additionalProperties", raw & narrow(sup["rest"]) & (sup["rest"] != "false") & sub["rest"].isNull(), F.lit("additional properties are not constrained")),
-        ("minProperties", below(sub["min_props"], sup["min_props"]) & (sup["min_props"] > F.size(sup["required"])), F.lit("fewer properties are possible")),
-        ("maxProperties", above(sub["max_props"], sup["max_props"]), F.lit("more properties are possible")),
-        ("minItems", below(sub["min_items"], sup["min_items"]), F.lit("fewer items are possible")),
-        ("maxItems", above(sub["max_items"], sup["max_items"]), F.lit("more items are possible")),
-        ("uniqueItems", sup["uniq"] & ~sub["uniq"] & ~n(sub["max_items"] <= 1), F.lit("items may repeat")),
+        ("false", sup["text"] == "false", says("no value is accepted")),
+        ("required", obj & (F.size(missing) > 0), says("property '", first(missing), "' is no longer guaranteed to be present")),
+        ("type", sup["types"].isNotNull() & free & (F.size(gone) > 0), says("type ", first(gone), " is not among ", F.array_join(sup["types"], ", "))),
+        ("enum", listed & (F.size(rejected) > 0), says("value ", first(rejected)["v"], " is no longer accepted")),
+        ("enum", free & sup["enum"].isNotNull(), says("values beyond ", F.array_join(sup["enum"], ", "), " are possible")),
+        ("minimum", number & low, ends("bounds", "lo", "hi")),
+        ("maximum", number & high, ends("bounds", "lo", "hi")),
+        ("multipleOf", number & sup["step"].isNotNull() & ~n(step % sup["step"] == 0), says("steps of ", F.coalesce(step.cast("double").cast("string"), F.lit("any size")), " are no multiples of ", sup["step"].cast("double").cast("string"))),
+        ("minLength", text & below(sub["min_len"], sup["min_len"]) & (sup["min_len"] > 0), ends("lengths", "min_len", "max_len")),
+        ("maxLength", text & above(sub["max_len"], sup["max_len"]), ends("lengths", "min_len", "max_len")),
+        ("pattern", text & sup["pattern"].isNotNull() & ~sub["pattern"].eqNullSafe(sup["pattern"]), says("pattern ", sup["pattern"], " is not kept")),
+        ("properties", obj & sup["shut"] & (F.size(only_sub) > 0), says("declared property '", first(only_sub), "' is not accepted")),
+        ("properties", obj & raw & ~sub["shut"] & sub["at_rest"].isNull() & (F.size(sub["at_pats"]) == 0) & (F.size(only_sup) > 0), says("undeclared property '", first(only_sup), "' may not fit")),
+        ("additionalProperties", obj & sup["shut"] & ~sub["shut"] & (raw | (F.size(sup["at_pats"]) == 0)), says("additional properties are not accepted")),
+        ("dependentRequired", obj & (F.size(needs) > 0), says("property '", first(needs)["name"], "' no longer comes with '", first(needs)["trigger"], "'")),
+        ("contains", arr & same_contained & ((sub["min_contains"] < sup["min_contains"]) | above(sub["max_contains"], sup["max_contains"])), says("fewer or more contained items are possible")),
+        ("items", arr & sup["at_items"].isNotNull() & sub["at_items"].isNull() & (F.size(sub["at_prefix"]) == 0) & ~n(sub["max_items"] <= F.size(sup["at_prefix"])), says("items are not constrained")),
+        ("additionalProperties", obj & raw & sup["at_rest"].isNotNull() & sub["at_rest"].isNull() & ~sub["shut"], says("additional properties are not constrained")),
+        ("minProperties", obj & below(sub["min_props"], sup["min_props"]) & (sup["min_props"] > F.size(sup["required"])), ends("property counts", "min_props", "max_props")),
+        ("maxProperties", obj & above(sub["max_props"], sup["max_props"]), ends("property counts", "min_props", "max_props")),
+        ("minItems", arr & below(sub["min_items"], sup["min_items"]) & (sup["min_items"] > 0) & ~n(same_contained & (sup["min_items"] <= sup["min_contains"])), ends("item counts", "min_items", "max_items")),
+        ("maxItems", arr & above(sub["max_items"], sup["max_items"]), ends("item counts", "min_items", "max_items")),
+        ("uniqueItems", arr & sup["uniq"] & ~sub["uniq"] & ~n(sub["max_items"] <= 1), says("items may repeat")),
     ]
     told = [F.when(n(test), F.struct(F.lit(i).alias("rank"), F.lit(k).alias("keyword"), m.alias("message"))) for i, (k, test, m) in enumerate(rules)]
-    pairs = lambda m: F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(" "), e["value"])))
-    changed = (pairs(sub["beyond"]) != pairs(sup["beyond"])) | F.exists(F.map_entries(sub["beyond"]), lambda e: (e["key"] == "$ref") | F.contains(e["value"], F.lit('"$ref"')))
-    # Names that only one side declares may fall under its patterns, or under what the other says of additional ones.
-    strayed = F.map_contains_key(sub["beyond"], "patternProperties") & (F.array_sort(sub["props"]) != F.array_sort(sup["props"]))
-    strayed = strayed | (n(narrow(sup["rest"])) & ~sup["closed"] & (F.size(only_sub) > 0))
-    unknown = F.when(changed | strayed | sub["cut"] | sup["cut"] | n(unseen), F.struct(F.lit(99).alias("rank"), F.lit("unknown").alias("keyword"), F.lit("outside the compared fragment").alias("message")))
-    only = lambda *ts: n((F.size(sub["types"]) == 1) & sub["types"][0].isin(*ts))
-    crossed = n(sub["lo"] > sub["hi"]) | n((sub["lo"] == sub["hi"]) & (sub["lo_open"] | sub["hi_open"]))
-    never = n(sub["min_props"] > sub["max_props"]) | F.arrays_overlap(held, sub["never"])
-    empty = (sub["text"] == "false") | (only("number", "integer") & crossed) | (only("string") & n(sub["min_len"] > sub["max_len"])) | (only("object") & never) | (only("array") & n(sub["min_items"] > sub["max_items"]))
-    # Equal texts are equal contracts only if nothing in them refers elsewhere.
-    equal = (sub["text"] == sup["text"]) & ~F.contains(sub["text"], F.lit('"$ref"'))
-    return F.when(equal | empty, F.array().cast(_ISSUE)).otherwise(F.array_compact(F.array(*told, unknown)).cast(_ISSUE))
-
-
-def node_issues(sides: DataFrame, pair: list[str]) -> DataFrame:
-    """sides: (pair..., side 'old' or 'new', direction, pointer, n). Rows (pair..., direction, pointer, keyword,
-    message, rank) of violated rules; nodes that one side lacks are judged at their parents."""
-    sub_side = F.when(F.col("direction") == "serializer", "new").otherwise("old")
-    met = sides.groupBy(*pair, "direction", "pointer").agg(F.max_by("n", F.when(F.col("side") == sub_side, 1)).alias("sub"), F.max_by("n", F.when(F.col("side") != sub_side, 1)).alias("sup"))
-    met = met.filter(F.col("sub").isNotNull() & F.col("sup").isNotNull() & ~F.col("pointer").rlike(_APART))
-    met = met.filter((F.col("direction") == "serializer") | ~F.col("pointer").rlike(_REST))
-    found = met.select(*pair, "direction", "pointer", F.explode(_issues(F.col("direction"), F.col("sub"), F.col("sup"))).alias("i"))
+    unknown = F.when(n(unseen) | (free & (sub["opaque"] | sup["opaque"]) & (sub["text"] != sup["text"])) | (listed & sup["opaque"]), F.struct(F.lit(99).alias("rank"), F.lit("unknown").alias("keyword"), F.lit("outside the compared fragment").alias("message")))
+    settled = ((sub["text"] == sup["text"]) & ~F.contains(sub["text"], F.lit('"$ref"'))) | _no_value(sub, held)
+    return F.when(settled, F.array().cast(_ISSUE)).otherwise(F.array_compact(F.array(*told, unknown)).cast(_ISSUE))
+
+
+def node_issues(nodes: DataFrame, pairs: DataFrame, pair: list[str]) -> DataFrame:
+    """nodes: (pair..., side 'old' or 'new', pointer, n), pairs: (pair..., role). Rows (pair..., direction, pointer,
+    keyword, message, rank) of violated rules; nodes that one side lacks are judged at their parents."""
+    met = nodes.groupBy(*pair, "pointer").agg(F.max_by("n", F.when(F.col("side") == "old", 1)).alias("o"), F.max_by("n", F.when(F.col("side") == "new", 1)).alias("w"))
+    met = met.filter(F.col("o.text") != F.col("w.text")).join(pairs.select(*pair, "role"), pair).withColumn("direction", directions(F.col("role")))
+    forth = F.col("direction") == "serializer"
+    met = met.select(*pair, "direction", "pointer", F.when(forth, F.col("w")).otherwise(F.col("o")).alias("sub"), F.when(forth, F.col("o")).otherwise(F.col("w")).alias("sup"))
+    met = met.filter(~F.col("pointer").rlike(_APART) | F.col("pointer").rlike(r"/items$") & F.col("sub.text").startswith("{") & F.col("sup.text").startswith("{"))
+    found = met.select(*pair, "direction", "pointer", F.explode(_issues(forth, F.col("sub"), F.col("sup"))).alias("i"))
     return found.select(*pair, "direction", "pointer", "i.keyword", "i.message", "i.rank")
 
 
@@ -144,16 +190,278 @@ def verdicts(pairs: DataFrame, issues: DataFrame, pair: list[str]) -> DataFrame:
     return rows.select(*pair, "direction", verdict.alias("verdict"), "i.pointer", "i.keyword", "i.message")
 
 
-def check_compat(pairs: DataFrame, pair: list[str], max_depth: int = 6) -> DataFrame:
-    """pairs: (pair..., role, old, new) with schema texts. One verdict per pair and direction."""
-    from .registry_scan import node_table, schema_nodes
+def graph(docs: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids..., pointer, kind, n, kids, say, text, types) of documents (ids..., schema_json): nodes by what they are.
+
+    plain: what the node itself says, in n. all, any, one: combinators of the nodes at kids. not: of the first kid, whose
+    own form is n. if: of kids condition, then, else, with the condition's text in say. A node that both says something
+    and combines is an `all` of parts named pointer!kind. pointer!t and pointer!e are shares of a plain node: one for
+    each of its types, or each of its values; pointer!names are the names of its properties; true accepts everything.
+    types: the types that values may have, NULL for any."""
+    nodes = schema_nodes(docs, ids)
+    v = F.col("node")
+    keys = F.coalesce(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), F.array().cast(_STRINGS))
+    strings = lambda *xs: F.array(*xs).cast(_STRINGS)
+    branches = lambda k: F.coalesce(F.transform(F.try_variant_get(v, f"$['{k}']", "array<variant>"), lambda _, i: F.concat("pointer", F.lit(f"/{k}/"), i.cast("string"))), strings())
+    child = lambda k: F.when(F.array_contains(keys, k), F.concat("pointer", F.lit(f"/{k}"))).otherwise(F.lit("true"))
+    has = lambda k: F.array_contains(keys, k)
+    combining = ("allOf", "anyOf", "oneOf", "not", "if", "then", "else", "$ref", "$defs", "definitions", "components", "$schema", "title", "description", "$comment", "default", "examples", "deprecated", "readOnly", "writeOnly", "format")
+    says = F.size(F.array_except(keys, F.array(*map(F.lit, combining)))) > 0
+    mixed = F.arrays_overlap(keys, F.array(*map(F.lit, ("allOf", "anyOf", "oneOf", "not", "if", "$ref"))))
+    part = lambda name: F.concat("pointer", F.lit(f"!{name}"))
+    made = lambda pointer, kind, kids, say=None, of=None: F.struct(pointer.alias("pointer"), F.lit(kind).alias("kind"), kids.alias("kids"), (say if say is not None else F.lit(None).cast("string")).alias("say"), (of if of is not None else F.lit(None).cast("variant")).alias("of"))
+    conditional = has("if") & (has("then") | has("else"))
+    kids = F.flatten(F.array(
+        F.when(says, strings(part("plain"))).otherwise(strings()), branches("allOf"), F.when(has("anyOf"), strings(part("any"))).otherwise(strings()), F.when(has("oneOf"), strings(part("one"))).otherwise(strings()),
+        F.when(has("not"), strings(part("not"))).otherwise(strings()), F.when(conditional, strings(part("if"))).otherwise(strings()), F.when(has("$ref"), strings(ref_target(F.try_variant_get(v, "$['$ref']", "string")))).otherwise(strings()),
+    ))
+    own = F.when(mixed, made(F.col("pointer"), "all", kids)).otherwise(made(F.col("pointer"), "plain", strings(), of=v))
+    split = F.array_compact(F.array(
+        own, F.when(mixed & says, made(part("plain"), "plain", strings(), of=v)), F.when(has("anyOf"), made(part("any"), "any", branches("anyOf"))), F.when(has("oneOf"), made(part("one"), "one", branches("oneOf"))),
+        F.when(has("not"), made(part("not"), "not", strings(child("not")), of=F.try_variant_get(v, "$['not']", "variant"))),
+        F.when(conditional, made(part("if"), "if", strings(child("if"), child("then"), child("else")), F.to_json(F.try_variant_get(v, "$['if']", "variant")))),
+    ))
+    rows = nodes.select(*ids, F.col("pointer").alias("_base"), F.to_json("node").alias("text"), F.explode(split).alias("p"))
+    rows = rows.unionByName(docs.select(*ids, F.lit("true").alias("_base"), F.lit("true").alias("text"), made(F.lit("true"), "plain", strings(), of=F.parse_json(F.lit("true"))).alias("p")))
+    n = normalised(F.col("p.of"), F.when(F.col("p.kind") == "not", F.concat("_base", F.lit("/not"))).otherwise(F.col("_base")))
+    rows = rows.select(*ids, "p.pointer", "p.kind", F.when(F.col("p.of").isNotNull(), n).alias("n"), "p.kids", "p.say", "text")
+
+    def shares(n: Column, pointer: Column) -> Column:
+        row = lambda name, kind, n, kids=strings(): F.struct(F.concat(pointer, F.lit("!"), name).alias("pointer"), F.lit(kind).alias("kind"), n.alias("n"), kids.alias("kids"))
+        by_type = F.when(n["enum"].isNull() & (F.size(n["types"]) > 1), F.transform(n["types"], lambda t: row(F.concat(F.lit("t"), t), "plain", n.withField("types", F.array(t)).withField("text", F.concat(n["text"], t)))))
+        by_value = F.when(F.size(n["enum"]) > 1, F.transform(n["enum"], lambda x: row(F.concat(F.lit("e"), x), "plain", n.withField("enum", F.array(x)).withField("text", F.concat(n["text"], x)))))
+        quoted = F.transform(F.map_keys(n["at_props"]), lambda k: F.regexp_replace(F.to_json(F.struct(k.alias("k"))), r'^\{"k":|\}$', ""))
+        blank = normalised(F.parse_json(F.lit("{}")), pointer)
+        named = F.when(F.size(n["at_props"]) > 0, F.array(row(F.lit("names"), "plain", blank.withField("enum", F.array_sort(quoted)).withField("text", F.concat(n["text"], F.lit("names"))))))
+        return F.flatten(F.array_compact(F.array(by_type, by_value, named)))
+
+    plain = rows.filter("kind = 'plain'")
+    shared = plain.select(*ids, F.explode(shares(F.col("n"), F.col("pointer"))).alias("s")).select(*ids, "s.pointer", "s.kind", "s.n", "s.kids", F.lit(None).cast("string").alias("say"), F.col("s.n.text").alias("text"))
+    table = settle(rows.unionByName(shared).withColumn("types", F.when((F.col("kind") == "plain") & (F.col("n.text") != "true"), F.coalesce(F.transform("n.enum", _kind), F.col("n.types")))))
+    widened = lambda t: F.when(F.array_contains(t, "number"), F.array_union(t, strings(F.lit("integer"), F.lit("number")))).otherwise(t)
+    for _ in range(2):  # types of combinators, two levels of them deep; deeper ones may have any
+        deals = table.filter("kind IN ('all', 'any', 'one')").select(*ids, "pointer", "kind", F.explode("kids").alias("kid"))
+        found = deals.join(table.select(*ids, F.col("pointer").alias("kid"), widened(F.col("types")).alias("kt")), [*ids, "kid"], "left").groupBy(*ids, "pointer", "kind").agg(F.collect_list("kt").alias("lists"), F.count("*").alias("n"))
+        both = F.when(F.size("lists") > 0, F.aggregate("lists", F.array(*map(F.lit, _TYPES)), F.array_intersect))
+        either = F.when(F.size("lists") == F.col("n"), F.array_distinct(F.flatten("lists")))
+        table = table.join(found.select(*ids, "pointer", F.when(F.col("kind") == "all", both).otherwise(either).alias("_t")), [*ids, "pointer"], "left").withColumn("types", F.coalesce("types", "_t")).drop("_t")
+    kid_types = table.filter("kind = 'one'").select(*ids, "pointer", F.posexplode("kids").alias("i", "kid")).join(table.select(*ids, F.col("pointer").alias("kid"), F.coalesce(widened(F.col("types")), F.array(*map(F.lit, _TYPES))).alias("kt")), [*ids, "kid"])
+    kid_types = kid_types.groupBy(*ids, "pointer").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "kt"))), lambda x: x["kt"]).alias("kid_types"))
+    merged = table.filter("kind = 'all'").select(*ids, "pointer", F.explode("kids").alias("kid")).join(table.filter("kind = 'plain' AND n.enum IS NULL").select(*ids, F.col("pointer").alias("kid"), "n"), [*ids, "kid"])
+    merged = merged.groupBy(*ids, "pointer").agg(F.collect_list("n").alias("ns")).filter(F.size("ns") > 1)
+    merged = merged.select(*ids, F.concat("pointer", F.lit("!both")).alias("pointer"), F.lit("plain").alias("kind"), F.aggregate(F.slice("ns", 2, 100_000), F.get("ns", F.lit(0)), _narrowed).alias("n"), strings().alias("kids"), F.lit(None).cast("string").alias("say"), F.lit("").alias("text"), F.lit(None).cast(_STRINGS).alias("types"))
+    return settle(table.unionByName(merged).join(kid_types, [*ids, "pointer"], "left"))
+
+
+def _narrowed(a: Column, b: Column) -> Column:
+    """A node that accepts whatever both do, and perhaps more: the tighter of each limit, else the first one's."""
+    flag = lambda k, c: F.when(c, b[k]).otherwise(a[k])
+    low, high = (b["lo"] > a["lo"]) | ((b["lo"] == a["lo"]) & b["lo_open"]) | a["lo"].isNull(), (b["hi"] < a["hi"]) | ((b["hi"] == a["hi"]) & b["hi_open"]) | a["hi"].isNull()
+    ints = F.when(F.array_contains(a["types"], "number") & F.array_contains(b["types"], "integer"), F.array_union(a["types"], F.array(F.lit("integer")))).otherwise(a["types"])
+    out = a.withField("types", F.when(a["types"].isNull(), b["types"]).when(b["types"].isNull(), a["types"]).otherwise(F.array_intersect(ints, F.when(F.array_contains(b["types"], "number"), F.array_union(b["types"], F.array(F.lit("integer")))).otherwise(b["types"]))))
+    for k, c in (("lo", low), ("lo_open", low), ("hi", high), ("hi_open", high), ("closed", b["shut"]), ("shut", b["shut"]), ("at_rest", a["at_rest"].isNull() & ~a["shut"]), ("whole", b["whole"])):
+        out = out.withField(k, flag(k, F.coalesce(c, F.lit(False))))
+    for k in ("min_len", "min_items", "min_props"):
+        out = out.withField(k, F.greatest(a[k], b[k]))
+    for k in ("max_len", "max_items", "max_props"):
+        out = out.withField(k, F.least(a[k], b[k]))
+    for k in ("step", "pattern", "at_names", "names", "at_items", "at_contains", "contains", "max_contains"):
+        out = out.withField(k, F.coalesce(a[k], b[k]))
+    later = F.map_filter(b["at_props"], lambda k, _: ~F.map_contains_key(a["at_props"], k))
+    out = out.withField("at_props", F.map_concat(a["at_props"], later)).withField("uniq", a["uniq"] | b["uniq"]).withField("opaque", F.lit(True))
+    for k in ("props", "never", "required"):
+        out = out.withField(k, F.array_union(a[k], b[k]))
+    return out.withField("text", F.concat(F.lit("both "), a["text"], b["text"]))
+
+
+_EDGES = "array<struct<clause:string,choice:string,exact:boolean,flip:boolean,sp:string,tp:string>>"
+
+
+def _steps(raw: Column, s: Column, t: Column) -> Column:
+    """The clauses of the goal that node s lies within node t, as an array of edges to further goals."""
+    edge = lambda clause, choice, sp, tp, exact=False, flip=False: F.struct(*(x.alias(k) for x, k in zip((clause if isinstance(clause, Column) else F.lit(clause), choice if isinstance(choice, Column) else F.lit(choice), exact if isinstance(exact, Column) else F.lit(exact), F.lit(flip), sp if isinstance(sp, Column) else F.lit(sp), tp), ("clause", "choice", "exact", "flip", "sp", "tp"), strict=True)))
+    none = F.array().cast(_EDGES)
+    some = lambda test, edges: F.when(F.coalesce(test, F.lit(False)), edges).otherwise(none)
+    one = lambda test, e: some(test, F.array(e))
+    kid = lambda x, i: F.get(x["kids"], F.lit(i))
+    at, to = s["pointer"], t["pointer"]
+    single = F.coalesce((s["kind"] == "plain") & (F.size(s["n"]["enum"]) == 1), F.lit(False))
+    # Where s is split: all its shares must lie in t.
+    parts = [
+        some(s["kind"].isin("any", "one"), F.transform(s["kids"], lambda k: edge("x", "each", k, to, exact=s["kind"] == "any"))),
+        some(s["kind"] == "all", F.transform(s["kids"], lambda k: edge("x", F.concat(F.lit("k"), k), k, to))),
+        one(s["kind"] == "all", edge("x", "both", F.concat(at, F.lit("!both")), to)),
+        some(s["kind"] == "if", F.array(edge("x", "then", kid(s, 1), to), edge("x", "then", kid(s, 2), to))),
+    ]
+    shares = [
+        some((s["kind"] == "plain") & s["n"]["enum"].isNull() & (F.size(s["n"]["types"]) > 1), F.transform(s["n"]["types"], lambda x: edge("x", "types", F.concat(at, F.lit("!t"), x), to, exact=True))),
+        some((s["kind"] == "plain") & (F.size(s["n"]["enum"]) > 1), F.transform(s["n"]["enum"], lambda x: edge("x", "values", F.concat(at, F.lit("!e"), x), to, exact=True))),
+    ]
+    any_type = F.coalesce(s["types"], F.array(*map(F.lit, _TYPES)))
+    s_types = F.when(F.array_contains(any_type, "number"), F.array_union(any_type, F.array(F.lit("integer")))).otherwise(any_type)
+    apart = lambda i: ~F.exists(F.transform(t["kid_types"], lambda k, j: (i != j) & F.arrays_overlap(k, s_types)), lambda x: x)
+    picks = F.transform(t["kids"], lambda k, i: F.struct(k.alias("k"), i.alias("i")))
+    into_one = F.transform(F.filter(picks, lambda x: apart(x["i"])), lambda x: edge("x", F.concat(F.lit("b"), x["k"]), at, x["k"]))
+    into_any = F.transform(t["kids"], lambda k: edge("x", F.concat(F.lit("b"), k), at, k, exact=single))
+    union = F.flatten(F.array(F.when(t["kind"] == "any", into_any).otherwise(into_one), *parts, *shares))
+    same_if = (s["kind"] == "if") & (s["say"] == t["say"]) & ~F.contains(s["say"], F.lit('"$ref"'))
+    conditional = F.flatten(F.array(
+        some(same_if, F.array(edge("x", "same", kid(s, 1), kid(t, 1)), edge("x", "same", kid(s, 2), kid(t, 2)))),
+        F.array(edge("x", "through", at, kid(t, 1)), edge("x", "through", at, kid(t, 2))), *parts[:3],
+    ))
+    negated = F.flatten(F.array(one(s["kind"] == "not", edge("x", "not", kid(t, 0), kid(s, 0), flip=True)), *parts))
+    return (
+        F.when(s["kind"].isNull() | t["kind"].isNull(), none)
+        .when(t["kind"] == "all", F.transform(t["kids"], lambda k: edge(k, "it", at, k, exact=True)))
+        .when(t["kind"].isin("any", "one"), union).when(t["kind"] == "not", negated).when(t["kind"] == "if", conditional)
+        .when(s["kind"] == "plain", F.when(s["n"]["enum"].isNull() & (t["n"]["text"] != "true"), _inner(raw, s["n"], t["n"], at, edge, none)).otherwise(none)).otherwise(F.flatten(F.array(*parts)))
+    )
 
-    sides = pairs.select(*pair, directions(F.col("role")).alias("direction"), F.explode(F.array(F.struct(F.lit("old").alias("side"), F.col("old").alias("schema_json")), F.struct(F.lit("new").alias("side"), F.col("new").alias("schema_json")))).alias("s"))
-    ids = [*pair, "direction", "side"]
-    nodes = node_table(schema_nodes(sides.select(*pair, "direction", "s.side", "s.schema_json"), ids, max_depth, "_level"), [*ids, "_level"])
-    nodes = nodes.withColumn("n", F.col("n").withField("cut", (F.col("_level") == max_depth) & F.col("n.inner")))
-    unread = sides.filter(F.try_parse_json("s.schema_json").isNull()).select(*pair, "direction", F.lit("#").alias("pointer"), F.lit("unknown").alias("keyword"), F.lit("not JSON").alias("message"), F.lit(99).alias("rank"))
-    return verdicts(pairs, node_issues(nodes, pair).unionByName(unread), pair)
+
+def _inner(raw: Column, s: Column, t: Column, at: Column, edge, none: Column) -> Column:
+    """Goals for the child schemas of two plain nodes."""
+    some = lambda test, edges: F.when(F.coalesce(test, F.lit(False)), edges).otherwise(none)
+    get = lambda m, k: F.try_element_at(m, k)
+    s_names, t_names, s_pats, t_pats = (F.map_keys(m) for m in (s["at_props"], t["at_props"], s["at_pats"], t["at_pats"]))
+    obj, arr = _has(s, "object"), _has(s, "array")
+    true = F.lit("true")
+    beyond = F.coalesce(s["at_rest"], true)  # what undeclared names of s may hold; none if it is shut
+    common = F.transform(F.array_intersect(s_names, t_names), lambda k: edge(F.concat(F.lit("p"), k), "it", get(s["at_props"], k), get(t["at_props"], k), exact=True))
+    by_pattern = F.flatten(F.transform(s_names, lambda k: F.transform(F.filter(t_pats, lambda p: _like(k, p)), lambda p: edge(F.concat(F.lit("q"), k, F.lit("/"), p), "it", get(s["at_props"], k), get(t["at_pats"], p), exact=True))))
+    outside = F.filter(F.array_except(s_names, t_names), lambda k: ~F.exists(t_pats, lambda p: _like(k, p)))
+    extra = some(t["at_rest"].isNotNull(), F.transform(outside, lambda k: edge(F.concat(F.lit("x"), k), "it", get(s["at_props"], k), t["at_rest"], exact=True)))
+    lacking = F.array_except(t_names, s_names)
+    patterned = lambda k: F.filter(s_pats, lambda p: _like(k, p))
+    unsaid = some(raw, F.flatten(F.transform(lacking, lambda k: F.when(F.size(patterned(k)) > 0, F.transform(patterned(k), lambda p: edge(F.concat(F.lit("y"), k), p, get(s["at_pats"], p), get(t["at_props"], k)))).when(~s["shut"], F.array(edge(F.concat(F.lit("y"), k), "it", beyond, get(t["at_props"], k), exact=True))).otherwise(none))))
+    patterns = F.flatten(F.transform(t_pats, lambda q: F.flatten(F.array(
+        F.transform(F.filter(s_pats, lambda p: p == q), lambda p: edge(F.concat(F.lit("r"), q), "it", get(s["at_pats"], p), get(t["at_pats"], q), exact=True)),
+        F.transform(F.filter(s_pats, lambda p: (p != q) & ~F.array_contains(s_pats, q)), lambda p: edge(F.concat(F.lit("r"), q, F.lit("/"), p), "it", get(s["at_pats"], p), get(t["at_pats"], q))),
+        some(raw & ~s["shut"] & ~F.array_contains(s_pats, q), F.array(edge(F.concat(F.lit("s"), q), "it", beyond, get(t["at_pats"], q)))),
+    ))))
+    rest = some(raw & t["at_rest"].isNotNull() & ~s["shut"], F.array(edge("rest", "it", beyond, t["at_rest"], exact=True)))
+    strays = some(t["at_rest"].isNotNull() | t["shut"], F.transform(F.array_except(s_pats, t_pats), lambda p: edge(F.concat(F.lit("z"), p), "it", get(s["at_pats"], p), F.coalesce(t["at_rest"], F.lit("none")))))
+    names = some(t["at_names"].isNotNull(), F.flatten(F.array(
+        some(s["at_names"].isNotNull(), F.array(edge("names", "names", s["at_names"], t["at_names"]))),
+        some((F.size(s_pats) == 0) & (s["shut"] | ~raw), F.array(edge("names", "listed", F.when(F.size(s_names) > 0, F.concat(at, F.lit("!names"))).otherwise("true"), t["at_names"], exact=F.size(s_names) > 0))),
+        some((F.size(s_pats) > 0) | (raw & ~s["shut"] & s["at_names"].isNull()), F.array(edge("names", "any", true, t["at_names"], exact=s["at_names"].isNull() & (F.size(s_pats) == 0)))),
+    )))
+    long = F.greatest(F.size(s["at_prefix"]), F.size(t["at_prefix"]))
+    item = lambda n, i: F.coalesce(F.get(n["at_prefix"], i), n["at_items"])
+    places = F.filter(F.sequence(F.lit(0), long), lambda i: item(t, i).isNotNull() & F.coalesce(i < s["max_items"], F.lit(True)))
+    items = F.transform(places, lambda i: edge(F.concat(F.lit("i"), i.cast("string")), "it", F.coalesce(item(s, i), true), item(t, i), exact=True))
+    enough = F.coalesce(s["min_contains"] >= t["min_contains"], F.lit(False)) & s["at_contains"].isNotNull() & t["max_contains"].isNull()
+    all_are = F.coalesce(s["min_items"] >= t["min_contains"], F.lit(False)) & F.coalesce(s["max_items"] <= t["max_contains"], t["max_contains"].isNull())
+    fixed = F.filter(F.sequence(F.lit(0), F.size(s["at_prefix"])), lambda i: (i < F.size(s["at_prefix"])) & F.coalesce(i < s["min_items"], F.lit(False)) & (t["min_contains"] <= 1) & t["max_contains"].isNull())
+    needed = t["at_contains"].isNotNull() & ~F.coalesce(s["contains"] == t["contains"], F.lit(False)) & ((t["min_contains"] > 0) | t["max_contains"].isNotNull())
+    within = F.coalesce(s["max_contains"] <= t["max_contains"], F.lit(False)) & F.coalesce(s["min_contains"] >= t["min_contains"], F.lit(False)) & s["at_contains"].isNotNull()
+    contained = some(needed, F.flatten(F.array(
+        some(enough, F.array(edge("c", "contains", s["at_contains"], t["at_contains"]))),
+        some(within, F.array(edge("c", "both ways", s["at_contains"], t["at_contains"]), edge("c", "both ways", t["at_contains"], s["at_contains"], flip=True))),
+        some(all_are & (F.size(s["at_prefix"]) == 0), F.array(edge("c", "items", F.coalesce(s["at_items"], true), t["at_contains"]))),
+        F.transform(fixed, lambda i: edge("c", i.cast("string"), F.get(s["at_prefix"], i), t["at_contains"])),
+        F.array(edge("c", "none", true, F.lit("none"))),
+    )))
+    return F.flatten(F.array(some(obj, F.flatten(F.array(common, by_pattern, extra, unsaid, patterns, rest, strays, names))), some(arr, F.flatten(F.array(items, contained)))))
+
+
+def _disjoint(a: Column, b: Column) -> Column:
+    """Whether two plain nodes certainly share no value."""
+    n = lambda c: F.coalesce(c, F.lit(False))
+    wide = lambda x: F.when(F.array_contains(x["types"], "number"), F.array_append(x["types"], F.lit("integer"))).otherwise(x["types"])
+    only = lambda x, *ts: n((F.size(x["types"]) > 0) & (F.size(F.array_except(x["types"], F.array(*map(F.lit, ts)))) == 0))
+    misses = lambda x, y: n(F.forall(x["enum"], lambda v: ~F.coalesce(_fits(v, y), F.lit(True))))
+    numbers, texts = only(a, "integer", "number") | only(b, "integer", "number"), only(a, "string") | only(b, "string")
+    far = n(a["lo"] > b["hi"]) | n(b["lo"] > a["hi"]) | n((a["lo"] == b["hi"]) & (a["lo_open"] | b["hi_open"])) | n((b["lo"] == a["hi"]) & (b["lo_open"] | a["hi_open"]))
+    lengths = n(a["min_len"] > b["max_len"]) | n(b["min_len"] > a["max_len"])
+    objects = only(a, "object") | only(b, "object")
+    lacks = lambda x, y: (x["closed"] & (F.size(F.array_except(y["required"], x["props"])) > 0)) | F.arrays_overlap(x["never"], y["required"])
+    return (a["text"] == "false") | (b["text"] == "false") | ~n(F.coalesce(F.arrays_overlap(wide(a), wide(b)), F.lit(True))) | misses(a, b) | misses(b, a) | (numbers & far) | (texts & lengths) | (objects & (lacks(a, b) | lacks(b, a)))
+
+
+def _goal_values(goals: DataFrame, pair: list[str]) -> DataFrame:
+    """(pair..., direction, sp, tp, value) of the pairs' first goals: 2 within, 0 not within, 1 not decided."""
+    key = [*pair, "direction", "flip", "sp", "tp"]
+    edges = goals.select(*key, F.explode("edges").alias("e"))
+    edges = settle(edges.select(*key, "e.clause", "e.choice", "e.exact", *pair_as(pair, "c_"), F.col("direction").alias("c_direction"), (F.col("flip") != F.col("e.flip")).alias("c_flip"), F.col("e.sp").alias("c_sp"), F.col("e.tp").alias("c_tp")))
+    values = settle(goals.select(*key, F.col("own").alias("value")))
+    choices = settle(edges.groupBy(*key).agg(F.count_distinct("clause", "choice").alias("n"), F.count_distinct("clause").alias("m"), F.min(F.col("exact").cast("int")).alias("exact")).filter("n > m OR exact = 0").groupBy(*pair, "direction").count())
+    single = values.join(choices, [*pair, "direction"], "left_anti").groupBy(*pair, "direction").agg(F.min("value").alias("value"))
+    values, edges = values.join(choices, [*pair, "direction"], "left_semi"), edges.join(choices, [*pair, "direction"], "left_semi")
+    own, total = values, None
+    while True:
+        child = values.select(*[F.col(k).alias(f"c_{k}") for k in key], F.col("value").alias("v"))
+        met = edges.join(child, [f"c_{k}" for k in key])
+        chosen = met.groupBy(*key, "clause", "choice").agg(F.min("v").alias("v"), F.min(F.col("exact").cast("int")).alias("exact"))
+        clauses = chosen.groupBy(*key, "clause").agg(F.max(F.when((F.col("exact") == 0) & (F.col("v") < 1), 1).otherwise(F.col("v"))).alias("v"))
+        lowered = own.join(clauses.groupBy(*key).agg(F.min("v").alias("v")), key, "left")
+        values = settle(lowered.select(*key, F.least("value", F.coalesce("v", "value")).alias("value")))
+        before, total = total, values.agg(F.coalesce(F.sum("value"), F.lit(0))).first()[0]
+        if total == before:
+            break
+    roots = values.filter("sp = '#' AND tp = '#' AND NOT flip").select(*pair, "direction", "value")
+    return single.unionByName(roots)
+
+
+def pair_as(pair: list[str], prefix: str) -> list[Column]:
+    return [F.col(k).alias(prefix + k) for k in pair]
+
+
+def goal_issues(pairs: DataFrame, pair: list[str]) -> DataFrame:
+    """The rows of node_issues for pairs (pair..., role, old, new) whose contracts refer and combine."""
+    docs = pairs.select(*pair, F.explode(F.array(F.struct(F.lit("old").alias("side"), F.col("old").alias("schema_json")), F.struct(F.lit("new").alias("side"), F.col("new").alias("schema_json")))).alias("d")).select(*pair, "d.*")
+    nodes = graph(docs, [*pair, "side"])
+    cols = ["pointer", "kind", "n", "kids", "say", "text", "types", "kid_types"]
+    side = lambda name: nodes.select(*pair, F.col("side").alias(f"{name}_side"), F.col("pointer").alias(f"{name}p"), F.struct(*cols).alias(name))
+    fresh = pairs.select(*pair, directions(F.col("role")).alias("direction"), F.lit(False).alias("flip"), F.lit("#").alias("sp"), F.lit("#").alias("tp"))
+    key, done = [*pair, "direction", "flip", "sp", "tp"], []
+    while True:
+        forth = (F.col("direction") == "serializer") != F.col("flip")
+        met = fresh.withColumns({"s_side": F.when(forth, "new").otherwise("old"), "t_side": F.when(forth, "old").otherwise("new")})
+        met = met.join(side("s"), [*pair, "s_side", "sp"], "left").join(side("t"), [*pair, "t_side", "tp"], "left")
+        s, t = F.col("s"), F.col("t")
+        raw = (F.col("direction") == "serializer") | F.col("flip")
+        same = F.coalesce((s["text"] == t["text"]) & (F.size(F.split("sp", "!")) == F.size(F.split("tp", "!"))) & ~F.contains(s["text"], F.lit('"$ref"')) & (s["kind"] == t["kind"]), F.lit(False))
+        everything = F.coalesce((t["kind"] == "plain") & t["n"]["text"].isin("true", "{}"), F.lit(False))
+        nothing = F.coalesce((s["kind"] == "plain") & _no_value(s["n"], s["n"]["required"]), F.lit(False))
+        sure = same | everything | nothing
+        plain = F.coalesce((s["kind"] == "plain") & (t["kind"] == "plain"), F.lit(False))
+        told = F.when(plain & ~sure, _issues(raw, s["n"], t["n"])).otherwise(F.array().cast(_ISSUE))
+        refuted = F.exists(s["n"]["enum"], lambda v: F.coalesce(_fits(v, s["n"], False) & _fits(v, t["n"]), F.lit(False)))
+        apart = F.coalesce((s["kind"] == "plain") & (t["kind"] == "not") & _disjoint(s["n"], t["n"]), F.lit(False))
+        denied = F.coalesce((s["kind"] == "plain") & (t["kind"] == "not") & ((t["n"]["text"].isin("true", "{}")) | refuted), F.lit(False))
+        steps = F.when(sure | apart, F.array().cast(_EDGES)).otherwise(_steps(raw, s, t).cast(_EDGES))
+        broken = F.exists("told", lambda i: i["keyword"] != "unknown")
+        own = F.when(F.col("fine"), 2).when(broken | F.col("denied"), 0).when((F.size("told") > 0) | (~F.col("plain") & (F.size("edges") == 0)), 1).otherwise(2)
+        found = met.select(*key, plain.alias("plain"), told.alias("told"), steps.alias("edges"), (sure | apart).alias("fine"), denied.alias("denied"))
+        found = settle(found.select(*key, own.alias("own"), "told", "edges"))
+        done.append(found)
+        ahead = found.select(*pair, "direction", "flip", F.explode("edges").alias("e")).select(*pair, "direction", (F.col("flip") != F.col("e.flip")).alias("flip"), "e.sp", "e.tp").distinct()
+        known = reduce(DataFrame.unionByName, [d.select(*key) for d in done])
+        fresh = settle(ahead.join(known, key, "left_anti"))
+        if fresh.isEmpty():
+            break
+    goals = reduce(DataFrame.unionByName, done)
+    value = _goal_values(goals, pair)
+    told = goals.select(*pair, "direction", F.col("tp").alias("pointer"), F.explode("told").alias("i")).filter("i.keyword <> 'unknown'")
+    order = F.struct(F.size(F.split("pointer", "/")).alias("depth"), F.col("i.rank").alias("rank"), "pointer", F.col("i.keyword").alias("keyword"), F.col("i.message").alias("message"))
+    first = told.groupBy(*pair, "direction").agg(F.min(order).alias("i"))
+    rows = value.filter("value < 2").join(first, [*pair, "direction"], "left")
+    sure = F.col("value") == 0
+    return rows.select(*pair, "direction", F.regexp_replace(F.when(sure, F.coalesce("i.pointer", F.lit("#"))).otherwise("#"), "![^/]*", "").alias("pointer"), F.when(sure, F.coalesce("i.keyword", F.lit("not"))).otherwise("unknown").alias("keyword"), F.when(sure, F.coalesce("i.message", F.lit("a value is excluded"))).otherwise("not proven").alias("message"), F.when(sure, F.coalesce("i.rank", F.lit(50))).otherwise(99).alias("rank"))
+
+
+def check_compat(pairs: DataFrame, pair: list[str]) -> DataFrame:
+    """pairs: (pair..., role, old, new) with schema texts. One verdict per pair and direction."""
+    pairs = settle(pairs.select(*pair, "role", "old", "new").withColumn("_good", F.try_parse_json("old").isNotNull() & F.try_parse_json("new").isNotNull()))
+    open_ones = pairs.filter(F.col("_good") & (F.col("old") != F.col("new")))
+    rich = F.col("old").rlike(_RICH) | F.col("new").rlike(_RICH)
+    simple, deep = open_ones.filter(~rich), open_ones.filter(rich)
+    sides = simple.select(*pair, F.explode(F.array(F.struct(F.lit("old").alias("side"), F.col("old").alias("schema_json")), F.struct(F.lit("new").alias("side"), F.col("new").alias("schema_json")))).alias("s")).select(*pair, "s.*")
+    issues = node_issues(node_table(schema_nodes(sides, [*pair, "side"]), [*pair, "side"]), simple, pair)
+    if not deep.isEmpty():
+        issues = issues.unionByName(goal_issues(deep, pair))
+    unread = pairs.filter("NOT _good").select(*pair, directions(F.col("role")).alias("direction"), F.lit("#").alias("pointer"), F.lit("unknown").alias("keyword"), F.lit("not JSON").alias("message"), F.lit(99).alias("rank"))
+    return verdicts(pairs, issues.unionByName(unread), pair)
 
 
 def pair_verdict(verdict_rows: DataFrame, pair: list[str]) -> DataFrame:
@@ -165,14 +473,16 @@ def pair_verdict(verdict_rows: DataFrame, pair: list[str]) -> DataFrame:
 def grade(old: DataFrame, new: DataFrame) -> DataFrame:
     """(id, mode, status) for two golden tables (id, mode, schema_json, stable_id). The old mode is the role; the
     first of missing new, missing old, invalid, identical, incompatible, mode changed, ok that applies."""
-    from .registry_scan import HARD, canonical_hash, keyword_findings, schema_nodes
-
     side = lambda df, p: df.select("id", *(F.col(c).alias(f"{p}_{c}") for c in ("mode", "schema_json", "stable_id")))
     met = side(old, "old").join(side(new, "new"), "id", "full_outer")
     pairs = met.filter("old_schema_json IS NOT NULL AND new_schema_json IS NOT NULL").select("id", F.col("old_mode").alias("role"), F.col("old_schema_json").alias("old"), F.col("new_schema_json").alias("new"))
     verdict = pair_verdict(check_compat(pairs, ["id"]), ["id"])
-    both = old.select("id", "schema_json").unionByName(new.select("id", "schema_json"))
-    invalid = keyword_findings(schema_nodes(both, ["id"]), ["id"], HARD).select("id").unionByName(both.filter(F.try_parse_json("schema_json").isNull()).select("id")).distinct().withColumn("invalid", F.lit(True))
+    sided = old.select("id", F.lit(0).alias("side"), "schema_json").unionByName(new.select("id", F.lit(1).alias("side"), "schema_json"))
+    ids = ["id", "side"]
+    nodes = settle(schema_nodes(sided, ids).select(*ids, "pointer", "node"))
+    cons = constraints(nodes, ids)
+    found = [keyword_findings(nodes, ids, HARD), dialect_findings(cons), unresolved_refs(cons, nodes, ids), sided.filter(F.try_parse_json("schema_json").isNull())]
+    invalid = reduce(DataFrame.unionByName, [f.select("id") for f in found]).distinct().withColumn("invalid", F.lit(True))
     rows = met.join(verdict, "id", "left").join(invalid, "id", "left")
     status = (
         F.when(F.col("new_schema_json").isNull(), "missing_new").when(F.col("old_schema_json").isNull(), "missing_old").when(F.col("invalid"), "invalid")

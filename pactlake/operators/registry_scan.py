@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pactlake.functions.values import EXACT, Variant
+
 SINGLE = ("additionalProperties", "items", "not", "if", "then", "else", "contains", "propertyNames", "unevaluatedItems", "unevaluatedProperties", "contentSchema")
 MAPS = ("properties", "patternProperties", "$defs", "definitions", "dependentSchemas")
 LISTS = ("allOf", "anyOf", "oneOf", "prefixItems")
@@ -18,8 +21,8 @@ HARD = ("$id", "$anchor", "$dynamicRef", "$dynamicAnchor")
 DIALECTS = ("https://json-schema.org/draft/2020-12/schema", "https://spec.openapis.org/oas/3.1/dialect/base")
 #: Keywords that mean something for one type only.
 OF_TYPE = {"string": ("minLength", "maxLength", "pattern"), "number": ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf"), "array": ("items", "prefixItems", "minItems", "maxItems", "uniqueItems", "contains"), "object": ("properties", "required", "minProperties", "maxProperties", "additionalProperties", "patternProperties", "propertyNames", "dependentRequired")}
-#: Keywords that no rule on single nodes judges.
-BEYOND = (*LISTS, "not", "if", "then", "else", "$ref", "patternProperties", "propertyNames", "dependentSchemas", "contains", "unevaluatedProperties", "unevaluatedItems")
+#: Patterns that can be tried on single values without surprises.
+SAFE_PATTERN = r"^\^?(?:(?:[A-Za-z0-9_ /:-]|\[(?:a-z|A-Z|0-9|1-9|a-f|A-F|[A-Za-z0-9_])+\]|\\[dwsDWS.]|\.)(?:[*+?]|\{[0-9]+,?\})?)*\$?$"
 _NODES = "array<struct<pointer:string,node:variant>>"
 SAFE = 2**53 - 1
 
@@ -39,21 +42,31 @@ def _children(n: Column) -> Column:
         at = F.concat(n["pointer"], F.lit("/"), escaped(e["key"]))
         in_map = F.transform(_entries(e["value"]), lambda x: made(F.concat(at, F.lit("/"), escaped(x["key"])), x["value"]))
         in_list = F.transform(F.coalesce(F.try_variant_get(e["value"], "$", "array<variant>"), F.array().cast("array<variant>")), lambda x, i: made(F.concat(at, F.lit("/"), i.cast("string")), x))
-        return F.when(e["key"].isin(*SINGLE), F.array(made(at, e["value"]))).when(e["key"].isin(*MAPS), in_map).when(e["key"].isin(*LISTS), in_list).otherwise(F.array().cast(_NODES))
+        # Descriptions of APIs keep the schemas that references point to in components/schemas.
+        held = F.transform(_entries(F.try_variant_get(e["value"], "$.schemas", "variant")), lambda x: made(F.concat(at, F.lit("/schemas/"), escaped(x["key"])), x["value"]))
+        return F.when((e["key"] == "components") & (n["pointer"] == "#"), held).when(e["key"].isin(*SINGLE), F.array(made(at, e["value"]))).when(e["key"].isin(*MAPS), in_map).when(e["key"].isin(*LISTS), in_list).otherwise(F.array().cast(_NODES))
 
     return F.flatten(F.transform(_entries(n["node"]), of))
 
 
-def schema_nodes(reg: DataFrame, ids: list[str], max_depth: int = 6, level: str | None = None) -> DataFrame:
-    """(ids..., pointer, node VARIANT): every subschema to max_depth levels, which column `level` gives if it is named.
-    Documents that don't parse give no rows."""
+def _nesting(text: Column) -> Column:
+    """How deep braces and brackets nest in a JSON text."""
+    marks = F.split(F.regexp_replace(F.regexp_replace(text, r'"(\\\\.|[^"\\\\])*"', ""), r"[^{}\[\]]", ""), "")
+    step = lambda a, c: F.struct((a["at"] + F.when(c.isin("{", "["), 1).when(c == "", 0).otherwise(-1)).alias("at"), F.greatest(a["most"], a["at"]).alias("most"))
+    return F.aggregate(marks, F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), step, lambda a: F.greatest(a["most"], a["at"]))
+
+
+def schema_nodes(reg: DataFrame, ids: list[str], max_depth: int | None = None) -> DataFrame:
+    """(ids..., pointer, node VARIANT): every subschema. As many levels are walked as the deepest document has, which
+    one pass over the texts tells, or max_depth where it is given. Documents that don't parse give no rows."""
+    if max_depth is None:
+        max_depth = max(0, (reg.agg(F.max(_nesting(F.col("schema_json")))).first()[0] or 0) - 1)
     df = reg.select(*ids, F.array(F.struct(F.lit("#").alias("pointer"), F.try_parse_json("schema_json").alias("node"))).cast(_NODES).alias("_l0"))
     df = df.filter(F.col("_l0")[0]["node"].isNotNull())
     for d in range(max_depth):
         df = df.withColumn(f"_l{d + 1}", F.flatten(F.transform(F.col(f"_l{d}"), _children)))
-    at = lambda d: F.transform(F.col(f"_l{d}"), lambda x: F.struct(F.lit(d).alias("level"), x["pointer"].alias("pointer"), x["node"].alias("node")))
-    rows = df.select(*ids, F.explode(F.concat(*map(at, range(max_depth + 1)))).alias("_n"))
-    return rows.select(*ids, "_n.pointer", "_n.node", *([F.col("_n.level").alias(level)] if level else []))
+    rows = df.select(*ids, F.explode(F.concat(*(F.col(f"_l{d}") for d in range(max_depth + 1)))).alias("_n"))
+    return rows.select(*ids, "_n.pointer", "_n.node")
 
 
 def constraints(nodes: DataFrame, ids: list[str]) -> DataFrame:
@@ -88,10 +101,23 @@ def fractional_multiple_of(cons: DataFrame) -> DataFrame:
     return cons.filter((F.col("keyword") == "multipleOf") & (v != F.floor(v)))
 
 
+def ref_target(ref: Column) -> Column:
+    """The pointer that a reference names, %-decoded; + stands for itself. What doesn't decode stays as it is."""
+    return F.coalesce(F.try_url_decode(F.replace(ref, F.lit("+"), F.lit("%2B"))), ref)
+
+
 def unresolved_refs(cons: DataFrame, nodes: DataFrame, ids: list[str]) -> DataFrame:
-    """References that are not local or point at no node."""
-    refs = cons.filter("keyword = '$ref'").withColumn("target", F.url_decode(F.trim(F.col("value"), F.lit('"'))))
-    return refs.join(nodes.select(*ids, F.col("pointer").alias("target")), [*ids, "target"], "left_anti").select(*ids, "pointer", "target")
+    """References that are not local or point at no node, and those that lead through references alone back to
+    themselves (chains of up to 1,024 references are followed, by doubling)."""
+    refs = cons.filter("keyword = '$ref'").withColumn("target", ref_target(F.get_json_object(F.concat(F.lit('{"r":'), "value", F.lit("}")), "$.r")))
+    lost = refs.join(nodes.select(*ids, F.col("pointer").alias("target")), [*ids, "target"], "left_anti").select(*ids, "pointer", "target")
+    alias = refs.join(nodes.filter(F.size(F.map_keys(F.try_variant_get("node", "$", "map<string,variant>"))) == 1).select(*ids, "pointer"), [*ids, "pointer"], "left_semi").select(*ids, "pointer", "target")
+    at = alias.withColumn("now", F.col("target"))
+    for _ in range(10):
+        hop = at.select(*ids, F.col("pointer").alias("now"), F.col("now").alias("then"))
+        at = at.join(hop, [*ids, "now"], "left").select(*ids, "pointer", "target", F.coalesce("then", "now").alias("now"))
+    rounds = at.join(alias.select(*ids, F.col("pointer").alias("now")), [*ids, "now"], "left_semi").select(*ids, "pointer", "target")
+    return lost.unionByName(rounds)
 
 
 def dialect_findings(cons: DataFrame) -> DataFrame:
@@ -130,41 +156,81 @@ def dedupe_schemas(reg: DataFrame, id_col: str) -> DataFrame:
 
 def node_table(nodes: DataFrame, ids: list[str]) -> DataFrame:
     """(ids..., pointer, n): the normalised form of every node; ids may name further columns of nodes."""
-    return nodes.select(*ids, "pointer", normalised(F.col("node")).alias("n"))
-
-
-def normalised(n: Column) -> Column:
-    """Struct of a node: type names, sorted distinct enum (const and boolean types included), tightest bounds (closed
-    for integers), counts with the minimums and maximums that other keywords imply. never: properties that no value
-    may have; beyond: texts of the keywords that rules on single nodes can't judge; inner: may have child schemas."""
-    get = lambda k, t: F.try_variant_get(n, f"$['{k}']", t)
-    type_one = F.when(F.schema_of_variant(get("type", "variant")) == "STRING", F.array(get("type", "string")))
-    types = F.coalesce(type_one, get("type", "array<string>"))
-    canon = lambda v: F.when(F.to_json(v).rlike(r"^-?[0-9]+\.0$"), F.regexp_replace(F.to_json(v), r"\.0$", "")).otherwise(F.to_json(v))
-    values = F.coalesce(F.when(get("const", "variant").isNotNull(), F.array(get("const", "variant"))), get("enum", "array<variant>"))
-    enum = F.array_sort(F.array_distinct(F.transform(values, canon)))
-    low, low_x, high, high_x = (get(k, "double") for k in ("minimum", "exclusiveMinimum", "maximum", "exclusiveMaximum"))
-    lo, hi = F.greatest(low, low_x), F.least(high, high_x)
-    lo_open, hi_open = F.coalesce(lo == low_x, F.lit(False)), F.coalesce(hi == high_x, F.lit(False))
-    whole = F.coalesce((F.size(types) == 1) & (types[0] == "integer"), F.lit(False))
-    lo_closed = F.when(whole, F.ceil(lo) + (lo_open & (lo == F.ceil(lo))).cast("int")).otherwise(lo)
-    hi_closed = F.when(whole, F.floor(hi) - (hi_open & (hi == F.floor(hi))).cast("int")).otherwise(hi)
-    declared = F.coalesce(get("properties", "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
-    never = F.map_keys(F.map_filter(declared, lambda _, v: F.to_json(v) == "false"))
-    props = F.array_except(F.map_keys(declared), never)
-    required = F.array_sort(F.array_distinct(F.coalesce(get("required", "array<string>"), F.array().cast("array<string>"))))
-    patterns = F.coalesce(F.size(F.map_keys(get("patternProperties", "map<string,variant>"))), F.lit(0))
-    closed = F.coalesce(get("additionalProperties", "boolean") == F.lit(False), F.lit(False)) & (patterns == 0)
-    beyond = F.map_from_entries(F.transform(F.filter(_entries(n), lambda e: e["key"].isin(*BEYOND)), lambda e: F.struct(e["key"], F.to_json(e["value"]))))
-    has = lambda *names: F.coalesce(F.arrays_overlap(F.transform(_entries(n), lambda e: e["key"]), F.array(*map(F.lit, names))), F.lit(False))
+    return nodes.select(*ids, "pointer", normalised(F.col("node"), F.col("pointer")).alias("n"))
+
+
+def let(value: Column, body) -> Column:
+    """body(x) with x evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def normalised(node: Column, pointer: Column) -> Column:
+    """Struct of what a node says itself, its combinators and references aside: type names (none: any), sorted distinct
+    enum (const, types of few values and single numbers included), tightest bounds (closed for integers), counts with
+    the minimums and maximums that other keywords imply, and the pointers of child schemas. never: properties that no
+    value may have; free: those that are not constrained; opaque: says things that no rule judges."""
+    n = Variant(node)
+    raw = lambda k: F.try_variant_get(node, f"$['{k}']", "variant")
+    get = lambda k, t: F.try_variant_get(node, f"$['{k}']", t)
+    whole_count = lambda k: F.when(Variant(raw(k)).is_type("integer"), get(k, "long"))
+    keys = F.coalesce(n.keys(), F.array().cast("array<string>"))
+    at = lambda k: F.concat(pointer, F.lit(f"/{k}"))
+    has = lambda k: F.array_contains(keys, k)
+    trivial = lambda v: F.to_json(v).isin("true", "{}")
+    none = F.array().cast("array<string>")
+    listed = F.coalesce(F.when(F.schema_of_variant(raw("type")) == "STRING", F.array(get("type", "string"))), get("type", "array<string>"))
+    step = get("multipleOf", EXACT)
+    listed = F.when((step % 1 == 0) & F.array_contains(listed, "number"), F.array_distinct(F.transform(listed, lambda t: F.when(t == "number", "integer").otherwise(t)))).otherwise(listed)
+    listed = F.when(F.array_contains(listed, "number"), F.array_remove(listed, "integer")).otherwise(listed)
+    values = F.coalesce(F.when(has("const"), F.array(raw("const"))), get("enum", "array<variant>"))
+    values = F.when(has("const") & has("enum"), F.filter(get("enum", "array<variant>"), lambda v: Variant(v).canonical() == Variant(raw("const")).canonical())).otherwise(values)
+    enum = F.array_sort(F.array_distinct(F.transform(values, lambda v: Variant(v).canonical())))
+    low, low_x, high, high_x = (get(k, EXACT) for k in ("minimum", "exclusiveMinimum", "maximum", "exclusiveMaximum"))
+    bounds = ("minimum", "exclusiveMinimum", "maximum", "exclusiveMaximum", "multipleOf")
+    odd = reduce(lambda a, b: a | b, ((has(k) & ~F.coalesce(get(k, EXACT).cast("double") == get(k, "double"), F.lit(False))) for k in bounds))
+    objects = F.coalesce(get("properties", "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
+    patterns = F.coalesce(get("patternProperties", "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
+    pointers = lambda m, k: F.transform_values(m, lambda name, _: F.concat(at(k), F.lit("/"), escaped(name)))
+    rest, items = F.to_json(raw("additionalProperties")), F.to_json(raw("items"))
+    required = F.array_sort(F.array_distinct(F.coalesce(get("required", "array<string>"), none)))
+    prefix = F.coalesce(F.transform(get("prefixItems", "array<variant>"), lambda _, i: F.concat(at("prefixItems"), F.lit("/"), i.cast("string"))), none)
     deps = F.coalesce(get("dependentRequired", "map<string,array<string>>"), F.from_json(F.lit("{}"), "map<string,array<string>>"))
-    cols = {
-        "text": F.to_json(n), "types": types, "enum": enum, "lo": lo_closed, "lo_open": lo_open & ~whole, "hi": hi_closed, "hi_open": hi_open & ~whole,
-        "step": get("multipleOf", "double"), "min_len": get("minLength", "long"), "max_len": get("maxLength", "long"), "pattern": get("pattern", "string"),
-        "min_items": F.greatest(get("minItems", "long"), F.when(get("contains", "variant").isNotNull(), F.coalesce(get("minContains", "long"), F.lit(1)))), "max_items": get("maxItems", "long"), "uniq": F.coalesce(get("uniqueItems", "boolean"), F.lit(False)),
-        "props": props, "never": never, "required": required, "closed": closed, "deps": deps, "beyond": beyond,
-        "items": F.to_json(get("items", "variant")), "rest": F.to_json(get("additionalProperties", "variant")),
-        "min_contains": F.coalesce(get("minContains", "long"), F.lit(1)), "max_contains": get("maxContains", "long"), "inner": has("properties", "items", "prefixItems", *BEYOND) | (has("additionalProperties") & ~closed),
-        "min_props": F.greatest(get("minProperties", "long"), F.size(required).cast("long")), "max_props": F.least(get("maxProperties", "long"), F.when(closed, F.size(props).cast("long"))),
-    }
-    return F.struct(*(c.alias(k) for k, c in cols.items()))
+    narrow = lambda k, text: F.when(text.isNotNull() & ~text.isin("true", "false", "{}"), at(k))
+    first = F.struct(
+        listed.alias("types"), enum.alias("enum"), low.alias("low"), low_x.alias("low_x"), high.alias("high"), high_x.alias("high_x"), step.alias("step"), F.to_json(node).alias("text"), objects.alias("objects"),
+        required.alias("required"), prefix.alias("prefix"), (F.coalesce(rest == "false", F.lit(False))).alias("shut"), F.coalesce(items == "false", F.lit(False)).alias("no_items"),
+        whole_count("minContains").alias("min_contains"), has("contains").alias("contains"), F.size(patterns).alias("n_patterns"),
+    )
+
+    def second(x: Column) -> Column:
+        whole = F.coalesce(F.array_contains(x["types"], "integer") & ~F.array_contains(x["types"], "number"), F.lit(False))
+        lo, hi = F.greatest(x["low"], x["low_x"]), F.least(x["high"], x["high_x"])
+        lo_open, hi_open = F.coalesce(lo == x["low_x"], F.lit(False)), F.coalesce(hi == x["high_x"], F.lit(False))
+        up, down = F.ceil(lo).cast(EXACT), F.floor(hi).cast(EXACT)
+        lo_closed = F.when(whole, (up + (lo_open & (lo == up)).cast("int")).cast(EXACT)).otherwise(lo)
+        hi_closed = F.when(whole, (down - (hi_open & (hi == down)).cast("int")).cast(EXACT)).otherwise(hi)
+        never = F.map_keys(F.map_filter(x["objects"], lambda _, v: F.to_json(v) == "false"))
+        props = F.array_except(F.map_keys(x["objects"]), never)
+        step = F.when(whole & (F.lit(1).cast(EXACT) % x["step"] == 0), F.lit(None)).otherwise(x["step"])
+        closed = x["shut"] & (x["n_patterns"] == 0)
+        cols = {
+            "text": x["text"], "types": x["types"], "enum": x["enum"], "lo": lo_closed, "lo_open": lo_open & ~whole, "hi": hi_closed, "hi_open": hi_open & ~whole, "step": step.cast(EXACT), "whole": whole,
+            "min_len": whole_count("minLength"), "max_len": whole_count("maxLength"), "pattern": get("pattern", "string"),
+            "min_items": F.greatest(whole_count("minItems"), F.when(x["contains"], F.coalesce(x["min_contains"], F.lit(1)))), "max_items": F.least(whole_count("maxItems"), F.when(x["no_items"], F.size(x["prefix"]).cast("long"))), "uniq": F.coalesce(get("uniqueItems", "boolean"), F.lit(False)),
+            "props": props, "never": never, "free": F.map_keys(F.map_filter(x["objects"], lambda _, v: trivial(v))), "required": x["required"], "closed": closed, "shut": x["shut"], "deps": deps,
+            "at_props": pointers(x["objects"], "properties"), "at_pats": pointers(patterns, "patternProperties"), "at_rest": narrow("additionalProperties", rest), "at_names": narrow("propertyNames", F.to_json(raw("propertyNames"))), "names": F.to_json(raw("propertyNames")),
+            "at_items": narrow("items", items), "at_prefix": x["prefix"], "at_contains": F.when(x["contains"], at("contains")), "contains": F.to_json(raw("contains")),
+            "min_contains": F.coalesce(x["min_contains"], F.lit(1)), "max_contains": whole_count("maxContains"),
+            "opaque": odd | F.arrays_overlap(keys, F.array(*map(F.lit, ("dependentSchemas", "unevaluatedProperties", "unevaluatedItems", "$dynamicRef")))) | F.coalesce(whole & (step % 1 != 0), F.lit(False)) | F.exists(F.map_keys(patterns), lambda p: ~p.rlike(SAFE_PATTERN)),
+            "min_props": F.greatest(whole_count("minProperties"), F.size(x["required"]).cast("long")), "max_props": F.least(whole_count("maxProperties"), F.when(closed, F.size(props).cast("long"))),
+        }
+        return F.struct(*(c.alias(k) for k, c in cols.items()))
+
+    def third(x: Column) -> Column:
+        """Few values are written as an enum."""
+        kinds = lambda *ts: F.size(x["types"]) == F.size(F.array_intersect(x["types"], F.array(*map(F.lit, ts))))
+        few = F.when(kinds("boolean", "null"), F.array_sort(F.flatten(F.transform(x["types"], lambda t: F.when(t == "null", F.array(F.lit("null"))).otherwise(F.array(F.lit("false"), F.lit("true")))))))
+        one = F.when(kinds("integer", "number") & (x["lo"] == x["hi"]) & ~x["lo_open"] & ~x["hi_open"] & (x["lo"] % 1 == 0), F.array(x["lo"].cast("decimal(20,0)").cast("string")))
+        return x.withField("enum", F.coalesce(x["enum"], few, one))
+
+    return let(let(first, second), third)
