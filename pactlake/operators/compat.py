@@ -13,7 +13,7 @@ choices all fail says incompatible only where the split into choices is exact, u
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,7 +74,7 @@ def _fits(value: Column, node: Column, among: bool = True) -> Column:
     matched = F.when(pattern.isNull(), True).when(pattern.rlike(SAFE_PATTERN), _like(text, pattern))
     lengths = holds(length >= node["min_len"]) & holds(length <= node["max_len"]) & matched
     array_says = node["at_items"].isNotNull() | (F.size(node["at_prefix"]) > 0) | node["at_contains"].isNotNull() | node["min_items"].isNotNull() | node["max_items"].isNotNull() | node["uniq"]
-    object_says = (F.size(node["at_props"]) > 0) | (F.size(node["at_pats"]) > 0) | node["at_rest"].isNotNull() | node["at_names"].isNotNull() | node["shut"] | (F.size(node["required"]) > 0) | (F.size(node["deps"]) > 0) | node["min_props"].isNotNull() | node["max_props"].isNotNull()
+    object_says = (F.size(node["at_props"]) > 0) | (F.size(node["at_pats"]) > 0) | node["at_rest"].isNotNull() | node["at_names"].isNotNull() | node["shut"] | (F.size(node["required"]) > 0) | (F.size(node["deps"]) > 0) | F.coalesce(node["min_props"] > 0, F.lit(False)) | node["max_props"].isNotNull()
     own = F.when(kind.isin("integer", "number"), numeric).when(kind == "string", lengths)
     own = own.when((kind == "array") & array_says, F.lit(None).cast("boolean")).when((kind == "object") & object_says, F.lit(None).cast("boolean")).otherwise(True)
     listed = holds(F.array_contains(node["enum"], value)) if among else F.lit(True)
@@ -107,6 +107,11 @@ def _issues(raw: Column, sub: Column, sup: Column) -> Column:
     return let(_closure(sub["required"], sub["deps"]), lambda held: _rules(raw, sub, sup, held))
 
 
+@cache
+def _met_issues(_application: str) -> Column:
+    return _issues(F.col("direction") == "serializer", F.col("sub"), F.col("sup"))
+
+
 def _span(lo: Column, hi: Column) -> Column:
     """A range as text, an end without bound as ..."""
     plain = lambda c: F.coalesce(F.regexp_replace(c.cast("string"), r"(\.[0-9]*?)0+$", "$1"), F.lit(".."))
@@ -151,7 +156,7 @@ def _rules(raw: Column, sub: Column, sup: Column, held: Column) -> Column:
         ("maxLength", text & above(sub["max_len"], sup["max_len"]), ends("lengths", "min_len", "max_len")),
         ("pattern", text & sup["pattern"].isNotNull() & ~sub["pattern"].eqNullSafe(sup["pattern"]), says("pattern ", sup["pattern"], " is not kept")),
         ("properties", obj & sup["shut"] & (F.size(only_sub) > 0), says("declared property '", first(only_sub), "' is not accepted")),
-        ("properties", obj & raw & ~sub["shut"] & sub["at_rest"].isNull() & (F.size(sub["at_pats"]) == 0) & (F.size(only_sup) > 0), says("undeclared property '", first(only_sup), "' may not fit")),
+        ("properties", obj & raw & ~sub["shut"] & sub["at_rest"].isNull() & (F.size(sub["at_pats"]) == 0) & sub["at_names"].isNull() & (F.size(only_sup) > 0), says("undeclared property '", first(only_sup), "' may not fit")),
         ("additionalProperties", obj & sup["shut"] & ~sub["shut"] & (raw | (F.size(sup["at_pats"]) == 0)), says("additional properties are not accepted")),
         ("dependentRequired", obj & (F.size(needs) > 0), says("property '", first(needs)["name"], "' no longer comes with '", first(needs)["trigger"], "'")),
         ("contains", arr & same_contained & ((sub["min_contains"] < sup["min_contains"]) | above(sub["max_contains"], sup["max_contains"])), says("fewer or more contained items are possible")),
@@ -164,9 +169,10 @@ def _rules(raw: Column, sub: Column, sup: Column, held: Column) -> Column:
         ("uniqueItems", arr & sup["uniq"] & ~sub["uniq"] & ~n(sub["max_items"] <= 1), says("items may repeat")),
     ]
     told = [F.when(n(test), F.struct(F.lit(i).alias("rank"), F.lit(k).alias("keyword"), m.alias("message"))) for i, (k, test, m) in enumerate(rules)]
-    unknown = F.when(n(unseen) | (free & (sub["opaque"] | sup["opaque"]) & (sub["text"] != sup["text"])) | (listed & sup["opaque"]), F.struct(F.lit(99).alias("rank"), F.lit("unknown").alias("keyword"), F.lit("outside the compared fragment").alias("message")))
+    # What sub says besides only makes it smaller; a broken rule proves nothing then.
+    unknown = F.when(n(unseen) | sup["opaque"] | sup["odd_pats"] | sub["odd_pats"], F.struct(F.lit(99).alias("rank"), F.lit("unknown").alias("keyword"), F.lit("outside the compared fragment").alias("message")))
     settled = ((sub["text"] == sup["text"]) & ~F.contains(sub["text"], F.lit('"$ref"'))) | _no_value(sub, held)
-    return F.when(settled, F.array().cast(_ISSUE)).otherwise(F.array_compact(F.array(*told, unknown)).cast(_ISSUE))
+    return F.when(settled, F.array().cast(_ISSUE)).otherwise(let(F.array_compact(F.array(*told, unknown)).cast(_ISSUE), lambda found: F.when(sub["opaque"], F.transform(found, lambda i: i.withField("keyword", F.lit("unknown")).withField("rank", F.lit(99)))).otherwise(found)))
 
 
 def node_issues(nodes: DataFrame, pairs: DataFrame, pair: list[str]) -> DataFrame:
@@ -177,7 +183,7 @@ def node_issues(nodes: DataFrame, pairs: DataFrame, pair: list[str]) -> DataFram
     forth = F.col("direction") == "serializer"
     met = met.select(*pair, "direction", "pointer", F.when(forth, F.col("w")).otherwise(F.col("o")).alias("sub"), F.when(forth, F.col("o")).otherwise(F.col("w")).alias("sup"))
     met = met.filter(~F.col("pointer").rlike(_APART) | F.col("pointer").rlike(r"/items$") & F.col("sub.text").startswith("{") & F.col("sup.text").startswith("{"))
-    found = met.select(*pair, "direction", "pointer", F.explode(_issues(forth, F.col("sub"), F.col("sup"))).alias("i"))
+    found = met.select(*pair, "direction", "pointer", F.explode(_met_issues(nodes.sparkSession.sparkContext.applicationId)).alias("i"))
     return found.select(*pair, "direction", "pointer", "i.keyword", "i.message", "i.rank")
 
 
@@ -245,10 +251,16 @@ def graph(docs: DataFrame, ids: list[str]) -> DataFrame:
         both = F.when(F.size("lists") > 0, F.aggregate("lists", F.array(*map(F.lit, _TYPES)), F.array_intersect))
         either = F.when(F.size("lists") == F.col("n"), F.array_distinct(F.flatten("lists")))
         table = table.join(found.select(*ids, "pointer", F.when(F.col("kind") == "all", both).otherwise(either).alias("_t")), [*ids, "pointer"], "left").withColumn("types", F.coalesce("types", "_t")).drop("_t")
+    links = settle(table.filter("kind <> 'plain'").select(*ids, "pointer", F.explode("kids").alias("kid")).join(table.filter("kind <> 'plain'").select(*ids, F.col("pointer").alias("kid")), [*ids, "kid"], "left_semi").select(*ids, "pointer", "kid"))
+    for _ in range(4):  # whatever combines itself again within 16 steps, without a property or item between, says nothing
+        links = links.unionByName(links.join(links.select(*ids, F.col("pointer").alias("kid"), F.col("kid").alias("next")), [*ids, "kid"]).select(*ids, "pointer", F.col("next").alias("kid"))).distinct()
+    loops = links.filter("pointer = kid").select(*ids, "pointer", F.lit(True).alias("_loop"))
+    table = table.join(loops, [*ids, "pointer"], "left").withColumn("kind", F.when(F.col("_loop").isNull(), F.col("kind"))).drop("_loop")
     kid_types = table.filter("kind = 'one'").select(*ids, "pointer", F.posexplode("kids").alias("i", "kid")).join(table.select(*ids, F.col("pointer").alias("kid"), F.coalesce(widened(F.col("types")), F.array(*map(F.lit, _TYPES))).alias("kt")), [*ids, "kid"])
     kid_types = kid_types.groupBy(*ids, "pointer").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "kt"))), lambda x: x["kt"]).alias("kid_types"))
     merged = table.filter("kind = 'all'").select(*ids, "pointer", F.explode("kids").alias("kid")).join(table.filter("kind = 'plain' AND n.enum IS NULL").select(*ids, F.col("pointer").alias("kid"), "n"), [*ids, "kid"])
     merged = merged.groupBy(*ids, "pointer").agg(F.collect_list("n").alias("ns")).filter(F.size("ns") > 1)
+    merged = merged.join(table.select(*ids, "pointer", "kids"), [*ids, "pointer"]).withColumn("ns", F.when(F.size("ns") < F.size("kids"), F.transform("ns", lambda n: n.withField("opaque", F.lit(True)))).otherwise(F.col("ns")))
     merged = merged.select(*ids, F.concat("pointer", F.lit("!both")).alias("pointer"), F.lit("plain").alias("kind"), F.aggregate(F.slice("ns", 2, 100_000), F.get("ns", F.lit(0)), _narrowed).alias("n"), strings().alias("kids"), F.lit(None).cast("string").alias("say"), F.lit("").alias("text"), F.lit(None).cast(_STRINGS).alias("types"))
     return settle(table.unionByName(merged).join(kid_types, [*ids, "pointer"], "left"))
 
@@ -268,18 +280,26 @@ def _narrowed(a: Column, b: Column) -> Column:
     for k in ("step", "pattern", "at_names", "names", "at_items", "at_contains", "contains", "max_contains"):
         out = out.withField(k, F.coalesce(a[k], b[k]))
     later = F.map_filter(b["at_props"], lambda k, _: ~F.map_contains_key(a["at_props"], k))
-    out = out.withField("at_props", F.map_concat(a["at_props"], later)).withField("uniq", a["uniq"] | b["uniq"]).withField("opaque", F.lit(True))
+    out = out.withField("at_props", F.map_concat(a["at_props"], later)).withField("uniq", a["uniq"] | b["uniq"])
+    nested = lambda x: (F.size(x["at_props"]) > 0) | (F.size(x["at_pats"]) > 0) | x["shut"] | x["at_rest"].isNotNull() | x["at_names"].isNotNull() | x["at_items"].isNotNull() | (F.size(x["at_prefix"]) > 0) | x["at_contains"].isNotNull() | (F.size(x["deps"]) > 0)
+    vague = (a["pattern"] != b["pattern"]) | (a["step"] != b["step"]) | (F.size(a["types"]) == 0)
+    out = out.withField("odd_pats", a["odd_pats"] | b["odd_pats"]).withField("opaque", a["opaque"] | b["opaque"] | (nested(a) & nested(b)) | F.coalesce(vague, F.lit(False)))
     for k in ("props", "never", "required"):
         out = out.withField(k, F.array_union(a[k], b[k]))
     return out.withField("text", F.concat(F.lit("both "), a["text"], b["text"]))
 
 
-_EDGES = "array<struct<clause:string,choice:string,exact:boolean,flip:boolean,sp:string,tp:string>>"
+_EDGES = "array<struct<clause:string,choice:string,exact:int,flip:boolean,sp:string,tp:string>>"
 
 
 def _steps(raw: Column, s: Column, t: Column) -> Column:
     """The clauses of the goal that node s lies within node t, as an array of edges to further goals."""
-    edge = lambda clause, choice, sp, tp, exact=False, flip=False: F.struct(*(x.alias(k) for x, k in zip((clause if isinstance(clause, Column) else F.lit(clause), choice if isinstance(choice, Column) else F.lit(choice), exact if isinstance(exact, Column) else F.lit(exact), F.lit(flip), sp if isinstance(sp, Column) else F.lit(sp), tp), ("clause", "choice", "exact", "flip", "sp", "tp"), strict=True)))
+    as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
+
+    def edge(clause, choice, sp, tp, exact=0, flip: bool = False) -> Column:
+        """exact: 2 if the clause holds just when this choice does, 1 if just when some of its choices does."""
+        return F.struct(as_col(clause).alias("clause"), as_col(choice).alias("choice"), as_col(exact).cast("int").alias("exact"), F.lit(flip).alias("flip"), as_col(sp).alias("sp"), as_col(tp).alias("tp"))
+
     none = F.array().cast(_EDGES)
     some = lambda test, edges: F.when(F.coalesce(test, F.lit(False)), edges).otherwise(none)
     one = lambda test, e: some(test, F.array(e))
@@ -288,14 +308,14 @@ def _steps(raw: Column, s: Column, t: Column) -> Column:
     single = F.coalesce((s["kind"] == "plain") & (F.size(s["n"]["enum"]) == 1), F.lit(False))
     # Where s is split: all its shares must lie in t.
     parts = [
-        some(s["kind"].isin("any", "one"), F.transform(s["kids"], lambda k: edge("x", "each", k, to, exact=s["kind"] == "any"))),
-        some(s["kind"] == "all", F.transform(s["kids"], lambda k: edge("x", F.concat(F.lit("k"), k), k, to))),
-        one(s["kind"] == "all", edge("x", "both", F.concat(at, F.lit("!both")), to)),
+        some(s["kind"].isin("any", "one"), F.transform(s["kids"], lambda k: edge("x", "each", k, to, exact=F.when(s["kind"] == "any", 2).otherwise(0)))),
+        some(s["kind"] == "all", F.transform(s["kids"], lambda k: edge("x", F.concat(F.lit("k"), k), k, to, exact=F.when(F.size(s["kids"]) == 1, 2).otherwise(0)))),
+        one((s["kind"] == "all") & (F.size(s["kids"]) > 1), edge("x", "both", F.concat(at, F.lit("!both")), to, exact=2)),
         some(s["kind"] == "if", F.array(edge("x", "then", kid(s, 1), to), edge("x", "then", kid(s, 2), to))),
     ]
     shares = [
-        some((s["kind"] == "plain") & s["n"]["enum"].isNull() & (F.size(s["n"]["types"]) > 1), F.transform(s["n"]["types"], lambda x: edge("x", "types", F.concat(at, F.lit("!t"), x), to, exact=True))),
-        some((s["kind"] == "plain") & (F.size(s["n"]["enum"]) > 1), F.transform(s["n"]["enum"], lambda x: edge("x", "values", F.concat(at, F.lit("!e"), x), to, exact=True))),
+        some((s["kind"] == "plain") & s["n"]["enum"].isNull() & (F.size(s["n"]["types"]) > 1), F.transform(s["n"]["types"], lambda x: edge("x", "types", F.concat(at, F.lit("!t"), x), to, exact=2))),
+        some((s["kind"] == "plain") & (F.size(s["n"]["enum"]) > 1), F.transform(s["n"]["enum"], lambda x: edge("x", "values", F.concat(at, F.lit("!e"), x), to, exact=2))),
     ]
     any_type = F.coalesce(s["types"], F.array(*map(F.lit, _TYPES)))
     s_types = F.when(F.array_contains(any_type, "number"), F.array_union(any_type, F.array(F.lit("integer")))).otherwise(any_type)
@@ -330,18 +350,19 @@ def _inner(raw: Column, s: Column, t: Column, at: Column, edge, none: Column) ->
     by_pattern = F.flatten(F.transform(s_names, lambda k: F.transform(F.filter(t_pats, lambda p: _like(k, p)), lambda p: edge(F.concat(F.lit("q"), k, F.lit("/"), p), "it", get(s["at_props"], k), get(t["at_pats"], p), exact=True))))
     outside = F.filter(F.array_except(s_names, t_names), lambda k: ~F.exists(t_pats, lambda p: _like(k, p)))
     extra = some(t["at_rest"].isNotNull(), F.transform(outside, lambda k: edge(F.concat(F.lit("x"), k), "it", get(s["at_props"], k), t["at_rest"], exact=True)))
-    lacking = F.array_except(t_names, s_names)
+    lacking = F.filter(F.array_except(t_names, s_names), lambda k: F.coalesce(F.array_contains(s["name_list"], k), F.lit(True)))
+    named = s["at_names"].isNull() | s["name_list"].isNotNull()
     patterned = lambda k: F.filter(s_pats, lambda p: _like(k, p))
-    unsaid = some(raw, F.flatten(F.transform(lacking, lambda k: F.when(F.size(patterned(k)) > 0, F.transform(patterned(k), lambda p: edge(F.concat(F.lit("y"), k), p, get(s["at_pats"], p), get(t["at_props"], k)))).when(~s["shut"], F.array(edge(F.concat(F.lit("y"), k), "it", beyond, get(t["at_props"], k), exact=True))).otherwise(none))))
+    unsaid = some(raw, F.flatten(F.transform(lacking, lambda k: F.when(F.size(patterned(k)) > 0, F.transform(patterned(k), lambda p: edge(F.concat(F.lit("y"), k), p, get(s["at_pats"], p), get(t["at_props"], k)))).when(~s["shut"], F.array(edge(F.concat(F.lit("y"), k), "it", beyond, get(t["at_props"], k), exact=named))).otherwise(none))))
     patterns = F.flatten(F.transform(t_pats, lambda q: F.flatten(F.array(
         F.transform(F.filter(s_pats, lambda p: p == q), lambda p: edge(F.concat(F.lit("r"), q), "it", get(s["at_pats"], p), get(t["at_pats"], q), exact=True)),
         F.transform(F.filter(s_pats, lambda p: (p != q) & ~F.array_contains(s_pats, q)), lambda p: edge(F.concat(F.lit("r"), q, F.lit("/"), p), "it", get(s["at_pats"], p), get(t["at_pats"], q))),
         some(raw & ~s["shut"] & ~F.array_contains(s_pats, q), F.array(edge(F.concat(F.lit("s"), q), "it", beyond, get(t["at_pats"], q)))),
     ))))
-    rest = some(raw & t["at_rest"].isNotNull() & ~s["shut"], F.array(edge("rest", "it", beyond, t["at_rest"], exact=True)))
+    rest = some(raw & t["at_rest"].isNotNull() & ~s["shut"], F.array(edge("rest", "it", beyond, t["at_rest"], exact=s["at_names"].isNull())))
     strays = some(t["at_rest"].isNotNull() | t["shut"], F.transform(F.array_except(s_pats, t_pats), lambda p: edge(F.concat(F.lit("z"), p), "it", get(s["at_pats"], p), F.coalesce(t["at_rest"], F.lit("none")))))
     names = some(t["at_names"].isNotNull(), F.flatten(F.array(
-        some(s["at_names"].isNotNull(), F.array(edge("names", "names", s["at_names"], t["at_names"]))),
+        some(s["at_names"].isNotNull(), F.array(edge("names", "names", s["at_names"], t["at_names"], exact=raw & ~s["shut"] & (F.size(s_pats) == 0) & s["name_list"].isNotNull()))),
         some((F.size(s_pats) == 0) & (s["shut"] | ~raw), F.array(edge("names", "listed", F.when(F.size(s_names) > 0, F.concat(at, F.lit("!names"))).otherwise("true"), t["at_names"], exact=F.size(s_names) > 0))),
         some((F.size(s_pats) > 0) | (raw & ~s["shut"] & s["at_names"].isNull()), F.array(edge("names", "any", true, t["at_names"], exact=s["at_names"].isNull() & (F.size(s_pats) == 0)))),
     )))
@@ -384,15 +405,16 @@ def _goal_values(goals: DataFrame, pair: list[str]) -> DataFrame:
     edges = goals.select(*key, F.explode("edges").alias("e"))
     edges = settle(edges.select(*key, "e.clause", "e.choice", "e.exact", *pair_as(pair, "c_"), F.col("direction").alias("c_direction"), (F.col("flip") != F.col("e.flip")).alias("c_flip"), F.col("e.sp").alias("c_sp"), F.col("e.tp").alias("c_tp")))
     values = settle(goals.select(*key, F.col("own").alias("value")))
-    choices = settle(edges.groupBy(*key).agg(F.count_distinct("clause", "choice").alias("n"), F.count_distinct("clause").alias("m"), F.min(F.col("exact").cast("int")).alias("exact")).filter("n > m OR exact = 0").groupBy(*pair, "direction").count())
+    choices = settle(edges.groupBy(*key).agg(F.count_distinct("clause", "choice").alias("n"), F.count_distinct("clause").alias("m"), F.min("exact").alias("exact")).filter("n > m OR exact = 0").groupBy(*pair, "direction").count())
     single = values.join(choices, [*pair, "direction"], "left_anti").groupBy(*pair, "direction").agg(F.min("value").alias("value"))
     values, edges = values.join(choices, [*pair, "direction"], "left_semi"), edges.join(choices, [*pair, "direction"], "left_semi")
     own, total = values, None
     while True:
         child = values.select(*[F.col(k).alias(f"c_{k}") for k in key], F.col("value").alias("v"))
         met = edges.join(child, [f"c_{k}" for k in key])
-        chosen = met.groupBy(*key, "clause", "choice").agg(F.min("v").alias("v"), F.min(F.col("exact").cast("int")).alias("exact"))
-        clauses = chosen.groupBy(*key, "clause").agg(F.max(F.when((F.col("exact") == 0) & (F.col("v") < 1), 1).otherwise(F.col("v"))).alias("v"))
+        chosen = met.groupBy(*key, "clause", "choice").agg(F.min("v").alias("v"), F.min("exact").alias("exact"))
+        none = F.max(F.when((F.col("exact") == 0) | (F.col("v") > 0), 1).otherwise(0)) == 0
+        clauses = chosen.groupBy(*key, "clause").agg(F.when(F.max("v") == 2, 2).when(none | (F.max((F.col("exact") == 2) & (F.col("v") == 0))), 0).otherwise(1).alias("v"))
         lowered = own.join(clauses.groupBy(*key).agg(F.min("v").alias("v")), key, "left")
         values = settle(lowered.select(*key, F.least("value", F.coalesce("v", "value")).alias("value")))
         before, total = total, values.agg(F.coalesce(F.sum("value"), F.lit(0))).first()[0]
@@ -406,6 +428,44 @@ def pair_as(pair: list[str], prefix: str) -> list[Column]:
     return [F.col(k).alias(prefix + k) for k in pair]
 
 
+@cache
+def _judged(_application: str) -> Column:
+    """Struct of own (2 within, 0 not within, 1 not decided, by the two nodes alone), told (issues) and edges, from the
+    columns direction, flip, s and t. It is large, so it is built once for an application."""
+    s, t = F.col("s"), F.col("t")
+    n = lambda c: F.coalesce(c, F.lit(False))
+    raw = (F.col("direction") == "serializer") | F.col("flip")
+    same = n((s["text"] == t["text"]) & (F.contains("sp", F.lit("!")) == F.contains("tp", F.lit("!"))) & ~F.contains(s["text"], F.lit('"$ref"')) & (s["kind"] == t["kind"]))
+    both = n((s["kind"] == "plain") & (t["kind"] == "plain"))
+    everything = n((t["kind"] == "plain") & t["n"]["text"].isin("true", "{}"))
+    refusal = n((s["kind"] == "plain") & (t["kind"] == "not"))
+    own_types = F.when(F.array_contains(t["types"], "number"), F.array_union(t["types"], F.array(F.lit("integer")))).otherwise(t["types"])
+    every = F.array(*map(F.lit, _TYPES))
+    spared = F.when(s["n"]["enum"].isNotNull(), every).otherwise(F.array_except(every, F.when(F.array_contains(s["n"]["types"], "number"), F.array_append(s["n"]["types"], F.lit("integer"))).otherwise(s["n"]["types"])))
+    held = F.when(s["kind"] == "plain", F.when(~s["n"]["opaque"], F.coalesce(s["types"], every))).when(s["kind"] == "not", spared)
+    foreign = n((t["kind"] != "not") & ((s["kind"] == "not") | (t["kind"] != "plain")) & (F.size(F.array_except(held, own_types)) > 0))
+
+    def judge(nothing: Column) -> Column:
+        sure = same | everything | nothing
+        told = F.when(both & ~sure, _issues(raw, s["n"], t["n"])).otherwise(F.array().cast(_ISSUE))
+        hit = F.exists(s["n"]["enum"], lambda v: n(_fits(v, s["n"], False) & _fits(v, t["n"])))
+        told = F.when(~sure & refusal & n(t["n"]["text"].isin("true", "{}") | hit), _one_issue("not", "a value is excluded")).when(~sure & foreign, _one_issue("type", "a type is accepted by no branch")).otherwise(told)
+        fine = sure | (refusal & _disjoint(s["n"], t["n"]))
+        steps = F.when(fine, F.array().cast(_EDGES)).otherwise(_steps(raw, s, t).cast(_EDGES))
+        return let(F.struct(fine.alias("fine"), told.alias("told"), steps.alias("edges")), summed)
+
+    def summed(x: Column) -> Column:
+        broken = F.exists(x["told"], lambda i: i["keyword"] != "unknown")
+        own = F.when(x["fine"], 2).when(broken, 0).when((F.size(x["told"]) > 0) | (~both & (F.size(x["edges"]) == 0)), 1).otherwise(2)
+        return F.struct(own.alias("own"), x["told"].alias("told"), x["edges"].alias("edges"))
+
+    return let(n((s["kind"] == "plain") & _no_value(s["n"], s["n"]["required"])), judge)
+
+
+def _one_issue(keyword: str, message: str) -> Column:
+    return F.array(F.struct(F.lit(50).alias("rank"), F.lit(keyword).alias("keyword"), F.lit(message).alias("message"))).cast(_ISSUE)
+
+
 def goal_issues(pairs: DataFrame, pair: list[str]) -> DataFrame:
     """The rows of node_issues for pairs (pair..., role, old, new) whose contracts refer and combine."""
     docs = pairs.select(*pair, F.explode(F.array(F.struct(F.lit("old").alias("side"), F.col("old").alias("schema_json")), F.struct(F.lit("new").alias("side"), F.col("new").alias("schema_json")))).alias("d")).select(*pair, "d.*")
@@ -414,26 +474,12 @@ def goal_issues(pairs: DataFrame, pair: list[str]) -> DataFrame:
     side = lambda name: nodes.select(*pair, F.col("side").alias(f"{name}_side"), F.col("pointer").alias(f"{name}p"), F.struct(*cols).alias(name))
     fresh = pairs.select(*pair, directions(F.col("role")).alias("direction"), F.lit(False).alias("flip"), F.lit("#").alias("sp"), F.lit("#").alias("tp"))
     key, done = [*pair, "direction", "flip", "sp", "tp"], []
+    judged = _judged(pairs.sparkSession.sparkContext.applicationId)
     while True:
         forth = (F.col("direction") == "serializer") != F.col("flip")
         met = fresh.withColumns({"s_side": F.when(forth, "new").otherwise("old"), "t_side": F.when(forth, "old").otherwise("new")})
         met = met.join(side("s"), [*pair, "s_side", "sp"], "left").join(side("t"), [*pair, "t_side", "tp"], "left")
-        s, t = F.col("s"), F.col("t")
-        raw = (F.col("direction") == "serializer") | F.col("flip")
-        same = F.coalesce((s["text"] == t["text"]) & (F.size(F.split("sp", "!")) == F.size(F.split("tp", "!"))) & ~F.contains(s["text"], F.lit('"$ref"')) & (s["kind"] == t["kind"]), F.lit(False))
-        everything = F.coalesce((t["kind"] == "plain") & t["n"]["text"].isin("true", "{}"), F.lit(False))
-        nothing = F.coalesce((s["kind"] == "plain") & _no_value(s["n"], s["n"]["required"]), F.lit(False))
-        sure = same | everything | nothing
-        plain = F.coalesce((s["kind"] == "plain") & (t["kind"] == "plain"), F.lit(False))
-        told = F.when(plain & ~sure, _issues(raw, s["n"], t["n"])).otherwise(F.array().cast(_ISSUE))
-        refuted = F.exists(s["n"]["enum"], lambda v: F.coalesce(_fits(v, s["n"], False) & _fits(v, t["n"]), F.lit(False)))
-        apart = F.coalesce((s["kind"] == "plain") & (t["kind"] == "not") & _disjoint(s["n"], t["n"]), F.lit(False))
-        denied = F.coalesce((s["kind"] == "plain") & (t["kind"] == "not") & ((t["n"]["text"].isin("true", "{}")) | refuted), F.lit(False))
-        steps = F.when(sure | apart, F.array().cast(_EDGES)).otherwise(_steps(raw, s, t).cast(_EDGES))
-        broken = F.exists("told", lambda i: i["keyword"] != "unknown")
-        own = F.when(F.col("fine"), 2).when(broken | F.col("denied"), 0).when((F.size("told") > 0) | (~F.col("plain") & (F.size("edges") == 0)), 1).otherwise(2)
-        found = met.select(*key, plain.alias("plain"), told.alias("told"), steps.alias("edges"), (sure | apart).alias("fine"), denied.alias("denied"))
-        found = settle(found.select(*key, own.alias("own"), "told", "edges"))
+        found = settle(met.select(*key, judged.alias("j")).select(*key, "j.*"))
         done.append(found)
         ahead = found.select(*pair, "direction", "flip", F.explode("edges").alias("e")).select(*pair, "direction", (F.col("flip") != F.col("e.flip")).alias("flip"), "e.sp", "e.tp").distinct()
         known = reduce(DataFrame.unionByName, [d.select(*key) for d in done])

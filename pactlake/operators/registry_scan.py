@@ -25,6 +25,8 @@ OF_TYPE = {"string": ("minLength", "maxLength", "pattern"), "number": ("minimum"
 SAFE_PATTERN = r"^\^?(?:(?:[A-Za-z0-9_ /:-]|\[(?:a-z|A-Z|0-9|1-9|a-f|A-F|[A-Za-z0-9_])+\]|\\[dwsDWS.]|\.)(?:[*+?]|\{[0-9]+,?\})?)*\$?$"
 _NODES = "array<struct<pointer:string,node:variant>>"
 SAFE = 2**53 - 1
+#: Divisors of a million: a step with up to six digits after the point is whole that many times.
+_SHARES = sorted(2**i * 5**j for i in range(7) for j in range(7))
 
 
 def escaped(key: Column) -> Column:
@@ -211,17 +213,19 @@ def normalised(node: Column, pointer: Column) -> Column:
         hi_closed = F.when(whole, (down - (hi_open & (hi == down)).cast("int")).cast(EXACT)).otherwise(hi)
         never = F.map_keys(F.map_filter(x["objects"], lambda _, v: F.to_json(v) == "false"))
         props = F.array_except(F.map_keys(x["objects"]), never)
-        step = F.when(whole & (F.lit(1).cast(EXACT) % x["step"] == 0), F.lit(None)).otherwise(x["step"])
+        often = F.get(F.filter(F.array(*map(F.lit, _SHARES)), lambda k: (x["step"] * k) % 1 == 0), F.lit(0))  # so many steps are whole
+        step = F.when(whole, F.nullif(x["step"] * often, F.lit(1))).otherwise(x["step"])
         closed = x["shut"] & (x["n_patterns"] == 0)
         cols = {
             "text": x["text"], "types": x["types"], "enum": x["enum"], "lo": lo_closed, "lo_open": lo_open & ~whole, "hi": hi_closed, "hi_open": hi_open & ~whole, "step": step.cast(EXACT), "whole": whole,
             "min_len": whole_count("minLength"), "max_len": whole_count("maxLength"), "pattern": get("pattern", "string"),
             "min_items": F.greatest(whole_count("minItems"), F.when(x["contains"], F.coalesce(x["min_contains"], F.lit(1)))), "max_items": F.least(whole_count("maxItems"), F.when(x["no_items"], F.size(x["prefix"]).cast("long"))), "uniq": F.coalesce(get("uniqueItems", "boolean"), F.lit(False)),
             "props": props, "never": never, "free": F.map_keys(F.map_filter(x["objects"], lambda _, v: trivial(v))), "required": x["required"], "closed": closed, "shut": x["shut"], "deps": deps,
-            "at_props": pointers(x["objects"], "properties"), "at_pats": pointers(patterns, "patternProperties"), "at_rest": narrow("additionalProperties", rest), "at_names": narrow("propertyNames", F.to_json(raw("propertyNames"))), "names": F.to_json(raw("propertyNames")),
+            "at_props": pointers(x["objects"], "properties"), "at_pats": pointers(patterns, "patternProperties"), "at_rest": narrow("additionalProperties", rest), "at_names": narrow("propertyNames", F.to_json(raw("propertyNames"))), "names": F.to_json(raw("propertyNames")), "name_list": F.try_variant_get(raw("propertyNames"), "$.enum", "array<string>"),
             "at_items": narrow("items", items), "at_prefix": x["prefix"], "at_contains": F.when(x["contains"], at("contains")), "contains": F.to_json(raw("contains")),
             "min_contains": F.coalesce(x["min_contains"], F.lit(1)), "max_contains": whole_count("maxContains"),
-            "opaque": odd | F.arrays_overlap(keys, F.array(*map(F.lit, ("dependentSchemas", "unevaluatedProperties", "unevaluatedItems", "$dynamicRef")))) | F.coalesce(whole & (step % 1 != 0), F.lit(False)) | F.exists(F.map_keys(patterns), lambda p: ~p.rlike(SAFE_PATTERN)),
+            "opaque": odd | F.arrays_overlap(keys, F.array(*map(F.lit, ("dependentSchemas", "unevaluatedProperties", "unevaluatedItems", "$dynamicRef")))) | (whole & x["step"].isNotNull() & often.isNull()),
+            "odd_pats": F.exists(F.map_keys(patterns), lambda p: ~p.rlike(SAFE_PATTERN)),
             "min_props": F.greatest(whole_count("minProperties"), F.size(x["required"]).cast("long")), "max_props": F.least(whole_count("maxProperties"), F.when(closed, F.size(props).cast("long"))),
         }
         return F.struct(*(c.alias(k) for k, c in cols.items()))
