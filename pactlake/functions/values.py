@@ -220,6 +220,12 @@ class Variant(Typed):
         return Variant(col)
 
 
+def once(df, to: str, value: Column):
+    """df with a column evaluated once a row: as it is generated, filters on it are not pushed below it, where each of
+    their references would evaluate it again."""
+    return df.select("*", F.explode(F.array(value)).alias(to))
+
+
 def value_of(df, column: str) -> Typed:
     kind = df.schema[column].dataType
     return Variant(F.col(column)) if isinstance(kind, T.VariantType) else Typed(F.col(column), kind)

@@ -40,7 +40,7 @@ def user_registry(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame
 
 
 def _nodes(spark, sf_dir, shift=0):
-    return registry_scan.schema_nodes(user_registry(spark, sf_dir, shift), _ONE, max_depth=3)
+    return registry_scan.schema_nodes(user_registry(spark, sf_dir, shift), _ONE)
 
 
 def _constraints(spark, sf_dir):
@@ -182,7 +182,7 @@ def _rule(old: str, new: str) -> Callable[[SparkSession, str], DataFrame]:
         n = table(spark, sf_dir, "events").filter("user_id IS NOT NULL").groupBy(F.col("user_id").alias("stable_id")).agg(((F.count("event_id") - odd) % 7).alias("a"), (odd % 7).alias("b"))
         text = lambda t, c: F.replace(F.lit(t), F.lit("%s"), F.col(c).cast("string"))
         pairs = n.select("stable_id", F.lit("both").alias("role"), text(old, "a").alias("old"), text(new, "b").alias("new"))
-        return compat.check_compat(pairs, _ONE, max_depth=1).select("stable_id", "direction", "verdict")
+        return compat.check_compat(pairs, _ONE).select("stable_id", "direction", "verdict")
 
     return run
 

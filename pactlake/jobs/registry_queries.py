@@ -1,5 +1,5 @@
-"""Queries over registries that Spark derives from the driver tables: per user and month, a contract observed from
-that month's events."""
+"""Queries over registries that Spark derives from the driver tables: per user and week, a contract observed from
+that week's events. The registry grows with the users and the weeks."""
 
 from __future__ import annotations
 
@@ -15,20 +15,21 @@ _ID = ["stable_id", "version"]
 
 def observed_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(stable_id, version, schema_json) from events; key-sorted compact JSON."""
-    e = table(spark, sf_dir, "events")
-    per = e.groupBy((F.col("user_id") % 200).alias("stable_id"), (F.dayofmonth("ts") % 4 + 1).alias("version")).agg(F.floor(F.min("value")).alias("lo"), F.ceil(F.max("value")).alias("hi"), F.array_sort(F.collect_set("event_type")).alias("kinds"))
+    e = table(spark, sf_dir, "events").filter("user_id IS NOT NULL")
+    week = (F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 7) + 1).cast("int")
+    per = e.groupBy(F.col("user_id").alias("stable_id"), week.alias("version")).agg(F.floor(F.min("value")).alias("lo"), F.ceil(F.max("value")).alias("hi"), F.array_sort(F.collect_set("event_type")).alias("kinds"))
     enum = F.array_join(F.transform("kinds", lambda k: F.concat(F.lit('"'), k, F.lit('"'))), ",")
     paid = F.when(F.array_contains("kinds", "purchase"), F.lit('"event_type","value"')).otherwise(F.lit('"event_type"'))
     text = F.format_string('{"properties":{"event_type":{"enum":[%s],"type":"string"},"value":{"maximum":%d,"minimum":%d,"type":"number"}},"required":[%s],"type":"object"}', enum, "hi", "lo", paid)
     return per.select("stable_id", "version", text.alias("schema_json"))
 
 
-_PER = "SELECT user_id % 200 AS stable_id, day(ts) % 4 + 1 AS version, CAST(floor(min(value)) AS BIGINT) AS lo, CAST(ceil(max(value)) AS BIGINT) AS hi, list_sort(list_distinct(list(event_type))) AS kinds FROM events GROUP BY 1, 2"
+_PER = "SELECT user_id AS stable_id, CAST(floor(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7.0) AS INTEGER) + 1 AS version, CAST(floor(min(value)) AS BIGINT) AS lo, CAST(ceil(max(value)) AS BIGINT) AS hi, list_sort(list_distinct(list(event_type))) AS kinds FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2"
 _TEXT = """'{"properties":{"event_type":{"enum":[' || array_to_string(list_transform(kinds, lambda k: '"' || k || '"'), ',') || '],"type":"string"},"value":{"maximum":' || hi || ',"minimum":' || lo || ',"type":"number"}},"required":[' || CASE WHEN list_contains(kinds, 'purchase') THEN '"event_type","value"' ELSE '"event_type"' END || '],"type":"object"}'"""
 _REG = f"reg AS (SELECT stable_id, version, lo, hi, kinds, {_TEXT} AS schema_json FROM ({_PER}))"
 _PAIRS = f"""WITH {_REG}, pairs AS (SELECT * FROM (SELECT stable_id, version, lo, hi, kinds, schema_json, lag(lo) OVER w AS olo, lag(hi) OVER w AS ohi, lag(kinds) OVER w AS okinds, lag(schema_json) OVER w AS old_json FROM reg WINDOW w AS (PARTITION BY stable_id ORDER BY version)) WHERE old_json IS NOT NULL),
 sides AS (SELECT stable_id, version, 'serializer' AS direction, lo AS blo, hi AS bhi, kinds AS bk, olo AS plo, ohi AS phi, okinds AS pk FROM pairs UNION ALL SELECT stable_id, version, 'deserializer', olo, ohi, okinds, lo, hi, kinds FROM pairs),
-broken AS (SELECT stable_id, version, direction, CASE WHEN list_contains(pk, 'purchase') AND NOT list_contains(bk, 'purchase') THEN ['#', 'required'] WHEN len(list_filter(bk, lambda k: NOT list_contains(pk, k))) > 0 THEN ['#/properties/event_type', 'enum'] WHEN blo < plo THEN ['#/properties/value', 'minimum'] WHEN bhi > phi THEN ['#/properties/value', 'maximum'] END AS why FROM sides)"""
+broken AS (SELECT stable_id, version, direction, CASE WHEN list_contains(pk, 'purchase') AND NOT list_contains(bk, 'purchase') THEN ['#', 'required'] WHEN len(list_filter(bk, lambda k: NOT list_contains(pk, k))) > 0 THEN ['#/properties/event_type', 'enum'] WHEN (blo < plo OR bhi > phi) AND (blo = bhi OR plo = phi) THEN ['#/properties/value', 'enum'] WHEN blo < plo THEN ['#/properties/value', 'minimum'] WHEN bhi > phi THEN ['#/properties/value', 'maximum'] END AS why FROM sides)"""
 
 
 def pairs_of(reg: DataFrame) -> DataFrame:

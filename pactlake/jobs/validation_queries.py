@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pactlake.functions.values import once
 from pactlake.operators.validation import as_record, data_compat, flag_valid, split_valid, validate, validity_matrix
 
 EVENT = {
@@ -30,7 +31,7 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as (event_id, event_type, doc VARIANT): free-form records with a nested object."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "value", "props")
     doc = F.to_json(F.struct("event_type", "user_id", "value", F.parse_json("props").alias("props")))
-    return e.select("event_id", "event_type", F.parse_json(doc).alias("doc"))
+    return once(e.select("event_id", "event_type", doc.alias("_text")), "doc", F.parse_json("_text")).drop("_text")
 
 
 def chat_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

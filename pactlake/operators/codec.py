@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pactlake.functions.predicates import compile_contract
-from pactlake.functions.values import EXACT, Variant
+from pactlake.functions.values import EXACT, Variant, once
 
 _PLAIN = {"string": T.StringType(), "integer": T.LongType(), "number": T.DoubleType(), "boolean": T.BooleanType(), "null": T.NullType()}
 
@@ -38,10 +38,10 @@ def decode(df: DataFrame, json_col: str, schema: Mapping, keep: list[str]) -> tu
     (with null too), and extra MAP of undeclared ones (empty where the contract is closed). Rejected: text that is no
     JSON (duplicate keys, NaN), not valid, or deeper than a recursive contract is unrolled. Whole numbers beyond 64 bits
     decode to NULL in a BIGINT column."""
-    parsed = df.withColumn("_v", F.try_parse_json(json_col))
+    parsed = once(df, "_v", F.try_parse_json(json_col))
     flagged = parsed.withColumn("_ok", F.col("_v").isNotNull() & F.coalesce(compile_contract(schema, Variant(F.col("_v"))), F.lit(False)))
     props = schema.get("properties", {})
-    good = flagged.filter("_ok").withColumn("_m", F.try_variant_get("_v", "$", "map<string,variant>"))
+    good = once(flagged.filter("_ok"), "_m", F.try_variant_get("_v", "$", "map<string,variant>"))
     fields = [_field(F.try_element_at("_m", F.lit(k)), type_of(s)).alias(k) for k, s in props.items()]
     declared = F.array(*map(F.lit, props)).cast("array<string>")
     present = F.array_intersect(declared, F.coalesce(F.map_keys("_m"), F.array().cast("array<string>"))).alias("present")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pactlake.functions.settled import settle
 from pactlake.functions.values import EXACT, Variant
 
-from .registry_scan import HARD, SAFE_PATTERN, canonical_hash, constraints, dialect_findings, keyword_findings, let, node_table, normalised, ref_target, schema_nodes, unresolved_refs
+from .registry_scan import HARD, SAFE_PATTERN, canonical_hash, constraints, dialect_findings, keyword_findings, let, node_table, normal_form, ref_target, schema_nodes, unresolved_refs
 
 _ISSUE = "array<struct<rank:int,keyword:string,message:string>>"
 
@@ -229,16 +229,20 @@ def graph(docs: DataFrame, ids: list[str]) -> DataFrame:
     ))
     rows = nodes.select(*ids, F.col("pointer").alias("_base"), F.to_json("node").alias("text"), F.explode(split).alias("p"))
     rows = rows.unionByName(docs.select(*ids, F.lit("true").alias("_base"), F.lit("true").alias("text"), made(F.lit("true"), "plain", strings(), of=F.parse_json(F.lit("true"))).alias("p")))
-    n = normalised(F.col("p.of"), F.when(F.col("p.kind") == "not", F.concat("_base", F.lit("/not"))).otherwise(F.col("_base")))
-    rows = rows.select(*ids, "p.pointer", "p.kind", F.when(F.col("p.of").isNotNull(), n).alias("n"), "p.kids", "p.say", "text")
+    rows = rows.select(*ids, F.col("p.pointer").alias("_name"), "p.kind", "p.kids", "p.say", "text", F.col("p.of").alias("node"), F.when(F.col("p.kind") == "not", F.concat("_base", F.lit("/not"))).otherwise(F.col("_base")).alias("pointer"))
+    rows = rows.withColumn("n", F.when(F.col("node").isNotNull(), normal_form(rows))).select(*ids, F.col("_name").alias("pointer"), "kind", "n", "kids", "say", "text")
 
     def shares(n: Column, pointer: Column) -> Column:
         row = lambda name, kind, n, kids=strings(): F.struct(F.concat(pointer, F.lit("!"), name).alias("pointer"), F.lit(kind).alias("kind"), n.alias("n"), kids.alias("kids"))
         by_type = F.when(n["enum"].isNull() & (F.size(n["types"]) > 1), F.transform(n["types"], lambda t: row(F.concat(F.lit("t"), t), "plain", n.withField("types", F.array(t)).withField("text", F.concat(n["text"], t)))))
         by_value = F.when(F.size(n["enum"]) > 1, F.transform(n["enum"], lambda x: row(F.concat(F.lit("e"), x), "plain", n.withField("enum", F.array(x)).withField("text", F.concat(n["text"], x)))))
         quoted = F.transform(F.map_keys(n["at_props"]), lambda k: F.regexp_replace(F.to_json(F.struct(k.alias("k"))), r'^\{"k":|\}$', ""))
-        blank = normalised(F.parse_json(F.lit("{}")), pointer)
-        named = F.when(F.size(n["at_props"]) > 0, F.array(row(F.lit("names"), "plain", blank.withField("enum", F.array_sort(quoted)).withField("text", F.concat(n["text"], F.lit("names"))))))
+        texts = n.withField("enum", F.array_sort(quoted)).withField("text", F.concat(n["text"], F.lit("names"))).withField("types", F.array(F.lit("string")))
+        for k in ("min_len", "max_len"):
+            texts = texts.withField(k, F.lit(None).cast("long"))
+        for k, v in (("pattern", F.lit(None).cast("string")), ("opaque", F.lit(False)), ("odd_pats", F.lit(False))):
+            texts = texts.withField(k, v)
+        named = F.when(F.size(n["at_props"]) > 0, F.array(row(F.lit("names"), "plain", texts)))
         return F.flatten(F.array_compact(F.array(by_type, by_value, named)))
 
     plain = rows.filter("kind = 'plain'")
@@ -251,11 +255,14 @@ def graph(docs: DataFrame, ids: list[str]) -> DataFrame:
         both = F.when(F.size("lists") > 0, F.aggregate("lists", F.array(*map(F.lit, _TYPES)), F.array_intersect))
         either = F.when(F.size("lists") == F.col("n"), F.array_distinct(F.flatten("lists")))
         table = table.join(found.select(*ids, "pointer", F.when(F.col("kind") == "all", both).otherwise(either).alias("_t")), [*ids, "pointer"], "left").withColumn("types", F.coalesce("types", "_t")).drop("_t")
-    links = settle(table.filter("kind <> 'plain'").select(*ids, "pointer", F.explode("kids").alias("kid")).join(table.filter("kind <> 'plain'").select(*ids, F.col("pointer").alias("kid")), [*ids, "kid"], "left_semi").select(*ids, "pointer", "kid"))
-    for _ in range(4):  # whatever combines itself again within 16 steps, without a property or item between, says nothing
-        links = links.unionByName(links.join(links.select(*ids, F.col("pointer").alias("kid"), F.col("kid").alias("next")), [*ids, "kid"]).select(*ids, "pointer", F.col("next").alias("kid"))).distinct()
-    loops = links.filter("pointer = kid").select(*ids, "pointer", F.lit(True).alias("_loop"))
-    table = table.join(loops, [*ids, "pointer"], "left").withColumn("kind", F.when(F.col("_loop").isNull(), F.col("kind"))).drop("_loop")
+    if not docs.filter(F.contains("schema_json", F.lit('"$ref"'))).isEmpty():
+        links = table.filter("kind <> 'plain'").select(*ids, "pointer", F.explode("kids").alias("kid"))
+        links = settle(links.join(table.filter("kind <> 'plain'").select(*ids, F.col("pointer").alias("kid")), [*ids, "kid"], "left_semi").select(*ids, "pointer", "kid"))
+        for _ in range(3):  # what combines itself again within 8 steps, without a property or item between, says nothing
+            links = settle(links.unionByName(links.join(links.select(*ids, F.col("pointer").alias("kid"), F.col("kid").alias("next")), [*ids, "kid"]).select(*ids, "pointer", F.col("next").alias("kid"))).distinct())
+        loops = links.filter("pointer = kid").select(*ids, "pointer", F.lit(True).alias("_loop"))
+        table = table.join(loops, [*ids, "pointer"], "left").withColumn("kind", F.when(F.col("_loop").isNull(), F.col("kind"))).drop("_loop")
+    table = settle(table)
     kid_types = table.filter("kind = 'one'").select(*ids, "pointer", F.posexplode("kids").alias("i", "kid")).join(table.select(*ids, F.col("pointer").alias("kid"), F.coalesce(widened(F.col("types")), F.array(*map(F.lit, _TYPES))).alias("kt")), [*ids, "kid"])
     kid_types = kid_types.groupBy(*ids, "pointer").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "kt"))), lambda x: x["kt"]).alias("kid_types"))
     merged = table.filter("kind = 'all'").select(*ids, "pointer", F.explode("kids").alias("kid")).join(table.filter("kind = 'plain' AND n.enum IS NULL").select(*ids, F.col("pointer").alias("kid"), "n"), [*ids, "kid"])

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
+from functools import cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pactlake.functions.settled import settle
 from pactlake.functions.values import EXACT, Variant
 
 SINGLE = ("additionalProperties", "items", "not", "if", "then", "else", "contains", "propertyNames", "unevaluatedItems", "unevaluatedProperties", "contentSchema")
@@ -114,10 +115,13 @@ def unresolved_refs(cons: DataFrame, nodes: DataFrame, ids: list[str]) -> DataFr
     refs = cons.filter("keyword = '$ref'").withColumn("target", ref_target(F.get_json_object(F.concat(F.lit('{"r":'), "value", F.lit("}")), "$.r")))
     lost = refs.join(nodes.select(*ids, F.col("pointer").alias("target")), [*ids, "target"], "left_anti").select(*ids, "pointer", "target")
     alias = refs.join(nodes.filter(F.size(F.map_keys(F.try_variant_get("node", "$", "map<string,variant>"))) == 1).select(*ids, "pointer"), [*ids, "pointer"], "left_semi").select(*ids, "pointer", "target")
+    alias = settle(alias)
+    if alias.isEmpty():
+        return lost
     at = alias.withColumn("now", F.col("target"))
     for _ in range(10):
         hop = at.select(*ids, F.col("pointer").alias("now"), F.col("now").alias("then"))
-        at = at.join(hop, [*ids, "now"], "left").select(*ids, "pointer", "target", F.coalesce("then", "now").alias("now"))
+        at = settle(at.join(hop, [*ids, "now"], "left").select(*ids, "pointer", "target", F.coalesce("then", "now").alias("now")))
     rounds = at.join(alias.select(*ids, F.col("pointer").alias("now")), [*ids, "now"], "left_semi").select(*ids, "pointer", "target")
     return lost.unionByName(rounds)
 
@@ -158,7 +162,17 @@ def dedupe_schemas(reg: DataFrame, id_col: str) -> DataFrame:
 
 def node_table(nodes: DataFrame, ids: list[str]) -> DataFrame:
     """(ids..., pointer, n): the normalised form of every node; ids may name further columns of nodes."""
-    return nodes.select(*ids, "pointer", normalised(F.col("node"), F.col("pointer")).alias("n"))
+    return nodes.select(*ids, "pointer", normal_form(nodes).alias("n"))
+
+
+def normal_form(nodes: DataFrame) -> Column:
+    """normalised() of the columns node and pointer; large, so it is built once for an application."""
+    return _normal_form(nodes.sparkSession.sparkContext.applicationId)
+
+
+@cache
+def _normal_form(_application: str) -> Column:
+    return normalised(F.col("node"), F.col("pointer"))
 
 
 def let(value: Column, body) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlake.functions.predicates import compile_contract
-from pactlake.functions.values import Variant, col_of, value_of
+from pactlake.functions.values import Variant, col_of, once, value_of
 
 from .compat import check_compat, pair_verdict
 from .registry_scan import canonical_hash
@@ -71,8 +71,8 @@ def stamp_records(df: DataFrame, data_col: str, version: int, schema, to: str =
 
 def read_stamped(df: DataFrame, envelope_col: str, versions: Mapping[int, object]) -> DataFrame:
     """df with version, data VARIANT and valid: dispatched by version; unknown versions and extra keys are not valid."""
-    v = F.try_parse_json(envelope_col)
-    opened = df.withColumn("_e", v).withColumn("version", F.try_variant_get("_e", "$.version", "int")).withColumn("data", F.try_variant_get("_e", "$.data", "variant"))
+    opened = once(df, "_e", F.try_parse_json(envelope_col)).withColumn("version", F.try_variant_get("_e", "$.version", "int"))
+    opened = once(opened, "data", F.try_variant_get("_e", "$.data", "variant"))
     closed = F.size(F.array_except(Variant(F.col("_e")).keys(), F.array(F.lit("version"), F.lit("data")))) == 0
     fits = F.lit(False)
     for n, s in versions.items():
