@@ -89,6 +89,14 @@ def n12_irrelevant(spark, sf_dir):
     return registry_scan.irrelevant_keywords(_constraints(spark, sf_dir), _ONE)
 
 
+def n16_unions(spark, sf_dir):
+    """Per user a contract with a list of types, a oneOf of disjoint types for even numbers, of overlapping ones for odd."""
+    users = user_registry(spark, sf_dir).select("stable_id")
+    other = F.when(F.col("stable_id") % 2 == 0, "string").otherwise("number")
+    reg = users.select("stable_id", F.format_string('{"properties":{"a":{"type":["string","null"]},"b":{"oneOf":[{"type":"integer"},{"type":"%s"}]}}}', other).alias("schema_json"))
+    return compat.union_forms(reg, _ONE).select("stable_id", "pointer", "form", F.array_join("branches", ",").alias("branches"))
+
+
 def c3_grade_warnings(spark, sf_dir):
     sides = [_nodes(spark, sf_dir, shift) for shift in (0, 1)]
     return registry_scan.grade_warnings(*sides, _ONE).select("stable_id", F.array_join("warnings", ";").alias("warnings"))
@@ -145,8 +153,9 @@ def o13_unsupported(spark, sf_dir):
     return openapi.unsupported_surfaces(rich_descriptions(spark, sf_dir), ["page_id"])
 
 
-#: id -> old contract, new contract (of the numbers a and b), and in SQL when new is within old, and old within new.
-RULES: dict[str, tuple[str, str, str, str]] = {
+#: id -> old contract, new contract (of the numbers a and b), in SQL when new is within old, and old within new, and the
+#: verdicts where they are not (incompatible if not given; unknown where the rule proves only one side).
+RULES: dict[str, tuple[str, ...]] = {
     "R4_boolean": ('{"type":"object","properties":{"p%s":false}}', '{"type":"object","properties":{"p%s":true}}', "false", "true"),
     "R5_types": ('{"type":["string","integer"],"minLength":%s}', '{"type":["string","number"],"minLength":%s}', "false", "a >= b"),
     "R6_number_bounds": ('{"type":"number","exclusiveMinimum":%s}', '{"type":"number","minimum":%s}', "b > a", "a >= b"),
@@ -163,12 +172,25 @@ RULES: dict[str, tuple[str, str, str, str]] = {
     "R17_only_in_sub": ('{"type":"object","properties":{"k%s":{"type":"null"}},"additionalProperties":false}', '{"type":"object","properties":{"k%s":{"type":"null"}},"additionalProperties":false}', "a = b", "a = b"),
     "R18_only_in_sup": ('{"type":"object","properties":{"k%s":{"type":"string"}}}', '{"type":"object","properties":{"k%s":{"type":"string"}}}', "a = b", "true"),
     "R19_additional": ('{"type":"object","additionalProperties":{"type":"integer","minimum":%s}}', '{"type":"object","additionalProperties":{"type":"integer","minimum":%s}}', "b >= a", "true"),
+    "R20_patterns": ('{"type":"object","patternProperties":{"^x":{"type":"integer","minimum":%s}}}', '{"type":"object","patternProperties":{"^x":{"type":"integer","minimum":%s}}}', "b >= a", "a >= b"),
     "R20_same_patterns": ('{"type":"object","patternProperties":{"^x":{"type":"null"}},"minProperties":%s}', '{"type":"object","patternProperties":{"^x":{"type":"null"}},"minProperties":%s}', "b >= a", "a >= b"),
+    "R21_property_names": ('{"type":"object","propertyNames":{"enum":["id","k%s"]}}', '{"type":"object","propertyNames":{"enum":["k%s","id"]}}', "a = b", "a = b", "incompatible", "unknown"),
     "R21_same_names": ('{"type":"object","propertyNames":{"maxLength":5},"maxProperties":%s}', '{"type":"object","propertyNames":{"maxLength":5},"maxProperties":%s}', "b <= a", "a <= b"),
     "R22_dependent_required": ('{"type":"object","dependentRequired":{"a":["k%s"]}}', '{"type":"object","dependentRequired":{"a":["m"],"m":["k%s"]}}', "a = b", "false"),
     "R23_item_counts": ('{"type":"array","minItems":%s}', '{"type":"array","minItems":%s}', "b >= a", "a >= b"),
     "R24_unique_items": ('{"type":"array","uniqueItems":true,"maxItems":%s}', '{"type":"array","maxItems":%s}', "b <= a AND b <= 1", "a <= b"),
     "R25_items": ('{"type":"array","items":{"type":"integer","maximum":%s}}', '{"type":"array","items":{"type":"integer","maximum":%s}}', "b <= a", "a <= b"),
+    "R25_prefix_items": ('{"type":"array","prefixItems":[{"type":"integer","maximum":%s}],"items":{"type":"null"}}', '{"type":"array","prefixItems":[{"type":"integer","maximum":%s}],"items":{"type":"null"}}', "b <= a", "a <= b"),
+    "R26_contained": ('{"type":"array","contains":{"type":"integer","minimum":%s}}', '{"type":"array","contains":{"type":"integer","minimum":%s},"minContains":2}', "b >= a", "false", "unknown", "incompatible"),
+    "R27_union_within": ('{"anyOf":[{"type":"integer","minimum":%s},{"type":"string"}]}', '{"anyOf":[{"type":"string","maxLength":9},{"type":"integer","minimum":%s}]}', "b >= a", "false"),
+    "R28_within_union": ('{"anyOf":[{"type":"integer","minimum":%s},{"type":"null"}]}', '{"type":"integer","minimum":%s}', "b >= a", "false"),
+    "R29_all_of": ('{"allOf":[{"type":"integer"},{"minimum":%s},{"maximum":50}]}', '{"type":"integer","minimum":%s,"maximum":50}', "b >= a", "a >= b"),
+    "R30_one_of": ('{"oneOf":[{"type":"integer","minimum":%s},{"type":"string"}]}', '{"type":"integer","minimum":%s}', "b >= a", "false"),
+    "R30_one_of_kept": ('{"oneOf":[{"type":"integer","minimum":%s},{"type":"number","maximum":9}]}', '{"oneOf":[{"type":"integer","minimum":%s},{"type":"number","maximum":9}]}', "a = b", "a = b", "unknown", "unknown"),
+    "R31_not": ('{"not":{"enum":[%s,9]}}', '{"enum":[%s,3]}', "NOT (a = b OR a = 3)", "false"),
+    "R31_not_not": ('{"not":{"type":"integer","minimum":%s}}', '{"not":{"type":"integer","minimum":%s}}', "b <= a", "a <= b", "unknown", "unknown"),
+    "R32_conditional": ('{"if":{"type":"string"},"then":{"maxLength":%s},"else":{"type":"integer"}}', '{"if":{"type":"string"},"then":{"maxLength":%s},"else":{"type":"integer"}}', "b <= a", "a <= b", "unknown", "unknown"),
+    "R_references": ('{"$defs":{"n":{"type":"object","properties":{"v":{"type":"integer","minimum":%s},"next":{"$ref":"#/$defs/n"}}}},"$ref":"#/$defs/n"}', '{"$defs":{"m":{"minimum":%s,"type":"integer"},"n":{"type":"object","properties":{"next":{"$ref":"#/$defs/n"},"v":{"$ref":"#/$defs/m"}}}},"$ref":"#/$defs/n"}', "b >= a", "a >= b"),
     "R26_contains": ('{"type":"array","contains":{"type":"null"},"minContains":%s}', '{"type":"array","contains":{"type":"null"},"minContains":%s}', "b >= a", "a >= b"),
     "R33_empty": ('{"type":"integer","minimum":%s,"maximum":3}', '{"type":"integer","minimum":9,"maximum":%s}', "true", "a > 3"),
 }
@@ -217,7 +239,7 @@ QUERIES = {
     "N8_unresolved_refs": n8_unresolved_refs, "N9_dialect_check": n9_dialects, "N10_normalised": n10_normalised, "N12_irrelevant_keywords": n12_irrelevant, "C3_grade_warnings": c3_grade_warnings,
     "T1_manifest_errors": t1_manifest_errors, "T5_writer_schema": t5_writer_schema, "T6_reader_schema": t6_reader_schema, "T7_rewritten_refs": t7_rewritten_refs, "O3_parameter_overrides": o3_overrides,
     "O11_duplicate_media": o11_duplicate_media, "O12_response_headers": o12_response_headers, "O13_unsupported_surfaces": o13_unsupported,
-    **{k: _rule(old, new) for k, (old, new, _, _) in RULES.items()}, **{k: _generated(c) for k, c in GENERATED.items()},
+    **{k: _rule(*rule[:2]) for k, rule in RULES.items()}, "N16_union_forms": n16_unions, **{k: _generated(c) for k, c in GENERATED.items()},
 }
 _USERS = "(SELECT DISTINCT user_id AS stable_id FROM events WHERE user_id IS NOT NULL)"
 _ENVELOPE = """'{"$defs":{"v' || version || '":' || schema_json || '},"additionalProperties":false,"properties":{"data":{"$ref":"#/$defs/v' || version || '"},"version":{"const":' || version || '}},"required":["version","data"],"type":"object"}'"""
@@ -225,9 +247,9 @@ _API = "(SELECT page_id, '/a' AS path, 'POST' AS method FROM pages WHERE strpos(
 _COUNTS = "n AS (SELECT user_id AS stable_id, count(event_id) FILTER (WHERE event_id % 2 = 0) % 7 AS a, count(event_id) FILTER (WHERE event_id % 2 = 1) % 7 AS b FROM events WHERE user_id IS NOT NULL GROUP BY 1)"
 
 
-def _rule_sql(within: str, around: str) -> str:
-    verdict = "CASE WHEN coalesce({0}, false) THEN 'compatible' ELSE 'incompatible' END AS verdict"
-    return f"WITH {_COUNTS} SELECT stable_id, 'serializer' AS direction, {verdict.format(within)} FROM n UNION ALL SELECT stable_id, 'deserializer', {verdict.format(around)} FROM n"
+def _rule_sql(within: str, around: str, else_within: str = "incompatible", else_around: str = "incompatible") -> str:
+    verdict = "CASE WHEN coalesce({0}, false) THEN 'compatible' ELSE '{1}' END AS verdict"
+    return f"WITH {_COUNTS} SELECT stable_id, 'serializer' AS direction, {verdict.format(within, else_within)} FROM n UNION ALL SELECT stable_id, 'deserializer', {verdict.format(around, else_around)} FROM n"
 
 
 _WARN = "CASE WHEN ({0}) % 7 = 0 THEN '{1}: #/properties/text contentEncoding' END"
@@ -241,6 +263,8 @@ ORACLE_SQL = {
     "N9_dialect_check": f"SELECT stable_id, 'http://json-schema.org/draft-07/schema#' AS dialect FROM {_USERS} WHERE stable_id % 5 = 0",
     "N10_normalised": f"""SELECT stable_id, '#' AS pointer, '' AS enum_values, 'ref,text' AS required_names FROM {_USERS}
         UNION ALL SELECT stable_id, '#/properties/kind', CASE stable_id % 2 WHEN 0 THEN '"a","b"' ELSE '"a"' END, '' FROM {_USERS}""",
+    "N16_union_forms": f"""SELECT stable_id, '#/properties/a' AS pointer, 'types' AS form, 'null,string' AS branches FROM {_USERS}
+        UNION ALL SELECT stable_id, '#/properties/b', CASE stable_id % 2 WHEN 0 THEN 'anyOf' ELSE 'oneOf' END, '#/properties/b/oneOf/0,#/properties/b/oneOf/1' FROM {_USERS}""",
     "N12_irrelevant_keywords": f"SELECT stable_id, '#/properties/text' AS pointer, 'minimum' AS keyword FROM {_USERS} WHERE stable_id % 6 = 0",
     "C3_grade_warnings": f"SELECT stable_id, concat_ws(';', {_WARN.format('stable_id', 'old')}, {_WARN.format('stable_id + 1', 'new')}) AS warnings FROM {_USERS} WHERE stable_id % 7 IN (0, 6)",
     "T1_manifest_errors": f"""WITH {_REG} SELECT stable_id, 'hash does not match' AS error, count(*) AS n FROM reg WHERE stable_id % 10 = 0 GROUP BY 1
@@ -254,6 +278,6 @@ ORACLE_SQL = {
         UNION ALL SELECT page_id, path, method, '200', 'link', 1 FROM {_API} WHERE page_id % 4 <> 0""",
     "O13_unsupported_surfaces": f"""SELECT page_id, 'POST /a' AS place, 'callbacks' AS surface FROM {_API} WHERE page_id % 5 = 0 UNION ALL SELECT page_id, 'sent', 'webhook' FROM {_API} WHERE page_id % 6 = 0
         UNION ALL SELECT page_id, '/b', 'path reference' FROM {_API} WHERE page_id % 7 = 0""",
-    **{k: _rule_sql(within, around) for k, (_, _, within, around) in RULES.items()},
+    **{k: _rule_sql(*rule[2:]) for k, rule in RULES.items()},
     **{k: "SELECT c_mktsegment, count(*) AS n, count(*) AS accepted FROM customer GROUP BY 1" for k in GENERATED},
 }

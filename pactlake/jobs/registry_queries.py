@@ -29,7 +29,7 @@ _TEXT = """'{"properties":{"event_type":{"enum":[' || array_to_string(list_trans
 _REG = f"reg AS (SELECT stable_id, version, lo, hi, kinds, {_TEXT} AS schema_json FROM ({_PER}))"
 _PAIRS = f"""WITH {_REG}, pairs AS (SELECT * FROM (SELECT stable_id, version, lo, hi, kinds, schema_json, lag(lo) OVER w AS olo, lag(hi) OVER w AS ohi, lag(kinds) OVER w AS okinds, lag(schema_json) OVER w AS old_json FROM reg WINDOW w AS (PARTITION BY stable_id ORDER BY version)) WHERE old_json IS NOT NULL),
 sides AS (SELECT stable_id, version, 'serializer' AS direction, lo AS blo, hi AS bhi, kinds AS bk, olo AS plo, ohi AS phi, okinds AS pk FROM pairs UNION ALL SELECT stable_id, version, 'deserializer', olo, ohi, okinds, lo, hi, kinds FROM pairs),
-broken AS (SELECT stable_id, version, direction, CASE WHEN list_contains(pk, 'purchase') AND NOT list_contains(bk, 'purchase') THEN ['#', 'required'] WHEN len(list_filter(bk, lambda k: NOT list_contains(pk, k))) > 0 THEN ['#/properties/event_type', 'enum'] WHEN (blo < plo OR bhi > phi) AND (blo = bhi OR plo = phi) THEN ['#/properties/value', 'enum'] WHEN blo < plo THEN ['#/properties/value', 'minimum'] WHEN bhi > phi THEN ['#/properties/value', 'maximum'] END AS why FROM sides)"""
+broken AS (SELECT stable_id, version, direction, CASE WHEN list_contains(pk, 'purchase') AND NOT list_contains(bk, 'purchase') THEN ['#', 'required'] WHEN len(list_filter(bk, lambda k: NOT list_contains(pk, k))) > 0 THEN ['#/properties/event_type', 'enum'] WHEN (blo < plo OR bhi > phi) AND (blo = bhi OR plo = phi) THEN ['#/properties/value', 'enum'] WHEN blo < plo THEN ['#/properties/value', 'minimum'] WHEN bhi > phi THEN ['#/properties/value', 'maximum'] END AS why, * EXCLUDE (stable_id, version, direction) FROM sides)"""
 
 
 def pairs_of(reg: DataFrame) -> DataFrame:
@@ -70,6 +70,10 @@ def r35_explain(spark, sf_dir):
     return compat.check_compat(pairs_of(observed_registry(spark, sf_dir)), _ID).filter("verdict <> 'compatible'").select(*_ID, "direction", "pointer", "keyword")
 
 
+def r36_reasons(spark, sf_dir):
+    return compat.check_compat(pairs_of(observed_registry(spark, sf_dir)), _ID).filter("verdict <> 'compatible'").select(*_ID, "direction", "message")
+
+
 def _golden(reg: DataFrame, version: int) -> DataFrame:
     return reg.filter(F.col("version") == version).select(F.col("stable_id").cast("string").alias("id"), F.lit("serializer").alias("mode"), "schema_json", F.col("stable_id").cast("string").alias("stable_id"))
 
@@ -125,7 +129,7 @@ def t10_mix(spark, sf_dir):
 
 QUERIES = {
     "N1_schema_nodes": n1_nodes, "N2_constraints": n2_constraints, "N11_numeric_bounds": n11_bounds, "N13_implied_minimums": n13_implied, "N14_canonical_hash": n14_hash, "N15_dedupe_schemas": n15_dedupe,
-    "R34_verdicts": r34_verdicts, "R35_explain": r35_explain, "C2_grades": c2_grades, "C5_gate": c5_gate,
+    "R34_verdicts": r34_verdicts, "R35_explain": r35_explain, "R36_reasons": r36_reasons, "C2_grades": c2_grades, "C5_gate": c5_gate,
     "T2_latest_version": t2_latest, "T3_stamp_batch": t3_stamp, "T4_next_manifest": t4_manifest, "T8_stamp_records": t8_stamp_records, "T9_read_stamped": t9_read_stamped, "T10_version_mix": t10_mix,
 }
 _K = "CAST(json_extract(props, '$.k') AS BIGINT)"
@@ -144,6 +148,9 @@ ORACLE_SQL = {
     "N15_dedupe_schemas": f"WITH {_REG} SELECT 'sha256:' || sha256(schema_json) AS schema_sha256, count(*) AS n, min(stable_id) AS first_id FROM reg GROUP BY 1",
     "R34_verdicts": f"{_PAIRS} SELECT stable_id, version, direction, CASE WHEN why IS NULL THEN 'compatible' ELSE 'incompatible' END AS verdict FROM broken",
     "R35_explain": f"{_PAIRS} SELECT stable_id, version, direction, why[1] AS pointer, why[2] AS keyword FROM broken WHERE why IS NOT NULL",
+    "R36_reasons": f"""{_PAIRS} SELECT stable_id, version, direction, CASE why[2] WHEN 'required' THEN 'property ''value'' is no longer guaranteed to be present'
+        WHEN 'enum' THEN CASE WHEN why[1] LIKE '%event_type' THEN 'value "' || list_filter(bk, lambda k: NOT list_contains(pk, k))[1] || '" is no longer accepted' WHEN blo = bhi THEN 'value ' || blo || ' is no longer accepted' ELSE 'values beyond ' || plo || ' are possible' END
+        ELSE 'bounds [' || blo || ', ' || bhi || '] not contained by required bounds [' || plo || ', ' || phi || ']' END AS message FROM broken WHERE why IS NOT NULL""",
     "C2_grades": f"""WITH {_REG}, o AS (SELECT * FROM reg WHERE version = 1), n AS (SELECT * FROM reg WHERE version = 2 AND stable_id % 11 <> 0), m AS (SELECT coalesce(n.stable_id, o.stable_id) AS id, o.schema_json AS oj, n.schema_json AS nj, n.lo, n.hi, n.kinds, o.lo AS plo, o.hi AS phi, o.kinds AS pk FROM o FULL JOIN n USING (stable_id))
         SELECT CAST(id AS VARCHAR) AS id, 'serializer' AS mode, CASE WHEN nj IS NULL THEN 'missing_new' WHEN oj IS NULL THEN 'missing_old' WHEN oj = nj THEN 'identical' WHEN {_WITHIN} THEN 'ok' ELSE 'incompatible' END AS status FROM m""",
     "T2_latest_version": f"WITH {_REG} SELECT stable_id, max(version) AS version, 'sha256:' || sha256(arg_max(schema_json, version)) AS schema_sha256 FROM reg GROUP BY 1",

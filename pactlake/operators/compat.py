@@ -263,13 +263,24 @@ def graph(docs: DataFrame, ids: list[str]) -> DataFrame:
         loops = links.filter("pointer = kid").select(*ids, "pointer", F.lit(True).alias("_loop"))
         table = table.join(loops, [*ids, "pointer"], "left").withColumn("kind", F.when(F.col("_loop").isNull(), F.col("kind"))).drop("_loop")
     table = settle(table)
-    kid_types = table.filter("kind = 'one'").select(*ids, "pointer", F.posexplode("kids").alias("i", "kid")).join(table.select(*ids, F.col("pointer").alias("kid"), F.coalesce(widened(F.col("types")), F.array(*map(F.lit, _TYPES))).alias("kt")), [*ids, "kid"])
+    kid_types = table.filter("kind IN ('any', 'one')").select(*ids, "pointer", F.posexplode("kids").alias("i", "kid")).join(table.select(*ids, F.col("pointer").alias("kid"), F.coalesce(widened(F.col("types")), F.array(*map(F.lit, _TYPES))).alias("kt")), [*ids, "kid"])
     kid_types = kid_types.groupBy(*ids, "pointer").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "kt"))), lambda x: x["kt"]).alias("kid_types"))
     merged = table.filter("kind = 'all'").select(*ids, "pointer", F.explode("kids").alias("kid")).join(table.filter("kind = 'plain' AND n.enum IS NULL").select(*ids, F.col("pointer").alias("kid"), "n"), [*ids, "kid"])
     merged = merged.groupBy(*ids, "pointer").agg(F.collect_list("n").alias("ns")).filter(F.size("ns") > 1)
     merged = merged.join(table.select(*ids, "pointer", "kids"), [*ids, "pointer"]).withColumn("ns", F.when(F.size("ns") < F.size("kids"), F.transform("ns", lambda n: n.withField("opaque", F.lit(True)))).otherwise(F.col("ns")))
     merged = merged.select(*ids, F.concat("pointer", F.lit("!both")).alias("pointer"), F.lit("plain").alias("kind"), F.aggregate(F.slice("ns", 2, 100_000), F.get("ns", F.lit(0)), _narrowed).alias("n"), strings().alias("kids"), F.lit(None).cast("string").alias("say"), F.lit("").alias("text"), F.lit(None).cast(_STRINGS).alias("types"))
-    return settle(table.unionByName(merged).join(kid_types, [*ids, "pointer"], "left"))
+    listed = settle(table.unionByName(merged).join(kid_types, [*ids, "pointer"], "left"))
+    # Of alternatives whose types are pairwise disjoint, never more than one holds.
+    apart = (F.size("kid_types") == F.size("kids")) & (F.size(F.flatten("kid_types")) == F.size(F.array_distinct(F.flatten("kid_types"))))
+    return listed.withColumn("kind", F.when(apart & (F.col("kind") == "one"), "any").otherwise(F.col("kind")))
+
+
+def union_forms(reg: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids..., pointer, form, branches): how nodes offer alternatives. types: a list of types; anyOf: branches of which
+    some must hold, among them those of a oneOf with pairwise disjoint types; oneOf: exactly one must hold."""
+    nodes = graph(reg, ids).filter(F.col("kind").isin("any", "one") | ((F.col("kind") == "plain") & (F.size("types") > 1) & F.col("n.enum").isNull() & ~F.contains("pointer", F.lit("!t"))))
+    form = F.when(F.col("kind") == "plain", "types").when(F.col("kind") == "any", "anyOf").otherwise("oneOf")
+    return nodes.select(*ids, F.regexp_replace("pointer", "![a-z]+$", "").alias("pointer"), form.alias("form"), F.when(F.col("kind") == "plain", F.array_sort("types")).otherwise(F.col("kids")).alias("branches"))
 
 
 def _narrowed(a: Column, b: Column) -> Column:
@@ -328,8 +339,8 @@ def _steps(raw: Column, s: Column, t: Column) -> Column:
     s_types = F.when(F.array_contains(any_type, "number"), F.array_union(any_type, F.array(F.lit("integer")))).otherwise(any_type)
     apart = lambda i: ~F.exists(F.transform(t["kid_types"], lambda k, j: (i != j) & F.arrays_overlap(k, s_types)), lambda x: x)
     picks = F.transform(t["kids"], lambda k, i: F.struct(k.alias("k"), i.alias("i")))
-    into_one = F.transform(F.filter(picks, lambda x: apart(x["i"])), lambda x: edge("x", F.concat(F.lit("b"), x["k"]), at, x["k"]))
-    into_any = F.transform(t["kids"], lambda k: edge("x", F.concat(F.lit("b"), k), at, k, exact=single))
+    into_one = F.transform(F.filter(picks, lambda x: apart(x["i"])), lambda x: edge("x", F.concat(F.lit("b"), x["k"]), at, x["k"], exact=2))
+    into_any = F.transform(picks, lambda x: edge("x", F.concat(F.lit("b"), x["k"]), at, x["k"], exact=F.when(F.coalesce(apart(x["i"]), F.lit(False)), 2).when(single, 1).otherwise(0)))
     union = F.flatten(F.array(F.when(t["kind"] == "any", into_any).otherwise(into_one), *parts, *shares))
     same_if = (s["kind"] == "if") & (s["say"] == t["say"]) & ~F.contains(s["say"], F.lit('"$ref"'))
     conditional = F.flatten(F.array(
@@ -435,16 +446,28 @@ def pair_as(pair: list[str], prefix: str) -> list[Column]:
     return [F.col(k).alias(prefix + k) for k in pair]
 
 
+def _plainly(s: Column, t: Column) -> Column:
+    """Whether t is the same as s, or accepts everything."""
+    n = lambda c: F.coalesce(c, F.lit(False))
+    same = n((s["text"] == t["text"]) & (F.contains("sp", F.lit("!")) == F.contains("tp", F.lit("!"))) & ~F.contains(s["text"], F.lit('"$ref"')) & (s["kind"] == t["kind"]))
+    return same | n((t["kind"] == "plain") & t["n"]["text"].isin("true", "{}"))
+
+
+@cache
+def _next_goals(_application: str) -> Column:
+    """The edges of a goal from the columns direction, flip, s and t; large, so it is built once for an application."""
+    s, t = F.col("s"), F.col("t")
+    return F.when(_plainly(s, t), F.array().cast(_EDGES)).otherwise(_steps((F.col("direction") == "serializer") | F.col("flip"), s, t).cast(_EDGES))
+
+
 @cache
 def _judged(_application: str) -> Column:
-    """Struct of own (2 within, 0 not within, 1 not decided, by the two nodes alone), told (issues) and edges, from the
-    columns direction, flip, s and t. It is large, so it is built once for an application."""
+    """Struct of own (2 within, 0 not within, 1 not decided, by the two nodes alone) and told (issues), from the columns
+    direction, flip, s, t and edges."""
     s, t = F.col("s"), F.col("t")
     n = lambda c: F.coalesce(c, F.lit(False))
     raw = (F.col("direction") == "serializer") | F.col("flip")
-    same = n((s["text"] == t["text"]) & (F.contains("sp", F.lit("!")) == F.contains("tp", F.lit("!"))) & ~F.contains(s["text"], F.lit('"$ref"')) & (s["kind"] == t["kind"]))
     both = n((s["kind"] == "plain") & (t["kind"] == "plain"))
-    everything = n((t["kind"] == "plain") & t["n"]["text"].isin("true", "{}"))
     refusal = n((s["kind"] == "plain") & (t["kind"] == "not"))
     own_types = F.when(F.array_contains(t["types"], "number"), F.array_union(t["types"], F.array(F.lit("integer")))).otherwise(t["types"])
     every = F.array(*map(F.lit, _TYPES))
@@ -453,18 +476,17 @@ def _judged(_application: str) -> Column:
     foreign = n((t["kind"] != "not") & ((s["kind"] == "not") | (t["kind"] != "plain")) & (F.size(F.array_except(held, own_types)) > 0))
 
     def judge(nothing: Column) -> Column:
-        sure = same | everything | nothing
+        sure = _plainly(s, t) | nothing
         told = F.when(both & ~sure, _issues(raw, s["n"], t["n"])).otherwise(F.array().cast(_ISSUE))
         hit = F.exists(s["n"]["enum"], lambda v: n(_fits(v, s["n"], False) & _fits(v, t["n"])))
         told = F.when(~sure & refusal & n(t["n"]["text"].isin("true", "{}") | hit), _one_issue("not", "a value is excluded")).when(~sure & foreign, _one_issue("type", "a type is accepted by no branch")).otherwise(told)
         fine = sure | (refusal & _disjoint(s["n"], t["n"]))
-        steps = F.when(fine, F.array().cast(_EDGES)).otherwise(_steps(raw, s, t).cast(_EDGES))
-        return let(F.struct(fine.alias("fine"), told.alias("told"), steps.alias("edges")), summed)
+        return let(F.struct(fine.alias("fine"), told.alias("told")), summed)
 
     def summed(x: Column) -> Column:
         broken = F.exists(x["told"], lambda i: i["keyword"] != "unknown")
-        own = F.when(x["fine"], 2).when(broken, 0).when((F.size(x["told"]) > 0) | (~both & (F.size(x["edges"]) == 0)), 1).otherwise(2)
-        return F.struct(own.alias("own"), x["told"].alias("told"), x["edges"].alias("edges"))
+        own = F.when(x["fine"], 2).when(broken, 0).when((F.size(x["told"]) > 0) | (~both & (F.size("edges") == 0)), 1).otherwise(2)
+        return F.struct(own.alias("own"), x["told"].alias("told"), x["fine"].alias("fine"))
 
     return let(n((s["kind"] == "plain") & _no_value(s["n"], s["n"]["required"])), judge)
 
@@ -481,19 +503,23 @@ def goal_issues(pairs: DataFrame, pair: list[str]) -> DataFrame:
     side = lambda name: nodes.select(*pair, F.col("side").alias(f"{name}_side"), F.col("pointer").alias(f"{name}p"), F.struct(*cols).alias(name))
     fresh = pairs.select(*pair, directions(F.col("role")).alias("direction"), F.lit(False).alias("flip"), F.lit("#").alias("sp"), F.lit("#").alias("tp"))
     key, done = [*pair, "direction", "flip", "sp", "tp"], []
-    judged = _judged(pairs.sparkSession.sparkContext.applicationId)
-    while True:
+    application = pairs.sparkSession.sparkContext.applicationId
+
+    def met(goals: DataFrame) -> DataFrame:
         forth = (F.col("direction") == "serializer") != F.col("flip")
-        met = fresh.withColumns({"s_side": F.when(forth, "new").otherwise("old"), "t_side": F.when(forth, "old").otherwise("new")})
-        met = met.join(side("s"), [*pair, "s_side", "sp"], "left").join(side("t"), [*pair, "t_side", "tp"], "left")
-        found = settle(met.select(*key, judged.alias("j")).select(*key, "j.*"))
+        sided = goals.withColumns({"s_side": F.when(forth, "new").otherwise("old"), "t_side": F.when(forth, "old").otherwise("new")})
+        return sided.join(side("s"), [*pair, "s_side", "sp"], "left").join(side("t"), [*pair, "t_side", "tp"], "left")
+
+    while True:
+        found = settle(met(fresh).select(*key, _next_goals(application).alias("edges")))
         done.append(found)
         ahead = found.select(*pair, "direction", "flip", F.explode("edges").alias("e")).select(*pair, "direction", (F.col("flip") != F.col("e.flip")).alias("flip"), "e.sp", "e.tp").distinct()
         known = reduce(DataFrame.unionByName, [d.select(*key) for d in done])
         fresh = settle(ahead.join(known, key, "left_anti"))
         if fresh.isEmpty():
             break
-    goals = reduce(DataFrame.unionByName, done)
+    goals = met(reduce(DataFrame.unionByName, done)).select(*key, "edges", _judged(application).alias("j"))
+    goals = settle(goals.select(*key, "j.own", "j.told", F.when(F.col("j.fine"), F.array().cast(_EDGES)).otherwise(F.col("edges")).alias("edges")))
     value = _goal_values(goals, pair)
     told = goals.select(*pair, "direction", F.col("tp").alias("pointer"), F.explode("told").alias("i")).filter("i.keyword <> 'unknown'")
     order = F.struct(F.size(F.split("pointer", "/")).alias("depth"), F.col("i.rank").alias("rank"), "pointer", F.col("i.keyword").alias("keyword"), F.col("i.message").alias("message"))
