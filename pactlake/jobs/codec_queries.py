@@ -115,11 +115,59 @@ def o15_changed(spark, sf_dir):
     return openapi.changed_operations(old, new, ["host"]).select("host", "path", "method")
 
 
+#: What changes between the two descriptions of a page, by its number: request schema, response schema, and so on; the
+#: issue that follows, without method, path and surface, or None.
+CHANGES = 9
+
+
+def api_pairs(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    """(page_id, doc_json): for each page with a url, an API description before or after the change of its number."""
+    new = lambda k, yes, no: F.when((F.col("page_id") % CHANGES == k) & F.lit(side == "new"), yes).otherwise(no)
+    text = F.format_string(
+        '{"openapi":"3.1.0","components":{"schemas":{"S":{"type":"integer","minimum":%d}},"parameters":{"P":{"in":"query","name":"q","required":%s,"schema":{"type":"string"}%s}},"requestBodies":{"B":{"required":%s,"content":{"application/json":{"schema":{"type":"object","properties":{"v":{"$ref":"#/components/schemas/S"}}}}%s}}}},'
+        '"paths":{"/a/{id}":{"parameters":[{"in":"path","name":"id","required":true,"schema":{"enum":[%s]}}],"post":{"parameters":[{"$ref":"#/components/parameters/P"}],"requestBody":{"$ref":"#/components/requestBodies/B"},"responses":{"200":{"headers":{"X-Id":{"required":true,"schema":{"type":"string","maxLength":%d}}},"content":{"application/json":{"schema":{"type":%s}}}}}}%s}}}',
+        new(1, 5, 3), new(2, "true", "false"), new(3, ',"style":"pipeDelimited"', ""), new(4, "true", "false"), new(5, "", ',"text/*":{},"text/plain":{}'), new(6, '"x"', '"x","y"'), new(7, 9, 8), new(8, '["object","null"]', '"object"'), new(0, "", ',"get":{"responses":{}}'),
+    )
+    return table(spark, sf_dir, "pages").filter(F.contains("url", F.lit("://"))).select("page_id", text.alias("doc_json"))
+
+
+def _changed(spark, sf_dir):
+    return [api_pairs(spark, sf_dir, side) for side in ("old", "new")]
+
+
+def o4_references(spark, sf_dir):
+    return openapi.resolved_references(api_pairs(spark, sf_dir, "new"), ["page_id"]).groupBy("path", "method", "place", "ref", "found").agg(F.count("*").alias("n"))
+
+
+def o6_styles(spark, sf_dir):
+    rows = openapi.surfaces(api_pairs(spark, sf_dir, "new"), ["page_id"]).filter("place IN ('path', 'query')")
+    return rows.groupBy("place", "name", "style").agg(F.count("*").alias("n"))
+
+
+def o7_request_contracts(spark, sf_dir):
+    rows = openapi.surfaces(api_pairs(spark, sf_dir, "new"), ["page_id"])
+    return rows.filter("side = 'request' AND place <> 'body'").groupBy("path", "method", "place", "name", "required", "schema_json").agg(F.count("*").alias("n"))
+
+
+def o8_request_bodies(spark, sf_dir):
+    rows = openapi.surfaces(api_pairs(spark, sf_dir, "new"), ["page_id"])
+    return rows.filter("place = 'body'").groupBy("method", "name", "required").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
+
+
+def o10_media_ranges(spark, sf_dir):
+    docs = api_pairs(spark, sf_dir, "new").withColumn("doc_json", F.replace("doc_json", F.lit('"requestBody":{"$ref":"#/components/requestBodies/B"}'), F.concat(F.lit('"requestBody":{"content":{"*/*":{},"Text/Plain":{},"text/*":{}'), F.when(F.col("page_id") % 2 == 0, ',"application/json":{}').otherwise(""), F.lit("}}"))))
+    rows = openapi.media_ranges(openapi.operations(docs, ["page_id"]), ["page_id"])
+    return rows.groupBy("media", F.array_join("without", ",").alias("without")).agg(F.count("*").alias("n"))
+
+
+def o15_issues(spark, sf_dir):
+    old, new = _changed(spark, sf_dir)
+    return openapi.operation_issues(old, new, ["page_id"])
+
+
 def o16_report(spark, sf_dir):
-    ops, old, new = _diff(spark, sf_dir)
-    met = new.join(old.select("host", "path", "method"), ["host", "path", "method"], "left_semi")
-    broken = openapi.newly_required(openapi.parameters(old, ["host"]), openapi.parameters(met, ["host"]), ["host"])
-    return openapi.report(openapi.removed_operations(old, new, ["host"]), broken, ops, ["host"])
+    old, new = _changed(spark, sf_dir)
+    return openapi.report(old, new, ["page_id"]).select("page_id", F.array_join("issues", ";").alias("issues"), "n", "is_compatible")
 
 
 def g10_counterexamples(spark, sf_dir):
@@ -143,7 +191,7 @@ def x1_validate_stream(spark, sf_dir):
 
 QUERIES = {
     "D2_decode": d2_decode, "D3_extras": d3_extras, "D4_missing_not_null": d4_missing, "D7_round_trip_audit": d7_round_trip, "D8_tagged_union": d8_tagged, "D9_rejected": d9_rejected,
-    "O1_operations": o1_operations, "O2_parameters": o2_parameters, "O5_path_templates": o5_templates, "O9_status_expansion": o9_statuses, "O14_removed_operations": o14_removed, "O15_changed_operations": o15_changed, "O16_report": o16_report,
+    "O1_operations": o1_operations, "O2_parameters": o2_parameters, "O5_path_templates": o5_templates, "O9_status_expansion": o9_statuses, "O14_removed_operations": o14_removed, "O15_changed_operations": o15_changed, "O15_operation_issues": o15_issues, "O4_references": o4_references, "O6_styles": o6_styles, "O7_request_contracts": o7_request_contracts, "O8_request_bodies": o8_request_bodies, "O10_media_ranges": o10_media_ranges, "O16_report": o16_report,
     "G10_counterexamples": g10_counterexamples, "X1_validate_stream": x1_validate_stream,
 }
 _K = "CAST(json_extract(props, '$.k') AS BIGINT)"
@@ -151,6 +199,11 @@ _API = """api AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS host
     CASE page_id % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END AS method FROM pages WHERE strpos(url, '://') > 0)"""
 _GONE = "SELECT host, path, method FROM api WHERE side = 'old' EXCEPT SELECT host, path, method FROM api WHERE side = 'new'"
 _BOTH = "SELECT host, path, method FROM api WHERE side = 'old' AND method = 'POST' INTERSECT SELECT host, path, method FROM api WHERE side = 'new'"
+_PAGES = f"(SELECT page_id, page_id % {CHANGES} AS k FROM pages WHERE strpos(url, '://') > 0)"
+#: What follows from each change, a row for each issue.
+_FOUND = f"""SELECT page_id, k, '/a/{{id}}' AS path, CASE k WHEN 2 THEN 'request query' WHEN 3 THEN 'request query' WHEN 6 THEN 'request path' WHEN 7 THEN 'response headers of 200' WHEN 8 THEN 'response body of 200' ELSE 'request body' END AS surface,
+    unnest(CASE k WHEN 1 THEN ['application/json incompatible'] WHEN 2 THEN ['requires q'] WHEN 3 THEN ['is written in another way: q'] WHEN 4 THEN ['requires application/json', 'requires text/*', 'requires text/plain'] WHEN 5 THEN ['no longer accepts text/*', 'no longer accepts text/plain']
+        WHEN 6 THEN ['id incompatible'] WHEN 7 THEN ['x-id incompatible'] WHEN 8 THEN ['application/json incompatible'] ELSE [''] END) AS message FROM {_PAGES}"""
 ORACLE_SQL = {
     "D2_decode": "SELECT event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users, CAST(sum(CASE WHEN event_id % 3 = 2 THEN CAST(round(value) AS BIGINT) END) AS BIGINT) AS value FROM events WHERE event_id % 17 <> 0 GROUP BY 1",
     "D3_extras": f"SELECT 'props' AS extra_keys, count(*) AS n, CAST(sum({_K}) AS BIGINT) AS k FROM events WHERE event_id % 17 <> 0",
@@ -164,6 +217,16 @@ ORACLE_SQL = {
     "O9_status_expansion": f"WITH {_API} SELECT side, CASE WHEN s = 404 THEN '404' WHEN s BETWEEN 200 AND 299 THEN '2XX' ELSE 'default' END AS entry, count(*) AS n FROM api, range(100, 600) r(s) GROUP BY 1, 2",
     "O14_removed_operations": f"WITH {_API} {_GONE}",
     "O15_changed_operations": f"WITH {_API} {_BOTH}",
-    "O16_report": f"WITH {_API}, i AS (SELECT host FROM ({_GONE}) UNION ALL SELECT host FROM ({_BOTH})) SELECT host, coalesce(n, 0) AS issues, n IS NULL AS is_compatible FROM (SELECT DISTINCT host FROM api) LEFT JOIN (SELECT host, count(*) AS n FROM i GROUP BY 1) USING (host)",
+    "O4_references": f"""SELECT '/a/{{id}}' AS path, 'POST' AS method, 'parameter' AS place, '#/components/parameters/P' AS ref, '{{"in":"query","name":"q","required":' || (k = 2) || ',"schema":{{"type":"string"}}' || CASE k WHEN 3 THEN ',"style":"pipeDelimited"' ELSE '' END || '}}' AS found, count(*) AS n FROM {_PAGES} GROUP BY ALL
+        UNION ALL SELECT '/a/{{id}}', 'POST', 'body', '#/components/requestBodies/B', '{{"content":{{"application/json":{{"schema":{{"properties":{{"v":{{"$ref":"#/components/schemas/S"}}}},"type":"object"}}}}' || CASE k WHEN 5 THEN '' ELSE ',"text/*":{{}},"text/plain":{{}}' END || '}},"required":' || (k = 4) || '}}', count(*) FROM {_PAGES} GROUP BY ALL""",
+    "O6_styles": f"SELECT place, name, style, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'path' AS place, 'id' AS name, 'simple false' AS style, count(*) AS n FROM {_PAGES} UNION ALL SELECT 'path', 'id', 'simple false', count(*) FROM {_PAGES} WHERE k <> 0 UNION ALL SELECT 'query', 'q', CASE k WHEN 3 THEN 'pipeDelimited false' ELSE 'form true' END, count(*) FROM {_PAGES} GROUP BY ALL) GROUP BY ALL",
+    "O7_request_contracts": f"""SELECT path, method, place, name, required, schema_json, count(*) AS n FROM (SELECT '/a/{{id}}' AS path, unnest(CASE k WHEN 0 THEN ['POST'] ELSE ['POST', 'GET'] END) AS method, 'path' AS place, 'id' AS name, true AS required, CASE k WHEN 6 THEN '{{"enum":["x"]}}' ELSE '{{"enum":["x","y"]}}' END AS schema_json FROM {_PAGES}) GROUP BY ALL
+        UNION ALL SELECT '/a/{{id}}', 'POST', 'query', 'q', k = 2, '{{"type":"string"}}', count(*) FROM {_PAGES} GROUP BY ALL""",
+    "O8_request_bodies": f"SELECT method, name, required, count(*) AS n, min(page_id) AS first FROM (SELECT page_id, 'POST' AS method, unnest(CASE k WHEN 5 THEN ['application/json'] ELSE ['application/json', 'text/*', 'text/plain'] END) AS name, k = 4 AS required FROM {_PAGES}) GROUP BY ALL",
+    "O10_media_ranges": f"""SELECT media, without, count(*) AS n FROM (SELECT unnest(CASE page_id % 2 WHEN 0 THEN ['*/*', 'text/plain', 'text/*', 'application/json'] ELSE ['*/*', 'text/plain', 'text/*'] END) AS media,
+        unnest(CASE page_id % 2 WHEN 0 THEN ['application/json,text/*,text/plain', '', 'text/plain', ''] ELSE ['text/*,text/plain', '', 'text/plain'] END) AS without FROM {_PAGES}) GROUP BY ALL""",
+    "O15_operation_issues": f"SELECT page_id, path, unnest(CASE k WHEN 6 THEN ['POST', 'GET'] ELSE ['POST'] END) AS method, surface, message FROM ({_FOUND}) WHERE k <> 0",
+    "O16_report": f"""SELECT page_id, CASE k WHEN 0 THEN 'GET /a/{{id}} was removed' WHEN 6 THEN 'GET ' || path || ' ' || surface || ': ' || min(message) || ';POST ' || path || ' ' || surface || ': ' || min(message) ELSE string_agg('POST ' || path || ' ' || surface || ': ' || message, ';' ORDER BY message) END AS issues,
+        CASE k WHEN 4 THEN 3 WHEN 5 THEN 2 WHEN 6 THEN 2 ELSE 1 END AS n, false AS is_compatible FROM ({_FOUND}) GROUP BY page_id, path, k, surface""",
     "X1_validate_stream": f"SELECT event_type, coalesce(({EVENT_SQL}), false) AS valid, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1, 2",
 }

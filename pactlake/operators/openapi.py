@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pactlake.functions.settled import settle
+
+from .compat import check_compat
+from .registry_scan import let
+
 METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
 IGNORED_HEADERS = ("accept", "content-type", "authorization")
 
@@ -41,9 +48,12 @@ def parameters(ops: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def template_mismatches(ops: DataFrame, params: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids..., path, method, name): names in a path template without a path parameter."""
+    """(ids..., path, method, name): names in a path template without a required path parameter, and path parameters
+    that the template doesn't have."""
+    key = [*ids, "path", "method", "name"]
     names = ops.select(*ids, "path", "method", F.explode(F.regexp_extract_all("path", F.lit(r"\{([^}]+)\}"), 1)).alias("name"))
-    return names.join(params.filter("location = 'path' AND required"), [*ids, "path", "method", "name"], "left_anti")
+    own = params.filter("location = 'path'")
+    return names.join(own.filter("required"), key, "left_anti").unionByName(own.select(*key).join(names, key, "left_anti"))
 
 
 def statuses(ops: DataFrame, ids: list[str]) -> DataFrame:
@@ -84,35 +94,171 @@ def response_headers(ops: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def unsupported_surfaces(docs: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids..., place, surface): webhooks, references in place of a path's operations, and callbacks."""
+    """(ids..., place, surface): webhooks, references in place of a path's operations, callbacks, links, encodings and
+    references to other documents."""
     doc = F.try_parse_json("doc_json")
     hooks = docs.select(*ids, F.explode(_fields(doc, "$.webhooks")).alias("place"), F.lit("webhook").alias("surface"))
     items = docs.select(*ids, _entries(F.try_variant_get(doc, "$.paths", "variant")).alias("p"))
     refs = items.filter(F.array_contains(_fields(F.col("p.value"), "$"), "$ref")).select(*ids, F.col("p.key").alias("place"), F.lit("path reference").alias("surface"))
     ops = operations(docs, ids)
     calls = ops.filter(F.array_contains(_fields(F.col("op"), "$"), "callbacks")).select(*ids, F.concat_ws(" ", "method", "path").alias("place"), F.lit("callbacks").alias("surface"))
-    return hooks.unionByName(refs).unionByName(calls)
+    answers = ops.select(*ids, "path", "method", _entries(F.try_variant_get("op", "$.responses", "variant")).alias("r"))
+    links = answers.filter(F.size(_fields(F.col("r.value"), "$.links")) > 0).select(*ids, F.concat_ws(" ", "method", "path", "r.key").alias("place"), F.lit("links").alias("surface"))
+    coded = ops.select(*ids, "path", "method", F.explode(_media(F.try_variant_get("op", "$.requestBody", "variant"))).alias("m")).filter(F.array_contains(_fields(F.col("m.value"), "$"), "encoding"))
+    coded = coded.select(*ids, F.concat_ws(" ", "method", "path", "m.key").alias("place"), F.lit("encoding").alias("surface"))
+    far = ops.filter(F.to_json("op").rlike(r'"\$ref":"[^#]')).select(*ids, F.concat_ws(" ", "method", "path").alias("place"), F.lit("remote reference").alias("surface"))
+    return reduce(DataFrame.unionByName, [hooks, refs, calls, links, coded, far])
 
 
-def removed_operations(old: DataFrame, new: DataFrame, ids: list[str]) -> DataFrame:
-    return old.join(new.select(*ids, "path", "method"), [*ids, "path", "method"], "left_anti").select(*ids, "path", "method")
+#: How a parameter is written: default style by place, and the styles that each place may have.
+STYLES = {"path": ("simple", "label", "matrix"), "query": ("form", "spaceDelimited", "pipeDelimited", "deepObject"), "header": ("simple",), "cookie": ("form",)}
 
 
-def changed_operations(old: DataFrame, new: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids..., path, method, old_op, new_op) whose texts differ."""
-    side = lambda df, name: df.select(*ids, "path", "method", F.to_json("op").alias(name))
-    return side(old, "old_op").join(side(new, "new_op"), [*ids, "path", "method"]).filter("old_op <> new_op")
+def component(doc: Column, v: Column, hops: int = 4) -> Column:
+    """What a local reference into components leads to, through chains of up to `hops`; other values as they are. NULL
+    where the target is missing or further away."""
+
+    def hop(v: Column) -> Column:
+        parts = F.split(F.try_variant_get(v, "$['$ref']", "string"), "/")
+        name = F.replace(F.replace(F.get(parts, F.lit(3)), F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
+        section = F.try_element_at(F.try_variant_get(doc, "$.components", "map<string,variant>"), F.get(parts, F.lit(2)))
+        return F.when(parts.isNull(), v).when((F.get(parts, F.lit(0)) == "#") & (F.get(parts, F.lit(1)) == "components"), F.try_element_at(F.try_variant_get(section, "$", "map<string,variant>"), name))
+
+    for _ in range(hops):
+        v = let(v, hop)
+    return let(v, lambda x: F.when(F.try_variant_get(x, "$['$ref']", "string").isNull(), x))
 
 
-def newly_required(old_params: DataFrame, new_params: DataFrame, ids: list[str]) -> DataFrame:
-    """Parameters that new requests must carry and old ones need not: breaks the request side."""
-    key = [*ids, "path", "method", "location", "name"]
-    had = old_params.filter("required").select(*key)
-    return new_params.filter("required").join(had, key, "left_anti").select(*key)
+def resolved_references(docs: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids..., path, method, place, ref, found): references that stand for a parameter, a body or a response."""
+    ops = operations(docs, ids)
+    doc = F.try_parse_json("doc_json")
+    listed = lambda v: F.coalesce(F.try_variant_get(v, "$.parameters", "array<variant>"), F.array().cast("array<variant>"))
+    of = lambda place, v: F.struct(F.lit(place).alias("place"), v.alias("v"))
+    spots = F.concat(F.transform(listed(F.col("op")), lambda v: of("parameter", v)), F.array(of("body", F.try_variant_get("op", "$.requestBody", "variant"))), F.transform(F.map_values(F.coalesce(F.try_variant_get("op", "$.responses", "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))), lambda v: of("response", v)))
+    rows = ops.select(*ids, "path", "method", F.explode(spots).alias("x")).withColumn("ref", F.try_variant_get("x.v", "$['$ref']", "string")).filter("ref IS NOT NULL")
+    met = rows.join(docs.select(*ids, doc.alias("doc")), ids)
+    return met.select(*ids, "path", "method", "x.place", "ref", F.to_json(component(F.col("doc"), F.col("x.v"))).alias("found"))
+
+
+def parameter_styles(params: DataFrame) -> DataFrame:
+    """params with style, explode (defaults filled in) and allowed: whether the place may have the style."""
+    p = F.try_parse_json("param")
+    first = F.create_map(*(x for k, v in STYLES.items() for x in (F.lit(k), F.lit(v[0]))))
+    may = F.create_map(*(x for k, v in STYLES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    style = F.coalesce(F.try_variant_get(p, "$.style", "string"), F.try_element_at(first, "location"))
+    with_style = params.withColumn("style", style).withColumn("explode", F.coalesce(F.try_variant_get(p, "$.explode", "boolean"), F.col("style") == "form"))
+    return with_style.withColumn("allowed", F.coalesce(F.array_contains(F.try_element_at(may, "location"), F.col("style")), F.lit(False)))
+
+
+def _media(v: Column) -> Column:
+    """The entries of content, media types in lower case without spaces around the semicolons."""
+    found = F.coalesce(F.map_entries(F.try_variant_get(v, "$.content", "map<string,variant>")), F.from_json(F.lit("[]"), "array<struct<key:string,value:variant>>"))
+    return F.transform(found, lambda e: F.struct(F.regexp_replace(F.lower(F.trim(e["key"])), r"\s*;\s*", ";").alias("key"), e["value"].alias("value")))
+
+
+def _wider(media: Column) -> Column:
+    """The ranges that cover a media type, the narrowest first, itself among them."""
+    kind = F.split_part(media, F.lit(";"), F.lit(1))
+    return F.array_distinct(F.array(media, kind, F.concat(F.split_part(kind, F.lit("/"), F.lit(1)), F.lit("/*")), F.lit("*/*")))
+
+
+def media_ranges(ops: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids..., path, method, media, without): the media types of a request body; from a range, the more specific
+    entries beside it are taken out."""
+    rows = ops.select(*ids, "path", "method", F.array_distinct(F.transform(_media(F.try_variant_get("op", "$.requestBody", "variant")), lambda e: e["key"])).alias("all"))
+    each = rows.select(*ids, "path", "method", "all", F.explode("all").alias("media"))
+    return each.select(*ids, "path", "method", "media", F.array_sort(F.filter("all", lambda m: (m != F.col("media")) & F.array_contains(_wider(m), F.col("media")))).alias("without"))
+
+
+def surfaces(docs: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids..., path, method, side, place, name, required, style, schema_json): what requests and responses of each
+    operation carry: parameters by place and name, bodies by media type, responses by status entry and media type,
+    their headers by name. Schemas keep the components that their references need."""
+    parsed = docs.withColumn("_doc", F.try_parse_json("doc_json"))
+    ops = operations(docs, ids).join(parsed.select(*ids, "_doc"), ids)
+    schemas = F.to_json(F.try_variant_get("_doc", "$.components", "variant"))
+
+    def schema(v: Column) -> Column:
+        text = F.coalesce(F.to_json(F.try_variant_get(v, "$.schema", "variant")), F.lit("{}"))
+        return F.when(F.contains(text, F.lit('"$ref"')), F.concat(F.lit('{"allOf":['), text, F.lit('],"components":'), F.coalesce(schemas, F.lit("{}")), F.lit("}"))).otherwise(text)
+
+    listed = lambda v, level: F.transform(F.coalesce(F.try_variant_get(v, "$.parameters", "array<variant>"), F.array().cast("array<variant>")), lambda p: F.struct(F.lit(level).alias("level"), component(F.col("_doc"), p).alias("p")))
+    own = ops.select(*ids, "path", "method", "_doc", F.explode(F.concat(listed(F.col("op"), 0), listed(F.col("item"), 1))).alias("x"))
+    get = lambda k, t: F.try_variant_get("x.p", f"$['{k}']", t)
+    name = F.when(get("in", "string") == "header", F.lower(get("name", "string"))).otherwise(get("name", "string"))
+    own = own.select(*ids, "path", "method", get("in", "string").alias("location"), name.alias("name"), F.coalesce(get("required", "boolean"), F.lit(False)).alias("required"), F.to_json("x.p").alias("param"), schema(F.col("x.p")).alias("schema_json"), "x.level")
+    own = own.filter((F.col("location") != "header") | ~F.col("name").isin(*IGNORED_HEADERS))
+    own = own.groupBy(*ids, "path", "method", "location", "name").agg(F.min_by(F.struct("required", "param", "schema_json"), "level").alias("b")).select(*ids, "path", "method", "location", "name", "b.*")
+    styled = parameter_styles(own).select(*ids, "path", "method", F.lit("request").alias("side"), F.col("location").alias("place"), "name", "required", F.concat_ws(" ", "style", F.col("explode").cast("string")).alias("style"), "schema_json")
+    body = component(F.col("_doc"), F.try_variant_get("op", "$.requestBody", "variant"))
+    bodies = ops.select(*ids, "path", "method", "_doc", F.coalesce(F.try_variant_get(body, "$.required", "boolean"), F.lit(False)).alias("required"), F.explode(_media(body)).alias("m"))
+    bodies = bodies.select(*ids, "path", "method", F.lit("request").alias("side"), F.lit("body").alias("place"), F.col("m.key").alias("name"), "required", F.lit("").alias("style"), schema(F.col("m.value")).alias("schema_json"))
+    answers = ops.select(*ids, "path", "method", "_doc", _entries(F.try_variant_get("op", "$.responses", "variant")).alias("r")).withColumn("v", component(F.col("_doc"), F.col("r.value")))
+    answer = lambda place, x, need: answers.select(*ids, "path", "method", "_doc", F.concat(F.lit(place), F.col("r.key")).alias("place"), F.explode(x).alias("m")).select(*ids, "path", "method", F.lit("response").alias("side"), "place", F.col("m.key").alias("name"), need.alias("required"), F.lit("").alias("style"), schema(F.col("m.value")).alias("schema_json"))
+    headers = F.filter(F.transform(F.coalesce(F.map_entries(F.try_variant_get("v", "$.headers", "map<string,variant>")), F.from_json(F.lit("[]"), "array<struct<key:string,value:variant>>")), lambda e: F.struct(F.lower(e["key"]).alias("key"), component(F.col("_doc"), e["value"]).alias("value"))), lambda e: e["key"] != "content-type")
+    told = answer("body of ", _media(F.col("v")), F.lit(True)).unionByName(answer("headers of ", headers, F.coalesce(F.try_variant_get("m.value", "$.required", "boolean"), F.lit(False))))
+    return styled.unionByName(bodies).unionByName(told)
+
+
+def operation_issues(old: DataFrame, new: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids..., path, method, surface, message) for documents (ids..., doc_json) whose operations are in both. What old
+    clients send must be accepted by the new side (requests as deserializer), what the new side answers by old clients
+    (responses as serializer). A pair of schemas that can't be decided is an issue too."""
+    key = [*ids, "path", "method"]
+    both = operations(old, ids).select(*key).join(operations(new, ids).select(*key), key)
+    o, n = (surfaces(d, ids).join(both, key, "left_semi") for d in (old, new))
+    o, n = settle(o), settle(n)
+    spot = [*key, "side", "place", "name"]
+    met = o.select(*spot, *(F.col(c).alias(f"o_{c}") for c in ("required", "style", "schema_json"))).join(n.select(*spot, *(F.col(c).alias(f"n_{c}") for c in ("required", "style", "schema_json"))), spot, "full_outer")
+    where = F.concat_ws(" ", "side", "place")
+    request, response = F.col("side") == "request", F.col("side") == "response"
+    gone, fresh = F.col("n_schema_json").isNull(), F.col("o_schema_json").isNull()
+    header = F.col("place").startswith("headers of ")
+    ranged = met.join(_offers(o, n, spot), spot, "left")
+    covered = F.coalesce(F.col("covered"), F.lit(False))
+    why = F.array_compact(F.array(
+        F.when(request & gone & ~covered, F.concat(F.lit("no longer accepts "), "name")), F.when(request & fresh & F.col("n_required") & (F.col("place") != "body"), F.concat(F.lit("requires "), "name")),
+        F.when(request & ~gone & ~fresh & F.col("n_required") & ~F.col("o_required"), F.concat(F.lit("requires "), "name")), F.when(request & ~gone & ~fresh & (F.col("o_style") != F.col("n_style")), F.concat(F.lit("is written in another way: "), "name")),
+        F.when(response & fresh & ~header & ~covered, F.concat(F.lit("answers with "), "name")), F.when(response & header & F.col("o_required") & (gone | ~F.col("n_required")), F.concat(F.lit("may lack "), "name")),
+    ))
+    shape = ranged.select(*key, where.alias("surface"), F.explode(why).alias("message"))
+    pairs = met.filter(~gone & ~fresh & (F.col("o_schema_json") != F.col("n_schema_json")))
+    spots = [*key, "part", "place", "name"]
+    judged = check_compat(pairs.withColumnRenamed("side", "part").select(*spots, F.when(F.col("part") == "request", "deserializer").otherwise("serializer").alias("role"), F.col("o_schema_json").alias("old"), F.col("n_schema_json").alias("new")), spots).filter("verdict <> 'compatible'")
+    schema = judged.select(*key, F.concat_ws(" ", "part", "place").alias("surface"), F.concat_ws(" ", "name", F.col("verdict")).alias("message"))
+    return shape.unionByName(schema)
+
+
+def _offers(old: DataFrame, new: DataFrame, spot: list[str]) -> DataFrame:
+    """Media types of one side that a range of the other side covers, and statuses under the other side's classes."""
+    rows = [*spot[:-1]]
+    bodies = F.col("place") == "body"
+    answers = F.col("place").startswith("body of ")
+    kinds = lambda df, test: df.filter(test).groupBy(*rows).agg(F.collect_set("name").alias("offered"))
+    asked = old.filter(bodies).join(kinds(new, bodies), rows).filter(F.arrays_overlap("offered", _wider(F.col("name")))).select(*spot)
+    code = F.expr("substring(place, 9)")
+    above = F.explode(F.array_distinct(F.array("place", F.concat(F.lit("body of "), F.substring(code, 1, 1), F.lit("XX")), F.lit("body of default"))))
+    told = new.filter(answers).select(*spot, F.col("place").alias("_was"), above.alias("_place")).drop("place").withColumnRenamed("_place", "place")
+    told = told.join(kinds(old, answers), rows).filter(F.arrays_overlap("offered", _wider(F.col("name")))).withColumn("place", F.col("_was")).select(*spot).distinct()
+    return asked.unionByName(told).withColumn("covered", F.lit(True))
+
 
+def removed_operations(old: DataFrame, new: DataFrame, ids: list[str]) -> DataFrame:
+    return old.join(new.select(*ids, "path", "method"), [*ids, "path", "method"], "left_anti").select(*ids, "path", "method")
 
-def report(removed: DataFrame, broken: DataFrame, pairs: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids..., issues, is_compatible) for every pair of documents."""
-    issues = removed.select(*ids, F.concat_ws(" ", "method", "path", F.lit("was removed")).alias("issue")).unionByName(broken.select(*ids, F.concat_ws(" ", "method", "path", F.lit("requires"), "location", "name").alias("issue")))
-    counted = issues.groupBy(*ids).agg(F.count("*").alias("issues"))
-    return pairs.select(*ids).distinct().join(counted, ids, "left").select(*ids, F.coalesce("issues", F.lit(0)).alias("issues"), F.col("issues").isNull().alias("is_compatible"))
+
+def changed_operations(old: DataFrame, new: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids..., path, method, old_op, new_op) whose texts differ, the path's own parameters included."""
+    text = lambda df, name: df.select(*ids, "path", "method", F.to_json(F.struct("op", F.try_variant_get("item", "$.parameters", "variant").alias("shared"))).alias(name))
+    return text(old, "old_op").join(text(new, "new_op"), [*ids, "path", "method"]).filter("old_op <> new_op")
+
+
+def report(old: DataFrame, new: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids..., issues, n, is_compatible) for every pair of documents (ids..., doc_json); issues: METHOD path surface:
+    message, in order."""
+    gone = removed_operations(operations(old, ids), operations(new, ids), ids).select(*ids, F.concat_ws(" ", "method", "path", F.lit("was removed")).alias("issue"))
+    broken = operation_issues(old, new, ids).select(*ids, F.concat(F.concat_ws(" ", "method", "path", "surface"), F.lit(": "), "message").alias("issue"))
+    counted = gone.unionByName(broken).groupBy(*ids).agg(F.array_sort(F.collect_set("issue")).alias("issues"))
+    pairs = old.select(*ids).unionByName(new.select(*ids)).distinct()
+    return pairs.join(counted, ids, "left").select(*ids, F.coalesce("issues", F.array().cast("array<string>")).alias("issues"), F.coalesce(F.size("issues"), F.lit(0)).alias("n"), F.col("issues").isNull().alias("is_compatible"))
