@@ -40,6 +40,12 @@ def _shuffles_dropped(spark: SparkSession):
         spark.conf.unset(key) if was is None else spark.conf.set(key, was)
 
 
+def free_name(df: DataFrame, like: str = "_key") -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for i in range(len(taken) + 1) if (n := f"{like}{i}") not in taken)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint; lost executors don't cost what came before it."""
     shared_dir(df.sparkSession)
@@ -64,7 +70,7 @@ def drop_table(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], to: str, shard_rows: int = 512, along: str | None = None) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[str], to: str, shard_rows: int = 512, along: str | None = None, stretch: int = 4096) -> DataFrame:
     """Add column `to`: consecutive numbers from 0 within each group, without one task per group.
 
     Rows of a group are dealt to shards by a hash of the order columns, numbered inside each shard, and lifted by
@@ -77,9 +83,13 @@ def numbered(df: DataFrame, group: list[str], order: list[str], to: str, shard_r
     else:
         shard = F.pmod(F.xxhash64(*order), F.lit(max(1, -(-df.count() // shard_rows))))
     dealt = df.withColumns({"_group": F.to_json(F.struct(*group)), "_shard": shard})
-    before = Window.partitionBy("_group").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("_group", "_shard").count().withColumn("_upto", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    offsets = settle(offsets.drop("count"))
+    # Sums before a shard in two steps, so that no task holds all shards of a group: before its stretch, and within it.
+    sizes = settle(dealt.groupBy("_group", "_shard").count().withColumn("_stretch", F.expr(f"_shard div {stretch}")))
+    ahead = lambda *by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    stretches = sizes.groupBy("_group", "_stretch").agg(F.sum("count").alias("rows"))
+    stretches = stretches.select("_group", "_stretch", F.coalesce(F.sum("rows").over(ahead("_group", order="_stretch")), F.lit(0)).alias("_first"))
+    within = sizes.withColumn("_inside", F.coalesce(F.sum("count").over(ahead("_group", "_stretch", order="_shard")), F.lit(0)))
+    offsets = settle(within.join(stretches, ["_group", "_stretch"]).select("_group", "_shard", (F.col("_first") + F.col("_inside")).alias("_upto")))
     ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_group", "_shard").orderBy(*order)))
     return ranked.join(offsets, ["_group", "_shard"], "left").withColumn(to, F.col("_upto") + F.col("_rank") - 1).select(*df.columns, to)
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, least_labels, settle, sorted_groups
+from .common import components, free_name, least_labels, settle, sorted_groups
 
 TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
 MAX_BITS, SHARED = 3, 5
@@ -147,14 +147,15 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **mo
     """One document of each group with all its columns: the one with the smallest id; of repeated rows with that
     id, one. Rows with a null id have no name to be grouped by and stay."""
     grouped = group_near(df, id_col, text_col, **more)
-    drop = settle(grouped.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_drop")).distinct())
-    left = df.join(drop, F.col(id_col) == F.col("_drop"), "left_anti")
+    name = free_name(df)
+    drop = settle(grouped.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct())
+    left = df.join(drop, df[id_col] == F.col(name), "left_anti")
     named = left.filter(F.col(id_col).isNotNull())
-    again = settle(named.groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("_again")))
+    again = settle(named.groupBy(F.col(id_col).alias(name)).agg(F.count("*").alias("_rows")).filter("_rows > 1").select(name))
     if not again.limit(1).count():
         return left
-    once = named.join(again, F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col])
-    return left.join(again, F.col(id_col) == F.col("_again"), "left_anti").unionByName(once)
+    once = named.join(again, F.col(id_col) == F.col(name), "left_semi").dropDuplicates([id_col])
+    return left.join(again, F.col(id_col) == F.col(name), "left_anti").unionByName(once)
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
