@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, settle, settle_table, sorted_groups
+from .common import drop_table, free_name, settle, settle_table, sorted_groups
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UNDO = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -321,8 +321,9 @@ def find_repeats(df: DataFrame, text_col: str = "text", length: int = 200, k: in
     # Equal surroundings are merged: their windows are shared as wide as they go, one of them stands for all.
     kinds = settle(again.filter("mixed").groupBy("a", "c").agg(F.count("*").alias("same"), F.min(F.struct("tid", "pos")).alias("one")))
     whole = again.filter(~F.col("mixed")).select("tid", "pos", "l", "r")
+    # A very common passage makes one (a, c) hot: a sort-merge join is what Spark splits by skew.
     alike = kinds.filter("same > 1").select("a", "c")
-    whole = whole.unionByName(again.filter("mixed").join(alike, ["a", "c"]).select("tid", "pos", "l", "r"))
+    whole = whole.unionByName(again.filter("mixed").join(alike.hint("merge"), ["a", "c"]).select("tid", "pos", "l", "r"))
     whole = whole.select("tid", (F.col("pos") - F.col("l")).alias("lo"), (F.col("pos") + F.col("r")).alias("hi"))
     sizes = settle(kinds.groupBy("a").agg(F.count("*").alias("n")))
     marks = kinds.select("a", "one.tid", "one.pos").join(sizes, "a").groupBy("tid").agg(F.collect_list(F.struct("a", "pos", "n")).alias("marks"))
@@ -356,13 +357,14 @@ def without_repeats(df: DataFrame, text_col: str = "text", chars_col: str | None
     """All rows and columns of df, with the repeated bytes taken out of the text (and the count of characters after
     it). Where a cut splits a character, the rest of that character goes too. Null texts stay null."""
     cols = df.columns
-    found = find_repeats(df, text_col, **more).select(F.col("h").alias("_found"), F.col("kept").alias("_kept"))
-    keyed = df.withColumn("_h", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-    out = keyed.join(found, F.col("_h") == F.col("_found"), "left")
-    new = F.coalesce("_kept", text_col)
+    key, hit, kept = (free_name(df, like) for like in ("_h", "_found", "_kept"))
+    found = find_repeats(df, text_col, **more).select(F.col("h").alias(hit), F.col("kept").alias(kept))
+    keyed = df.withColumn(key, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    out = keyed.join(found, F.col(key) == F.col(hit), "left")
+    new = F.coalesce(kept, text_col)
     put = {text_col: new}
     if chars_col in cols:
-        put[chars_col] = F.when(F.col("_kept").isNull(), F.col(chars_col)).otherwise(F.length("_kept").cast(df.schema[chars_col].dataType))
+        put[chars_col] = F.when(F.col(kept).isNull(), F.col(chars_col)).otherwise(F.length(kept).cast(df.schema[chars_col].dataType))
     return out.select(*(put.get(c, F.col(c)).alias(c) for c in cols))
 
 
