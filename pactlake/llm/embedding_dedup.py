@@ -1,11 +1,17 @@
 """Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, reranking by the vectors.
 
 A rotation for balanced binary codes is learned (centre, principal axes, then alternating code and rotation updates)
-on at most `sample` vectors, chosen by the least hash of their id: a documented bound. Every vector is encoded. Each
-of `tables` tables keys the codes by `key_bits` of their bits (the bits are dealt to tables by seeded permutations),
-within one label and one length of vector. Vectors that meet in a table are compared by cosine in double precision;
-pairs at or over the threshold are links. A pair counts only in the first table where it meets. Lists longer than
-`list_rows` are compared block against block. A task returns link counts and one edge per linked vector, no pairs.
+on at most `sample` vectors, chosen by the least hash of their id: a documented bound. It is learned for the
+`fitted_lengths` most frequent lengths of vectors; rarer lengths have codes by a fixed rotation, and lose no vector.
+Every vector is encoded. Each table keys the codes by some of their bits (dealt by seeded permutations), within one
+label and one length. The bits of a key grow with the vectors of the largest label, so that lists stay short, and the
+number of tables grows so that a pair at the threshold still meets in one of them with the same probability.
+
+What meets in a list is first compared by its codes: only vectors with another one within the Hamming radius (five
+standard deviations above what a pair at the threshold has), that no earlier table brought together, go on. Their
+vectors are fetched and compared by cosine in double precision; pairs at or over the threshold are links. Lists longer
+than `list_rows` are compared block against block, codes and vectors alike. A task returns link counts and one edge
+per linked vector, no pairs.
 
 Null vectors, empty ones, zero ones and those with null or non-finite components link with nothing, nor does a null
 label. Equal vectors of a label are one node with a weight; copies count as links of each other. Repeated rows are
@@ -49,19 +55,34 @@ class ItqCoder:
         return (x - self.mean) @ self.turn >= 0
 
 
-def table_bits(n_bits: int, tables: int, key_bits: int, seed: int = 11) -> np.ndarray:
-    """Which bits each table looks at: permutations of all bits, cut into keys."""
+def key_sizes(vectors: int, threshold: float) -> tuple[int, int]:
+    """(bits of a key, number of tables) for so many vectors of one label: about eight vectors a list if codes are
+    balanced, 12 bits at least, and tables until a pair at the threshold misses all with probability 0.008."""
+    bits = max(12, int(np.ceil(np.log2(max(vectors, 2)))) - 3)
+    agree = 1 - np.arccos(threshold) / np.pi
+    return bits, int(np.ceil(np.log(0.008) / np.log1p(-(agree**bits))))
+
+
+def table_masks(n_bits: int, tables: int, key_bits: int, seed: int = 11) -> np.ndarray:
+    """Which bits each table looks at: permutations of all bits, cut into keys. Short codes have short keys."""
     rng, rows = np.random.default_rng(seed), []
-    key_bits = max(1, min(key_bits, n_bits // 4))
+    key_bits = max(1, min(min(12, n_bits // 4) + max(0, key_bits - 12), n_bits // 2))
     while len(rows) < tables:
         order = rng.permutation(n_bits)
         rows += [order[i : i + key_bits] for i in range(0, n_bits - key_bits + 1, key_bits)]
-    return np.array(rows[:tables])
+    return np.array([np.bitwise_or.reduce(np.left_shift(np.uint64(1), r.astype(np.uint64))) for r in rows[:tables]])
+
 
+def packed(bits: np.ndarray) -> np.ndarray:
+    return (bits.astype(np.uint64) << np.arange(bits.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
-def _keys(bits: np.ndarray, dealt: np.ndarray) -> np.ndarray:
-    """One integer per vector and table."""
-    return bits[:, dealt].astype(np.int64) @ (1 << np.arange(dealt.shape[1], dtype=np.int64))
+
+def _new_pairs(xor: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Which pairs, given by the exclusive or of their codes, meet in none of the tables of these masks."""
+    met = np.zeros(len(xor), bool)
+    for m in masks:
+        met |= xor & m == 0
+    return ~met
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -78,68 +99,105 @@ def _distinct_vectors(df: DataFrame, id_col: str, vector_col: str, label_col: st
     return settle_table(merged.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("v")))
 
 
-def _links(nodes: DataFrame, threshold: float, tables: int, key_bits: int, sample: int, list_rows: int) -> DataFrame:
+def _links(nodes: DataFrame, threshold: float, key_bits: int | None, tables: int | None, sample: int, list_rows: int, fitted_lengths: int) -> DataFrame:
     """(node, links, root) parts: link counts found in one list, and a linked node of the same list."""
     spark = nodes.sparkSession
+    most = nodes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    grown = key_sizes(most, threshold)
+    key_bits, tables = key_bits or grown[0], tables or grown[1]
     coders = {}
-    for (dim,) in nodes.select("dim").distinct().limit(10_000).collect():  # lengths of vectors: a few
+    for dim, _ in nodes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(fitted_lengths).collect():
         some = nodes.filter(F.col("dim") == dim).orderBy(F.xxhash64("first"), "first").limit(sample).select("v").toPandas()["v"]
         coders[dim] = ItqCoder(np.stack(some.to_numpy()).astype(np.float64))
-    sent = spark.sparkContext.broadcast(coders)  # at most a 64-column matrix for each length
+    sent = spark.sparkContext.broadcast(coders)  # a matrix of at most 64 columns for each of these lengths
+    label = nodes.schema["label"].dataType.simpleString()
+    off = np.arccos(threshold) / np.pi
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = {}
         for b in batches:
             dims = b.column(1).to_numpy()
-            for dim in np.unique(dims):
-                own = np.flatnonzero(dims == dim)
-                part = b.take(pa.array(own))
-                coder = sent.value[int(dim)]
+            for dim in np.unique(dims).tolist():
+                part = b.take(pa.array(np.flatnonzero(dims == dim)))
+                coder = sent.value.get(dim) or plain.setdefault(dim, ItqCoder(np.ones((1, dim))))
                 bits = coder.bits(_matrix(part.column(2)))
-                keys = _keys(bits, table_bits(bits.shape[1], tables, key_bits))
-                n, t = keys.shape
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), t)), pa.array(np.tile(np.arange(t, dtype=np.int32), n)), pa.array(keys.ravel())], names=["node", "t", "key"])
+                code, masks = packed(bits), table_masks(bits.shape[1], tables, key_bits)
+                n, t = len(code), len(masks)
+                each = pa.array(np.repeat(np.arange(n), t))
+                cols = [part.column(0).take(each), part.column(3).take(each), part.column(1).take(each), pa.array(np.tile(np.arange(t, dtype=np.int32), n)), pa.array((code[:, None] & masks).ravel().view(np.int64)), pa.array(np.repeat(code, t).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "label", "dim", "t", "key", "code"])
 
-    keyed = settle_table(nodes.select("node", "dim", "v").mapInArrow(encode, "node long, t int, key long").join(nodes.select("node", "label", "dim"), "node"))
+    keyed = settle_table(nodes.select("node", "dim", "v", "label").mapInArrow(encode, f"node long, label {label}, dim int, t int, key long, code long"))
     by = ["label", "dim", "t", "key"]
     lists = settle(keyed.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1").withColumn("g", F.monotonically_increasing_id()))
-    met = keyed.join(lists, by).select("node", "g", "t", "n").join(nodes.select("node", "v", "copies"), "node")
     blocks = F.ceil(F.col("n") / list_rows)
-    own = F.pmod(F.xxhash64("node"), blocks)
-    dealt = met.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    pair = F.least("block", "other") * (1 << 32) + F.greatest("block", "other")
+    met = keyed.join(lists, by).select("g", "dim", "t", "node", "code", F.pmod(F.xxhash64("node"), blocks).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    pair = (F.least("block", "other") * (1 << 32) + F.greatest("block", "other")).alias("pair")
+    order = ["g", pair, "block", "dim", "t", "node", "code"]
+
+    def tables_before(dim: int, t: int) -> np.ndarray:
+        return table_masks(min(64, dim), tables, key_bits)[:t]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in sorted_groups(batches, 2):
+            pairs, block, dims, ts, codes = (table.column(i).to_numpy() for i in (1, 2, 3, 4, 6))
+            codes, keep = codes.view(np.uint64), []
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if hi - lo < 2:
+                    continue
+                c, n_bits = codes[lo:hi], min(64, int(dims[lo]))
+                radius, before = n_bits * off + 5 * np.sqrt(n_bits * off * (1 - off)), tables_before(int(dims[lo]), int(ts[lo]))
+                cross = pairs[lo] >> 32 != pairs[lo] & 0xFFFFFFFF
+                near = np.zeros(hi - lo, bool)
+                for i in range(0, hi - lo, 256):
+                    xor = c[i : i + 256, None] ^ c[None, :]
+                    close = np.bitwise_count(xor) <= radius
+                    close[np.arange(len(xor)), np.arange(i, i + len(xor))] = False
+                    if cross:
+                        close &= block[lo + i : lo + i + len(xor), None] != block[None, lo:hi]
+                    a, b = np.nonzero(close)
+                    new = _new_pairs(xor[a, b], before)
+                    near[i + a[new]] = near[b[new]] = True
+                keep.append(np.flatnonzero(near) + lo)
+            if keep:
+                yield from table.take(pa.array(np.concatenate(keep))).to_batches()
+
+    kind = "g long, pair long, block long, dim int, t int, node long, code long"
+    close = settle_table(met.select(*order).repartition("g", "pair").sortWithinPartitions("g", "pair").mapInArrow(by_code, kind))
+
+    def by_vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in sorted_groups(batches, 2):
-            pairs, blocks, ts, ids, copies = (table.column(i).to_numpy() for i in range(1, 6))
+            pairs, block, dims, ts, ids, codes, copies = (table.column(i).to_numpy() for i in range(1, 8))
+            codes = codes.view(np.uint64)
             for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 if hi - lo < 2:
                     continue
-                x = _matrix(table.column(6).slice(lo, hi - lo))
-                bits = sent.value[x.shape[1]].bits(x)
-                keys = _keys(bits, table_bits(bits.shape[1], tables, key_bits))[:, : ts[lo]]
+                x = _matrix(table.column(8).slice(lo, hi - lo))
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 linked = x @ x.T >= threshold
                 np.fill_diagonal(linked, False)
                 if pairs[lo] >> 32 != pairs[lo] & 0xFFFFFFFF:
-                    linked &= blocks[lo:hi, None] != blocks[None, lo:hi]
+                    linked &= block[lo:hi, None] != block[None, lo:hi]
                 a, b = np.nonzero(linked)
                 if not len(a):
                     continue
-                new = np.concatenate([~(keys[a[i : i + 65536]] == keys[b[i : i + 65536]]).any(axis=1) for i in range(0, len(a), 65536)])
+                c, before = codes[lo:hi], tables_before(int(dims[lo]), int(ts[lo]))
+                new = np.concatenate([_new_pairs(c[a[i : i + 65536]] ^ c[b[i : i + 65536]], before) for i in range(0, len(a), 65536)])
                 counts = np.bincount(a[new], weights=copies[lo:hi][b[new]], minlength=hi - lo).astype(np.int64)
-                label = least_labels(linked)
+                root = least_labels(linked)
                 some = np.flatnonzero(linked.any(axis=1))
                 mine = ids[lo:hi]
-                yield pa.RecordBatch.from_arrays([pa.array(mine[some]), pa.array(counts[some]), pa.array(mine[label[some]])], names=["node", "links", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(mine[some]), pa.array(counts[some]), pa.array(mine[root[some]])], names=["node", "links", "root"])
 
-    sorted_rows = dealt.select("g", pair.alias("pair"), "block", "t", "node", "copies", "v").repartition("g", "pair").sortWithinPartitions("g", "pair")
-    return settle(sorted_rows.mapInArrow(run, "node long, links long, root long"))
+    fetched = close.join(nodes.select("node", "copies", "v"), "node").select("g", "pair", "block", "dim", "t", "node", "code", "copies", "v")
+    return settle(fetched.repartition("g", "pair").sortWithinPartitions("g", "pair").mapInArrow(by_vector, "node long, links long, root long"))
 
 
-def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, tables: int = 20, key_bits: int = 12, sample: int = 8192, list_rows: int = 1024) -> DataFrame:
-    """(id, n_links, component_id, kept), one row for each input row."""
+def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, tables: int | None = None, key_bits: int | None = None, sample: int = 8192, list_rows: int = 1024, fitted_lengths: int = 64) -> DataFrame:
+    """(id, n_links, component_id, kept), one row for each input row. tables and key_bits follow from the number of
+    vectors unless they are given."""
     nodes = _distinct_vectors(df, id_col, vector_col, label_col)
-    parts = _links(nodes, threshold, tables, key_bits, sample, list_rows)
+    parts = _links(nodes, threshold, key_bits, tables, sample, list_rows, fitted_lengths)
     links = parts.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(parts.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "_node")
     rooted = settle(nodes.select("node", "first", "copies").join(links, "node", "left").join(roots, F.col("node") == F.col("_node"), "left").select("node", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")))
