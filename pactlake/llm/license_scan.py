@@ -142,9 +142,10 @@ def scan_text(raw: bytes, phrases: Mapping[bytes, str], automata: list[tuple[Tok
     spaced = b" " + b" ".join(split) + b" "
     places, base = [], set()
     for phrase, label in phrases.items():
-        at = spaced.find(phrase)
+        at, word, seen = spaced.find(phrase), 0, 0
         while at >= 0:
-            places.append(spaced.count(b" ", 0, at))
+            word, seen = word + spaced.count(b" ", seen, at), at
+            places.append(word)
             base.add(label)
             at = spaced.find(phrase, at + 1)
     more, words = set(), None
