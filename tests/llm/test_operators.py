@@ -12,7 +12,7 @@ from conftest import SF
 
 from pactlake.llm import chat_format, common, embedding_dedup, license_scan, lm_scoring, mixing, packing, quality_rules, registry, simhash_dedup, suffix_dedup, url_filter
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, words string, _shard string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, words string, _shard string, _h string, _found string, _kept string, _drop string, _again string, _key0 string, count string, rows string"
 LONG = "".join(chr(97 + int(c)) + " " * (i % 7 == 0) for i, c in enumerate(np.random.default_rng(8).integers(0, 26, 40_000)))
 ROWS = [
     (1, None, None, None, 0), (2, "", "en", "a", 0), (3, "Under the MIT license.", "en", "a", 22), (4, "Under the MIT license.", "en", "a", 22), (4, "Under the MIT license.", "en", "a", 22),
@@ -22,7 +22,7 @@ ROWS = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(*r, "clash", "clash") for r in ROWS], DOCS)
+    return spark.createDataFrame([(*r, *["clash"] * 10) for r in ROWS], DOCS)
 
 
 @pytest.fixture(scope="module")
@@ -351,9 +351,70 @@ def test_quality_odd_rows_and_bounds(spark, docs):
         assert r.tail == (1.0 if r.k > r.n * p else pytest.approx(exact, rel=1e-9))
 
 
+def test_quality_levels_are_proven_in_order(spark):
+    """Good texts break the third level too often, two strata have labels enough, the third has too few to be tested."""
+    from pyspark.sql import functions as F
+
+    line = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    noisy = lambda i, n: line(i) + " " + "#" * n  # noqa: E731  about 4 characters a word
+    rows, labels = [], []
+    for lang, good, share in (("a", 400, 0), ("b", 400, 60), ("c", 100, 0)):
+        for i in range(good + 20):
+            k = len(rows)
+            n = 100 if i < share else 0 if i < good else 400
+            rows.append((k, noisy(k, n), lang))
+            labels.append((k, int(i < good), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    counts = docs.select("doc_id", "lang", quality_rules.quality_counts(F.col("text")).alias("c")).select("doc_id", "lang", "c.w.*", "c.l.*", "c.word_chars", "c.n_symbols")
+    per = {r.doc_id: r for r in counts.collect()}
+
+    def breaks(r, level):
+        return any(100 * r[top] > cut * r[bottom] > 0 for (top, bottom), cut in zip(quality_rules.RULES.values(), quality_rules.LEVELS[level], strict=True))
+
+    want = {}
+    strata = {lang: [per[k] for k, _, of in rows if of == lang and labels[k][1]] for lang in "abc"}
+    tested = [lang for lang, own in strata.items() if 0.98 ** len(own) <= 0.05]
+    assert tested == ["a", "b"]
+    for lang, own in strata.items():
+        want[lang] = 0
+        for level in range(len(quality_rules.LEVELS)):
+            k, n = sum(breaks(r, level) for r in own), len(own)
+            if lang not in tested or sum(math.comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(k + 1)) > 0.05 / len(tested):
+                break
+            want[lang] = level + 1
+    got = {r["_stratum"]: r["_level"] for r in quality_rules.certified_levels(counts, marks, "doc_id", "lang").collect()}
+    assert got == want and want["a"] == len(quality_rules.LEVELS) and 0 < want["b"] < want["a"] and want["c"] == 0
+    kept = {r.doc_id: r.kept for r in quality_rules.judge_quality(docs, marks).collect()}
+    assert kept == {k: not (want[of] and breaks(per[k], want[of] - 1)) for k, _, of in rows}
+
+
+def test_embedding_keys_grow_and_lose_little(spark):
+    """Keys and tables of a far larger table, on few vectors, codes compared first; several lengths, most not fitted."""
+    assert embedding_dedup.key_sizes(30_000, 0.93)[0] == 12 < embedding_dedup.key_sizes(10**7, 0.93)[0]
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(80, 64))
+    x = (base[rng.integers(0, 80, 500)] + rng.normal(size=(500, 64)) * 0.24).astype(np.float32)
+    rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)] + [(1000 + 2 * d + j, [1.0, *[0.0] * d], 1) for d in range(5) for j in range(2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    linked = (y @ y.T >= 0.93) & ~np.eye(500, dtype=bool)
+    bits, tables = embedding_dedup.key_sizes(10**6, 0.93)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.link_vectors(df, key_bits=bits, tables=tables, fitted_lengths=1).collect()}
+    assert all(got[i] <= linked[i].sum() for i in range(500)) and sum(got[i] for i in range(500)) >= 0.9 * linked.sum() > 0
+    assert all(got[i] == 1 for i in range(1000, 1010))
+
+
+def test_license_places_in_a_long_text(spark):
+    df = spark.createDataFrame([(1, "cc by nc " * 30_000)], "doc_id long, text string")
+    r = license_scan.scan_licenses(df).first()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word) == (90_000, 30_000, 0, 89_997)
+
+
 def test_numbers_are_consecutive(spark):
     df = spark.createDataFrame([(i % 3 or None, i) for i in range(700)], "g long, i long")
-    rows = common.numbered(df, ["g"], ["i"], "k", shard_rows=50).collect()
+    rows = common.numbered(df, ["g"], ["i"], "k", shard_rows=50, stretch=3).collect()
     for g in (None, 1, 2):
         own = [r.k for r in rows if r.g == g]
         assert sorted(own) == list(range(len(own)))
