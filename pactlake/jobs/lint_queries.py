@@ -234,12 +234,21 @@ def _generated(contract: object) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def g9_rejection(spark, sf_dir):
+    """A value for each customer by attempts: even numbers of two branches, of which a third is thrown away."""
+    made = generate.generate_for(table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], REJECTED)
+    value = F.col("value").cast("long")
+    return made.groupBy("status").agg(F.count("*").alias("n"), F.count_if((value % 2 == 0) & value.between(0, 20) & (value % 3 != 0)).alias("right"), F.bool_or((F.col("tried") > 1) & F.col("value").isNotNull()).alias("some_again"))
+
+
+REJECTED = {"anyOf": [{"type": "integer", "minimum": 0, "maximum": 10, "multipleOf": 2}, {"type": "integer", "minimum": 11, "maximum": 20}], "not": {"multipleOf": 3}, "multipleOf": 2}
+
 QUERIES = {
     "N3_pointers": n3_pointers, "N4_keyword_warnings": n4_warnings, "N5_hard_errors": n5_hard_errors, "N6_unsafe_bounds": n6_unsafe_bounds, "N7_fractional_multiple_of": n7_fractional_steps,
     "N8_unresolved_refs": n8_unresolved_refs, "N9_dialect_check": n9_dialects, "N10_normalised": n10_normalised, "N12_irrelevant_keywords": n12_irrelevant, "C3_grade_warnings": c3_grade_warnings,
     "T1_manifest_errors": t1_manifest_errors, "T5_writer_schema": t5_writer_schema, "T6_reader_schema": t6_reader_schema, "T7_rewritten_refs": t7_rewritten_refs, "O3_parameter_overrides": o3_overrides,
     "O11_duplicate_media": o11_duplicate_media, "O12_response_headers": o12_response_headers, "O13_unsupported_surfaces": o13_unsupported,
-    **{k: _rule(*rule[:2]) for k, rule in RULES.items()}, "N16_union_forms": n16_unions, **{k: _generated(c) for k, c in GENERATED.items()},
+    **{k: _rule(*rule[:2]) for k, rule in RULES.items()}, "N16_union_forms": n16_unions, "G9_rejection": g9_rejection, **{k: _generated(c) for k, c in GENERATED.items()},
 }
 _USERS = "(SELECT DISTINCT user_id AS stable_id FROM events WHERE user_id IS NOT NULL)"
 _ENVELOPE = """'{"$defs":{"v' || version || '":' || schema_json || '},"additionalProperties":false,"properties":{"data":{"$ref":"#/$defs/v' || version || '"},"version":{"const":' || version || '}},"required":["version","data"],"type":"object"}'"""
@@ -271,7 +280,7 @@ ORACLE_SQL = {
         UNION ALL SELECT stable_id, 'versions must rise', count(*) - 1 FROM reg WHERE stable_id % 9 = 0 GROUP BY 1 HAVING count(*) > 1""",
     "T5_writer_schema": f"WITH {_REG} SELECT stable_id, version, {_ENVELOPE} AS envelope FROM reg",
     "T6_reader_schema": f"""WITH {_REG} SELECT stable_id, '{{"oneOf":[' || string_agg({_ENVELOPE}, ',' ORDER BY version DESC) || ']}}' AS envelope FROM reg GROUP BY 1""",
-    "T7_rewritten_refs": f"SELECT stable_id, CASE stable_id % 3 WHEN 0 THEN '#/$defs/v3/$defs/a~1b' WHEN 1 THEN '#/$defs/v3/$defs/gone' ELSE 'other.json' END AS inner_ref, '#/$defs/v3' AS outer_ref FROM {_USERS}",
+    "T7_rewritten_refs": f"SELECT stable_id, CASE stable_id % 3 WHEN 0 THEN '#/$defs/v3/$defs/a~1b' WHEN 1 THEN '#/$defs/v3/$defs/gone' END AS inner_ref, CASE WHEN stable_id % 3 < 2 THEN '#/$defs/v3' END AS outer_ref FROM {_USERS}",
     "O3_parameter_overrides": CODEC_SQL["O2_parameters"],
     "O11_duplicate_media": f"SELECT page_id, path, method, 'application/json' AS media, 2::BIGINT AS n FROM {_API} WHERE page_id % 3 = 0",
     "O12_response_headers": f"""SELECT page_id, path, method, '200' AS entry, 'x-id' AS header, CASE page_id % 4 WHEN 0 THEN 2 ELSE 1 END::BIGINT AS n FROM {_API}
@@ -279,5 +288,6 @@ ORACLE_SQL = {
     "O13_unsupported_surfaces": f"""SELECT page_id, 'POST /a' AS place, 'callbacks' AS surface FROM {_API} WHERE page_id % 5 = 0 UNION ALL SELECT page_id, 'sent', 'webhook' FROM {_API} WHERE page_id % 6 = 0
         UNION ALL SELECT page_id, '/b', 'path reference' FROM {_API} WHERE page_id % 7 = 0""",
     **{k: _rule_sql(*rule[2:]) for k, rule in RULES.items()},
+    "G9_rejection": "SELECT 'found' AS status, count(*) AS n, count(*) AS right, true AS some_again FROM customer",
     **{k: "SELECT c_mktsegment, count(*) AS n, count(*) AS accepted FROM customer GROUP BY 1" for k in GENERATED},
 }

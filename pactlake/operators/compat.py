@@ -234,7 +234,7 @@ def graph(docs: DataFrame, ids: list[str]) -> DataFrame:
 
     def shares(n: Column, pointer: Column) -> Column:
         row = lambda name, kind, n, kids=strings(): F.struct(F.concat(pointer, F.lit("!"), name).alias("pointer"), F.lit(kind).alias("kind"), n.alias("n"), kids.alias("kids"))
-        by_type = F.when(n["enum"].isNull() & (F.size(n["types"]) > 1), F.transform(n["types"], lambda t: row(F.concat(F.lit("t"), t), "plain", n.withField("types", F.array(t)).withField("text", F.concat(n["text"], t)))))
+        by_type = F.when(n["enum"].isNull() & (F.size(n["types"]) > 1), F.transform(n["types"], lambda t: row(F.concat(F.lit("t"), t), "plain", n.withField("types", F.array(t)).withField("enum", F.when(t == "null", F.array(F.lit("null"))).when(t == "boolean", F.array(F.lit("false"), F.lit("true")))).withField("text", F.concat(n["text"], t)))))
         by_value = F.when(F.size(n["enum"]) > 1, F.transform(n["enum"], lambda x: row(F.concat(F.lit("e"), x), "plain", n.withField("enum", F.array(x)).withField("text", F.concat(n["text"], x)))))
         quoted = F.transform(F.map_keys(n["at_props"]), lambda k: F.regexp_replace(F.to_json(F.struct(k.alias("k"))), r'^\{"k":|\}$', ""))
         texts = n.withField("enum", F.array_sort(quoted)).withField("text", F.concat(n["text"], F.lit("names"))).withField("types", F.array(F.lit("string")))

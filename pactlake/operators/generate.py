@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactlake.functions.predicates import compile_contract
-from pactlake.functions.values import Variant
+from pactlake.functions.settled import settle
+from pactlake.functions.values import Variant, once
 
 _FORMATS = {
     "date": lambda h: F.date_format(F.date_add(F.lit("2000-01-01"), F.pmod(h, F.lit(9000)).cast("int")), "yyyy-MM-dd"),
@@ -91,11 +93,36 @@ def value_json(schema, seed: int, row: list[Column], pointer: str = "#", depth:
 
 
 def generate(spark: SparkSession, schema, n: int, seed: int = 42, depth: int = 5, attempts: int = 100) -> DataFrame:
-    """(id, value JSON or NULL, tried): the first attempt of each row that the contract accepts; NULL where none is."""
-    rows = spark.range(n).select("id", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
-    made = rows.select("id", "attempt", value_json(schema, seed, [F.col("id"), F.col("attempt")], depth=depth).alias("value"))
-    fits = made.withColumn("ok", compile_contract(schema, Variant(F.try_parse_json("value"))))
-    return fits.groupBy("id").agg(F.min_by("value", F.when(F.col("ok"), F.col("attempt"))).alias("value"), F.count("*").alias("tried"))
+    """(id, value JSON or NULL, tried, status) for ids 0 to n - 1."""
+    return generate_for(spark.range(n), ["id"], schema, seed, depth, attempts)
+
+
+def generate_for(rows: DataFrame, keys: list[str], schema, seed: int = 42, depth: int = 5, attempts: int = 100) -> DataFrame:
+    """(keys..., value, tried, status) for different keys: the first attempt that the contract accepts (found), or NULL:
+    unsatisfiable if the contract accepts nothing by what it says, else exhausted after all attempts. Attempts are made
+    in rounds of 4, 16, 64, ..., each for the rows that have no value yet."""
+    fits = compile_contract(schema, Variant(F.col("_v")))
+    never = schema is False or (isinstance(schema, Mapping) and schema.get("enum") == [])
+    open_rows, done, first = rows.select(*keys), [], 0
+    while first < attempts and not never:
+        last = min(attempts, first * 4 + 4)
+        tries = open_rows.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(last - 1))))
+        made = tries.withColumn("value", value_json(schema, seed, [*map(F.col, keys), F.col("attempt")], depth=depth))
+        hit = once(made, "_v", F.try_parse_json("value")).filter(F.coalesce(fits, F.lit(False)))
+        hit = settle(hit.groupBy(*keys).agg(F.min(F.struct("attempt", "value")).alias("w")).select(*keys, "w.value", (F.col("w.attempt") + 1).alias("tried")))
+        done.append(hit.withColumn("status", F.lit("found")))
+        open_rows, first = settle(open_rows.join(hit, keys, "left_anti")), last
+        if open_rows.isEmpty():
+            break
+    left = open_rows.select(*keys, F.lit(None).cast("string").alias("value"), F.lit(first).alias("tried"), F.lit("unsatisfiable" if never else "exhausted").alias("status"))
+    return reduce(DataFrame.unionByName, [*done, left])
+
+
+def grade_examples(grades: DataFrame, pairs: DataFrame, seed: int = 42, attempts: int = 100) -> DataFrame:
+    """(id, mode, status, example): for incompatible entries of grades a value that shows it, over pairs (id, src_lo,
+    src_hi, dst_lo, dst_hi) of whole-number bounds; NULL where the bounds have none."""
+    found = bound_counterexamples(pairs.join(grades.filter("status = 'incompatible'").select("id"), "id", "left_semi"), ["id"], seed, attempts)
+    return grades.join(found.select("id", F.col("witness").alias("example")), "id", "left")
 
 
 def bound_counterexamples(pairs: DataFrame, keys: list[str], seed: int = 42, attempts: int = 100) -> DataFrame:

@@ -21,13 +21,18 @@ def latest_version(history: DataFrame) -> DataFrame:
 
 
 def manifest_errors(history: DataFrame) -> DataFrame:
-    """(stable_id, version, error) for empty ids, versions that don't rise, and hashes that don't match."""
+    """(stable_id, version, error) for empty ids, versions that don't rise, and hashes that don't match; where history
+    has the columns key and manifest_version, also for keys other than the id and manifests of another version."""
     history = history.withColumn("_before", F.lag("version").over(Window.partitionBy("stable_id").orderBy("ordinal")))
     found = F.array(
         F.when(F.coalesce(F.col("stable_id").cast("string"), F.lit("")) == "", F.lit("empty stable_id")),
         F.when(F.col("_before") >= F.col("version"), F.lit("versions must rise")),
         F.when(F.col("schema_sha256") != canonical_hash(F.col("schema_json")), F.lit("hash does not match")),
     )
+    if "key" in history.columns:
+        found = F.array_append(found, F.when(~F.col("key").eqNullSafe(F.col("stable_id")), F.lit("key is not the stable_id")))
+    if "manifest_version" in history.columns:
+        found = F.array_append(found, F.when(~F.col("manifest_version").eqNullSafe(F.lit(1)), F.lit("unknown manifest version")))
     return history.select("stable_id", "version", F.explode(F.array_compact(found)).alias("error"))
 
 
@@ -51,9 +56,11 @@ def next_manifest(history: DataFrame, stamped: DataFrame) -> DataFrame:
 
 
 def writer_schema(version: Column, schema_json: Column) -> Column:
-    """JSON text of the envelope that a writer of one version produces."""
+    """JSON text of the envelope that a writer of one version produces, local references moved along; NULL for schemas
+    that refer to other documents."""
     v = version.cast("string")
-    moved = F.regexp_replace(schema_json, '"\\$ref":"#', F.concat(F.lit('"\\$ref":"#/\\$defs/v'), v))
+    plain = F.to_json(F.try_parse_json(schema_json))
+    moved = F.regexp_replace(F.when(~plain.rlike('"\\$ref":"[^#]'), plain), '"\\$ref":"#', F.concat(F.lit('"\\$ref":"#/\\$defs/v'), v))
     return F.concat(F.lit('{"$defs":{"v'), v, F.lit('":'), moved, F.lit('},"additionalProperties":false,"properties":{"data":{"$ref":"#/$defs/v'), v, F.lit('"},"version":{"const":'), v, F.lit('}},"required":["version","data"],"type":"object"}'))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 _MANIFEST = "struct<manifest_version:int,schemas:map<string,struct<stable_id:string,versions:array<struct<version:int,schema_sha256:string,schema:variant>>>>>"
 
+_HISTORY = "struct<stable_id:string,versions:array<struct<version:int,schema_sha256:string,schema:variant>>>"
+
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
     """(id, mode, schema_json, stable_id) of a file that maps ids to {mode, schema, stable_id}."""
@@ -25,16 +27,20 @@ def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(stable_id, version, schema_sha256, schema_json, ordinal)."""
-    m = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", _MANIFEST)["schemas"]).alias("key", "h"))
-    rows = m.select("h.stable_id", F.posexplode("h.versions").alias("ordinal", "v"))
-    return rows.select("stable_id", "v.version", "v.schema_sha256", F.to_json("v.schema").alias("schema_json"), "ordinal")
+    """(key, manifest_version, stable_id, version, schema_sha256, schema_json, ordinal) of one manifest document, or of
+    what write_manifest wrote."""
+    m = spark.read.text(path, wholetext=True).select(F.from_json("value", _MANIFEST).alias("m")).select("m.manifest_version", F.explode("m.schemas").alias("key", "h"))
+    lines = spark.read.text(path).select(F.from_json("value", _HISTORY).alias("h")).filter("h.stable_id IS NOT NULL AND h.versions IS NOT NULL")
+    rows = m.select("key", "manifest_version", "h.stable_id", F.posexplode("h.versions").alias("ordinal", "v"))
+    rows = rows.unionByName(lines.select(F.col("h.stable_id").alias("key"), F.lit(1).alias("manifest_version"), "h.stable_id", F.posexplode("h.versions").alias("ordinal", "v")))
+    return rows.select("key", "manifest_version", "stable_id", "v.version", "v.schema_sha256", F.to_json("v.schema").alias("schema_json"), "ordinal")
 
 
 def write_manifest(history: DataFrame, path: str) -> None:
-    """One JSON line per stable_id, versions in order; the old output is replaced when the new one is whole."""
+    """One JSON line per stable_id, versions in order, to a path that doesn't exist yet: an older manifest stays whole
+    until readers are pointed to the new path. read_manifest reads it back."""
     versions = F.array_sort(F.collect_list(F.struct("version", "schema_sha256", F.parse_json("schema_json").alias("schema"))), lambda a, b: a["version"] - b["version"])
-    history.groupBy("stable_id").agg(versions.alias("versions")).write.mode("overwrite").json(path)
+    history.groupBy("stable_id").agg(versions.alias("versions")).write.json(path)
 
 
 def write_values(df: DataFrame, value_col: str, path: str) -> None:
