@@ -16,6 +16,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return (named or context.getCheckpointDir()).rstrip("/")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt by its columns to as many tasks as a shuffle has. Few bytes that cost much to compute on would otherwise
+    be put together into one task after a shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def settle(df: DataFrame) -> DataFrame:
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -18,7 +18,7 @@ from functools import cache, reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactlake.functions.settled import settle
+from pactlake.functions.settled import settle, spread
 from pactlake.functions.values import EXACT, Variant
 
 from .registry_scan import HARD, SAFE_PATTERN, canonical_hash, constraints, dialect_findings, keyword_findings, let, node_table, normal_form, ref_target, schema_nodes, unresolved_refs
@@ -178,7 +178,7 @@ def _rules(raw: Column, sub: Column, sup: Column, held: Column) -> Column:
 def node_issues(nodes: DataFrame, pairs: DataFrame, pair: list[str]) -> DataFrame:
     """nodes: (pair..., side 'old' or 'new', pointer, n), pairs: (pair..., role). Rows (pair..., direction, pointer,
     keyword, message, rank) of violated rules; nodes that one side lacks are judged at their parents."""
-    met = nodes.groupBy(*pair, "pointer").agg(F.max_by("n", F.when(F.col("side") == "old", 1)).alias("o"), F.max_by("n", F.when(F.col("side") == "new", 1)).alias("w"))
+    met = spread(nodes, *pair, "pointer").groupBy(*pair, "pointer").agg(F.max_by("n", F.when(F.col("side") == "old", 1)).alias("o"), F.max_by("n", F.when(F.col("side") == "new", 1)).alias("w"))
     met = met.filter(F.col("o.text") != F.col("w.text")).join(pairs.select(*pair, "role"), pair).withColumn("direction", directions(F.col("role")))
     forth = F.col("direction") == "serializer"
     met = met.select(*pair, "direction", "pointer", F.when(forth, F.col("w")).otherwise(F.col("o")).alias("sub"), F.when(forth, F.col("o")).otherwise(F.col("w")).alias("sup"))
@@ -531,7 +531,7 @@ def goal_issues(pairs: DataFrame, pair: list[str]) -> DataFrame:
 
 def check_compat(pairs: DataFrame, pair: list[str]) -> DataFrame:
     """pairs: (pair..., role, old, new) with schema texts. One verdict per pair and direction."""
-    pairs = settle(pairs.select(*pair, "role", "old", "new").withColumn("_good", F.try_parse_json("old").isNotNull() & F.try_parse_json("new").isNotNull()))
+    pairs = settle(spread(pairs.select(*pair, "role", "old", "new"), *pair).withColumn("_good", F.try_parse_json("old").isNotNull() & F.try_parse_json("new").isNotNull()))
     open_ones = pairs.filter(F.col("_good") & (F.col("old") != F.col("new")))
     rich = F.col("old").rlike(_RICH) | F.col("new").rlike(_RICH)
     simple, deep = open_ones.filter(~rich), open_ones.filter(rich)
