@@ -1,16 +1,20 @@
 """Language-model scoring with a log-bilinear model trained by noise-contrastive estimation.
 
-Words are white-space-separated runs of the lower-cased text, each text ends in one end token. Three passes:
+Words are white-space-separated runs of the lower-cased text, each text ends in one end token. Four passes:
 
 1. Heavy words: each task offers its most frequent words; their sums name at most `head` words that the executors
-   hold (words over 64 bytes never among them, so the size is bounded) and the `classes` - 2 most frequent as classes of
-   the model; all other words are the class "other". Which words these are only moves work, not counts.
+   hold (words over 64 bytes never among them, so the size is bounded). Which words these are only moves work, not
+   counts. The number of training tokens sets the number of classes of the model: the root of `fill` times it. The
+   most frequent words are a class each, all others share the last quarter of the classes by a hash of the word.
 2. Counts over all training texts: of head words in the tasks, of all other words by a shuffle on the word, where each
-   occurrence meets its count; and of neighbouring classes (previous, next), a matrix of fixed size.
-3. Scores. The model gives class w after class c the probability softmax(context[c] . target[w] + bias[w]). It is
-   trained on the whole matrix of counts: noise-contrastive estimation with the unigram distribution as noise, taken in
-   expectation rather than drawn. A batched matrix product and a log-sum-exp over all classes normalise each row. An
-   "other" word then has that class's probability times its add-half share among the words outside the classes.
+   occurrence meets its count; and of neighbouring classes (previous, next), a sparse table with at most `fill` times
+   as many rows as there are tokens.
+3. Training. The model gives class w after class c the probability softmax(context[c] . target[w] + bias[w]). The
+   objective is noise-contrastive estimation with the unigram distribution as noise, taken in expectation rather than
+   drawn. It is a sum over pairs of classes, so with the targets given every context is a problem of its own, and the
+   other way round: tasks take contexts, then targets, in turn, by Newton steps on dense blocks of at most `cells`
+   pairs. Only the vectors go through the driver. The last turn adds each context's normaliser over all classes.
+4. Scores. A word that shares its class has that class's probability times its add-half share among the words there.
 
 The base score is the add-half unigram score over all words, end token included.
 
@@ -20,52 +24,127 @@ the empty text, that is as training. An empty table gives an empty result; extra
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, settle_table
-
-END, OTHER = 0, 1
-
-
-class LogBilinearModel:
-    """P(w | c) over classes, from counts[c, w] of neighbours."""
-
-    def __init__(self, counts: np.ndarray, dim: int = 32, noise: int = 16, rounds: int = 150, rate: float = 0.05, decay: float = 3.0, seed: int = 3) -> None:
-        v = len(counts)
-        rng = np.random.default_rng(seed)
-        counts = counts.astype(np.float64)
-        total = max(1.0, counts.sum())
-        q = (counts.sum(axis=0) + 0.5) / (total + 0.5 * v)
-        seen = counts.sum(axis=1)
-        self.context, self.target, self.bias = rng.normal(0, 0.1, (v, dim)), rng.normal(0, 0.1, (v, dim)), np.log(q)
-        log_noise = np.log(noise * q)
-        # The objective is per token seen; rows are weighted by how often their context occurs.
-        of_row = counts / total
-        of_noise = noise * (seen / total)[:, None] * q[None, :]
-        pull = decay / total  # a Gaussian prior on the vectors, which fades as the counts grow
-        state = [(np.zeros_like(p), np.zeros_like(p)) for p in (self.context, self.target, self.bias)]
-        for i in range(1, rounds + 1):
-            real = 1 / (1 + np.exp(np.clip(-(self.context @ self.target.T + self.bias - log_noise), -50, 50)))
-            g = of_row * (1 - real) - of_noise * real
-            for p, (m, s), d in zip((self.context, self.target, self.bias), state, (g @ self.target - pull * self.context, g.T @ self.context - pull * self.target, g.sum(axis=0)), strict=True):
-                m += 0.1 * (d - m)
-                s += 0.001 * (d * d - s)
-                p += rate * (1 - i / (rounds + 1)) * (m / (1 - 0.9**i)) / (np.sqrt(s / (1 - 0.999**i)) + 1e-12)
-
-    def log10_table(self, batch: int = 256) -> np.ndarray:
-        """log10 P(w | c) for all classes, normalised row by row."""
-        out = np.empty((len(self.bias),) * 2, np.float32)
-        for i in range(0, len(out), batch):
-            s = self.context[i : i + batch] @ self.target.T + self.bias
-            top = s.max(axis=1, keepdims=True)
-            out[i : i + batch] = (s - top - np.log(np.exp(s - top).sum(axis=1, keepdims=True))) / np.log(10)
-        return out
+from .common import drop_table, settle_table
+
+END = 0
+
+
+class LogBilinearModel(NamedTuple):
+    """P(w | c) over classes; each is float32, `classes` long."""
+
+    context: np.ndarray
+    target: np.ndarray
+    bias: np.ndarray
+    log_z: np.ndarray
+
+    def log10(self, c: np.ndarray, w: np.ndarray, batch: int = 1 << 17) -> float:
+        """The sum of log10 P(w[i] | c[i])."""
+        total = 0.0
+        for i in range(0, len(c), batch):
+            a, b = c[i : i + batch], w[i : i + batch]
+            s = np.einsum("ij,ij->i", self.context[a], self.target[b]) + self.bias[b] - self.log_z[a]
+            total += float(s.sum(dtype=np.float64))
+        return total / math.log(10)
+
+
+def refine(x: np.ndarray, y: np.ndarray, real: np.ndarray, noise: np.ndarray, offset: np.ndarray, prior: float, steps: int) -> np.ndarray:
+    """Newton steps for each row of x on sum(real * log s + noise * log(1 - s)) - prior / 2 * x . x.
+
+    s = sigmoid(x . y + offset) is the chance that a pair is a real one, with `real` and `noise` the weights of both.
+    """
+    x, both = x.copy(), real + noise
+    ridge = prior * np.eye(x.shape[1])
+    for _ in range(steps):
+        s = 1 / (1 + np.exp(-np.clip(x @ y.T + offset, -30, 30)))
+        g = (real - both * s) @ y - prior * x
+        both_s = both * s * (1 - s)
+        for i in range(len(x)):
+            step = np.linalg.solve(((y.T * both_s[i]) @ y).astype(np.float64) + ridge, g[i])
+            x[i] += step * min(1.0, 2 / (float(np.linalg.norm(step)) + 1e-9))
+    return x
+
+
+def _half(table: DataFrame, own: np.ndarray, other: np.ndarray, seen: np.ndarray, of_targets: bool, noise: int, prior: float, steps: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """One turn: new vectors (a target's last number is its bias) for the rows of the table, and contexts' normalisers."""
+    q = ((seen + 0.5) / (seen.sum() + 0.5 * len(seen))).astype(np.float32)
+    sent = table.sparkSession.sparkContext.broadcast((own, other, seen.astype(np.float32), q))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, other, seen, q = sent.value
+        v, held, wide = len(seen), [], max(1, cells // len(seen))
+
+        def solved() -> pa.RecordBatch:
+            rows = np.array([r for r, _, _ in held])
+            real = np.zeros((len(held), v), np.float32)
+            for i, (_, at, n) in enumerate(held):
+                real[i, at] = n
+            held.clear()
+            if of_targets:
+                y = np.hstack([other, np.ones((v, 1), np.float32)])
+                x = refine(own[rows], y, real, noise * q[rows, None] * seen, np.float32(-math.log(noise)), prior, steps)
+                z = np.zeros(len(rows))
+            else:
+                y, bias = other[:, :-1], other[:, -1]
+                x = refine(own[rows], y, real, noise * seen[rows, None] * q, bias - np.float32(math.log(noise)), prior, steps)
+                z = _log_sum((x @ y.T).astype(np.float32) + bias + np.log(q))
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary()), pa.array(z, pa.float64())], names=["row", "vector", "z"])
+
+        for batch in batches:
+            starts, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values
+            at, n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            for i, row in enumerate(batch.column(0).to_pylist()):
+                held.append((row, at[starts[i] : starts[i + 1]], n[starts[i] : starts[i + 1]]))
+                if len(held) == wide:
+                    yield solved()
+        if held:
+            yield solved()
+
+    own, z = own.copy(), np.zeros(len(seen))
+    if not of_targets:
+        z[:] = _log_sum((other[:, -1] + np.log(q))[None, :])[0]  # a context that never occurs keeps the zero vector
+    for row, vector, log_z in table.mapInArrow(run, "row long, vector binary, z double").collect():  # a row for each class
+        own[row], z[row] = np.frombuffer(vector, np.float32), log_z
+    sent.unpersist()
+    return own, z
+
+
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    top = s.max(axis=1, keepdims=True)
+    return (top + np.log(np.exp(s - top).sum(axis=1, keepdims=True, dtype=np.float64)))[:, 0]
+
+
+def train(pairs: DataFrame, classes: int, dim: int = 32, noise: int = 16, turns: int = 2, steps: int = 2, prior: float = 3.0, cells: int = 1 << 21, seed: int = 3) -> LogBilinearModel:
+    """The model of neighbour counts (a, b, n), b after a, over classes 0 to classes - 1."""
+    seen_as = [np.zeros(classes, np.float64) for _ in "ab"]
+    for name, seen in zip("ab", seen_as, strict=True):
+        for at, n in pairs.groupBy(name).agg(F.sum("n")).collect():  # a row for each class
+            seen[at] = n
+    blocks = -(-(classes**2) // cells)
+    by = [settle_table(pairs.groupBy(F.col(a).alias("row")).agg(F.collect_list(F.struct(F.col(b).cast("int"), F.col("n").cast("float"))).alias("cells")).repartition(blocks, "row")) for a, b in ("ab", "ba")]
+    context = np.zeros((classes, dim), np.float32)
+    target = np.random.default_rng(seed).normal(0, 0.3, (classes, dim + 1)).astype(np.float32)
+    target[:, -1] = 0
+    target[seen_as[1] == 0] = 0
+    # Every token is the next of one pair and the previous of another, so one vector of counts serves both sides.
+    context, z = _half(by[0], context, target, seen_as[1], False, noise, prior, steps, cells)
+    for _ in range(turns):
+        target, _ = _half(by[1], target, context, seen_as[1], True, noise, prior, steps, cells)
+        context, z = _half(by[0], context, target, seen_as[1], False, noise, prior, steps, cells)
+    q = (seen_as[1] + 0.5) / (seen_as[1].sum() + 0.5 * classes)
+    for table in by:
+        drop_table(table)
+    return LogBilinearModel(context, np.ascontiguousarray(target[:, :-1]), (target[:, -1] + np.log(q)).astype(np.float32), z.astype(np.float32))
 
 
 def _words(raw: bytes | None) -> list[bytes]:
@@ -77,11 +156,12 @@ def _texts(batch: pa.RecordBatch, i: int) -> Iterator[bytes | None]:
     return (column[j].as_py() for j in range(len(column)))
 
 
-def heavy_words(training: DataFrame, head: int, offer: int) -> list[bytes]:
-    """At most `head` frequent words, most frequent first."""
+def heavy_words(training: DataFrame, head: int, offer: int) -> tuple[list[bytes], int]:
+    """At most `head` frequent words, most frequent first; and how many tokens there are, ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        tokens = 0
 
         def top() -> pa.RecordBatch:
             some = [(w, n) for w, n in counts.most_common(offer) if len(w) <= 64]
@@ -90,95 +170,124 @@ def heavy_words(training: DataFrame, head: int, offer: int) -> list[bytes]:
 
         for b in batches:
             for raw in _texts(b, 0):
-                counts.update(_words(raw))
+                split = _words(raw)
+                counts.update(split)
+                tokens += len(split) + 1
             if len(counts) > 8 * offer:
                 yield top()
         yield top()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([tokens], pa.int64())], names=["word", "n"])
 
     found = training.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r[0]) for r in found.orderBy(F.desc("n"), "word").limit(head).select("word").collect()]
+    rows = found.orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(head + 1).collect()
+    return [bytes(w) for w, _ in rows if w is not None], sum(n for w, n in rows if w is None)
 
 
-def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = 1024, head: int = 1 << 17, offer: int = 1 << 15) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each input row."""
+def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fill: float = 1.0, most_classes: int = 1 << 17, head: int = 1 << 17, offer: int = 1 << 15) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each input row.
+
+    `most_classes` bounds what is broadcast (264 bytes a class); beyond it more words share each of the last classes.
+    """
     spark = df.sparkSession
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 1
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("held"))
-    words = heavy_words(docs.filter(~F.col("held")), head, offer)
-    # Number 0 is the end token, 1 any word outside the head; classes are the numbers below `classes`.
+    words, train_tokens = heavy_words(docs.filter(~F.col("held")), head, offer)
+    # Number 0 is the end token, the last one any word outside the head.
     sent = spark.sparkContext.broadcast(words)  # at most head * 64 bytes
-    size = len(words) + 2
-    classes = min(classes, size)
-
-    def numbers() -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(sent.value, 2)}
+    size, other = len(words) + 2, len(words) + 1
+    classes = min(most_classes, max(8, math.isqrt(int(fill * train_tokens))))
+    shared = max(1, classes // 4)
+    exact = min(classes - shared, other)
+    classes = exact + shared
+
+    def numbers() -> tuple[dict[bytes, int], np.ndarray]:
+        """Of each head word its number; of each number its class."""
+        of = np.arange(size)
+        of[exact:other] = [exact + crc32(w) % shared for w in sent.value[exact - 1 :]]
+        return {w: i for i, w in enumerate(sent.value, 1)}, of
+
+    def read(split: list[bytes], number: dict[bytes, int], of: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Numbers and classes of the words, and where the words outside the head are."""
+        at = np.fromiter((number.get(w, other) for w in split), np.int64, len(split))
+        c, rare = of[at], np.flatnonzero(at == other).tolist()
+        c[rare] = [exact + crc32(split[j]) % shared for j in rare]
+        return at, c, rare
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = numbers()
+        number, of = numbers()
         ones = np.zeros(size, np.int64)
-        pairs = np.zeros(classes * classes, np.int64)
+        codes, waiting = [], 0
 
         def rows(kind: int, a: list, b: list, words: list, n: list) -> pa.RecordBatch:
             m = len(n)
             return pa.RecordBatch.from_arrays([pa.array([kind] * m, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["kind", "a", "b", "word", "n"])
 
+        def neighbours() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate([np.empty(0, np.int64), *codes]), return_counts=True)
+            codes.clear()
+            m = len(n)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(m, 2, np.int32)), pa.array(found // classes), pa.array(found % classes), pa.nulls(m, pa.binary()), pa.array(n.astype(np.int64))], names=["kind", "a", "b", "word", "n"])
+
         for batch in batches:
-            ids, keys, found, n, train, codes = batch.column(0).to_numpy(), [], [], [], [], []
+            ids, keys, found, n, train = batch.column(0).to_numpy(), [], [], [], []
             for i, (raw, held) in enumerate(zip(_texts(batch, 1), batch.column(2).to_pylist(), strict=True)):
                 split = _words(raw)
-                at = np.fromiter((number.get(w, OTHER) for w in split), np.int64, len(split))
+                at, c, outside = read(split, number, of)
                 if not held:
                     ones += np.bincount(at, minlength=size)
                     ones[END] += 1
-                    c = np.where(at < classes, at, OTHER)
                     codes.append(np.append(END, c) * classes + np.append(c, END))
-                rare = Counter(split[j] for j in np.flatnonzero(at == OTHER).tolist())
+                    waiting += len(c) + 1
+                rare = Counter(split[j] for j in outside)
                 keys += [ids[i]] * len(rare)
                 found += rare.keys()
                 n += rare.values()
                 train += [0 if held else 1] * len(rare)
-            if codes:
-                pairs += np.bincount(np.concatenate(codes), minlength=classes * classes)
             if keys:
                 yield rows(0, keys, train, found, n)
+            if waiting > 1 << 21:
+                yield neighbours()
+                waiting = 0
         some = np.flatnonzero(ones)
         yield rows(1, some.tolist(), [0] * len(some), [None] * len(some), ones[some].tolist())
-        some = np.flatnonzero(pairs)
-        yield rows(2, (some // classes).tolist(), (some % classes).tolist(), [None] * len(some), pairs[some].tolist())
+        yield neighbours()
 
     numbered = settle_table(docs.withColumn("row", F.monotonically_increasing_id()))
     counted = settle_table(numbered.select("row", "text", "held").mapInArrow(count, "kind int, a long, b long, word binary, n long"))
     ones = np.zeros(size, np.int64)
     for a, n in counted.filter("kind = 1").groupBy("a").agg(F.sum("n")).collect():  # at most head + 2 rows
         ones[a] = n
-    matrix = np.zeros((classes, classes), np.int64)
-    sums = counted.filter("kind = 2").groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()  # at most classes ** 2 rows
-    matrix[sums["a"], sums["b"]] = sums["n"]
+    pairs = settle_table(counted.filter("kind = 2").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    model = train(pairs, classes)
+    drop_table(pairs)
     # Rare words: every occurrence meets its count in the training texts.
     rare = counted.filter("kind = 0").select("word", F.col("a").alias("row"), "n", (F.col("n") * F.col("b")).alias("learnt"))
     totals = settle_table(rare.groupBy("word").agg(F.sum("learnt").alias("c")))
-    known = totals.agg(F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    vocabulary, train_tokens = int((ones > 0).sum()) - int(ones[OTHER] > 0) + known[0], int(ones.sum())
+    # Of the words that share a class: their tokens, and how many they are.
+    n_shared, v_shared = np.zeros(shared), np.zeros(shared)
+    for i, n, v in totals.filter("c > 0").groupBy((F.crc32("word") % shared).alias("i")).agg(F.sum("c"), F.count("*")).collect():  # at most `shared` rows
+        n_shared[i], v_shared[i] = n, v
+    vocabulary = int((ones[:other] > 0).sum()) + int(v_shared.sum())
+    _, of = numbers()
+    np.add.at(n_shared, of[exact:other] - exact, ones[exact:other])
+    np.add.at(v_shared, of[exact:other] - exact, ones[exact:other] > 0)
+    z_shared = np.append(np.zeros(exact), np.log10(n_shared + 0.5 * (v_shared + 1)))
     per_row = rare.join(totals, "word").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("rare_log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
     base_z = float(np.log10(train_tokens + 0.5 * (vocabulary + 1)))
-    outside = ones[classes:]
-    other_n, other_v = int(outside.sum()) + known[1], int((outside > 0).sum()) + known[0]
-    other_z = float(np.log10(other_n + 0.5 * (other_v + 1)))
-    model = LogBilinearModel(matrix)
-    tables = spark.sparkContext.broadcast((np.log10(ones + 0.5), ones > 0, model.log10_table()))  # classes ** 2 + head numbers
+    tables = spark.sparkContext.broadcast((np.log10(ones + 0.5), ones > 0, z_shared, tuple(model)))  # `classes` vectors and `head` numbers
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, (logs, seen, table) = numbers(), tables.value
+        (number, of), (logs, seen, z_shared, parts) = numbers(), tables.value
+        model = LogBilinearModel(*parts)
         for batch in batches:
             out = []
             for raw in _texts(batch, 1):
                 split = _words(raw)
-                at = np.fromiter((number.get(w, OTHER) for w in split), np.int64, len(split))
-                c = np.where(at < classes, at, OTHER)
-                model_log = float(table[np.append(END, c), np.append(c, END)].sum(dtype=np.float64))
-                headed = at[at != OTHER]
-                in_head = headed[headed >= classes]
-                out.append((len(split) + 1, int(seen[headed].sum()) + int(seen[END]), float(logs[headed].sum() + logs[END]), model_log + float(logs[in_head].sum()) - int((c == OTHER).sum()) * other_z))
+                at, c, _ = read(split, number, of)
+                model_log = model.log10(np.append(END, c), np.append(c, END)) - float(z_shared[c].sum())
+                headed = at[at != other]
+                sharing = headed[headed >= exact]
+                out.append((len(split) + 1, int(seen[headed].sum()) + int(seen[END]), float(logs[headed].sum() + logs[END]), model_log + float(logs[sharing].sum())))
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))], names=["row", "n_tokens", "head_known", "head_log", "head_score"])
 

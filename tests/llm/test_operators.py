@@ -292,26 +292,70 @@ def test_mixing_with_a_joined_schedule_and_odd_weights(spark, docs):
         list(mixing.schedule([1], [-1]))
 
 
-def test_language_model(spark, table, docs):
-    rows = {r.doc_id: r for r in lm_scoring.score_texts(table, head=500, classes=200, offer=300).collect()}
+def test_language_model(spark, table, docs, monkeypatch):
+    """Counts and base score against brute force; the score from the trained vectors, with all classes by hand."""
+    made, train = [], lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "train", lambda pairs, classes: made.append((train(pairs, classes), {(r.a, r.b): r.n for r in pairs.collect()})) or made[-1][0])
+    rows = {r.doc_id: r for r in lm_scoring.score_texts(table).collect()}
     texts = {r.doc_id: words(r.text) for r in table.select("doc_id", "text").collect()}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
     c = Counter(w for i, ws in texts.items() if not held[i] for w in [*ws, None])
     n, v = sum(c.values()), len(c)
+    [(model, pairs)] = made
+    classes = math.isqrt(n)
+    shared, exact = classes // 4, classes - classes // 4
+    top = {w: i for i, w in enumerate(sorted((w for w in c if w), key=lambda w: (-c[w], w))[: exact - 1], 1)} | {None: 0}
+    cls = lambda w: top[w] if w in top else exact + zlib.crc32(w) % shared
+    tokens, kinds = Counter(), Counter()
+    for w in c:
+        tokens[cls(w)] += c[w]
+        kinds[cls(w)] += 1
+    logits = model.context.astype(float) @ model.target.T + model.bias
+    log_p = (logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))) / math.log(10)
+    assert len(model.bias) == classes
+    assert pairs == Counter(p for i, ws in texts.items() if not held[i] for p in zip(map(cls, [None, *ws]), map(cls, [*ws, None]), strict=True))
     for i, ws in texts.items():
         r = rows[i]
         assert (r.held_out, r.n_tokens, r.train_tokens, r.n_known) == (held[i], len(ws) + 1, n, sum(c[w] > 0 for w in [*ws, None]))
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*ws, None]), rel_tol=1e-9)
+        inside = sum(math.log10((c[w] + 0.5) / (tokens[cls(w)] + 0.5 * (kinds[cls(w)] + 1))) for w in ws if w not in top)
+        assert math.isclose(r.score, inside + sum(log_p[cls(a), cls(b)] for a, b in zip([None, *ws], [*ws, None], strict=True)), rel_tol=1e-4, abs_tol=1e-3)
     out = [r for r in rows.values() if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
-    odd = lm_scoring.score_texts(docs, head=50, classes=20).collect()
+    few = {r.doc_id: r for r in lm_scoring.score_texts(table, head=500, offer=300, most_classes=64).collect()}
+    assert len(made[1][0].bias) == 64 and all(math.isclose(few[i].base_score, rows[i].base_score, rel_tol=1e-9) for i in rows)
+    odd = lm_scoring.score_texts(docs, head=50).collect()
     assert len(odd) == len(ROWS) and all(math.isfinite(r.score) for r in odd)
 
 
-def test_log_bilinear_rows_are_normalised():
-    counts = np.random.default_rng(4).integers(0, 50, (30, 30))
-    table = lm_scoring.LogBilinearModel(counts, dim=8).log10_table()
-    assert np.allclose((10.0**table).sum(axis=1), 1, atol=1e-4)
+def test_language_model_grows_and_learns_neighbours(spark, monkeypatch):
+    """Four times the text has twice the classes; in held-out texts of alternating words the model knows what follows."""
+    made, train = [], lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "train", lambda pairs, classes: made.append(classes) or train(pairs, classes))
+    for size in (20, 80):
+        rng = np.random.default_rng(9)
+        df = spark.createDataFrame([(i, " ".join(f"{'ab'[j % 2]}{k}" for j, k in enumerate(rng.integers(0, 20, 30)))) for i in range(size)], "doc_id long, text string")
+        held = [r for r in lm_scoring.score_texts(df).collect() if r.held_out]
+        gain = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
+    assert gain > 0.1  # knowing which half of the words comes is worth log10(2), or 0.3
+    assert 1.7 < made[1] / made[0] < 2.3
+
+
+def test_log_bilinear_model(spark):
+    """Rows are normalised, blocks don't matter, and the vectors lie where the objective has no slope left."""
+    n = np.random.default_rng(4).integers(0, 50, (30, 30))
+    n[:, 7] = n[7] = 0
+    pairs = spark.createDataFrame([(i, j, int(n[i, j])) for i in range(30) for j in range(30) if n[i, j]], "a long, b long, n long")
+    some, other = (lm_scoring.train(pairs, 30, dim=8, cells=cells) for cells in (1 << 21, 60))
+    at = np.repeat(np.arange(30), 30), np.tile(np.arange(30), 30)
+    p = np.array([[some.log10(np.array([a]), np.array([b])) for b in range(30)] for a in range(30)])
+    assert np.allclose((10.0**p).sum(axis=1), 1, atol=1e-4)
+    assert math.isclose(some.log10(*at), other.log10(*at), rel_tol=1e-3) and math.isclose(p.sum(), some.log10(*at, batch=7), rel_tol=1e-5)
+    rng = np.random.default_rng(5)
+    x, y, real, noise = rng.normal(size=(3, 4)), rng.normal(size=(50, 4)), rng.integers(0, 9, (3, 50)), rng.random((3, 50)) * 9
+    best = lm_scoring.refine(x, y, real, noise, np.float64(-1), 3.0, 30)
+    s = 1 / (1 + np.exp(-(best @ y.T - 1)))
+    assert np.abs((real - (real + noise) * s) @ y - 3.0 * best).max() < 1e-6
 
 
 def test_embedding_odd_vectors(spark):
