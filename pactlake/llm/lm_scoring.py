@@ -132,22 +132,21 @@ def _log_sum(s: np.ndarray) -> np.ndarray:
 
 def train(pairs: DataFrame, classes: int, dim: int = 32, noise: int = 16, turns: int = 2, steps: int = 2, prior: float = 3.0, cells: int = 1 << 21, seed: int = 3) -> LogBilinearModel:
     """The model of neighbour counts (a, b, n), b after a, over classes 0 to classes - 1."""
-    seen_as = [np.zeros(classes, np.float64) for _ in "ab"]
-    for name, seen in zip("ab", seen_as, strict=True):
-        for at, n in pairs.groupBy(name).agg(F.sum("n")).collect():  # a row for each class
-            seen[at] = n
+    # Every token is the next of one pair and the previous of another, so one vector of counts serves both sides.
+    seen = np.zeros(classes, np.float64)
+    for at, n in pairs.groupBy("b").agg(F.sum("n")).collect():  # a row for each class
+        seen[at] = n
     blocks = -(-(classes**2) // cells)
     by = [settle_table(pairs.groupBy(F.col(a).alias("row")).agg(F.collect_list(F.struct(F.col(b).cast("int"), F.col("n").cast("float"))).alias("cells")).repartition(blocks, "row")) for a, b in ("ab", "ba")]
     context = np.zeros((classes, dim), np.float32)
     target = np.random.default_rng(seed).normal(0, 0.3, (classes, dim + 1)).astype(np.float32)
     target[:, -1] = 0
-    target[seen_as[1] == 0] = 0
-    # Every token is the next of one pair and the previous of another, so one vector of counts serves both sides.
-    context, z = _half(by[0], context, target, seen_as[1], False, noise, prior, steps, cells)
+    target[seen == 0] = 0
+    context, z = _half(by[0], context, target, seen, False, noise, prior, steps, cells)
     for _ in range(turns):
-        target, _ = _half(by[1], target, context, seen_as[1], True, noise, prior, steps, cells)
-        context, z = _half(by[0], context, target, seen_as[1], False, noise, prior, steps, cells)
-    q = (seen_as[1] + 0.5) / (seen_as[1].sum() + 0.5 * classes)
+        target, _ = _half(by[1], target, context, seen, True, noise, prior, steps, cells)
+        context, z = _half(by[0], context, target, seen, False, noise, prior, steps, cells)
+    q = (seen + 0.5) / (seen.sum() + 0.5 * classes)
     for table in by:
         drop_table(table)
     return LogBilinearModel(context, np.ascontiguousarray(target[:, :-1]), (target[:, -1] + np.log(q)).astype(np.float32), z.astype(np.float32))
