@@ -94,7 +94,7 @@ def _half(table: DataFrame, own: np.ndarray, other: np.ndarray, seen: np.ndarray
             rows = np.array([r for r, _, _ in held])
             real = np.zeros((len(held), v), np.float32)
             for i, (_, at, n) in enumerate(held):
-                real[i, at] = n
+                real[i, np.frombuffer(at, np.int32)] = np.frombuffer(n, np.float32)
             held.clear()
             if of_targets:
                 y = np.hstack([other, np.ones((v, 1), np.float32)])
@@ -107,10 +107,8 @@ def _half(table: DataFrame, own: np.ndarray, other: np.ndarray, seen: np.ndarray
             return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary()), pa.array(z, pa.float64())], names=["row", "vector", "z"])
 
         for batch in batches:
-            starts, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values
-            at, n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            for i, row in enumerate(batch.column(0).to_pylist()):
-                held.append((row, at[starts[i] : starts[i + 1]], n[starts[i] : starts[i + 1]]))
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(row)
                 if len(held) == wide:
                     yield solved()
         if held:
@@ -130,6 +128,58 @@ def _log_sum(s: np.ndarray) -> np.ndarray:
     return (top + np.log(np.exp(s - top).sum(axis=1, keepdims=True, dtype=np.float64)))[:, 0]
 
 
+def _packed(pairs: DataFrame, row: str, column: str, blocks: int, chunk: int = 1 << 20) -> DataFrame:
+    """(row, at, n): for each row its columns (int32) and counts (float32), packed: 8 bytes a pair, few rows to shuffle."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+
+        def pieces() -> pa.RecordBatch:
+            r, at, n = (np.concatenate(c) for c in zip(*waiting, strict=True))
+            waiting.clear()
+            order = np.argsort(r, kind="stable")
+            r, at, n = r[order], at[order].astype(np.int32), n[order].astype(np.float32)
+            starts = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+            offsets = pa.py_buffer((np.append(starts, len(r)) * 4).astype(np.int32))
+            parts = (pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(x)]) for x in (at, n))
+            return pa.RecordBatch.from_arrays([pa.array(r[starts]), *parts], names=["row", "at", "n"])
+
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append([c.to_numpy() for c in batch.columns])
+                size += batch.num_rows
+            if size > chunk:
+                yield pieces()
+                size = 0
+        if waiting:
+            yield pieces()
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row's pieces lie side by side; together they have no more pairs than there are classes."""
+        now, at, n = None, [], []
+        for batch in batches:
+            out = []
+            for r, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r != now and at:
+                    out.append((now, b"".join(at), b"".join(n)))
+                    at, n = [], []
+                now = r
+                at.append(x)
+                n.append(y)
+            if out:
+                yield whole(out)
+        if at:
+            yield whole([(now, b"".join(at), b"".join(n))])
+
+    def whole(rows: list) -> pa.RecordBatch:
+        r, at, n = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["row", "at", "n"])
+
+    schema = "row long, at binary, n binary"
+    cut = pairs.select(F.col(row).cast("long"), F.col(column).cast("long"), F.col("n").cast("double")).mapInArrow(pack, schema)
+    return settle_table(cut.repartition(blocks, "row").sortWithinPartitions("row").mapInArrow(join, schema))
+
+
 def train(pairs: DataFrame, classes: int, dim: int = 32, noise: int = 16, turns: int = 2, steps: int = 2, prior: float = 3.0, cells: int = 1 << 21, seed: int = 3) -> LogBilinearModel:
     """The model of neighbour counts (a, b, n), b after a, over classes 0 to classes - 1."""
     # Every token is the next of one pair and the previous of another, so one vector of counts serves both sides.
@@ -137,7 +187,7 @@ def train(pairs: DataFrame, classes: int, dim: int = 32, noise: int = 16, turns:
     for at, n in pairs.groupBy("b").agg(F.sum("n")).collect():  # a row for each class
         seen[at] = n
     blocks = -(-(classes**2) // cells)
-    by = [settle_table(pairs.groupBy(F.col(a).alias("row")).agg(F.collect_list(F.struct(F.col(b).cast("int"), F.col("n").cast("float"))).alias("cells")).repartition(blocks, "row")) for a, b in ("ab", "ba")]
+    by = [_packed(pairs, a, b, blocks) for a, b in ("ab", "ba")]
     context = np.zeros((classes, dim), np.float32)
     target = np.random.default_rng(seed).normal(0, 0.3, (classes, dim + 1)).astype(np.float32)
     target[:, -1] = 0
@@ -231,7 +281,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             found, n = np.unique(np.concatenate([np.empty(0, np.int64), *codes]), return_counts=True)
             codes.clear()
             m = len(n)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(m, 2, np.int32)), pa.array(found // classes), pa.array(found % classes), pa.nulls(m, pa.binary()), pa.array(n.astype(np.int64))], names=["kind", "a", "b", "word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(m, 2, np.int32)), pa.array(found), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(n.astype(np.int64))], names=["kind", "a", "b", "word", "n"])
 
         for batch in batches:
             ids, keys, found, n, train = batch.column(0).to_numpy(), [], [], [], []
@@ -262,7 +312,8 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     ones = np.zeros(size, np.int64)
     for a, n in counted.filter("kind = 1").groupBy("a").agg(F.sum("n")).collect():  # at most head + 2 rows
         ones[a] = n
-    pairs = settle_table(counted.filter("kind = 2").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    codes = counted.filter("kind = 2").groupBy(F.col("a").alias("code")).agg(F.sum("n").alias("n"))
+    pairs = settle_table(codes.select(F.expr(f"code div {classes}").alias("a"), (F.col("code") % classes).alias("b"), "n"))
     model = train(pairs, classes)
     drop_table(pairs)
     # Rare words: every occurrence meets its count in the training texts.
