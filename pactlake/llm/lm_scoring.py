@@ -14,7 +14,7 @@ Words are white-space-separated runs of the lower-cased text, each text ends in
    drawn. It is a sum over pairs of classes, so with the targets given every context is a problem of its own, and the
    other way round: tasks take contexts, then targets, in turn, by Newton steps on dense blocks of at most `cells`
    pairs. Only the vectors go through the driver. The last turn adds each context's normaliser over all classes.
-4. Scores. A word that shares its class has that class's probability times its add-half share among the words there.
+4. Scores, from the numbers of each text's words, which the counts left behind. A word that shares its class has that class's probability times its add-half share among the words there.
 
 The base score is the add-half unigram score over all words, end token included.
 
@@ -273,21 +273,22 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         ones = np.zeros(size, np.int64)
         codes, waiting = [], 0
 
-        def rows(kind: int, a: list, b: list, words: list, n: list) -> pa.RecordBatch:
-            m = len(n)
-            return pa.RecordBatch.from_arrays([pa.array([kind] * m, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["kind", "a", "b", "word", "n"])
+        def rows(kind: int, a: list | np.ndarray, **given: list | np.ndarray) -> pa.RecordBatch:
+            types = {"b": pa.int64(), "word": pa.binary(), "n": pa.int64(), "tokens": pa.binary()}
+            cols = [pa.array(given[k], t) if k in given else pa.nulls(len(a), t) for k, t in types.items()]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), *cols], names=["kind", "a", *types])
 
         def neighbours() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate([np.empty(0, np.int64), *codes]), return_counts=True)
             codes.clear()
-            m = len(n)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(m, 2, np.int32)), pa.array(found), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(n.astype(np.int64))], names=["kind", "a", "b", "word", "n"])
+            return rows(2, found, n=n)
 
         for batch in batches:
-            ids, keys, found, n, train = batch.column(0).to_numpy(), [], [], [], []
+            ids, keys, found, n, train, tokens = batch.column(0).to_numpy(), [], [], [], [], []
             for i, (raw, held) in enumerate(zip(_texts(batch, 1), batch.column(2).to_pylist(), strict=True)):
                 split = _words(raw)
                 at, c, outside = read(split, number, of)
+                tokens.append(np.where(at == other, size + c, at).astype(np.int32).tobytes())
                 if not held:
                     ones += np.bincount(at, minlength=size)
                     ones[END] += 1
@@ -298,17 +299,18 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                 found += rare.keys()
                 n += rare.values()
                 train += [0 if held else 1] * len(rare)
+            yield rows(3, ids, tokens=tokens)
             if keys:
-                yield rows(0, keys, train, found, n)
+                yield rows(0, keys, b=train, word=found, n=n)
             if waiting > 1 << 21:
                 yield neighbours()
                 waiting = 0
         some = np.flatnonzero(ones)
-        yield rows(1, some.tolist(), [0] * len(some), [None] * len(some), ones[some].tolist())
+        yield rows(1, some, n=ones[some])
         yield neighbours()
 
     numbered = settle_table(docs.withColumn("row", F.monotonically_increasing_id()))
-    counted = settle_table(numbered.select("row", "text", "held").mapInArrow(count, "kind int, a long, b long, word binary, n long"))
+    counted = settle_table(numbered.select("row", "text", "held").mapInArrow(count, "kind int, a long, b long, word binary, n long, tokens binary"))
     ones = np.zeros(size, np.int64)
     for a, n in counted.filter("kind = 1").groupBy("a").agg(F.sum("n")).collect():  # at most head + 2 rows
         ones[a] = n
@@ -333,21 +335,23 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     tables = spark.sparkContext.broadcast((np.log10(ones + 0.5), ones > 0, z_shared, tuple(model)))  # `classes` vectors and `head` numbers
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (number, of), (logs, seen, z_shared, parts) = numbers(), tables.value
+        (_, of), (logs, seen, z_shared, parts) = numbers(), tables.value
         model = LogBilinearModel(*parts)
         for batch in batches:
             out = []
-            for raw in _texts(batch, 1):
-                split = _words(raw)
-                at, c, _ = read(split, number, of)
+            for raw in batch.column(1).to_pylist():
+                token = np.frombuffer(raw, np.int32)
+                rare = token >= size
+                at = np.where(rare, other, token)
+                c = np.where(rare, token - size, of[at])
                 model_log = model.log10(np.append(END, c), np.append(c, END)) - float(z_shared[c].sum())
                 headed = at[at != other]
                 sharing = headed[headed >= exact]
-                out.append((len(split) + 1, int(seen[headed].sum()) + int(seen[END]), float(logs[headed].sum() + logs[END]), model_log + float(logs[sharing].sum())))
+                out.append((len(token) + 1, int(seen[headed].sum()) + int(seen[END]), float(logs[headed].sum() + logs[END]), model_log + float(logs[sharing].sum())))
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))], names=["row", "n_tokens", "head_known", "head_log", "head_score"])
 
-    scored = numbered.select("row", "text").mapInArrow(score, "row long, n_tokens long, head_known long, head_log double, head_score double")
+    scored = counted.filter("kind = 3").select("a", "tokens").mapInArrow(score, "row long, n_tokens long, head_known long, head_log double, head_score double")
     rare_log, rare_known = F.coalesce("rare_log", F.lit(0.0)), F.coalesce("rare_known", F.lit(0).cast("long"))
     out = numbered.select("row", F.col("id").alias(id_col), F.col("held").alias("held_out")).join(scored.join(per_row, "row", "left"), "row")
     return out.select(id_col, "held_out", "n_tokens", (F.col("head_known") + rare_known).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), (F.col("head_log") + rare_log - F.col("n_tokens") * base_z).alias("base_score"), (F.col("head_score") + rare_log).alias("score"))
