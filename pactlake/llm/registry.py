@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, license_scan, lm_scoring, mixing, packing, quality_rules, simhash_dedup, suffix_dedup, url_filter
+from . import chat_format, embedding_dedup, license_scan, lm_scoring, mixing, packing, quality_rules, simhash_dedup, spelling_variants, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_spelling_variants": spelling_variants.op11_spelling_variants,
 }
 ORACLE_SQL = {
     "op1_license_scan": license_scan.OP1_SQL,
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op4_chat_format": chat_format.OP4_SQL,
     "op8_url_filter": url_filter.OP8_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
+    "op11_spelling_variants": spelling_variants.OP11_SQL,
 }
