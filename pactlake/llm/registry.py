@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, license_scan, lm_scoring, mixing, packing, quality_rules, simhash_dedup, spelling_variants, suffix_dedup, url_filter
+from . import bpe_codec, chat_format, embedding_dedup, hard_negatives, license_scan, lm_scoring, mixing, packing, quality_rules, simhash_dedup, spelling_variants, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_spelling_variants": spelling_variants.op11_spelling_variants,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_bpe_codec": bpe_codec.op13_bpe_codec,
 }
 ORACLE_SQL = {
     "op1_license_scan": license_scan.OP1_SQL,
@@ -24,4 +26,5 @@ ORACLE_SQL = {
     "op8_url_filter": url_filter.OP8_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
     "op11_spelling_variants": spelling_variants.OP11_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
 }
