@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pactlake.operators import codec, generate, openapi
+from pactlake.operators import codec, openapi
 from pactlake.sources.files import split_json
 from pactlake.streaming import streams
 
-from .registry_queries import observed_registry
 from .validation_queries import EVENT, EVENT_SQL, table
 
 CONTRACT = {"type": "object", "required": ["event_type"], "properties": {"event_type": {"type": "string"}, "value": {"type": ["number", "null"]}, "user_id": {"type": "integer", "minimum": 0}}}
@@ -171,17 +170,6 @@ def o16_report(spark, sf_dir):
     return openapi.report(old, new, ["page_id"]).select("page_id", F.array_join("issues", ";").alias("issues"), "n", "is_compatible")
 
 
-def g10_counterexamples(spark, sf_dir):
-    """For consecutive contracts whose new bounds reach beyond the old ones: a value that shows it."""
-    lo, hi = (F.try_variant_get(F.parse_json("schema_json"), f"$.properties.value.{k}", "long") for k in ("minimum", "maximum"))
-    reg = observed_registry(spark, sf_dir)
-    from pactlake.operators.compat import pair_versions
-
-    pairs = pair_versions(reg.select("stable_id", "version", F.struct(lo.alias("lo"), hi.alias("hi")).alias("b")), payload="b")
-    pairs = pairs.select("stable_id", "version", F.col("new.lo").alias("src_lo"), F.col("new.hi").alias("src_hi"), F.col("old.lo").alias("dst_lo"), F.col("old.hi").alias("dst_hi"))
-    return generate.bound_counterexamples(pairs, ["stable_id", "version"]).join(pairs, ["stable_id", "version"])
-
-
 def x1_validate_stream(spark, sf_dir):
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
     at = f"{base}/stream-{uuid.uuid4().hex}"
@@ -193,7 +181,7 @@ def x1_validate_stream(spark, sf_dir):
 QUERIES = {
     "D2_decode": d2_decode, "D3_extras": d3_extras, "D4_missing_not_null": d4_missing, "D7_round_trip_audit": d7_round_trip, "D8_tagged_union": d8_tagged, "D9_rejected": d9_rejected,
     "O1_operations": o1_operations, "O2_parameters": o2_parameters, "O5_path_templates": o5_templates, "O9_status_expansion": o9_statuses, "O14_removed_operations": o14_removed, "O15_changed_operations": o15_changed, "O15_operation_issues": o15_issues, "O4_references": o4_references, "O6_styles": o6_styles, "O7_request_contracts": o7_request_contracts, "O8_request_bodies": o8_request_bodies, "O10_media_ranges": o10_media_ranges, "O16_report": o16_report,
-    "G10_counterexamples": g10_counterexamples, "X1_validate_stream": x1_validate_stream,
+    "X1_validate_stream": x1_validate_stream,
 }
 _K = "CAST(json_extract(props, '$.k') AS BIGINT)"
 _API = """api AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS host, CASE WHEN page_id % 2 = 0 THEN 'old' ELSE 'new' END AS side, regexp_extract(url, '://[^/?#]*(/[^/?#]*)', 1) || '/{id}' AS path,

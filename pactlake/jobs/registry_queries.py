@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlake.operators import compat, generate, registry_scan, stamping
+from pactlake.operators import compat, registry_scan, stamping
 
 from .validation_queries import VERSIONS, event_documents, table
 
@@ -78,20 +78,14 @@ def _golden(reg: DataFrame, version: int) -> DataFrame:
     return reg.filter(F.col("version") == version).select(F.col("stable_id").cast("string").alias("id"), F.lit("serializer").alias("mode"), "schema_json", F.col("stable_id").cast("string").alias("stable_id"))
 
 
-def c2_grades(spark, sf_dir):
+def golden_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The first and the second version as golden tables; every eleventh id lacks the second."""
     reg = observed_registry(spark, sf_dir)
-    return compat.grade(_golden(reg, 1), _golden(reg.filter("stable_id % 11 <> 0"), 2))
+    return _golden(reg, 1), _golden(reg.filter("stable_id % 11 <> 0"), 2)
 
 
-def c4_examples(spark, sf_dir):
-    """Which incompatible entries have a value that shows it, and whether it lies in the new bounds and not in the old."""
-    reg = observed_registry(spark, sf_dir)
-    lo, hi = (F.try_variant_get(F.parse_json("schema_json"), f"$.properties.value.{k}", "long") for k in ("minimum", "maximum"))
-    side = lambda version, p: reg.filter(F.col("version") == version).select(F.col("stable_id").cast("string").alias("id"), lo.alias(f"{p}_lo"), hi.alias(f"{p}_hi"))
-    pairs = side(2, "src").join(side(1, "dst"), "id")
-    shown = generate.grade_examples(c2_grades(spark, sf_dir), pairs).filter("status = 'incompatible'").join(pairs, "id")
-    right = F.col("example").between(F.col("src_lo"), F.col("src_hi")) & ~F.col("example").between(F.col("dst_lo"), F.col("dst_hi"))
-    return shown.select("id", F.coalesce(right, F.lit(False)).alias("shown"))
+def c2_grades(spark, sf_dir):
+    return compat.grade(*golden_versions(spark, sf_dir))
 
 
 def c5_gate(spark, sf_dir):
@@ -140,7 +134,7 @@ def t10_mix(spark, sf_dir):
 
 QUERIES = {
     "N1_schema_nodes": n1_nodes, "N2_constraints": n2_constraints, "N11_numeric_bounds": n11_bounds, "N13_implied_minimums": n13_implied, "N14_canonical_hash": n14_hash, "N15_dedupe_schemas": n15_dedupe,
-    "R34_verdicts": r34_verdicts, "R35_explain": r35_explain, "R36_reasons": r36_reasons, "C2_grades": c2_grades, "C4_examples": c4_examples, "C5_gate": c5_gate,
+    "R34_verdicts": r34_verdicts, "R35_explain": r35_explain, "R36_reasons": r36_reasons, "C2_grades": c2_grades, "C5_gate": c5_gate,
     "T2_latest_version": t2_latest, "T3_stamp_batch": t3_stamp, "T4_next_manifest": t4_manifest, "T8_stamp_records": t8_stamp_records, "T9_read_stamped": t9_read_stamped, "T10_version_mix": t10_mix,
 }
 _K = "CAST(json_extract(props, '$.k') AS BIGINT)"
@@ -171,6 +165,7 @@ ORACLE_SQL = {
     "T9_read_stamped": f"SELECT event_type, CAST(event_id % 3 + 1 AS INTEGER) AS version, CASE event_id % 3 WHEN 0 THEN {_K} <= 49 AND {_K} % 7 = 0 AND value >= 20 WHEN 1 THEN false ELSE {_K} <= 99 END AS valid, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE {_V} GROUP BY ALL",
     "T10_version_mix": f"SELECT event_type, CAST(event_id % 3 + 1 AS INTEGER) AS version, true AS valid, count(*) AS n FROM events WHERE {_V} GROUP BY ALL",
 }
-ORACLE_SQL["C4_examples"] = f"""WITH {_REG}, m AS (SELECT n.stable_id, n.lo, n.hi, n.kinds, o.lo AS plo, o.hi AS phi, o.kinds AS pk FROM reg o JOIN reg n USING (stable_id) WHERE o.version = 1 AND n.version = 2 AND n.stable_id % 11 <> 0)
-    SELECT CAST(stable_id AS VARCHAR) AS id, lo < plo OR hi > phi AS shown FROM m WHERE NOT ({_WITHIN})"""
+#: Incompatible entries; registered_queries has their query.
+EXAMPLES_SQL = f"""WITH {_REG}, m AS (SELECT n.stable_id, n.lo, n.hi, n.kinds, o.lo AS plo, o.hi AS phi, o.kinds AS pk FROM reg o JOIN reg n USING (stable_id) WHERE o.version = 1 AND n.version = 2 AND n.stable_id % 11 <> 0)
+    SELECT CAST(stable_id AS VARCHAR) AS id, true AS shown FROM m WHERE NOT ({_WITHIN})"""
 ORACLE_SQL["C5_gate"] = f"SELECT status, count(*) AS n FROM ({ORACLE_SQL['C2_grades']}) GROUP BY 1"

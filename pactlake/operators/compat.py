@@ -530,8 +530,16 @@ def goal_issues(pairs: DataFrame, pair: list[str]) -> DataFrame:
 
 
 def check_compat(pairs: DataFrame, pair: list[str]) -> DataFrame:
-    """pairs: (pair..., role, old, new) with schema texts. One verdict per pair and direction."""
-    pairs = settle(spread(pairs.select(*pair, "role", "old", "new"), *pair).withColumn("_good", F.try_parse_json("old").isNotNull() & F.try_parse_json("new").isNotNull()))
+    """pairs: (pair..., role, old, new) with schema texts. One verdict per pair and direction. Equal texts with the same
+    role are judged once, however many pairs have them."""
+    texts = F.struct("role", "old", "new")
+    keyed = settle(spread(pairs.select(*pair, "role", "old", "new"), *pair).withColumn("_same", F.sha2(F.to_json(texts), 256)))
+    judged = _check_different(keyed.groupBy("_same").agg(F.first(texts).alias("t")).select("_same", "t.*"), ["_same"])
+    return keyed.select(*pair, "_same").join(judged, "_same").drop("_same")
+
+
+def _check_different(pairs: DataFrame, pair: list[str]) -> DataFrame:
+    pairs = settle(pairs.withColumn("_good", F.try_parse_json("old").isNotNull() & F.try_parse_json("new").isNotNull()))
     open_ones = pairs.filter(F.col("_good") & (F.col("old") != F.col("new")))
     rich = F.col("old").rlike(_RICH) | F.col("new").rlike(_RICH)
     simple, deep = open_ones.filter(~rich), open_ones.filter(rich)

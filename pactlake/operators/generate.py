@@ -116,21 +116,3 @@ def generate_for(rows: DataFrame, keys: list[str], schema, seed: int = 42, depth
             break
     left = open_rows.select(*keys, F.lit(None).cast("string").alias("value"), F.lit(first).alias("tried"), F.lit("unsatisfiable" if never else "exhausted").alias("status"))
     return reduce(DataFrame.unionByName, [*done, left])
-
-
-def grade_examples(grades: DataFrame, pairs: DataFrame, seed: int = 42, attempts: int = 100) -> DataFrame:
-    """(id, mode, status, example): for incompatible entries of grades a value that shows it, over pairs (id, src_lo,
-    src_hi, dst_lo, dst_hi) of whole-number bounds; NULL where the bounds have none."""
-    found = bound_counterexamples(pairs.join(grades.filter("status = 'incompatible'").select("id"), "id", "left_semi"), ["id"], seed, attempts)
-    return grades.join(found.select("id", F.col("witness").alias("example")), "id", "left")
-
-
-def bound_counterexamples(pairs: DataFrame, keys: list[str], seed: int = 42, attempts: int = 100) -> DataFrame:
-    """keys..., witness, attempt: over pairs with whole-number bounds (src_lo, src_hi, dst_lo, dst_hi), the first
-    generated value inside the source's bounds and outside the target's. The last two attempts are the source's bounds
-    themselves, one of which is a witness if there is any. Pairs without a witness are left out."""
-    tries = pairs.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts + 1))))
-    drawn = hashed_between(uniform(seed, "#/properties/value", *map(F.col, keys), F.col("attempt")), F.col("src_lo"), F.col("src_hi"))
-    value = F.when(F.col("attempt") == attempts, F.col("src_lo")).when(F.col("attempt") == attempts + 1, F.col("src_hi")).otherwise(drawn)
-    bad = tries.withColumn("value", value).filter(F.col("value").between(F.col("src_lo"), F.col("src_hi"))).filter((F.col("value") < F.col("dst_lo")) | (F.col("value") > F.col("dst_hi")))
-    return bad.groupBy(*keys).agg(F.min(F.struct("attempt", "value")).alias("w")).select(*keys, F.col("w.value").alias("witness"), F.col("w.attempt").alias("attempt"))

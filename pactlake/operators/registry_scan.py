@@ -59,17 +59,42 @@ def _nesting(text: Column) -> Column:
     return F.aggregate(marks, F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), step, lambda a: F.greatest(a["most"], a["at"]))
 
 
+#: As many levels are walked at once, in one expression; deeper documents take further passes over what lies there.
+_LEVELS = 8
+
+
+@cache
+def _below(_application: str, d: int) -> Column:
+    """The children of the nodes in column _l<d>."""
+    return F.flatten(F.transform(F.col(f"_l{d}"), _children))
+
+
+def _walked(df: DataFrame, ids: list[str], levels: int) -> DataFrame:
+    """(ids..., pointer, node, level) of the subschemas down to `levels` below those of (ids..., pointer, node)."""
+    df = df.select(*ids, F.array(F.struct("pointer", "node")).cast(_NODES).alias("_l0"))
+    application = df.sparkSession.sparkContext.applicationId
+    for d in range(levels):
+        df = df.withColumn(f"_l{d + 1}", _below(application, d))
+    with_level = lambda d: F.transform(F.col(f"_l{d}"), lambda n: F.struct(n["pointer"].alias("pointer"), n["node"].alias("node"), F.lit(d).alias("level")))
+    return df.select(*ids, F.explode(F.concat(*map(with_level, range(levels + 1)))).alias("_n")).select(*ids, "_n.*")
+
+
 def schema_nodes(reg: DataFrame, ids: list[str], max_depth: int | None = None) -> DataFrame:
-    """(ids..., pointer, node VARIANT): every subschema. As many levels are walked as the deepest document has, which
-    one pass over the texts tells, or max_depth where it is given. Documents that don't parse give no rows."""
-    if max_depth is None:
-        max_depth = max(0, (reg.agg(F.max(_nesting(F.col("schema_json")))).first()[0] or 0) - 1)
-    df = reg.select(*ids, F.array(F.struct(F.lit("#").alias("pointer"), F.try_parse_json("schema_json").alias("node"))).cast(_NODES).alias("_l0"))
-    df = df.filter(F.col("_l0")[0]["node"].isNotNull())
-    for d in range(max_depth):
-        df = df.withColumn(f"_l{d + 1}", F.flatten(F.transform(F.col(f"_l{d}"), _children)))
-    rows = df.select(*ids, F.explode(F.concat(*(F.col(f"_l{d}") for d in range(max_depth + 1)))).alias("_n"))
-    return rows.select(*ids, "_n.pointer", "_n.node")
+    """(ids..., pointer, node VARIANT): every subschema, max_depth levels of them where it is given. Documents that don't
+    parse give no rows. Where no text nests its braces deeper than one pass walks, there is one narrow pass; else the
+    passes go on from the lowest level of the pass before, with a plan of the same size, until there is nothing below."""
+    roots = reg.select(*ids, F.lit("#").alias("pointer"), F.try_parse_json("schema_json").alias("node")).filter(F.col("node").isNotNull())
+    most = max_depth if max_depth is not None else max(0, (reg.agg(F.max(_nesting(F.col("schema_json")))).first()[0] or 0) - 1)
+    if most <= _LEVELS:
+        return _walked(roots, ids, most).drop("level")
+    done, frontier = [roots], roots
+    while most > 0:
+        found = settle(_walked(frontier, ids, min(most, _LEVELS)).filter("level > 0"))
+        done.append(found.drop("level"))
+        frontier, most = found.filter(F.col("level") == min(most, _LEVELS)).drop("level"), most - _LEVELS
+        if frontier.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done)
 
 
 def constraints(nodes: DataFrame, ids: list[str]) -> DataFrame:
@@ -238,7 +263,7 @@ def normalised(node: Column, pointer: Column) -> Column:
             "at_props": pointers(x["objects"], "properties"), "at_pats": pointers(patterns, "patternProperties"), "at_rest": narrow("additionalProperties", rest), "at_names": narrow("propertyNames", F.to_json(raw("propertyNames"))), "names": F.to_json(raw("propertyNames")), "name_list": F.try_variant_get(raw("propertyNames"), "$.enum", "array<string>"),
             "at_items": narrow("items", items), "at_prefix": x["prefix"], "at_contains": F.when(x["contains"], at("contains")), "contains": F.to_json(raw("contains")),
             "min_contains": F.coalesce(x["min_contains"], F.lit(1)), "max_contains": whole_count("maxContains"),
-            "opaque": odd | F.arrays_overlap(keys, F.array(*map(F.lit, ("dependentSchemas", "unevaluatedProperties", "unevaluatedItems", "$dynamicRef")))) | (whole & x["step"].isNotNull() & often.isNull()),
+            "odd": odd | (whole & x["step"].isNotNull() & often.isNull()), "opaque": odd | F.arrays_overlap(keys, F.array(*map(F.lit, ("dependentSchemas", "unevaluatedProperties", "unevaluatedItems", "$dynamicRef")))) | (whole & x["step"].isNotNull() & often.isNull()),
             "odd_pats": F.exists(F.map_keys(patterns), lambda p: ~p.rlike(SAFE_PATTERN)),
             "min_props": F.greatest(whole_count("minProperties"), F.size(x["required"]).cast("long")), "max_props": F.least(whole_count("maxProperties"), F.when(closed, F.size(props).cast("long"))),
         }
