@@ -184,7 +184,7 @@ def _with_column(df: DataFrame, of: str, to: str, kind: str, arrow: pa.DataType,
         for part in column:
             yield pa.array([one(x.as_py()) for x in part], arrow)
 
-    return df.withColumn(to, F.arrow_udf(run, kind, "scalar_iter")(F.col(of)))
+    return df.withColumn(to, F.arrow_udf(run, kind)(F.col(of)))
 
 
 def token_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", kept: int = 1 << 18) -> DataFrame:

@@ -179,7 +179,8 @@ def near_words(vocabulary: DataFrame, groups: int = 13, block: int = 1 << 14) ->
     met = settle(met.withColumn("cell", F.monotonically_increasing_id()))
     ends = F.array(*(F.struct(F.lit(i).alias("side"), F.col(f"len{s}").alias("len"), F.col(f"key{s}").alias("key"), F.col(f"chunk{s}").alias("chunk")) for i, s in enumerate(("", "2"))))
     single = (F.col("len") == F.col("len2")) & (F.col("key") == F.col("key2")) & (F.col("chunk") == F.col("chunk2"))
-    members = met.select("cell", F.explode(F.when(single, F.slice(ends, 1, 1)).otherwise(ends)).alias("e")).select("cell", "e.*")
+    alone = F.transform(F.slice(ends, 1, 1), lambda e: e.withField("side", F.lit(2)))
+    members = met.select("cell", F.explode(F.when(single, alone).otherwise(ends)).alias("e")).select("cell", "e.*")
     dealt = words.join(sizes, ["len", "key"]).withColumn("chunk", F.pmod(F.xxhash64("word"), F.col("chunks")).cast("int"))
     rows = dealt.join(members, ["len", "key", "chunk"]).select("cell", "side", "word", "n")
 
@@ -188,8 +189,10 @@ def near_words(vocabulary: DataFrame, groups: int = 13, block: int = 1 << 14) ->
             side, spelt, n = table.column(1).to_numpy(), table.column(2), table.column(3).to_numpy()
             for lo, hi in zip(starts[:-1], starts[1:], strict=True):
                 own = spelt.slice(lo, hi - lo).to_pylist()
-                split = int((side[lo:hi] == 0).sum())
-                itself = split == len(own)
+                itself = side[lo] == 2  # a block with itself
+                split = len(own) if itself else int((side[lo:hi] == 0).sum())
+                if split in (0, len(own)) and not itself:
+                    continue  # the hash left one of the two blocks empty
                 x = _letters(own[:split], len(own[0]))
                 i, j = near_pairs(x, x if itself else _letters(own[split:], len(own[-1])), groups, itself)
                 if len(i):
