@@ -94,13 +94,15 @@ def numbered(df: DataFrame, group: list[str], order: list[str], to: str, shard_r
     return ranked.join(offsets, ["_group", "_shard"], "left").withColumn(to, F.col("_upto") + F.col("_rank") - 1).select(*df.columns, to)
 
 
-def stored_order() -> Column:
-    """Where a row of a Parquet table that Spark wrote stands in it: whole numbers that rise in the order of writing.
+def stored_order(df: DataFrame) -> Column:
+    """Where a row of df, a Parquet table that Spark wrote, stands in it: whole numbers that rise in the order of writing.
+    A column of df's own named _metadata doesn't matter.
 
     Files are named after their partition, part-00012-..., and then the file in it, -c003; a file that is not is first.
     """
-    number = lambda pattern: F.coalesce(F.regexp_extract("_metadata.file_name", pattern, 1).try_cast("long"), F.lit(0))
-    return F.shiftleft(number(r"^part-(\d+)"), 42) + F.shiftleft(number(r"-c(\d+)[.]"), 32) + F.col("_metadata.row_index")
+    of = df.metadataColumn("_metadata")
+    number = lambda pattern: F.coalesce(F.regexp_extract(of["file_name"], pattern, 1).try_cast("long"), F.lit(0))
+    return F.shiftleft(number(r"^part-(\d+)"), 42) + F.shiftleft(number(r"-c(\d+)[.]"), 32) + of["row_index"]
 
 
 def sorted_groups(batches, n_keys: int):

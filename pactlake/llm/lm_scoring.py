@@ -2,13 +2,12 @@
 
 Words are white-space-separated runs of the lower-cased text, each text ends in one end token. Four passes:
 
-1. Heavy words: each task offers its most frequent words; their sums name at most `head` words that the executors
-   hold (words over 64 bytes never among them, so the size is bounded). Which words these are only moves work, not
-   counts. The number of training tokens sets the number of classes of the model: the root of `fill` times it. The
-   most frequent words are a class each, all others share the last quarter of the classes by a hash of the word.
-2. Counts over all training texts: of head words in the tasks, of all other words by a shuffle on the word, where each
-   occurrence meets its count; and of neighbouring classes (previous, next), a sparse table with at most `fill` times
-   as many rows as there are tokens.
+1. Counts of all words of the training texts, exact, by a shuffle on the word. The most frequent of at most 64 bytes,
+   `head` of them, are held by the executors, so what is broadcast is bounded. The number of training tokens sets the
+   number of classes of the model: the root of `fill` times it. The most frequent words are a class each, all others
+   share the last quarter of the classes by a hash of the word. None of this depends on how the table is partitioned.
+2. Neighbouring classes (previous, next) of all training texts, a sparse table with at most `fill` times as many rows as
+   there are tokens; and the words outside the head of all texts, which meet their counts.
 3. Training. The model gives class w after class c the probability softmax(context[c] . target[w] + bias[w]). The
    objective is noise-contrastive estimation with the unigram distribution as noise, taken in expectation rather than
    drawn. It is a sum over pairs of classes, so with the targets given every context is a problem of its own, and the
@@ -211,34 +210,30 @@ def _texts(batch: pa.RecordBatch, i: int) -> Iterator[bytes | None]:
     return (column[j].as_py() for j in range(len(column)))
 
 
-def heavy_words(training: DataFrame, head: int, offer: int) -> tuple[list[bytes], int]:
-    """At most `head` frequent words, most frequent first; and how many tokens there are, ends included."""
+def word_counts(training: DataFrame, offer: int) -> DataFrame:
+    """(word, n): all words of the texts; the empty word stands for the end tokens. A task hands on its counts when it
+    holds more than `offer` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        tokens = 0
 
-        def top() -> pa.RecordBatch:
-            some = [(w, n) for w, n in counts.most_common(offer) if len(w) <= 64]
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.binary()), pa.array([n for _, n in some], pa.int64())], names=["word", "n"])
+            return out
 
         for b in batches:
+            counts[b""] += b.num_rows
             for raw in _texts(b, 0):
-                split = _words(raw)
-                counts.update(split)
-                tokens += len(split) + 1
-            if len(counts) > 8 * offer:
-                yield top()
-        yield top()
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([tokens], pa.int64())], names=["word", "n"])
+                counts.update(_words(raw))
+                if len(counts) > offer:
+                    yield told()
+        yield told()
 
-    found = training.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(head + 1).collect()
-    return [bytes(w) for w, _ in rows if w is not None], sum(n for w, n in rows if w is None)
+    return settle_table(training.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"))
 
 
-def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fill: float = 1.0, most_classes: int = 1 << 17, head: int = 1 << 17, offer: int = 1 << 15) -> DataFrame:
+def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fill: float = 1.0, most_classes: int = 1 << 17, head: int = 1 << 17, offer: int = 1 << 19) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each input row.
 
     `most_classes` bounds what is broadcast (264 bytes a class); beyond it more words share each of the last classes.
@@ -246,7 +241,11 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     spark = df.sparkSession
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 1
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("held"))
-    words, train_tokens = heavy_words(docs.filter(~F.col("held")), head, offer)
+    counts = word_counts(docs.filter(~F.col("held")), offer)
+    real = F.col("word") != F.lit(b"")
+    train_tokens, ends, vocabulary = (x or 0 for x in counts.agg(F.sum("n"), F.sum(F.when(~real, F.col("n"))), F.count("*")).first())
+    top = counts.filter(real & (F.octet_length("word") <= 64)).orderBy(F.desc("n"), "word").limit(head).collect()  # at most head rows
+    words, ones = [bytes(r.word) for r in top], np.array([ends, *(r.n for r in top), 0], np.int64)
     # Number 0 is the end token, the last one any word outside the head.
     sent = spark.sparkContext.broadcast(words)  # at most head * 64 bytes
     size, other = len(words) + 2, len(words) + 1
@@ -270,11 +269,10 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, of = numbers()
-        ones = np.zeros(size, np.int64)
         codes, waiting = [], 0
 
         def rows(kind: int, a: list | np.ndarray, **given: list | np.ndarray) -> pa.RecordBatch:
-            types = {"b": pa.int64(), "word": pa.binary(), "n": pa.int64(), "tokens": pa.binary()}
+            types = {"word": pa.binary(), "n": pa.int64(), "tokens": pa.binary()}
             cols = [pa.array(given[k], t) if k in given else pa.nulls(len(a), t) for k, t in types.items()]
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), *cols], names=["kind", "a", *types])
 
@@ -284,53 +282,43 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             return rows(2, found, n=n)
 
         for batch in batches:
-            ids, keys, found, n, train, tokens = batch.column(0).to_numpy(), [], [], [], [], []
+            ids, keys, found, n, tokens = batch.column(0).to_numpy(), [], [], [], []
             for i, (raw, held) in enumerate(zip(_texts(batch, 1), batch.column(2).to_pylist(), strict=True)):
                 split = _words(raw)
                 at, c, outside = read(split, number, of)
                 tokens.append(np.where(at == other, size + c, at).astype(np.int32).tobytes())
                 if not held:
-                    ones += np.bincount(at, minlength=size)
-                    ones[END] += 1
                     codes.append(np.append(END, c) * classes + np.append(c, END))
                     waiting += len(c) + 1
                 rare = Counter(split[j] for j in outside)
                 keys += [ids[i]] * len(rare)
                 found += rare.keys()
                 n += rare.values()
-                train += [0 if held else 1] * len(rare)
             yield rows(3, ids, tokens=tokens)
             if keys:
-                yield rows(0, keys, b=train, word=found, n=n)
+                yield rows(0, keys, word=found, n=n)
             if waiting > 1 << 21:
                 yield neighbours()
                 waiting = 0
-        some = np.flatnonzero(ones)
-        yield rows(1, some, n=ones[some])
         yield neighbours()
 
     numbered = settle_table(docs.withColumn("row", F.monotonically_increasing_id()))
-    counted = settle_table(numbered.select("row", "text", "held").mapInArrow(count, "kind int, a long, b long, word binary, n long, tokens binary"))
-    ones = np.zeros(size, np.int64)
-    for a, n in counted.filter("kind = 1").groupBy("a").agg(F.sum("n")).collect():  # at most head + 2 rows
-        ones[a] = n
+    counted = settle_table(numbered.select("row", "text", "held").mapInArrow(count, "kind int, a long, word binary, n long, tokens binary"))
     codes = counted.filter("kind = 2").groupBy(F.col("a").alias("code")).agg(F.sum("n").alias("n"))
     pairs = settle_table(codes.select(F.expr(f"code div {classes}").alias("a"), (F.col("code") % classes).alias("b"), "n"))
     model = train(pairs, classes)
     drop_table(pairs)
     # Rare words: every occurrence meets its count in the training texts.
-    rare = counted.filter("kind = 0").select("word", F.col("a").alias("row"), "n", (F.col("n") * F.col("b")).alias("learnt"))
-    totals = settle_table(rare.groupBy("word").agg(F.sum("learnt").alias("c")))
-    # Of the words that share a class: their tokens, and how many they are.
+    rare = counted.filter("kind = 0").select("word", F.col("a").alias("row"), "n")
+    # Of the words that share a class: their tokens, and how many they are; those with a class of their own taken off.
     n_shared, v_shared = np.zeros(shared), np.zeros(shared)
-    for i, n, v in totals.filter("c > 0").groupBy((F.crc32("word") % shared).alias("i")).agg(F.sum("c"), F.count("*")).collect():  # at most `shared` rows
+    for i, n, v in counts.filter(real).groupBy((F.crc32("word") % shared).alias("i")).agg(F.sum("n"), F.count("*")).collect():  # at most `shared` rows
         n_shared[i], v_shared[i] = n, v
-    vocabulary = int((ones[:other] > 0).sum()) + int(v_shared.sum())
-    _, of = numbers()
-    np.add.at(n_shared, of[exact:other] - exact, ones[exact:other])
-    np.add.at(v_shared, of[exact:other] - exact, ones[exact:other] > 0)
+    alone = [crc32(w) % shared for w in words[: exact - 1]]
+    np.subtract.at(n_shared, alone, ones[1:exact])
+    np.subtract.at(v_shared, alone, 1)
     z_shared = np.append(np.zeros(exact), np.log10(n_shared + 0.5 * (v_shared + 1)))
-    per_row = rare.join(totals, "word").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("rare_log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
+    per_row = rare.join(counts.withColumnRenamed("n", "c"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0))).groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("rare_log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
     base_z = float(np.log10(train_tokens + 0.5 * (vocabulary + 1)))
     tables = spark.sparkContext.broadcast((np.log10(ones + 0.5), ones > 0, z_shared, tuple(model)))  # `classes` vectors and `head` numbers
 

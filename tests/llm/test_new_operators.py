@@ -1,6 +1,7 @@
 """Spelling variants, hard negatives and byte-pair encoding against brute force and the tokenizers library."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pactlake.llm import bpe_codec, hard_negatives, spelling_variants
+from pactlake.llm import bpe_codec, hard_negatives, lm_scoring, spelling_variants
 
 ODD = [None, "", "   ", "Straße ÀÉÎ naïveté naïvete naivete", "x" * 50_000, "<|endoftext|>a<|startoftext|> <|ENDOFTEXT|>", "日本語 ﬁ İstanbul ΑΣ ΑΣΑ\u0085 x", "été été's 'll don't 12,5"]
 
@@ -171,3 +172,13 @@ def test_no_words_and_empty_tables(spark):
     assert spelling_variants.group_variants(spark.createDataFrame([(1, "short words only"), (2, None)], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError, match="not a byte-level"):
         bpe_codec.BpeCodec(bpe_codec.word_pieces_path().replace("word_bpe_49k", "byte_bpe_50k"))
+
+
+def test_language_model_whatever_the_partitions(spark):
+    """Classes follow from exact counts: one partition or six, counts handed on early or at the end."""
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    some, other = ({r.doc_id: r for r in lm_scoring.score_texts(table.repartition(n), offer=offer).collect()} for n, offer in ((1, 1 << 19), (6, 60)))
+    assert some.keys() == other.keys()
+    for i, r in some.items():
+        assert (r.n_known, r.train_tokens) == (other[i].n_known, other[i].train_tokens)
+        assert math.isclose(r.base_score, other[i].base_score, rel_tol=1e-9) and math.isclose(r.score, other[i].score, rel_tol=1e-5)
