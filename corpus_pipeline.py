@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet and read again as the next one's docs.
 Mixing orders the rows it writes; packing fills the batches of each bucket in that order.
+
+Odd rows: a null text counts as empty, fails the quality rules for want of words, and so leaves at the first stage. A text
+of any length passes whole; one that is nothing but repeated passages stays as an empty text, which packing places with
+no tokens. Rows with a null id have no name to be grouped by and stay near-duplicates of nothing. Of repeated rows with
+one id the second stage keeps one; of documents that are equally good to keep, that with the smallest id. Sources without
+rows get no slots, a null source is a source of its own. Empty tables give an empty result, a table without labels leaves
+the base rules only. Further columns are carried along to the mixed documents, whatever their names (also _metadata); the
+last stage returns its own columns.
 """
 
 from __future__ import annotations
@@ -31,7 +39,7 @@ def mixing_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, order=stored_order())
+    return packing.pack(docs, order=stored_order(docs))
 
 
 STAGES = [
