@@ -13,7 +13,10 @@ from pactlake.operators import codec, openapi
 from pactlake.sources.files import split_json
 from pactlake.streaming import streams
 
+from .registry_queries import ORACLE_SQL as REGISTRY_SQL
+from .registry_queries import stamped_events
 from .validation_queries import EVENT, EVENT_SQL, table
+from .validation_queries import VERSIONS as RECORD_VERSIONS
 
 CONTRACT = {"type": "object", "required": ["event_type"], "properties": {"event_type": {"type": "string"}, "value": {"type": ["number", "null"]}, "user_id": {"type": "integer", "minimum": 0}}}
 
@@ -170,6 +173,46 @@ def o16_report(spark, sf_dir):
     return openapi.report(old, new, ["page_id"]).select("page_id", F.array_join("issues", ";").alias("issues"), "n", "is_compatible")
 
 
+_BODY = '"requestBody":{%s"content":{%s}},'
+_OK = '"responses":{"200":{}}'
+#: Two forms of an operation, and the issue between them (none: compatible).
+VERSIONS = [
+    (_OK, _OK, None),
+    (_OK, _BODY % ('"required":true,', '"application/json":{"schema":{"type":"object"}}') + _OK, "request body: requires a body"),
+    (_OK, _BODY % ("", '"application/json":{"schema":{"type":"object"}}') + _OK, None),
+    ('"responses":{"200":{"content":{"application/json":{"schema":{"type":"object"}}}}}', _OK, "response body of 200: may come without a body"),
+    (_OK, '"responses":{"200":{},"404":{}}', "response: answers with status 404"),
+    ('"responses":{"2XX":{"content":{"application/json":{"schema":{"type":"integer"}}}}}', '"responses":{"200":{"content":{"application/json":{"schema":{"type":"string"}}}}}', "response body of 200: application/json incompatible"),
+    ('"responses":{"2XX":{"content":{"application/json":{"schema":{"type":"number"}}}}}', '"responses":{"200":{"content":{"application/json":{"schema":{"type":"integer"}}}}}', None),
+    (_BODY % ("", '"application/json":{"schema":{"type":"object"}}') + _OK, _BODY % ("", '"application/*":{"schema":{"type":"string"}}') + _OK, "request body: application/json incompatible"),
+    (_BODY % ("", '"application/json":{"schema":{"type":"object"}}') + _OK, _BODY % ("", '"*/*":{}') + _OK, None),
+    (_BODY % ("", '"text/*":{}') + _OK, _BODY % ("", '"text/plain":{}') + _OK, "request body: no longer accepts text/*"),
+    ('"responses":{"default":{}}', '"responses":{"1XX":{},"2XX":{},"3XX":{},"4XX":{},"5XX":{}}', None),
+    ('"responses":{"200":{},"404":{}}', '"responses":{"200":{},"default":{}}', "response: answers with status default"),
+    (_OK, '"responses":{"200":{"headers":{"X-New":{"schema":{}}}}}', "response headers of 200: answers with x-new"),
+]
+
+
+def o16_versions(spark, sf_dir):
+    """For each page with a url two descriptions of one operation, in the forms of the page's number."""
+    pages = table(spark, sf_dir, "pages").filter(F.contains("url", F.lit("://"))).select("page_id")
+    side = lambda i: pages.select("page_id", F.concat(F.lit('{"openapi":"3.1.0","paths":{"/p'), F.col("page_id").cast("string"), F.lit('":{"put":{'), F.get(F.array(*(F.lit(v[i]) for v in VERSIONS)), (F.col("page_id") % len(VERSIONS)).cast("int")), F.lit("}}}}")).alias("doc_json"))
+    return openapi.report(side(0), side(1), ["page_id"]).select("page_id", F.array_join("issues", ";").alias("issues"), "n", "is_compatible")
+
+
+def x2_read_stamped_stream(spark, sf_dir):
+    """Envelopes as a stream, stopped after the first half of the files and taken up again from its checkpoint."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    at = f"{base}/stream-{uuid.uuid4().hex}"
+    made = stamped_events(spark, sf_dir).select("event_id", "event_type", "envelope")
+    for half in (0, 1):
+        made.filter(F.col("event_id") % 2 == half).write.mode("append").parquet(f"{at}/in")
+        source = spark.readStream.schema(made.schema).parquet(f"{at}/in")
+        read = streams.read_stamped_stream(source, "envelope", {1: RECORD_VERSIONS["v3"], 3: RECORD_VERSIONS["v1"]}).select("event_type", "event_id", "version", "valid")
+        streams.drain(read, f"{at}/out", f"{at}/state")
+    return spark.read.parquet(f"{at}/out").groupBy("event_type", "version", "valid").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 def x1_validate_stream(spark, sf_dir):
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
     at = f"{base}/stream-{uuid.uuid4().hex}"
@@ -180,8 +223,8 @@ def x1_validate_stream(spark, sf_dir):
 
 QUERIES = {
     "D2_decode": d2_decode, "D3_extras": d3_extras, "D4_missing_not_null": d4_missing, "D7_round_trip_audit": d7_round_trip, "D8_tagged_union": d8_tagged, "D9_rejected": d9_rejected,
-    "O1_operations": o1_operations, "O2_parameters": o2_parameters, "O5_path_templates": o5_templates, "O9_status_expansion": o9_statuses, "O14_removed_operations": o14_removed, "O15_changed_operations": o15_changed, "O15_operation_issues": o15_issues, "O4_references": o4_references, "O6_styles": o6_styles, "O7_request_contracts": o7_request_contracts, "O8_request_bodies": o8_request_bodies, "O10_media_ranges": o10_media_ranges, "O16_report": o16_report,
-    "X1_validate_stream": x1_validate_stream,
+    "O1_operations": o1_operations, "O2_parameters": o2_parameters, "O5_path_templates": o5_templates, "O9_status_expansion": o9_statuses, "O14_removed_operations": o14_removed, "O15_changed_operations": o15_changed, "O15_operation_issues": o15_issues, "O4_references": o4_references, "O6_styles": o6_styles, "O7_request_contracts": o7_request_contracts, "O8_request_bodies": o8_request_bodies, "O10_media_ranges": o10_media_ranges, "O16_report": o16_report, "O16_versions": o16_versions,
+    "X1_validate_stream": x1_validate_stream, "X2_read_stamped_stream": x2_read_stamped_stream,
 }
 _K = "CAST(json_extract(props, '$.k') AS BIGINT)"
 _API = """api AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS host, CASE WHEN page_id % 2 = 0 THEN 'old' ELSE 'new' END AS side, regexp_extract(url, '://[^/?#]*(/[^/?#]*)', 1) || '/{id}' AS path,
@@ -191,7 +234,7 @@ _BOTH = "SELECT host, path, method FROM api WHERE side = 'old' AND method = 'POS
 _PAGES = f"(SELECT page_id, page_id % {CHANGES} AS k FROM pages WHERE strpos(url, '://') > 0)"
 #: What follows from each change, a row for each issue.
 _FOUND = f"""SELECT page_id, k, '/a/{{id}}' AS path, CASE k WHEN 2 THEN 'request query' WHEN 3 THEN 'request query' WHEN 6 THEN 'request path' WHEN 7 THEN 'response headers of 200' WHEN 8 THEN 'response body of 200' ELSE 'request body' END AS surface,
-    unnest(CASE k WHEN 1 THEN ['application/json incompatible'] WHEN 2 THEN ['requires q'] WHEN 3 THEN ['is written in another way: q'] WHEN 4 THEN ['requires application/json', 'requires text/*', 'requires text/plain'] WHEN 5 THEN ['no longer accepts text/*', 'no longer accepts text/plain']
+    unnest(CASE k WHEN 1 THEN ['application/json incompatible'] WHEN 2 THEN ['requires q'] WHEN 3 THEN ['is written in another way: q'] WHEN 4 THEN ['requires a body'] WHEN 5 THEN ['no longer accepts text/*', 'no longer accepts text/plain']
         WHEN 6 THEN ['id incompatible'] WHEN 7 THEN ['x-id incompatible'] WHEN 8 THEN ['application/json incompatible'] ELSE [''] END) AS message FROM {_PAGES}"""
 ORACLE_SQL = {
     "D2_decode": "SELECT event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users, CAST(sum(CASE WHEN event_id % 3 = 2 THEN CAST(round(value) AS BIGINT) END) AS BIGINT) AS value FROM events WHERE event_id % 17 <> 0 GROUP BY 1",
@@ -216,6 +259,9 @@ ORACLE_SQL = {
         unnest(CASE page_id % 2 WHEN 0 THEN ['application/json,text/*,text/plain', '', 'text/plain', ''] ELSE ['text/*,text/plain', '', 'text/plain'] END) AS without FROM {_PAGES}) GROUP BY ALL""",
     "O15_operation_issues": f"SELECT page_id, path, unnest(CASE k WHEN 6 THEN ['POST', 'GET'] ELSE ['POST'] END) AS method, surface, message FROM ({_FOUND}) WHERE k <> 0",
     "O16_report": f"""SELECT page_id, CASE k WHEN 0 THEN 'GET /a/{{id}} was removed' WHEN 6 THEN 'GET ' || path || ' ' || surface || ': ' || min(message) || ';POST ' || path || ' ' || surface || ': ' || min(message) ELSE string_agg('POST ' || path || ' ' || surface || ': ' || message, ';' ORDER BY message) END AS issues,
-        CASE k WHEN 4 THEN 3 WHEN 5 THEN 2 WHEN 6 THEN 2 ELSE 1 END AS n, false AS is_compatible FROM ({_FOUND}) GROUP BY page_id, path, k, surface""",
+        CASE k WHEN 5 THEN 2 WHEN 6 THEN 2 ELSE 1 END AS n, false AS is_compatible FROM ({_FOUND}) GROUP BY page_id, path, k, surface""",
     "X1_validate_stream": f"SELECT event_type, coalesce(({EVENT_SQL}), false) AS valid, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1, 2",
 }
+_CASES = " ".join(f"WHEN {i} THEN {'NULL' if v[2] is None else repr('PUT /p') + ' || page_id || ' + repr(' ' + v[2])}" for i, v in enumerate(VERSIONS))
+ORACLE_SQL["O16_versions"] = f"SELECT page_id, coalesce(i, '') AS issues, CAST(i IS NOT NULL AS INTEGER) AS n, i IS NULL AS is_compatible FROM (SELECT page_id, CASE page_id % {len(VERSIONS)} {_CASES} END AS i FROM pages WHERE strpos(url, '://') > 0)"
+ORACLE_SQL["X2_read_stamped_stream"] = REGISTRY_SQL["T9_read_stamped"]

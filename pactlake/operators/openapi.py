@@ -171,18 +171,20 @@ def media_ranges(ops: DataFrame, ids: list[str]) -> DataFrame:
     return each.select(*ids, "path", "method", "media", F.array_sort(F.filter("all", lambda m: (m != F.col("media")) & F.array_contains(_wider(m), F.col("media")))).alias("without"))
 
 
+def _schema(doc: Column, v: Column) -> Column:
+    """The schema of a parameter, header or media type, with the components where it refers to them."""
+    text = F.coalesce(F.to_json(F.try_variant_get(v, "$.schema", "variant")), F.lit("{}"))
+    kept = F.coalesce(F.to_json(F.try_variant_get(doc, "$.components", "variant")), F.lit("{}"))
+    return F.when(F.contains(text, F.lit('"$ref"')), F.concat(F.lit('{"allOf":['), text, F.lit('],"components":'), kept, F.lit("}"))).otherwise(text)
+
+
 def surfaces(docs: DataFrame, ids: list[str]) -> DataFrame:
     """(ids..., path, method, side, place, name, required, style, schema_json): what requests and responses of each
     operation carry: parameters by place and name, bodies by media type, responses by status entry and media type,
     their headers by name. Schemas keep the components that their references need."""
     parsed = docs.withColumn("_doc", F.try_parse_json("doc_json"))
     ops = operations(docs, ids).join(parsed.select(*ids, "_doc"), ids)
-    schemas = F.to_json(F.try_variant_get("_doc", "$.components", "variant"))
-
-    def schema(v: Column) -> Column:
-        text = F.coalesce(F.to_json(F.try_variant_get(v, "$.schema", "variant")), F.lit("{}"))
-        return F.when(F.contains(text, F.lit('"$ref"')), F.concat(F.lit('{"allOf":['), text, F.lit('],"components":'), F.coalesce(schemas, F.lit("{}")), F.lit("}"))).otherwise(text)
-
+    schema = lambda v: _schema(F.col("_doc"), v)
     listed = lambda v, level: F.transform(F.coalesce(F.try_variant_get(v, "$.parameters", "array<variant>"), F.array().cast("array<variant>")), lambda p: F.struct(F.lit(level).alias("level"), component(F.col("_doc"), p).alias("p")))
     own = ops.select(*ids, "path", "method", "_doc", F.explode(F.concat(listed(F.col("op"), 0), listed(F.col("item"), 1))).alias("x"))
     get = lambda k, t: F.try_variant_get("x.p", f"$['{k}']", t)
@@ -195,53 +197,111 @@ def surfaces(docs: DataFrame, ids: list[str]) -> DataFrame:
     bodies = ops.select(*ids, "path", "method", "_doc", F.coalesce(F.try_variant_get(body, "$.required", "boolean"), F.lit(False)).alias("required"), F.explode(_media(body)).alias("m"))
     bodies = bodies.select(*ids, "path", "method", F.lit("request").alias("side"), F.lit("body").alias("place"), F.col("m.key").alias("name"), "required", F.lit("").alias("style"), schema(F.col("m.value")).alias("schema_json"))
     answers = ops.select(*ids, "path", "method", "_doc", _entries(F.try_variant_get("op", "$.responses", "variant")).alias("r")).withColumn("v", component(F.col("_doc"), F.col("r.value")))
-    answer = lambda place, x, need: answers.select(*ids, "path", "method", "_doc", F.concat(F.lit(place), F.col("r.key")).alias("place"), F.explode(x).alias("m")).select(*ids, "path", "method", F.lit("response").alias("side"), "place", F.col("m.key").alias("name"), need.alias("required"), F.lit("").alias("style"), schema(F.col("m.value")).alias("schema_json"))
+    answer = lambda place, x, need, style: answers.select(*ids, "path", "method", "_doc", F.concat(F.lit(place), F.col("r.key")).alias("place"), F.explode(x).alias("m")).select(*ids, "path", "method", F.lit("response").alias("side"), "place", F.col("m.key").alias("name"), need.alias("required"), style.alias("style"), schema(F.col("m.value")).alias("schema_json"))
     headers = F.filter(F.transform(F.coalesce(F.map_entries(F.try_variant_get("v", "$.headers", "map<string,variant>")), F.from_json(F.lit("[]"), "array<struct<key:string,value:variant>>")), lambda e: F.struct(F.lower(e["key"]).alias("key"), component(F.col("_doc"), e["value"]).alias("value"))), lambda e: e["key"] != "content-type")
-    told = answer("body of ", _media(F.col("v")), F.lit(True)).unionByName(answer("headers of ", headers, F.coalesce(F.try_variant_get("m.value", "$.required", "boolean"), F.lit(False))))
+    told = answer("body of ", _media(F.col("v")), F.lit(True), F.lit("")).unionByName(answer("headers of ", headers, F.coalesce(F.try_variant_get("m.value", "$.required", "boolean"), F.lit(False)), F.concat(F.lit("simple "), F.coalesce(F.try_variant_get("m.value", "$.explode", "boolean"), F.lit(False)).cast("string"))))
     return styled.unionByName(bodies).unionByName(told)
 
 
+#: The classes of statuses; an entry is a status, one of these, or default.
+CLASSES = ("1XX", "2XX", "3XX", "4XX", "5XX")
+
+
+def status_cells(old: Column, new: Column) -> Column:
+    """The entries of both sides that still stand for some status when the more specific ones are taken out of a class and
+    those and the classes out of default: every status from 100 to 599 is in just one."""
+    both = F.array_union(old, new)
+    full = lambda xs, c: F.size(F.filter(xs, lambda e: e.rlike("^[1-5][0-9][0-9]$") & (F.substr(e, F.lit(1), F.lit(1)) == c[0]))) >= 100
+    covered = lambda xs: F.forall(F.array(*(F.array_contains(xs, c) | full(xs, c) for c in CLASSES)), lambda x: x)
+    emptied = lambda xs, e: reduce(lambda x, y: x | y, ((e == c) & full(xs, c) for c in CLASSES)) | ((e == "default") & covered(xs))
+    return F.filter(both, lambda e: ~emptied(both, e))
+
+
+def status_entry(entries: Column, cell: Column) -> Column:
+    """The entry of one side that speaks for a cell; NULL if none does."""
+    family = F.concat(F.substr(cell, F.lit(1), F.lit(1)), F.lit("XX"))
+    return F.when(F.array_contains(entries, cell), cell).when((cell != "default") & F.array_contains(entries, family), family).when(F.array_contains(entries, "default"), F.lit("default"))
+
+
+def _kind(media: Column) -> Column:
+    return F.trim(F.split_part(media, F.lit(";"), F.lit(1)))
+
+
+def media_entry(kinds: Column, cell: Column) -> Column:
+    """The narrowest of the media types and ranges that covers a cell; NULL if none does."""
+    wide = F.concat(F.split_part(cell, F.lit("/"), F.lit(1)), F.lit("/*"))
+    return F.when(F.array_contains(kinds, cell), cell).when((cell != "*/*") & F.array_contains(kinds, wide), wide).when(F.array_contains(kinds, "*/*"), F.lit("*/*"))
+
+
+def bodies(docs: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids..., path, method, part, entry, bare, media MAP): what requests (entry body) and each response entry may carry:
+    bare, whether there may be no body, and by media type or range, parameters aside, the schema."""
+    parsed = docs.withColumn("_doc", F.try_parse_json("doc_json"))
+    ops = operations(docs, ids).join(parsed.select(*ids, "_doc"), ids)
+    asked = ops.select(*ids, "path", "method", "_doc", F.lit("request").alias("part"), F.lit("body").alias("entry"), component(F.col("_doc"), F.try_variant_get("op", "$.requestBody", "variant")).alias("v"))
+    told = ops.select(*ids, "path", "method", "_doc", _entries(F.try_variant_get("op", "$.responses", "variant")).alias("r")).filter(~F.col("r.key").startswith("x-"))
+    told = told.select(*ids, "path", "method", "_doc", F.lit("response").alias("part"), F.col("r.key").alias("entry"), component(F.col("_doc"), F.col("r.value")).alias("v"))
+    rows = asked.unionByName(told).withColumn("m", F.transform(_media(F.col("v")), lambda e: F.struct(_kind(e["key"]).alias("key"), _schema(F.col("_doc"), e["value"]).alias("value"))))
+    # Of media types that differ in parameters alone the first counts; duplicate_media reports those that are the same.
+    keys = F.array_distinct(F.transform("m", lambda e: e["key"]))
+    media = F.map_from_arrays(keys, F.transform(keys, lambda k: F.filter("m", lambda e: e["key"] == k)[0]["value"]))
+    bare = F.when(F.col("part") == "request", ~F.coalesce(F.try_variant_get("v", "$.required", "boolean"), F.lit(False)) | (F.size("m") == 0)).otherwise(F.size("m") == 0)
+    return rows.select(*ids, "path", "method", "part", "entry", bare.alias("bare"), media.alias("media"))
+
+
+def _sided(df: DataFrame, key: list[str], side: str) -> DataFrame:
+    return df.select(*key, *(F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in key))
+
+
 def operation_issues(old: DataFrame, new: DataFrame, ids: list[str]) -> DataFrame:
     """(ids..., path, method, surface, message) for documents (ids..., doc_json) whose operations are in both. What old
     clients send must be accepted by the new side (requests as deserializer), what the new side answers by old clients
-    (responses as serializer). A pair of schemas that can't be decided is an issue too."""
-    key = [*ids, "path", "method"]
-    both = operations(old, ids).select(*key).join(operations(new, ids).select(*key), key)
-    o, n = (surfaces(d, ids).join(both, key, "left_semi") for d in (old, new))
-    o, n = settle(o), settle(n)
-    spot = [*key, "side", "place", "name"]
-    met = o.select(*spot, *(F.col(c).alias(f"o_{c}") for c in ("required", "style", "schema_json"))).join(n.select(*spot, *(F.col(c).alias(f"n_{c}") for c in ("required", "style", "schema_json"))), spot, "full_outer")
-    where = F.concat_ws(" ", "side", "place")
-    request, response = F.col("side") == "request", F.col("side") == "response"
-    gone, fresh = F.col("n_schema_json").isNull(), F.col("o_schema_json").isNull()
-    header = F.col("place").startswith("headers of ")
-    ranged = met.join(_offers(o, n, spot), spot, "left")
-    covered = F.coalesce(F.col("covered"), F.lit(False))
+    (responses as serializer). Statuses and media types are cut into cells that one entry of each side speaks for, so that
+    schemas meet wherever two entries overlap; no body is an alternative of its own. Groups of parameters and headers are
+    closed. A pair of schemas that can't be decided is an issue too."""
+    op = [*ids, "path", "method"]
+    both = settle(operations(old, ids).select(*op).join(operations(new, ids).select(*op), op))
+    o, n = (settle(surfaces(d, ids).join(both, op, "left_semi")) for d in (old, new))
+    ob, nb = (settle(bodies(d, ids).join(both, op, "left_semi")) for d in (old, new))
+    none = F.array().cast("array<string>")
+    listed = lambda df, name: df.filter("part = 'response'").groupBy(*op).agg(F.array_sort(F.collect_set("entry")).alias(name))
+    # Statuses: which entries of both sides meet, and where only the new one answers.
+    cells = both.join(listed(ob, "o"), op, "left").join(listed(nb, "n"), op, "left").select(*op, F.coalesce("o", none).alias("o"), F.coalesce("n", none).alias("n"))
+    cells = cells.select(*op, "o", "n", F.explode(status_cells(F.col("o"), F.col("n"))).alias("cell"))
+    met = settle(cells.select(*op, "cell", status_entry(F.col("o"), F.col("cell")).alias("o_entry"), status_entry(F.col("n"), F.col("cell")).alias("n_entry")).filter("n_entry IS NOT NULL"))
+    fresh = met.filter("o_entry IS NULL").select(*op, F.lit("response").alias("surface"), F.concat(F.lit("answers with status "), "cell").alias("message"))
+    pairs = met.filter("o_entry IS NOT NULL").groupBy(*op, "o_entry", "n_entry").agg(F.min("cell").alias("cell"))
+    # Bodies: sub is what is sent, sup what is understood.
+    asked = _sided(ob.filter("part = 'request'"), op, "sub").join(_sided(nb.filter("part = 'request'"), op, "sup"), op).withColumns({"surface": F.lit("request body"), "role": F.lit("deserializer")})
+    answers = lambda df, side, entry: _sided(df.filter("part = 'response'"), op, side).withColumnRenamed(f"{side}_entry", entry)
+    told = pairs.join(answers(nb, "sub", "n_entry"), [*op, "n_entry"]).join(answers(ob, "sup", "o_entry"), [*op, "o_entry"]).withColumns({"surface": F.concat(F.lit("response body of "), "cell"), "role": F.lit("serializer")})
+    cols = [*op, "surface", "role", "sub_bare", "sub_media", "sup_bare", "sup_media"]
+    carried = settle(asked.select(*cols).unionByName(told.select(*cols)))
+    request = F.col("role") == "deserializer"
+    bare = carried.filter("sub_bare AND NOT sup_bare").select(*op, "surface", F.when(request, "requires a body").otherwise("may come without a body").alias("message"))
+    at = carried.select(*op, "surface", "role", "sub_media", "sup_media", F.explode(F.array_union(F.map_keys("sub_media"), F.map_keys("sup_media"))).alias("cell"))
+    at = at.select(*op, "surface", "role", "cell", "sub_media", "sup_media", media_entry(F.map_keys("sub_media"), F.col("cell")).alias("sub"), media_entry(F.map_keys("sup_media"), F.col("cell")).alias("sup")).filter("sub IS NOT NULL")
+    foreign = at.filter("sup IS NULL").select(*op, "surface", F.concat(F.when(request, "no longer accepts ").otherwise("answers with "), "cell").alias("message"))
+    typed = at.filter("sup IS NOT NULL").select(*op, "surface", "role", F.col("cell").alias("name"), F.try_element_at("sub_media", "sub").alias("sub"), F.try_element_at("sup_media", "sup").alias("sup"))
+    # Parameters by place and name, headers by the entries that meet.
+    spot = [*op, "surface", "name"]
+    fields = ["required", "style", "schema_json"]
+    params = [_sided(df.filter("side = 'request' AND place <> 'body'").select(*op, F.concat(F.lit("request "), "place").alias("surface"), "name", *fields), spot, side) for df, side in ((o, "o"), (n, "n"))]
+    heads = lambda df, entry: df.filter("place LIKE 'headers of %'").select(*op, F.expr("substring(place, 12)").alias(entry), "name", *fields)
+    tops = [_sided(pairs.join(heads(df, f"{side}_entry"), [*op, f"{side}_entry"]).select(*op, F.concat(F.lit("response headers of "), "cell").alias("surface"), "name", *fields), spot, side) for df, side in ((o, "o"), (n, "n"))]
+    named = settle(params[0].join(params[1], spot, "full_outer").unionByName(tops[0].join(tops[1], spot, "full_outer")))
+    head, gone, added = F.startswith("surface", F.lit("response")), F.col("n_schema_json").isNull(), F.col("o_schema_json").isNull()
     why = F.array_compact(F.array(
-        F.when(request & gone & ~covered, F.concat(F.lit("no longer accepts "), "name")), F.when(request & fresh & F.col("n_required") & (F.col("place") != "body"), F.concat(F.lit("requires "), "name")),
-        F.when(request & ~gone & ~fresh & F.col("n_required") & ~F.col("o_required"), F.concat(F.lit("requires "), "name")), F.when(request & ~gone & ~fresh & (F.col("o_style") != F.col("n_style")), F.concat(F.lit("is written in another way: "), "name")),
-        F.when(response & fresh & ~header & ~covered, F.concat(F.lit("answers with "), "name")), F.when(response & header & F.col("o_required") & (gone | ~F.col("n_required")), F.concat(F.lit("may lack "), "name")),
+        F.when(~head & gone, F.concat(F.lit("no longer accepts "), "name")), F.when(~head & ~gone & F.col("n_required") & ~F.coalesce("o_required", F.lit(False)), F.concat(F.lit("requires "), "name")),
+        F.when(~gone & ~added & (F.col("o_style") != F.col("n_style")), F.concat(F.lit("is written in another way: "), "name")),
+        F.when(head & added, F.concat(F.lit("answers with "), "name")), F.when(head & F.col("o_required") & (gone | ~F.col("n_required")), F.concat(F.lit("may lack "), "name")),
     ))
-    shape = ranged.select(*key, where.alias("surface"), F.explode(why).alias("message"))
-    pairs = met.filter(~gone & ~fresh & (F.col("o_schema_json") != F.col("n_schema_json")))
-    spots = [*key, "part", "place", "name"]
-    judged = check_compat(pairs.withColumnRenamed("side", "part").select(*spots, F.when(F.col("part") == "request", "deserializer").otherwise("serializer").alias("role"), F.col("o_schema_json").alias("old"), F.col("n_schema_json").alias("new")), spots).filter("verdict <> 'compatible'")
-    schema = judged.select(*key, F.concat_ws(" ", "part", "place").alias("surface"), F.concat_ws(" ", "name", F.col("verdict")).alias("message"))
-    return shape.unionByName(schema)
-
-
-def _offers(old: DataFrame, new: DataFrame, spot: list[str]) -> DataFrame:
-    """Media types of one side that a range of the other side covers, and statuses under the other side's classes."""
-    rows = [*spot[:-1]]
-    bodies = F.col("place") == "body"
-    answers = F.col("place").startswith("body of ")
-    kinds = lambda df, test: df.filter(test).groupBy(*rows).agg(F.collect_set("name").alias("offered"))
-    asked = old.filter(bodies).join(kinds(new, bodies), rows).filter(F.arrays_overlap("offered", _wider(F.col("name")))).select(*spot)
-    code = F.expr("substring(place, 9)")
-    above = F.explode(F.array_distinct(F.array("place", F.concat(F.lit("body of "), F.substring(code, 1, 1), F.lit("XX")), F.lit("body of default"))))
-    told = new.filter(answers).select(*spot, F.col("place").alias("_was"), above.alias("_place")).drop("place").withColumnRenamed("_place", "place")
-    told = told.join(kinds(old, answers), rows).filter(F.arrays_overlap("offered", _wider(F.col("name")))).withColumn("place", F.col("_was")).select(*spot).distinct()
-    return asked.unionByName(told).withColumn("covered", F.lit(True))
+    shape = named.select(*op, "surface", F.explode(why).alias("message"))
+    same = named.filter(~gone & ~added).select(*op, "surface", F.when(head, "serializer").otherwise("deserializer").alias("role"), "name", F.when(head, F.col("n_schema_json")).otherwise(F.col("o_schema_json")).alias("sub"), F.when(head, F.col("o_schema_json")).otherwise(F.col("n_schema_json")).alias("sup"))
+    compared = typed.unionByName(same).filter("sub <> sup").withColumns({"old": F.when(request, F.col("sub")).otherwise(F.col("sup")), "new": F.when(request, F.col("sup")).otherwise(F.col("sub"))})
+    judged = check_compat(compared.select(*spot, "role", "old", "new"), spot).filter("verdict <> 'compatible'")
+    schema = judged.select(*op, "surface", F.concat_ws(" ", "name", "verdict").alias("message"))
+    return reduce(DataFrame.unionByName, [fresh, bare, foreign, shape, schema])
 
 
 def removed_operations(old: DataFrame, new: DataFrame, ids: list[str]) -> DataFrame:
