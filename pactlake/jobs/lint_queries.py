@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pactlake.functions.predicates import compile_contract
 from pactlake.functions.values import Variant
-from pactlake.operators import compat, generate, openapi, registry_scan, stamping
+from pactlake.operators import compat, generate, openapi, registry_generation, registry_scan, stamping
 
 from .codec_queries import _IDS, api_documents
 from .codec_queries import ORACLE_SQL as CODEC_SQL
@@ -192,21 +192,36 @@ RULES: dict[str, tuple[str, ...]] = {
     "R32_conditional": ('{"if":{"type":"string"},"then":{"maxLength":%s},"else":{"type":"integer"}}', '{"if":{"type":"string"},"then":{"maxLength":%s},"else":{"type":"integer"}}', "b <= a", "a <= b", "unknown", "unknown"),
     "R_references": ('{"$defs":{"n":{"type":"object","properties":{"v":{"type":"integer","minimum":%s},"next":{"$ref":"#/$defs/n"}}}},"$ref":"#/$defs/n"}', '{"$defs":{"m":{"minimum":%s,"type":"integer"},"n":{"type":"object","properties":{"next":{"$ref":"#/$defs/n"},"v":{"$ref":"#/$defs/m"}}}},"$ref":"#/$defs/n"}', "b >= a", "a >= b"),
     "R26_contains": ('{"type":"array","contains":{"type":"null"},"minContains":%s}', '{"type":"array","contains":{"type":"null"},"minContains":%s}', "b >= a", "a >= b"),
+    "R8_few_integers": ('{"type":"integer","minimum":0,"maximum":%s}', '{"enum":[0,1,2,%s]}', "b <= a AND a >= 2", "a <= 2 OR (a = 3 AND b = 3)"),
+    "R24_few_items": ('{"type":"array","items":{"type":"integer","minimum":1,"maximum":%s},"uniqueItems":true}', '{"type":"array","items":{"type":"integer"},"maxItems":%s}', "false", "a <= b"),
+    "R28_cover": ('{"anyOf":[{"type":"integer","minimum":3,"maximum":9},{"type":"integer","minimum":0,"maximum":%s}]}', '{"type":"integer","minimum":0,"maximum":%s}', "a >= 2 OR b <= a", "false"),
+    "R28_cover_of_numbers": ('{"anyOf":[{"type":"number","minimum":3},{"type":"number","exclusiveMaximum":%s}]}', '{"type":"number","minimum":%s}', "a >= 3 OR b >= 3", "false"),
     "R33_empty": ('{"type":"integer","minimum":%s,"maximum":3}', '{"type":"integer","minimum":9,"maximum":%s}', "true", "a > 3"),
 }
 
 
+def rule_pairs(spark: SparkSession, sf_dir: str, old: str, new: str) -> DataFrame:
+    """(stable_id, role, old, new): per user, contracts with a and b events (by their numbers' parity, modulo 7)."""
+    odd = F.coalesce(F.sum(F.col("event_id") % 2), F.lit(0))
+    n = table(spark, sf_dir, "events").filter("user_id IS NOT NULL").groupBy(F.col("user_id").alias("stable_id")).agg(((F.count("event_id") - odd) % 7).alias("a"), (odd % 7).alias("b"))
+    text = lambda t, c: F.replace(F.lit(t), F.lit("%s"), F.col(c).cast("string"))
+    return n.select("stable_id", F.lit("both").alias("role"), text(old, "a").alias("old"), text(new, "b").alias("new"))
+
+
 def _rule(old: str, new: str) -> Callable[[SparkSession, str], DataFrame]:
-    """Per user, contracts with a and b events (by their numbers' parity, modulo 7) are compared both ways."""
+    """The pairs of a rule are compared both ways."""
+    return lambda spark, sf_dir: compat.check_compat(rule_pairs(spark, sf_dir, old, new), _ONE).select("stable_id", "direction", "verdict")
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        odd = F.coalesce(F.sum(F.col("event_id") % 2), F.lit(0))
-        n = table(spark, sf_dir, "events").filter("user_id IS NOT NULL").groupBy(F.col("user_id").alias("stable_id")).agg(((F.count("event_id") - odd) % 7).alias("a"), (odd % 7).alias("b"))
-        text = lambda t, c: F.replace(F.lit(t), F.lit("%s"), F.col(c).cast("string"))
-        pairs = n.select("stable_id", F.lit("both").alias("role"), text(old, "a").alias("old"), text(new, "b").alias("new"))
-        return compat.check_compat(pairs, _ONE).select("stable_id", "direction", "verdict")
 
-    return run
+#: Rules that leave a side unknown, which a witness decides.
+REFUTED = ("R31_not_not", "R32_conditional")
+
+
+def r37_refuted(spark, sf_dir):
+    """The pairs of these rules once more, the unknown ones searched for a witness."""
+    each = [rule_pairs(spark, sf_dir, *RULES[k][:2]).withColumn("rule", F.lit(k)) for k in REFUTED]
+    pairs = each[0].unionByName(each[1])
+    return registry_generation.refute_unknown(compat.check_compat(pairs, ["rule", "stable_id"]), pairs, ["rule", "stable_id"]).select("rule", "stable_id", "direction", "verdict")
 
 
 #: id -> contract that generated values must meet.
@@ -248,7 +263,7 @@ QUERIES = {
     "N8_unresolved_refs": n8_unresolved_refs, "N9_dialect_check": n9_dialects, "N10_normalised": n10_normalised, "N12_irrelevant_keywords": n12_irrelevant, "C3_grade_warnings": c3_grade_warnings,
     "T1_manifest_errors": t1_manifest_errors, "T5_writer_schema": t5_writer_schema, "T6_reader_schema": t6_reader_schema, "T7_rewritten_refs": t7_rewritten_refs, "O3_parameter_overrides": o3_overrides,
     "O11_duplicate_media": o11_duplicate_media, "O12_response_headers": o12_response_headers, "O13_unsupported_surfaces": o13_unsupported,
-    **{k: _rule(*rule[:2]) for k, rule in RULES.items()}, "N16_union_forms": n16_unions, "G9_rejection": g9_rejection, **{k: _generated(c) for k, c in GENERATED.items()},
+    **{k: _rule(*rule[:2]) for k, rule in RULES.items()}, "N16_union_forms": n16_unions, "R37_refuted_unknowns": r37_refuted, "G9_rejection": g9_rejection, **{k: _generated(c) for k, c in GENERATED.items()},
 }
 _USERS = "(SELECT DISTINCT user_id AS stable_id FROM events WHERE user_id IS NOT NULL)"
 _ENVELOPE = """'{"$defs":{"v' || version || '":' || schema_json || '},"additionalProperties":false,"properties":{"data":{"$ref":"#/$defs/v' || version || '"},"version":{"const":' || version || '}},"required":["version","data"],"type":"object"}'"""
@@ -288,6 +303,7 @@ ORACLE_SQL = {
     "O13_unsupported_surfaces": f"""SELECT page_id, 'POST /a' AS place, 'callbacks' AS surface FROM {_API} WHERE page_id % 5 = 0 UNION ALL SELECT page_id, 'sent', 'webhook' FROM {_API} WHERE page_id % 6 = 0
         UNION ALL SELECT page_id, '/b', 'path reference' FROM {_API} WHERE page_id % 7 = 0""",
     **{k: _rule_sql(*rule[2:]) for k, rule in RULES.items()},
+    "R37_refuted_unknowns": " UNION ALL ".join(f"SELECT '{k}' AS rule, * FROM ({_rule_sql(*RULES[k][2:4])})" for k in REFUTED),
     "G9_rejection": "SELECT 'found' AS status, count(*) AS n, count(*) AS right, true AS some_again FROM customer",
     **{k: "SELECT c_mktsegment, count(*) AS n, count(*) AS accepted FROM customer GROUP BY 1" for k in GENERATED},
 }

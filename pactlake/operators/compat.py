@@ -86,6 +86,20 @@ def _like(text: Column, pattern: Column) -> Column:
     return F.when(pattern.rlike(SAFE_PATTERN), F.regexp_like(text, F.replace(pattern, F.lit("$"), F.lit(r"\z")))).otherwise(False)
 
 
+#: So many values of a type are tried one by one.
+_FEW = 256
+
+
+def _few_values(n: Column) -> Column:
+    """All values that a node without enum can have, as JSON texts, if its types have few: null, booleans, and integers
+    between close bounds; else NULL."""
+    step = F.coalesce(n["step"], F.lit(1).cast(EXACT))
+    first, last = F.ceil(n["lo"] / step), F.floor(n["hi"] / step)
+    whole = F.when(last < first, F.array().cast(_STRINGS)).when(last - first < _FEW, F.transform(F.sequence(first.cast("long"), last.cast("long")), lambda i: (i * step).cast("decimal(38,0)").cast("string")))
+    of_type = lambda t: F.when(t == "null", F.array(F.lit("null"))).when(t == "boolean", F.array(F.lit("false"), F.lit("true"))).when((t == "integer") & ~n["odd"], whole)
+    return F.when(n["enum"].isNull() & (F.size(n["types"]) > 0), let(F.transform(n["types"], of_type), lambda xs: F.when(~F.exists(xs, lambda x: x.isNull()), F.flatten(xs))))
+
+
 def _closure(names: Column, deps: Column) -> Column:
     """The names that are there whenever the given ones are; after as many steps as there are triggers nothing changes."""
     more = lambda acc: F.flatten(F.map_values(F.map_filter(deps, lambda k, _: F.array_contains(acc, k))))
@@ -137,6 +151,8 @@ def _rules(raw: Column, sub: Column, sup: Column, held: Column) -> Column:
     tried = F.transform(sub["enum"], lambda v: F.struct(v.alias("v"), _fits(v, sub, False).alias("live"), _fits(v, sup).alias("ok")))
     rejected = F.filter(tried, lambda t: n(t["live"]) & n(~t["ok"]))
     unseen = F.exists(tried, lambda t: F.coalesce(t["live"], F.lit(True)) & (t["ok"].isNull() | (t["live"].isNull() & ~t["ok"])))
+    few = F.when(sup["enum"].isNotNull(), _few_values(sub))
+    strays = F.filter(few, lambda v: ~F.array_contains(sup["enum"], v))
     low = below(sub["lo"], sup["lo"]) | ((sub["lo"] == sup["lo"]) & sup["lo_open"] & ~sub["lo_open"])
     high = above(sub["hi"], sup["hi"]) | ((sub["hi"] == sup["hi"]) & sup["hi_open"] & ~sub["hi_open"])
     step = F.coalesce(sub["step"], F.when(sub["whole"], F.lit(1).cast(EXACT)))
@@ -148,7 +164,8 @@ def _rules(raw: Column, sub: Column, sup: Column, held: Column) -> Column:
         ("required", obj & (F.size(missing) > 0), says("property '", first(missing), "' is no longer guaranteed to be present")),
         ("type", sup["types"].isNotNull() & free & (F.size(gone) > 0), says("type ", first(gone), " is not among ", F.array_join(sup["types"], ", "))),
         ("enum", listed & (F.size(rejected) > 0), says("value ", first(rejected)["v"], " is no longer accepted")),
-        ("enum", free & sup["enum"].isNotNull(), says("values beyond ", F.array_join(sup["enum"], ", "), " are possible")),
+        ("enum", free & (F.size(strays) > 0), says("value ", first(strays), " is no longer accepted")),
+        ("enum", free & sup["enum"].isNotNull() & few.isNull(), says("values beyond ", F.array_join(sup["enum"], ", "), " are possible")),
         ("minimum", number & low, ends("bounds", "lo", "hi")),
         ("maximum", number & high, ends("bounds", "lo", "hi")),
         ("multipleOf", number & sup["step"].isNotNull() & ~n(step % sup["step"] == 0), says("steps of ", F.coalesce(step.cast("double").cast("string"), F.lit("any size")), " are no multiples of ", sup["step"].cast("double").cast("string"))),
@@ -263,8 +280,12 @@ def graph(docs: DataFrame, ids: list[str]) -> DataFrame:
         loops = links.filter("pointer = kid").select(*ids, "pointer", F.lit(True).alias("_loop"))
         table = table.join(loops, [*ids, "pointer"], "left").withColumn("kind", F.when(F.col("_loop").isNull(), F.col("kind"))).drop("_loop")
     table = settle(table)
-    kid_types = table.filter("kind IN ('any', 'one')").select(*ids, "pointer", F.posexplode("kids").alias("i", "kid")).join(table.select(*ids, F.col("pointer").alias("kid"), F.coalesce(widened(F.col("types")), F.array(*map(F.lit, _TYPES))).alias("kt")), [*ids, "kid"])
-    kid_types = kid_types.groupBy(*ids, "pointer").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "kt"))), lambda x: x["kt"]).alias("kid_types"))
+    # Alternatives that are nothing but ranges of numbers, for the cover of a range by several of them.
+    single = F.coalesce((F.size("n.enum") == 1) & (F.col("n.lo") == F.col("n.hi")) & F.array_contains("n.enum", F.col("n.lo").cast("decimal(20,0)").cast("string")), F.lit(False))
+    ranged = (F.col("kind") == "plain") & (F.col("n.enum").isNull() | single) & F.col("n.step").isNull() & ~F.col("n.opaque")
+    own_range = F.when(ranged, F.struct(F.coalesce("n.lo", F.lit("-" + _FAR).cast(EXACT)).alias("lo"), F.col("n.lo_open"), F.coalesce("n.hi", F.lit(_FAR).cast(EXACT)).alias("hi"), F.col("n.hi_open"), F.coalesce("n.whole", F.lit(False)).alias("whole")))
+    kid_types = table.filter("kind IN ('any', 'one')").select(*ids, "pointer", F.posexplode("kids").alias("i", "kid")).join(table.select(*ids, F.col("pointer").alias("kid"), F.coalesce(widened(F.col("types")), F.array(*map(F.lit, _TYPES))).alias("kt"), own_range.alias("r")), [*ids, "kid"])
+    kid_types = kid_types.groupBy(*ids, "pointer").agg(F.array_sort(F.collect_list(F.struct("i", "kt", "r"))).alias("_kids")).select(*ids, "pointer", F.transform("_kids", lambda x: x["kt"]).alias("kid_types"), F.transform("_kids", lambda x: x["r"]).alias("kid_ranges"))
     merged = table.filter("kind = 'all'").select(*ids, "pointer", F.explode("kids").alias("kid")).join(table.filter("kind = 'plain' AND n.enum IS NULL").select(*ids, F.col("pointer").alias("kid"), "n"), [*ids, "kid"])
     merged = merged.groupBy(*ids, "pointer").agg(F.collect_list("n").alias("ns")).filter(F.size("ns") > 1)
     merged = merged.join(table.select(*ids, "pointer", "kids"), [*ids, "pointer"]).withColumn("ns", F.when(F.size("ns") < F.size("kids"), F.transform("ns", lambda n: n.withField("opaque", F.lit(True)))).otherwise(F.col("ns")))
@@ -442,6 +463,38 @@ def _goal_values(goals: DataFrame, pair: list[str]) -> DataFrame:
     return single.unionByName(roots)
 
 
+#: Beyond all numbers that are exact.
+_FAR = "9" * 20
+
+
+def _covered(s: Column, t: Column) -> Column:
+    """Whether the numbers of plain node s lie in the ranges of the alternatives t together, by a sweep over the ranges in
+    order of their beginnings: true, false where the alternatives for numbers are ranges and no more, else NULL."""
+    n, whole = s["n"], s["n"]["whole"]
+    kind = F.get(n["types"], F.lit(0))
+    mine = F.transform(t["kid_ranges"], lambda r, i: F.struct(F.array_contains(F.get(t["kid_types"], i), kind).alias("for_it"), r.alias("r")))
+    usable = F.filter(mine, lambda x: x["for_it"] & x["r"].isNotNull() & (whole | ~x["r"]["whole"]))
+    ordered = F.array_sort(F.transform(usable, lambda x: x["r"]))
+    # Covered up to `end`, `closed` if with it; a range takes over where it leaves no number between.
+    start = F.struct(F.coalesce(n["lo"], F.lit("-" + _FAR).cast(EXACT)).alias("end"), (n["lo_open"] | n["lo"].isNull()).alias("closed"), F.lit(True).alias("fresh"))
+
+    def sweep(a: Column, r: Column) -> Column:
+        # Between whole numbers nothing is missing: the next to be covered is end, or end + 1 if that is covered.
+        following = F.when(a["closed"] & ~a["fresh"], a["end"] + 1).otherwise(a["end"])
+        meets = F.when(whole, (r["lo"] < following) | ((r["lo"] == following) & ~r["lo_open"])).otherwise((r["lo"] < a["end"]) | ((r["lo"] == a["end"]) & (a["closed"] | ~r["lo_open"])))
+        # The last whole number of a range.
+        last = F.when(whole & r["hi_open"] & (F.floor(r["hi"]) == r["hi"]), r["hi"] - 1).when(whole, F.floor(r["hi"])).otherwise(r["hi"]).cast(EXACT)
+        closed = whole | ~r["hi_open"]
+        further = F.when(a["fresh"], last >= a["end"]).otherwise((last > a["end"]) | ((last == a["end"]) & closed & ~a["closed"]))
+        return F.when(meets & further, F.struct(last.alias("end"), closed.alias("closed"), F.lit(False).alias("fresh"))).otherwise(a)
+
+    top = F.coalesce(n["hi"], F.lit(_FAR).cast(EXACT))
+    swept = F.aggregate(ordered, start, sweep, lambda a: ~a["fresh"] & ((a["end"] > top) | ((a["end"] == top) & (a["closed"] | n["hi_open"]))))
+    numeric = (s["kind"] == "plain") & n["enum"].isNull() & (F.size(n["types"]) == 1) & kind.isin("integer", "number") & ~n["odd"]
+    simple = F.forall(mine, lambda x: ~x["for_it"] | x["r"].isNotNull()) & n["step"].isNull() & ~n["opaque"]
+    return F.when(F.coalesce(numeric & (t["kind"] == "any"), F.lit(False)), F.when(swept, True).when(F.coalesce(simple & (F.size(usable) == F.size(F.filter(mine, lambda x: x["for_it"]))), F.lit(False)), False))
+
+
 def pair_as(pair: list[str], prefix: str) -> list[Column]:
     return [F.col(k).alias(prefix + k) for k in pair]
 
@@ -457,7 +510,8 @@ def _plainly(s: Column, t: Column) -> Column:
 def _next_goals(_application: str) -> Column:
     """The edges of a goal from the columns direction, flip, s and t; large, so it is built once for an application."""
     s, t = F.col("s"), F.col("t")
-    return F.when(_plainly(s, t), F.array().cast(_EDGES)).otherwise(_steps((F.col("direction") == "serializer") | F.col("flip"), s, t).cast(_EDGES))
+    done = _plainly(s, t) | _covered(s, t).isNotNull()  # what is settled without further goals must not leave any behind
+    return F.when(done, F.array().cast(_EDGES)).otherwise(_steps((F.col("direction") == "serializer") | F.col("flip"), s, t).cast(_EDGES))
 
 
 @cache
@@ -479,8 +533,9 @@ def _judged(_application: str) -> Column:
         sure = _plainly(s, t) | nothing
         told = F.when(both & ~sure, _issues(raw, s["n"], t["n"])).otherwise(F.array().cast(_ISSUE))
         hit = F.exists(s["n"]["enum"], lambda v: n(_fits(v, s["n"], False) & _fits(v, t["n"])))
-        told = F.when(~sure & refusal & n(t["n"]["text"].isin("true", "{}") | hit), _one_issue("not", "a value is excluded")).when(~sure & foreign, _one_issue("type", "a type is accepted by no branch")).otherwise(told)
-        fine = sure | (refusal & _disjoint(s["n"], t["n"]))
+        cover = _covered(s, t)
+        told = F.when(~sure & n(~cover), _one_issue("anyOf", "numbers between the alternatives are possible")).when(~sure & refusal & n(t["n"]["text"].isin("true", "{}") | hit), _one_issue("not", "a value is excluded")).when(~sure & foreign, _one_issue("type", "a type is accepted by no branch")).otherwise(told)
+        fine = sure | (refusal & _disjoint(s["n"], t["n"])) | n(cover)
         return let(F.struct(fine.alias("fine"), told.alias("told")), summed)
 
     def summed(x: Column) -> Column:
@@ -499,7 +554,7 @@ def goal_issues(pairs: DataFrame, pair: list[str]) -> DataFrame:
     """The rows of node_issues for pairs (pair..., role, old, new) whose contracts refer and combine."""
     docs = pairs.select(*pair, F.explode(F.array(F.struct(F.lit("old").alias("side"), F.col("old").alias("schema_json")), F.struct(F.lit("new").alias("side"), F.col("new").alias("schema_json")))).alias("d")).select(*pair, "d.*")
     nodes = graph(docs, [*pair, "side"])
-    cols = ["pointer", "kind", "n", "kids", "say", "text", "types", "kid_types"]
+    cols = ["pointer", "kind", "n", "kids", "say", "text", "types", "kid_types", "kid_ranges"]
     side = lambda name: nodes.select(*pair, F.col("side").alias(f"{name}_side"), F.col("pointer").alias(f"{name}p"), F.struct(*cols).alias(name))
     fresh = pairs.select(*pair, directions(F.col("role")).alias("direction"), F.lit(False).alias("flip"), F.lit("#").alias("sp"), F.lit("#").alias("tp"))
     key, done = [*pair, "direction", "flip", "sp", "tp"], []

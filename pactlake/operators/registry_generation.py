@@ -30,7 +30,8 @@ _ANY = '"\\u0000'
 
 def _edges(n: Column, leads: Column) -> Column:
     """The rules that a rule builds its values from: p a property, f a name without a rule, i a place in an array, e all
-    other items, c contained items, a and n parts of which all count, o branches of which one counts, d, t and l condition, then and else."""
+    other items, c contained items, a and n parts of which all count, o branches of which one counts, d, t and l condition, then and else,
+    v what is negated."""
     none = F.array().cast(_EDGES)
     edge = lambda role, name, child: F.struct(F.lit(role).alias("role"), name.alias("name"), child.alias("child"))
     one = lambda role, child: F.when(child.isNotNull(), F.array(edge(role, F.lit(""), child))).otherwise(none)
@@ -40,7 +41,7 @@ def _edges(n: Column, leads: Column) -> Column:
     matched = lambda k: F.get(F.filter(F.map_keys(n["at_pats"]), lambda p: F.when(p.rlike(SAFE_PATTERN), F.regexp_like(k, p)).otherwise(False)), F.lit(0))
     named = F.transform(bare, lambda k: edge("p", k, F.coalesce(F.try_element_at(n["at_pats"], matched(k)), n["at_rest"])))
     return F.filter(F.flatten(F.array(
-        props, named, listed("i", n["at_prefix"]), one("x", n["at_rest"]), one("e", n["at_items"]), one("c", n["at_contains"]), listed("a", leads["all_of"]), one("a", leads["ref"]), listed("n", F.transform(leads["depends"], lambda d: d["rule"])), listed("o", F.coalesce(leads["any_of"], leads["one_of"])), one("d", leads["if_of"]), one("t", leads["then_of"]), one("l", leads["else_of"]),
+        props, named, listed("i", n["at_prefix"]), one("x", n["at_rest"]), one("e", n["at_items"]), one("c", n["at_contains"]), listed("a", leads["all_of"]), one("a", leads["ref"]), listed("n", F.transform(leads["depends"], lambda d: d["rule"])), listed("o", F.coalesce(leads["any_of"], leads["one_of"])), one("v", leads["not_of"]), one("d", leads["if_of"]), one("t", leads["then_of"]), one("l", leads["else_of"]),
     )), lambda e: e["child"].isNotNull())
 
 
@@ -81,7 +82,7 @@ def _text(n: Column, h: Column) -> Column:
     return F.concat(F.lit('"'), F.substr(letters, F.lit(1), size), F.lit('"'))
 
 
-def _object(n: Column, kids: Column, a: Column, hashed) -> Column:
+def _object(n: Column, kids: Column, a: Column, hashed, strays: bool) -> Column:
     """Required and some other properties; names that come with them; others to reach the least number."""
     got = lambda k: F.get(F.try_element_at(kids, F.concat(F.lit("p"), k)), a)
     few = F.coalesce(n["min_props"] > F.size(n["required"]), F.lit(False))
@@ -90,7 +91,7 @@ def _object(n: Column, kids: Column, a: Column, hashed) -> Column:
     spare = F.coalesce(n["name_list"], F.transform(F.sequence(F.lit(1), F.greatest(n["min_props"].cast("int"), F.lit(1))), lambda i: F.concat(F.lit("x"), i.cast("string"))))
     lacking = lambda x: F.greatest(F.coalesce(n["min_props"], F.lit(0)).cast("int") - F.size(x), F.lit(0))
     # Where undeclared names are welcome, every fourth attempt has one.
-    more = lambda x: ~n["shut"] & (F.pmod(hashed(F.lit("+")), F.lit(4)) == 0) & (F.size(x) < room)
+    more = lambda x: F.lit(strays) & ~n["shut"] & (F.pmod(hashed(F.lit("+")), F.lit(4)) == 0) & (F.size(x) < room)
     steps = [
         lambda x: F.array_union(x, F.flatten(F.map_values(F.map_filter(n["deps"], lambda k, _: F.array_contains(x, k))))),
         lambda x: F.array_union(x, F.flatten(F.map_values(F.map_filter(n["deps"], lambda k, _: F.array_contains(x, k))))),
@@ -135,7 +136,7 @@ def _merged(texts: Column) -> Column:
 
 
 @cache
-def _candidates(_application: str, seed: int, attempts: int) -> Column:
+def _candidates(_application: str, seed: int, attempts: int, strays: bool) -> Column:
     """The array of a rule's candidates from the columns contract, rule, n, leads, first and kids."""
     n, leads, kids = F.col("n"), F.col("leads"), F.col("kids")
     named = lambda r, rules: F.transform(F.coalesce(rules, F.array().cast(_STRINGS)), lambda _, i: F.concat(F.lit(r), i.cast("string")))
@@ -154,7 +155,7 @@ def _candidates(_application: str, seed: int, attempts: int) -> Column:
         def own(kind: Column) -> Column:
             return (
                 F.when(n["text"] == "false", F.lit(None).cast("string")).when(F.size(n["enum"]) > 0, F.get(n["enum"], F.pmod(turn, F.size(n["enum"])).cast("int"))).when(kind == "null", "null").when(kind == "boolean", F.when(F.pmod(turn, F.lit(2)) == 0, "true").otherwise("false"))
-                .when(kind.isin("integer", "number"), _number(n, hashed(), kind == "integer")).when(kind == "string", _text(n, hashed())).when(kind == "array", _array(n, kids, a, attempts, hashed)).when(kind == "object", _object(n, kids, a, hashed)).otherwise(_free(turn))
+                .when(kind.isin("integer", "number"), _number(n, hashed(), kind == "integer")).when(kind == "string", _text(n, hashed())).when(kind == "array", _array(n, kids, a, attempts, hashed)).when(kind == "object", _object(n, kids, a, hashed, strays)).otherwise(_free(turn))
             )
 
         branch = lambda key: F.get(F.try_element_at(kids, key), a)
@@ -162,18 +163,21 @@ def _candidates(_application: str, seed: int, attempts: int) -> Column:
         options = F.array_compact(F.concat(F.transform(named("o", F.coalesce(leads["any_of"], leads["one_of"])), branch), chosen))
         picked = let(options, lambda x: F.when(combined & (F.size(x) > 0), F.get(x, F.pmod(turn, F.size(x)).cast("int"))))
         others = F.transform(F.concat(named("a", leads["all_of"]), F.array(F.lit("a")), named("n", F.transform(leads["depends"], lambda d: d["rule"]))), branch)
-        mixed = combined | leads["ref"].isNotNull() | (F.size(leads["all_of"]) > 0) | (F.size(leads["depends"]) > 0)
+        # What lies just below a negated range may well be outside of it.
+        beside = F.when(leads["not_of"].isNotNull(), F.array(_plain(branch(F.lit("v")).try_cast("decimal(38,18)") - 1))).otherwise(F.array().cast(_STRINGS))
+        mixed = combined | leads["not_of"].isNotNull() | leads["ref"].isNotNull() | (F.size(leads["all_of"]) > 0) | (F.size(leads["depends"]) > 0)
         # Parts that are objects become one; of others the first counts, so they take turns to come first.
         turned = lambda x: let(F.pmod(F.xxhash64("rule", at), F.greatest(F.size(x), F.lit(1))).cast("int"), lambda k: let(F.concat(F.slice(x, k + 1, F.size(x)), F.slice(x, F.lit(1), k)), _merged))
         mine = let(F.get(kinds, F.pmod(turn, F.size(kinds)).cast("int")), own)
-        return let(mine, lambda m: F.when(mixed, let(F.array_compact(F.concat(F.array(picked), others, F.array(m))), turned)).otherwise(m))
+        return let(mine, lambda m: F.when(mixed, let(F.array_compact(F.concat(F.array(picked), others, beside, F.array(m))), turned)).otherwise(m))
 
     return F.transform(F.sequence(F.lit(0), F.lit(attempts - 1)), one)
 
 
-def candidate_values(rules: DataFrame, contracts: DataFrame, attempts: int = 16, first: int = 0, seed: int = 42, most_rounds: int = 8) -> DataFrame:
+def candidate_values(rules: DataFrame, contracts: DataFrame, attempts: int = 16, first: int = 0, seed: int = 42, most_rounds: int = 8, strays: bool = True) -> DataFrame:
     """(contract, attempt, value): candidates for the contracts (column contract) among the rules, `attempts` for each.
-    Rounds end when no rule gets other candidates, or after most_rounds, where recursive contracts are cut."""
+    Rounds end when no rule gets other candidates, or after most_rounds, where recursive contracts are cut. Without
+    strays no candidate has a property that its contract doesn't declare."""
     application = rules.sparkSession.sparkContext.applicationId
     nodes = settle(rules.join(contracts.select("contract").distinct(), "contract", "left_semi").withColumn("first", F.lit(first)))
     links = settle(nodes.select("contract", F.col("rule").alias("parent"), F.explode(_edges(F.col("n"), F.col("leads"))).alias("e")).select("contract", "parent", "e.*"))
@@ -187,12 +191,14 @@ def candidate_values(rules: DataFrame, contracts: DataFrame, attempts: int = 16,
             met = links.join(values.select("contract", F.col("rule").alias("child"), "found"), ["contract", "child"]).groupBy("contract", "parent", F.concat("role", "name").alias("key")).agg(F.min("found").alias("found"))
             met = met.groupBy("contract", "parent").agg(F.map_from_entries(F.collect_list(F.struct("key", "found"))).alias("_kids"))
             met = nodes.join(met.withColumnRenamed("parent", "rule"), ["contract", "rule"], "left").withColumn("kids", F.coalesce("_kids", empty)).drop("_kids")
-        values = settle(met.select("contract", "rule", _candidates(application, seed, attempts).alias("found")))
+        values = settle(met.select("contract", "rule", _candidates(application, seed, attempts, strays).alias("found")))
         now = values.agg(F.coalesce(F.sum(F.xxhash64("contract", "rule", "found").cast("decimal(38,0)")), F.lit(0))).first()[0]
         if now == before:
             break
         before = now
     roots = values.filter("rule = '#'").select("contract", F.posexplode("found").alias("attempt", "value"))
+    if not strays:
+        roots = roots.filter(~F.contains("value", F.lit(_ANY)))
     for i, text in enumerate(_FREE):
         roots = roots.withColumn("value", F.replace("value", F.lit(f'{_ANY}{i}"'), F.lit(text)))
     return roots.filter("value IS NOT NULL").withColumn("attempt", F.col("attempt") + first)
@@ -217,7 +223,7 @@ def generate_registered(contracts: DataFrame, key: list[str], attempts: tuple[in
     return named.join(hits, "contract", "left").select(*key, F.col("w.value").alias("value"), F.coalesce(F.col("w.attempt") + 1, F.lit(first)).alias("tried"), status.alias("status"))
 
 
-def counterexamples(pairs: DataFrame, pair: list[str], attempts: tuple[int, ...] = (16, 64, 256), seed: int = 42) -> DataFrame:
+def counterexamples(pairs: DataFrame, pair: list[str], attempts: tuple[int, ...] = (16, 64, 256), seed: int = 42, strays: bool = True) -> DataFrame:
     """(pair..., direction, witness, attempt) for pairs (pair..., role, old, new) of contracts: a value that the writing
     side accepts and the reading side rejects. Directions without one among all attempts have no row. Equal pairs of
     texts are searched once, and only those without a witness yet again."""
@@ -228,7 +234,7 @@ def counterexamples(pairs: DataFrame, pair: list[str], attempts: tuple[int, ...]
     left = sided.filter("_src <> _dst").select("_src", "_dst").distinct()
     found, first = [], 0
     for many in attempts:
-        made = settle(candidate_values(rules, left.select(F.col("_src").alias("contract")), many, first, seed).withColumn("row", F.monotonically_increasing_id()))
+        made = settle(candidate_values(rules, left.select(F.col("_src").alias("contract")), many, first, seed, strays=strays).withColumn("row", F.monotonically_increasing_id()))
         good = made.join(judge_parts(made.select("row", "contract", F.try_parse_json("value").alias("value")), rules), "row").filter(F.col("v") == YES).drop("row", "v")
         tried = settle(good.withColumnRenamed("contract", "_src").join(left, "_src").withColumn("row", F.monotonically_increasing_id()))
         bad = tried.join(judge_parts(tried.select("row", F.col("_dst").alias("contract"), F.try_parse_json("value").alias("value")), rules), "row").filter(F.col("v") == NO)
@@ -247,6 +253,18 @@ def first_counterexamples(pairs: DataFrame, pair: list[str], **more) -> DataFram
     return counterexamples(pairs, pair, **more).groupBy(*pair).agg(F.min_by(F.struct("direction", "witness", "attempt"), order).alias("w")).select(*pair, "w.*")
 
 
+def refute_unknown(verdicts: DataFrame, pairs: DataFrame, pair: list[str], attempts: tuple[int, ...] = (16, 64)) -> DataFrame:
+    """The rows of check_compat for pairs (pair..., role, old, new), those that are unknown searched for a witness: with
+    one they are incompatible, keyword witness, the value in the message. Only values without undeclared properties
+    count, which both directions look at."""
+    undecided = verdicts.filter("verdict = 'unknown'").select(*pair, F.col("direction").alias("role"))
+    found = counterexamples(undecided.join(pairs.drop("role"), pair), pair, attempts, strays=False).select(*pair, "direction", "witness")
+    met = verdicts.join(found, [*pair, "direction"], "left")
+    hit = F.col("witness").isNotNull()
+    told = {"verdict": "incompatible", "pointer": "#", "keyword": "witness"}
+    return met.withColumns({k: F.when(hit, v).otherwise(F.col(k)) for k, v in told.items()} | {"message": F.coalesce("witness", "message")}).drop("witness")
+
+
 def grade_examples(grades: DataFrame, old: DataFrame, new: DataFrame, **more) -> DataFrame:
     """(id, mode, status, example) for grades and the golden tables (id, mode, schema_json) they come from: a value that
     shows why an entry is incompatible by its old mode; NULL for other entries, and where no attempt finds one."""

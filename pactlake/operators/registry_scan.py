@@ -205,6 +205,17 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _cardinality(v: Column) -> Column:
+    """At most so many different values satisfy a schema; NULL where its own enum and types don't bound them."""
+    get = lambda k, t: F.try_variant_get(v, f"$['{k}']", t)
+    types = F.coalesce(F.when(F.schema_of_variant(F.try_variant_get(v, "$.type", "variant")) == "STRING", F.array(get("type", "string"))), get("type", "array<string>"))
+    span = F.floor(F.least(get("maximum", EXACT), get("exclusiveMaximum", EXACT))) - F.ceil(F.greatest(get("minimum", EXACT), get("exclusiveMinimum", EXACT))) + 1
+    of_type = lambda t: F.when(t == "boolean", 2).when(t == "null", 1).when((t == "integer") & (span < 10**9), F.greatest(span, F.lit(0)).cast("long"))
+    sizes = F.transform(types, of_type)
+    typed = F.when(~F.exists(sizes, lambda n: n.isNull()), F.aggregate(sizes, F.lit(0).cast("long"), lambda a, n: a + n))
+    return F.least(F.size(F.array_distinct(F.transform(get("enum", "array<variant>"), lambda x: Variant(x).canonical()))).cast("long"), F.when(F.try_variant_get(v, "$.const", "variant").isNotNull(), F.lit(1).cast("long")), typed)
+
+
 def normalised(node: Column, pointer: Column) -> Column:
     """Struct of what a node says itself, its combinators and references aside: type names (none: any), sorted distinct
     enum (const, types of few values and single numbers included), tightest bounds (closed for integers), counts with
@@ -233,6 +244,7 @@ def normalised(node: Column, pointer: Column) -> Column:
     patterns = F.coalesce(get("patternProperties", "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
     pointers = lambda m, k: F.transform_values(m, lambda name, _: F.concat(at(k), F.lit("/"), escaped(name)))
     rest, items = F.to_json(raw("additionalProperties")), F.to_json(raw("items"))
+    unique = F.coalesce(get("uniqueItems", "boolean"), F.lit(False))
     required = F.array_sort(F.array_distinct(F.coalesce(get("required", "array<string>"), none)))
     prefix = F.coalesce(F.transform(get("prefixItems", "array<variant>"), lambda _, i: F.concat(at("prefixItems"), F.lit("/"), i.cast("string"))), none)
     deps = F.coalesce(get("dependentRequired", "map<string,array<string>>"), F.from_json(F.lit("{}"), "map<string,array<string>>"))
@@ -240,7 +252,7 @@ def normalised(node: Column, pointer: Column) -> Column:
     first = F.struct(
         listed.alias("types"), enum.alias("enum"), low.alias("low"), low_x.alias("low_x"), high.alias("high"), high_x.alias("high_x"), step.alias("step"), F.to_json(node).alias("text"), objects.alias("objects"),
         required.alias("required"), prefix.alias("prefix"), (F.coalesce(rest == "false", F.lit(False))).alias("shut"), F.coalesce(items == "false", F.lit(False)).alias("no_items"),
-        whole_count("minContains").alias("min_contains"), has("contains").alias("contains"), F.size(patterns).alias("n_patterns"),
+        whole_count("minContains").alias("min_contains"), has("contains").alias("contains"), F.size(patterns).alias("n_patterns"), F.when(unique & ~has("prefixItems"), _cardinality(raw("items"))).alias("different"),
     )
 
     def second(x: Column) -> Column:
@@ -258,7 +270,7 @@ def normalised(node: Column, pointer: Column) -> Column:
         cols = {
             "text": x["text"], "types": x["types"], "enum": x["enum"], "lo": lo_closed, "lo_open": lo_open & ~whole, "hi": hi_closed, "hi_open": hi_open & ~whole, "step": step.cast(EXACT), "whole": whole,
             "min_len": whole_count("minLength"), "max_len": whole_count("maxLength"), "pattern": get("pattern", "string"),
-            "min_items": F.greatest(whole_count("minItems"), F.when(x["contains"], F.coalesce(x["min_contains"], F.lit(1)))), "max_items": F.least(whole_count("maxItems"), F.when(x["no_items"], F.size(x["prefix"]).cast("long"))), "uniq": F.coalesce(get("uniqueItems", "boolean"), F.lit(False)),
+            "min_items": F.greatest(whole_count("minItems"), F.when(x["contains"], F.coalesce(x["min_contains"], F.lit(1)))), "max_items": F.least(whole_count("maxItems"), F.when(x["no_items"], F.size(x["prefix"]).cast("long")), x["different"]), "uniq": unique,
             "props": props, "never": never, "free": F.map_keys(F.map_filter(x["objects"], lambda _, v: trivial(v))), "required": x["required"], "closed": closed, "shut": x["shut"], "deps": deps,
             "at_props": pointers(x["objects"], "properties"), "at_pats": pointers(patterns, "patternProperties"), "at_rest": narrow("additionalProperties", rest), "at_names": narrow("propertyNames", F.to_json(raw("propertyNames"))), "names": F.to_json(raw("propertyNames")), "name_list": F.try_variant_get(raw("propertyNames"), "$.enum", "array<string>"),
             "at_items": narrow("items", items), "at_prefix": x["prefix"], "at_contains": F.when(x["contains"], at("contains")), "contains": F.to_json(raw("contains")),

@@ -131,6 +131,18 @@ PAIRS = [
     (deep(9, {"minimum": 1}), deep(9, {"minimum": 2}), "compatible", "incompatible"),
     ({"anyOf": [{"minimum": 1}]}, {"anyOf": [{"minimum": 2}]}, "compatible", "incompatible"),
     ({"type": "array", "contains": {"type": "integer"}}, {"type": "array", "contains": {"type": "integer", "minimum": 3}}, "compatible", "unknown"),
+    ({"type": "integer", "minimum": 1, "maximum": 3}, {"enum": [1, 2, 3]}, "compatible", "compatible"),
+    ({"type": "integer", "minimum": 1, "maximum": 3}, {"enum": [1, 2, "x"]}, "incompatible", "incompatible"),
+    ({"type": ["integer", "null", "boolean"], "minimum": 1, "maximum": 4, "multipleOf": 2}, {"enum": [2, 4, None, True, False, 9]}, "incompatible", "compatible"),
+    ({"type": "array", "items": {"type": "boolean"}, "uniqueItems": True}, {"type": "array", "items": {"type": "boolean"}, "uniqueItems": True, "maxItems": 2}, "compatible", "compatible"),
+    ({"type": "array", "items": {"type": "boolean"}, "uniqueItems": True}, {"type": "array", "items": {"type": "boolean"}, "uniqueItems": True, "maxItems": 1}, "compatible", "incompatible"),
+    ({"type": "array", "items": {"type": "integer", "minimum": 1, "maximum": 3}, "uniqueItems": True}, {"type": "array", "items": {"type": "integer"}, "maxItems": 3}, "incompatible", "compatible"),
+    ({"type": "integer", "minimum": 0, "maximum": 10}, {"anyOf": [{"type": "integer", "minimum": 6, "maximum": 10}, {"type": "integer", "minimum": 0, "maximum": 5}]}, "compatible", "compatible"),
+    ({"type": "number", "minimum": 0, "maximum": 10}, {"anyOf": [{"type": "number", "minimum": 6, "maximum": 10}, {"type": "number", "minimum": 0, "maximum": 5}]}, "compatible", "incompatible"),
+    ({"type": "number", "minimum": 0, "maximum": 10}, {"anyOf": [{"type": "number", "minimum": 5}, {"type": "number", "exclusiveMaximum": 5}]}, "incompatible", "compatible"),
+    ({"type": "number"}, {"anyOf": [{"type": "number", "exclusiveMinimum": 5}, {"type": "number", "exclusiveMaximum": 5}]}, "compatible", "incompatible"),
+    ({"type": "integer"}, {"anyOf": [{"type": "integer", "minimum": 1}, {"type": "integer", "maximum": 0}, {"type": "string"}]}, "incompatible", "compatible"),
+    ({"type": "integer", "minimum": 3, "maximum": 3}, {"anyOf": [{"type": "number", "exclusiveMinimum": 3}, {"type": "number", "exclusiveMaximum": 3}]}, "incompatible", "incompatible"),
 ]
 
 
