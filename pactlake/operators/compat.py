@@ -241,9 +241,13 @@ def graph(docs: DataFrame, ids: list[str]) -> DataFrame:
     own = F.when(mixed, made(F.col("pointer"), "all", kids)).otherwise(made(F.col("pointer"), "plain", strings(), of=v))
     split = F.array_compact(F.array(
         own, F.when(mixed & says, made(part("plain"), "plain", strings(), of=v)), F.when(has("anyOf"), made(part("any"), "any", branches("anyOf"))), F.when(has("oneOf"), made(part("one"), "one", branches("oneOf"))),
+    ))
+    # Of each branch of a oneOf what it must not be for another one to count.
+    apart_from = F.coalesce(F.transform(F.try_variant_get(v, "$['oneOf']", "array<variant>"), lambda b, i: made(F.concat("pointer", F.lit("/oneOf/"), i.cast("string"), F.lit("!no")), "not", strings(F.concat("pointer", F.lit("/oneOf/"), i.cast("string"))), of=b)), F.array().cast("array<struct<pointer:string,kind:string,kids:array<string>,say:string,of:variant>>"))
+    split = F.concat(split, apart_from, F.array_compact(F.array(
         F.when(has("not"), made(part("not"), "not", strings(child("not")), of=F.try_variant_get(v, "$['not']", "variant"))),
         F.when(conditional, made(part("if"), "if", strings(child("if"), child("then"), child("else")), F.to_json(F.try_variant_get(v, "$['if']", "variant")))),
-    ))
+    )))
     rows = nodes.select(*ids, F.col("pointer").alias("_base"), F.to_json("node").alias("text"), F.explode(split).alias("p"))
     rows = rows.unionByName(docs.select(*ids, F.lit("true").alias("_base"), F.lit("true").alias("text"), made(F.lit("true"), "plain", strings(), of=F.parse_json(F.lit("true"))).alias("p")))
     rows = rows.select(*ids, F.col("p.pointer").alias("_name"), "p.kind", "p.kids", "p.say", "text", F.col("p.of").alias("node"), F.when(F.col("p.kind") == "not", F.concat("_base", F.lit("/not"))).otherwise(F.col("_base")).alias("pointer"))
@@ -360,7 +364,9 @@ def _steps(raw: Column, s: Column, t: Column) -> Column:
     s_types = F.when(F.array_contains(any_type, "number"), F.array_union(any_type, F.array(F.lit("integer")))).otherwise(any_type)
     apart = lambda i: ~F.exists(F.transform(t["kid_types"], lambda k, j: (i != j) & F.arrays_overlap(k, s_types)), lambda x: x)
     picks = F.transform(t["kids"], lambda k, i: F.struct(k.alias("k"), i.alias("i")))
-    into_one = F.transform(F.filter(picks, lambda x: apart(x["i"])), lambda x: edge("x", F.concat(F.lit("b"), x["k"]), at, x["k"], exact=2))
+    # One branch takes all of s, and s lies apart from each other branch that has types of it.
+    rivals = lambda x: F.filter(picks, lambda y: (y["i"] != x["i"]) & F.arrays_overlap(F.get(t["kid_types"], y["i"]), s_types))
+    into_one = F.flatten(F.transform(picks, lambda x: F.concat(F.array(edge("x", F.concat(F.lit("b"), x["k"]), at, x["k"], exact=F.when(F.coalesce(apart(x["i"]), F.lit(False)), 2).otherwise(0))), F.transform(rivals(x), lambda y: edge("x", F.concat(F.lit("b"), x["k"]), at, F.concat(y["k"], F.lit("!no")))))))
     into_any = F.transform(picks, lambda x: edge("x", F.concat(F.lit("b"), x["k"]), at, x["k"], exact=F.when(F.coalesce(apart(x["i"]), F.lit(False)), 2).when(single, 1).otherwise(0)))
     union = F.flatten(F.array(F.when(t["kind"] == "any", into_any).otherwise(into_one), *parts, *shares))
     same_if = (s["kind"] == "if") & (s["say"] == t["say"]) & ~F.contains(s["say"], F.lit('"$ref"'))
@@ -434,8 +440,12 @@ def _disjoint(a: Column, b: Column) -> Column:
     far = n(a["lo"] > b["hi"]) | n(b["lo"] > a["hi"]) | n((a["lo"] == b["hi"]) & (a["lo_open"] | b["hi_open"])) | n((b["lo"] == a["hi"]) & (b["lo_open"] | a["hi_open"]))
     lengths = n(a["min_len"] > b["max_len"]) | n(b["min_len"] > a["max_len"])
     objects = only(a, "object") | only(b, "object")
+    arrays = only(a, "array") | only(b, "array")
+    counts = lambda lo, hi: n(a[lo] > b[hi]) | n(b[lo] > a[hi])
+    needed = F.array_union(a["required"], b["required"])
+    tagged = F.exists(F.array_intersect(F.array_intersect(F.map_keys(a["tags"]), F.map_keys(b["tags"])), needed), lambda k: ~F.arrays_overlap(F.try_element_at(a["tags"], k), F.try_element_at(b["tags"], k)))
     lacks = lambda x, y: (x["closed"] & (F.size(F.array_except(y["required"], x["props"])) > 0)) | F.arrays_overlap(x["never"], y["required"])
-    return (a["text"] == "false") | (b["text"] == "false") | ~n(F.coalesce(F.arrays_overlap(wide(a), wide(b)), F.lit(True))) | misses(a, b) | misses(b, a) | (numbers & far) | (texts & lengths) | (objects & (lacks(a, b) | lacks(b, a)))
+    return (a["text"] == "false") | (b["text"] == "false") | ~n(F.coalesce(F.arrays_overlap(wide(a), wide(b)), F.lit(True))) | misses(a, b) | misses(b, a) | (numbers & far) | (texts & lengths) | (objects & (lacks(a, b) | lacks(b, a) | n(tagged) | counts("min_props", "max_props"))) | (arrays & counts("min_items", "max_items"))
 
 
 def _goal_values(goals: DataFrame, pair: list[str]) -> DataFrame:

@@ -205,6 +205,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _listed(v: Column) -> Column:
+    """The values of a schema with const or enum, in canonical form; NULL for others."""
+    one = F.try_variant_get(v, "$.const", "variant")
+    return F.when(one.isNotNull(), F.array(Variant(one).canonical())).otherwise(F.transform(F.try_variant_get(v, "$.enum", "array<variant>"), lambda x: Variant(x).canonical()))
+
+
 def _cardinality(v: Column) -> Column:
     """At most so many different values satisfy a schema; NULL where its own enum and types don't bound them."""
     get = lambda k, t: F.try_variant_get(v, f"$['{k}']", t)
@@ -219,8 +225,8 @@ def _cardinality(v: Column) -> Column:
 def normalised(node: Column, pointer: Column) -> Column:
     """Struct of what a node says itself, its combinators and references aside: type names (none: any), sorted distinct
     enum (const, types of few values and single numbers included), tightest bounds (closed for integers), counts with
-    the minimums and maximums that other keywords imply, and the pointers of child schemas. never: properties that no
-    value may have; free: those that are not constrained; opaque: says things that no rule judges."""
+    the minimums and maximums that other keywords imply, and the pointers of child schemas. tags: the values of properties that
+    list them; never: properties that no value may have; free: those that are not constrained; opaque: says things that no rule judges."""
     n = Variant(node)
     raw = lambda k: F.try_variant_get(node, f"$['{k}']", "variant")
     get = lambda k, t: F.try_variant_get(node, f"$['{k}']", t)
@@ -252,7 +258,7 @@ def normalised(node: Column, pointer: Column) -> Column:
     first = F.struct(
         listed.alias("types"), enum.alias("enum"), low.alias("low"), low_x.alias("low_x"), high.alias("high"), high_x.alias("high_x"), step.alias("step"), F.to_json(node).alias("text"), objects.alias("objects"),
         required.alias("required"), prefix.alias("prefix"), (F.coalesce(rest == "false", F.lit(False))).alias("shut"), F.coalesce(items == "false", F.lit(False)).alias("no_items"),
-        whole_count("minContains").alias("min_contains"), has("contains").alias("contains"), F.size(patterns).alias("n_patterns"), F.when(unique & ~has("prefixItems"), _cardinality(raw("items"))).alias("different"),
+        whole_count("minContains").alias("min_contains"), has("contains").alias("contains"), F.map_filter(F.transform_values(objects, lambda _, v: _listed(v)), lambda _, xs: xs.isNotNull()).alias("tags"), F.size(patterns).alias("n_patterns"), F.when(unique & ~has("prefixItems"), _cardinality(raw("items"))).alias("different"),
     )
 
     def second(x: Column) -> Column:
@@ -272,7 +278,7 @@ def normalised(node: Column, pointer: Column) -> Column:
             "min_len": whole_count("minLength"), "max_len": whole_count("maxLength"), "pattern": get("pattern", "string"),
             "min_items": F.greatest(whole_count("minItems"), F.when(x["contains"], F.coalesce(x["min_contains"], F.lit(1)))), "max_items": F.least(whole_count("maxItems"), F.when(x["no_items"], F.size(x["prefix"]).cast("long")), x["different"]), "uniq": unique,
             "props": props, "never": never, "free": F.map_keys(F.map_filter(x["objects"], lambda _, v: trivial(v))), "required": x["required"], "closed": closed, "shut": x["shut"], "deps": deps,
-            "at_props": pointers(x["objects"], "properties"), "at_pats": pointers(patterns, "patternProperties"), "at_rest": narrow("additionalProperties", rest), "at_names": narrow("propertyNames", F.to_json(raw("propertyNames"))), "names": F.to_json(raw("propertyNames")), "name_list": F.try_variant_get(raw("propertyNames"), "$.enum", "array<string>"),
+            "tags": x["tags"], "at_props": pointers(x["objects"], "properties"), "at_pats": pointers(patterns, "patternProperties"), "at_rest": narrow("additionalProperties", rest), "at_names": narrow("propertyNames", F.to_json(raw("propertyNames"))), "names": F.to_json(raw("propertyNames")), "name_list": F.try_variant_get(raw("propertyNames"), "$.enum", "array<string>"),
             "at_items": narrow("items", items), "at_prefix": x["prefix"], "at_contains": F.when(x["contains"], at("contains")), "contains": F.to_json(raw("contains")),
             "min_contains": F.coalesce(x["min_contains"], F.lit(1)), "max_contains": whole_count("maxContains"),
             "odd": odd | (whole & x["step"].isNotNull() & often.isNull()), "opaque": odd | F.arrays_overlap(keys, F.array(*map(F.lit, ("dependentSchemas", "unevaluatedProperties", "unevaluatedItems", "$dynamicRef")))) | (whole & x["step"].isNotNull() & often.isNull()),

@@ -142,6 +142,10 @@ PAIRS = [
     ({"type": "number", "minimum": 0, "maximum": 10}, {"anyOf": [{"type": "number", "minimum": 5}, {"type": "number", "exclusiveMaximum": 5}]}, "incompatible", "compatible"),
     ({"type": "number"}, {"anyOf": [{"type": "number", "exclusiveMinimum": 5}, {"type": "number", "exclusiveMaximum": 5}]}, "compatible", "incompatible"),
     ({"type": "integer"}, {"anyOf": [{"type": "integer", "minimum": 1}, {"type": "integer", "maximum": 0}, {"type": "string"}]}, "incompatible", "compatible"),
+    ({"type": "string", "maxLength": 3}, {"oneOf": [{"type": "string", "maxLength": 4}, {"type": "string", "minLength": 5}, {"type": "null"}]}, "unknown", "compatible"),
+    ({"type": "string", "maxLength": 5}, {"oneOf": [{"type": "string", "maxLength": 5}, {"type": "string", "minLength": 5}]}, "unknown", "unknown"),
+    ({"type": "array", "maxItems": 1}, {"oneOf": [{"type": "array", "minItems": 2}, {"type": "array", "maxItems": 1}]}, "unknown", "compatible"),
+    ({"type": "object", "properties": {"k": {"const": "a"}}, "required": ["k"]}, {"oneOf": [{"type": "object", "properties": {"k": {"const": "a"}}, "required": ["k"]}, {"type": "object", "properties": {"k": {"enum": ["b", "c"]}}}]}, "unknown", "compatible"),
     ({"type": "integer", "minimum": 3, "maximum": 3}, {"anyOf": [{"type": "number", "exclusiveMinimum": 3}, {"type": "number", "exclusiveMaximum": 3}]}, "incompatible", "incompatible"),
 ]
 
