@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pactlake.functions.settled import checkpoint_folder
 from pactlake.operators import codec, openapi
 from pactlake.sources.files import split_json
 from pactlake.streaming import streams
@@ -202,7 +202,7 @@ def o16_versions(spark, sf_dir):
 
 def x2_read_stamped_stream(spark, sf_dir):
     """Envelopes as a stream, stopped after the first half of the files and taken up again from its checkpoint."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    base = checkpoint_folder(spark)
     at = f"{base}/stream-{uuid.uuid4().hex}"
     made = stamped_events(spark, sf_dir).select("event_id", "event_type", "envelope")
     for half in (0, 1):
@@ -214,7 +214,7 @@ def x2_read_stamped_stream(spark, sf_dir):
 
 
 def x1_validate_stream(spark, sf_dir):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    base = checkpoint_folder(spark)
     at = f"{base}/stream-{uuid.uuid4().hex}"
     rows = streams.validate_stream(streams.table_stream(spark, sf_dir, "events"), EVENT).select("event_id", "event_type", "valid")
     streams.drain(rows, f"{at}/out", f"{at}/state")
