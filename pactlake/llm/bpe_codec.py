@@ -135,7 +135,7 @@ class BpeCodec:
                 self._held[word] = found
         return found
 
-    def encode(self, text: str, kept: int = 1 << 18) -> list[tuple[tuple[int, ...], str, str]]:
+    def encode(self, text: str, kept: int = 1 << 19) -> list[tuple[tuple[int, ...], str, str]]:
         """pieces() of the words of a text and of its special tokens."""
         out, get = [], self._held.get
         for i, part in enumerate(self.apart.split(text) if self.apart else [text]):
@@ -168,7 +168,7 @@ def word_pieces_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_texts(df: DataFrame, path: str, text_col: str = "text", to: str = "ids", kept: int = 1 << 18) -> DataFrame:
+def encode_texts(df: DataFrame, path: str, text_col: str = "text", to: str = "ids", kept: int = 1 << 19) -> DataFrame:
     """df with `to`: the ids of each text's pieces."""
     return _with_column(df, text_col, to, "array<int>", pa.list_(pa.int32()), lambda c: lambda text: [i for ids, _, _ in c.encode(text or "", kept) for i in ids], path)
 
@@ -187,7 +187,7 @@ def _with_column(df: DataFrame, of: str, to: str, kind: str, arrow: pa.DataType,
     return df.withColumn(to, F.arrow_udf(run, kind)(F.col(of)))
 
 
-def token_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", kept: int = 1 << 18) -> DataFrame:
+def token_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", kept: int = 1 << 19) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256), one row for each input row."""
     kind = df.schema[id_col].dataType.simpleString()
 
