@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pactlake.functions.pattern_text import pattern_text, quoted
 from pactlake.functions.predicates import compile_contract
 from pactlake.functions.settled import settle
 from pactlake.functions.values import Variant, once
@@ -16,10 +17,12 @@ from pactlake.functions.values import Variant, once
 _FORMATS = {
     "date": lambda h: F.date_format(F.date_add(F.lit("2000-01-01"), F.pmod(h, F.lit(9000)).cast("int")), "yyyy-MM-dd"),
     "date-time": lambda h: F.date_format(F.timestamp_seconds(F.pmod(h, F.lit(1_700_000_000))), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+    "time": lambda h: F.date_format(F.timestamp_seconds(F.pmod(h, F.lit(86_400))), "HH:mm:ss'Z'"),
     "email": lambda h: F.concat(F.lit("u"), F.hex(h), F.lit("@example.com")),
     "uri": lambda h: F.concat(F.lit("https://example.com/"), F.hex(h)),
     "uuid": lambda h: F.regexp_replace(F.md5(F.hex(h)), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"),
     "ipv4": lambda h: F.concat_ws(".", *(F.pmod(F.shiftrightunsigned(h, 8 * i), F.lit(256)).cast("string") for i in range(4))),
+    "ipv6": lambda h: F.regexp_replace(F.md5(F.hex(h)), r"(.{4})(?!$)", "$1:"),
     "hostname": lambda h: F.concat(F.lit("h"), F.lower(F.hex(h)), F.lit(".example.com")),
 }
 
@@ -52,7 +55,7 @@ def value_json(schema, seed: int, row: list[Column], pointer: str = "#", depth:
         for b in schema["allOf"]:
             merged = {**merged, **b, "properties": {**merged.get("properties", {}), **b.get("properties", {})}, "required": [*merged.get("required", []), *b.get("required", [])]}
         return value_json({k: v for k, v in merged.items() if v not in ({}, [])}, seed, row, pointer, depth)
-    kind = schema.get("type") or ("object" if "properties" in schema else "array" if "items" in schema else "string" if "minLength" in schema else "number" if "minimum" in schema else "null")
+    kind = schema.get("type") or ("object" if "properties" in schema else "array" if "items" in schema else "string" if "minLength" in schema or "pattern" in schema else "number" if "minimum" in schema else "null")
     if isinstance(kind, list):
         own = [value_json({**schema, "type": t}, seed, row, f"{pointer}/{t}", depth - 1) for t in kind]
         return F.element_at(F.array(*own), (F.pmod(h, F.lit(len(own))) + 1).cast("int"))
@@ -73,7 +76,10 @@ def value_json(schema, seed: int, row: list[Column], pointer: str = "#", depth:
         lo, hi = schema.get("minLength", 0), schema.get("maxLength", schema.get("minLength", 0) + 10)
         n = hashed_between(h, F.lit(lo), F.lit(min(hi, lo + 10)))
         many = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(lo // 32 + 1)), lambda i: F.md5(F.concat(F.hex(h), i.cast("string")))), "")
-        return F.concat(F.lit('"'), F.substr(many, F.lit(1), n.cast("int")), F.lit('"'))
+        plain = F.concat(F.lit('"'), F.substr(many, F.lit(1), n.cast("int")), F.lit('"'))
+        if "pattern" not in schema:
+            return plain
+        return F.coalesce(quoted(pattern_text(F.lit(schema["pattern"]), F.lit(lo), F.lit(schema.get("maxLength")).cast("int"), h)), plain)
     if kind == "array":
         lo, hi = schema.get("minItems", 0), schema.get("maxItems", schema.get("minItems", 0) + 3)
         n = hashed_between(h, F.lit(lo), F.lit(hi)).cast("int")

@@ -3,7 +3,7 @@
 No contract is compiled: the rules of contract_rules() are the input. Every rule holds an array of candidate texts, one for
 each attempt. In rounds, rules take their children's candidates by a join and build their own: scalars from bounds,
 lengths and enumerations (the bounds themselves and every listed value among them), objects and arrays from their
-children's, combined rules from their branches'. A round reaches one level higher; references and recursion need nothing
+children's, combined rules from their branches'; texts for a pattern are made once, before the rounds. A round reaches one level higher; references and recursion need nothing
 else. What a candidate misses is left to the judgement by registry_validation. All choice is by hashes of (seed, contract,
 rule, attempt), so lost tasks give the same rows again.
 """
@@ -15,6 +15,7 @@ from functools import cache, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pactlake.functions.pattern_text import pattern_texts, quoted
 from pactlake.functions.settled import settle
 
 from .compat import directions
@@ -54,10 +55,6 @@ def _plain(number: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(number.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
 
 
-def _quoted(text: Column) -> Column:
-    return F.regexp_replace(F.to_json(F.struct(text.alias("k"))), r'^\{"k":|\}$', "")
-
-
 def _number(n: Column, h: Column, whole: Column) -> Column:
     """A bound, or a number between the bounds; a thousand wide where one is missing."""
     lo = F.coalesce(n["lo"], n["hi"] - 1000, F.lit(-1000).cast("decimal(38,18)"))
@@ -102,7 +99,7 @@ def _object(n: Column, kids: Column, a: Column, hashed, strays: bool) -> Column:
     for step in steps:
         names = let(names, step)
     stray = F.coalesce(F.get(F.try_element_at(kids, F.lit("x")), a), F.when(n["at_rest"].isNull(), F.concat(F.lit(_ANY), F.pmod(hashed(F.lit("-")), F.lit(len(_FREE))).cast("string"), F.lit('"'))))
-    field = lambda k: F.concat(_quoted(k), F.lit(":"), F.coalesce(got(k), F.when(~F.map_contains_key(n["at_props"], k), stray)))
+    field = lambda k: F.concat(quoted(k), F.lit(":"), F.coalesce(got(k), F.when(~F.map_contains_key(n["at_props"], k), stray)))
     # A required property without a value yet leaves the object without one.
     return let(F.transform(names, field), lambda fs: F.when(~F.exists(fs, lambda f: f.isNull()), F.concat(F.lit("{"), F.array_join(fs, ","), F.lit("}"))))
 
@@ -137,7 +134,7 @@ def _merged(texts: Column) -> Column:
 
 @cache
 def _candidates(_application: str, seed: int, attempts: int, strays: bool) -> Column:
-    """The array of a rule's candidates from the columns contract, rule, n, leads, first and kids."""
+    """The array of a rule's candidates from the columns contract, rule, n, leads, first, texts and kids."""
     n, leads, kids = F.col("n"), F.col("leads"), F.col("kids")
     named = lambda r, rules: F.transform(F.coalesce(rules, F.array().cast(_STRINGS)), lambda _, i: F.concat(F.lit(r), i.cast("string")))
     says = lambda *ks: reduce(lambda x, y: x | y, (n[k].isNotNull() for k in ks))
@@ -155,7 +152,7 @@ def _candidates(_application: str, seed: int, attempts: int, strays: bool) -> Co
         def own(kind: Column) -> Column:
             return (
                 F.when(n["text"] == "false", F.lit(None).cast("string")).when(F.size(n["enum"]) > 0, F.get(n["enum"], F.pmod(turn, F.size(n["enum"])).cast("int"))).when(kind == "null", "null").when(kind == "boolean", F.when(F.pmod(turn, F.lit(2)) == 0, "true").otherwise("false"))
-                .when(kind.isin("integer", "number"), _number(n, hashed(), kind == "integer")).when(kind == "string", _text(n, hashed())).when(kind == "array", _array(n, kids, a, attempts, hashed)).when(kind == "object", _object(n, kids, a, hashed, strays)).otherwise(_free(turn))
+                .when(kind.isin("integer", "number"), _number(n, hashed(), kind == "integer")).when(kind == "string", F.coalesce(quoted(F.get(F.col("texts"), a)), _text(n, hashed()))).when(kind == "array", _array(n, kids, a, attempts, hashed)).when(kind == "object", _object(n, kids, a, hashed, strays)).otherwise(_free(turn))
             )
 
         branch = lambda key: F.get(F.try_element_at(kids, key), a)
@@ -179,7 +176,9 @@ def candidate_values(rules: DataFrame, contracts: DataFrame, attempts: int = 16,
     Rounds end when no rule gets other candidates, or after most_rounds, where recursive contracts are cut. Without
     strays no candidate has a property that its contract doesn't declare."""
     application = rules.sparkSession.sparkContext.applicationId
-    nodes = settle(rules.join(contracts.select("contract").distinct(), "contract", "left_semi").withColumn("first", F.lit(first)))
+    nodes = rules.join(contracts.select("contract").distinct(), "contract", "left_semi").withColumn("first", F.lit(first))
+    texts = pattern_texts(F.col("n.pattern"), F.col("n.min_len").cast("double"), F.col("n.max_len").cast("double"), F.xxhash64(F.lit(seed), "contract", "rule", F.lit(first)), F.lit(attempts))
+    nodes = settle(nodes.withColumn("texts", texts))
     links = settle(nodes.select("contract", F.col("rule").alias("parent"), F.explode(_edges(F.col("n"), F.col("leads"))).alias("e")).select("contract", "parent", "e.*"))
     empty = F.map_from_arrays(F.array().cast(_STRINGS), F.array().cast("array<array<string>>"))
     values, before = None, None
