@@ -622,6 +622,15 @@ def pair_verdict(verdict_rows: DataFrame, pair: list[str]) -> DataFrame:
     return verdict_rows.groupBy(*pair).agg(worst.alias("_w")).select(*pair, F.element_at(F.array(F.lit("compatible"), F.lit("unknown"), F.lit("incompatible")), F.col("_w") + 1).alias("verdict"))
 
 
+def invalid_contracts(reg: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids...) of contracts (ids..., schema_json) that no one may have: no JSON, a keyword that isn't allowed, another
+    dialect, a reference that leads nowhere."""
+    nodes = settle(schema_nodes(reg, ids).select(*ids, "pointer", "node"))
+    cons = constraints(nodes, ids)
+    found = [keyword_findings(nodes, ids, HARD), dialect_findings(cons), unresolved_refs(cons, nodes, ids), reg.filter(F.try_parse_json("schema_json").isNull())]
+    return reduce(DataFrame.unionByName, [f.select(*ids) for f in found]).distinct()
+
+
 def grade(old: DataFrame, new: DataFrame) -> DataFrame:
     """(id, mode, status) for two golden tables (id, mode, schema_json, stable_id). The old mode is the role; the
     first of missing new, missing old, invalid, identical, incompatible, mode changed, ok that applies."""
@@ -630,11 +639,7 @@ def grade(old: DataFrame, new: DataFrame) -> DataFrame:
     pairs = met.filter("old_schema_json IS NOT NULL AND new_schema_json IS NOT NULL").select("id", F.col("old_mode").alias("role"), F.col("old_schema_json").alias("old"), F.col("new_schema_json").alias("new"))
     verdict = pair_verdict(check_compat(pairs, ["id"]), ["id"])
     sided = old.select("id", F.lit(0).alias("side"), "schema_json").unionByName(new.select("id", F.lit(1).alias("side"), "schema_json"))
-    ids = ["id", "side"]
-    nodes = settle(schema_nodes(sided, ids).select(*ids, "pointer", "node"))
-    cons = constraints(nodes, ids)
-    found = [keyword_findings(nodes, ids, HARD), dialect_findings(cons), unresolved_refs(cons, nodes, ids), sided.filter(F.try_parse_json("schema_json").isNull())]
-    invalid = reduce(DataFrame.unionByName, [f.select("id") for f in found]).distinct().withColumn("invalid", F.lit(True))
+    invalid = invalid_contracts(sided, ["id", "side"]).select("id").distinct().withColumn("invalid", F.lit(True))
     rows = met.join(verdict, "id", "left").join(invalid, "id", "left")
     status = (
         F.when(F.col("new_schema_json").isNull(), "missing_new").when(F.col("old_schema_json").isNull(), "missing_old").when(F.col("invalid"), "invalid")

@@ -110,6 +110,19 @@ def unsupported_surfaces(docs: DataFrame, ids: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [hooks, refs, calls, links, coded, far])
 
 
+def duplicate_parameters(docs: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids..., path, method, level, location, name, n): parameters that one list names more than once, by reference or in
+    place, header names in any case; level: operation or path. Header names that other fields describe don't count."""
+    ops = operations(docs, ids).join(docs.select(*ids, F.try_parse_json("doc_json").alias("_doc")), ids)
+    listed = lambda v, level: F.transform(F.coalesce(F.try_variant_get(v, "$.parameters", "array<variant>"), F.array().cast("array<variant>")), lambda p: F.struct(F.lit(level).alias("level"), component(F.col("_doc"), p).alias("p")))
+    rows = ops.select(*ids, "path", "method", F.explode(F.concat(listed(F.col("op"), "operation"), listed(F.col("item"), "path"))).alias("x"))
+    get = lambda k: F.try_variant_get("x.p", f"$['{k}']", "string")
+    name = F.when(get("in") == "header", F.lower(get("name"))).otherwise(get("name"))
+    named = rows.select(*ids, "path", "method", "x.level", get("in").alias("location"), name.alias("name")).filter("location IS NOT NULL AND name IS NOT NULL")
+    named = named.filter((F.col("location") != "header") | ~F.col("name").isin(*IGNORED_HEADERS))
+    return named.groupBy(*ids, "path", "method", "level", "location", "name").agg(F.count("*").alias("n")).filter("n > 1")
+
+
 #: How a parameter is written: default style by place, and the styles that each place may have.
 STYLES = {"path": ("simple", "label", "matrix"), "query": ("form", "spaceDelimited", "pipeDelimited", "deepObject"), "header": ("simple",), "cookie": ("form",)}
 
@@ -316,9 +329,10 @@ def changed_operations(old: DataFrame, new: DataFrame, ids: list[str]) -> DataFr
 
 def report(old: DataFrame, new: DataFrame, ids: list[str]) -> DataFrame:
     """(ids..., issues, n, is_compatible) for every pair of documents (ids..., doc_json); issues: METHOD path surface:
-    message, in order."""
+    message, in order. A parameter that either side lists twice is an issue, as nothing says which one counts."""
     gone = removed_operations(operations(old, ids), operations(new, ids), ids).select(*ids, F.concat_ws(" ", "method", "path", F.lit("was removed")).alias("issue"))
     broken = operation_issues(old, new, ids).select(*ids, F.concat(F.concat_ws(" ", "method", "path", "surface"), F.lit(": "), "message").alias("issue"))
-    counted = gone.unionByName(broken).groupBy(*ids).agg(F.array_sort(F.collect_set("issue")).alias("issues"))
+    twice = duplicate_parameters(old, ids).unionByName(duplicate_parameters(new, ids)).select(*ids, F.concat(F.concat_ws(" ", "method", "path", F.lit("request"), "location"), F.lit(": lists twice "), "name").alias("issue"))
+    counted = gone.unionByName(broken).unionByName(twice).groupBy(*ids).agg(F.array_sort(F.collect_set("issue")).alias("issues"))
     pairs = old.select(*ids).unionByName(new.select(*ids)).distinct()
     return pairs.join(counted, ids, "left").select(*ids, F.coalesce("issues", F.array().cast("array<string>")).alias("issues"), F.coalesce(F.size("issues"), F.lit(0)).alias("n"), F.col("issues").isNull().alias("is_compatible"))

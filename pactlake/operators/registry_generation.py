@@ -3,9 +3,9 @@
 No contract is compiled: the rules of contract_rules() are the input. Every rule holds an array of candidate texts, one for
 each attempt. In rounds, rules take their children's candidates by a join and build their own: scalars from bounds,
 lengths and enumerations (the bounds themselves and every listed value among them), objects and arrays from their
-children's, combined rules from their branches'; texts for a pattern are made once, before the rounds. A round reaches one level higher; references and recursion need nothing
-else. What a candidate misses is left to the judgement by registry_validation. All choice is by hashes of (seed, contract,
-rule, attempt), so lost tasks give the same rows again.
+children's, combined rules from their branches'; texts for a pattern are made once, before the rounds. A round reaches
+one level higher; references and recursion need nothing else. What a candidate misses is left to the judgement by
+registry_validation. All choice is by hashes of (seed, contract, rule, attempt), so lost tasks give the same rows again.
 """
 
 from __future__ import annotations

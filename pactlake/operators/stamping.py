@@ -10,24 +10,29 @@ from pyspark.sql import functions as F
 from pactlake.functions.predicates import compile_contract
 from pactlake.functions.values import Variant, col_of, once, value_of
 
-from .compat import check_compat, pair_verdict
+from .compat import check_compat, invalid_contracts, pair_verdict
 from .registry_scan import canonical_hash
 
 
 def latest_version(history: DataFrame) -> DataFrame:
     """(stable_id, version, schema_sha256, schema_json) of the highest version."""
     top = F.max_by(F.struct("version", "schema_sha256", "schema_json"), "version").alias("t")
-    return history.groupBy("stable_id").agg(top).select("stable_id", "t.*")
+    return history.filter("version IS NOT NULL").groupBy("stable_id").agg(top).select("stable_id", "t.*")
 
 
 def manifest_errors(history: DataFrame) -> DataFrame:
-    """(stable_id, version, error) for empty ids, versions that don't rise, and hashes that don't match; where history
-    has the columns key and manifest_version, also for keys other than the id and manifests of another version."""
-    history = history.withColumn("_before", F.lag("version").over(Window.partitionBy("stable_id").orderBy("ordinal")))
+    """(stable_id, version, error) for empty ids, ids without versions (a row with no version), versions that don't rise,
+    hashes that don't match and contracts that aren't valid; where history has the columns key and manifest_version, also
+    for keys other than the id and manifests of another version."""
+    texts = history.filter("schema_json IS NOT NULL").select(F.sha2("schema_json", 256).alias("_text"), "schema_json").dropDuplicates(["_text"])
+    bad = invalid_contracts(texts, ["_text"]).withColumn("_bad", F.lit(True))
+    history = history.withColumn("_text", F.sha2("schema_json", 256)).join(bad, "_text", "left").withColumn("_before", F.lag("version").over(Window.partitionBy("stable_id").orderBy("ordinal")))
     found = F.array(
         F.when(F.coalesce(F.col("stable_id").cast("string"), F.lit("")) == "", F.lit("empty stable_id")),
         F.when(F.col("_before") >= F.col("version"), F.lit("versions must rise")),
+        F.when(F.col("version").isNull(), F.lit("no versions")),
         F.when(F.col("schema_sha256") != canonical_hash(F.col("schema_json")), F.lit("hash does not match")),
+        F.when(F.col("_bad"), F.lit("contract is not valid")),
     )
     if "key" in history.columns:
         found = F.array_append(found, F.when(~F.col("key").eqNullSafe(F.col("stable_id")), F.lit("key is not the stable_id")))
@@ -50,17 +55,17 @@ def stamp_batch(history: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def next_manifest(history: DataFrame, stamped: DataFrame) -> DataFrame:
     """The history after the batch: a compatible update replaces the latest version in place, others append."""
-    kept = history.join(stamped.select("stable_id", "version"), ["stable_id", "version"], "left_anti")
+    kept = history.filter("version IS NOT NULL").join(stamped.select("stable_id", "version"), ["stable_id", "version"], "left_anti")
     cols = ["stable_id", "version", "schema_sha256", "schema_json"]
     return kept.select(*cols).unionByName(stamped.select(*cols))
 
 
 def writer_schema(version: Column, schema_json: Column) -> Column:
     """JSON text of the envelope that a writer of one version produces, local references moved along; NULL for schemas
-    that refer to other documents."""
+    whose references aren't pointers into themselves."""
     v = version.cast("string")
     plain = F.to_json(F.try_parse_json(schema_json))
-    moved = F.regexp_replace(F.when(~plain.rlike('"\\$ref":"[^#]'), plain), '"\\$ref":"#', F.concat(F.lit('"\\$ref":"#/\\$defs/v'), v))
+    moved = F.regexp_replace(F.when(~plain.rlike('"\\$ref":"(?!#["/])'), plain), '"\\$ref":"#', F.concat(F.lit('"\\$ref":"#/\\$defs/v'), v))
     return F.concat(F.lit('{"$defs":{"v'), v, F.lit('":'), moved, F.lit('},"additionalProperties":false,"properties":{"data":{"$ref":"#/$defs/v'), v, F.lit('"},"version":{"const":'), v, F.lit('}},"required":["version","data"],"type":"object"}'))
 
 

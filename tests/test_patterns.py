@@ -15,7 +15,7 @@ from pactlake.operators import generate, registry_generation
 CASES = [
     ("^[a-z]+$", 0, None, True), ("^(?:ab|cde){2,3}x?$", 7, 9, True), ("abc", 20, 22, True), ("^[A-Z]{2}\\d{3,5}-(foo|bar)$", 0, None, True), ("(?=.*\\d)^[a-z0-9]{8,}$", 0, None, True), ("^\\cC$", 1, 1, True),
     ("^(a*)*$", 3, 3, True), ("^[^a-z]{3}$", 0, None, True), ("^\\w+@\\w+\\.(com|org)$", 0, 12, True), ("^.{2000,}$", 0, None, True), ("^(?:a|bb|){3}$", 5, 5, True), ("^(?<y>\\d{4})-(?<m>0[1-9]|1[0-2])$", 0, None, True), ("^a|b$", 0, None, True),
-    ("", 4, 4, True), ("^$", 0, None, True), ("^[\u0430-\u044f]{2,}$", 0, None, True), ("^(ab){1,500}$", 900, None, True), ("^\\S\\D\\W\\.$", 0, None, True), ("^(?:x{2}){0,2}$", 0, 1, True), ("\\bcat\\b", 0, None, True),
+    ("^a|z$", 3, 9, True), ("ab|^ac$|ad", 5, 6, True), ("", 4, 4, True), ("^$", 0, None, True), ("^[\u0430-\u044f]{2,}$", 0, None, True), ("^(ab){1,500}$", 900, None, True), ("^\\S\\D\\W\\.$", 0, None, True), ("^(?:x{2}){0,2}$", 0, 1, True), ("\\bcat\\b", 0, None, True),
     ("^a$", 2, None, False), ("^a{5}$", 0, 4, False), ("[", 0, None, False), ("^(a)\\1$", 0, None, False), ("(?!)", 0, None, False), ("^(?:aa)*$", 3, 3, False), (None, 0, None, False),
 ]
 

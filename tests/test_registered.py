@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from test_contracts import CASES, PAIRS
 
 from pactlake.operators import compat, registry_generation, registry_scan, registry_validation, stamping
+from pactlake.sources import files
 
 #: What rows leave undecided: unevaluated keywords, and a pattern with a class that isn't among the plain ones.
 OPEN = [i for i, (s, _, _) in enumerate(CASES) if "unevaluated" in json.dumps(s) or s == {"pattern": "[$]"}]
@@ -92,3 +93,26 @@ def test_stamping_of_compatible_updates(spark):
     stamped = stamping.stamp_batch(hist, new)
     assert [(r.status, r.version) for r in stamped.collect()] == [("compatible_update", 1)]
     assert [r.schema_json for r in stamping.next_manifest(hist, stamped).collect()] == [new.first().schema_json]
+
+
+def test_manifests_that_are_not_right(spark, tmp_path):
+    schema = '{"type":"integer"}'
+    good = registry_scan.canonical_hash(F.lit(schema))
+    rows = [("a", 1, 0, schema), ("a", 1, 1, schema), ("", 1, 0, schema), ("b", 1, 0, '{"$ref":"#/$defs/gone"}'), ("c", None, None, None), ("d", 1, 0, '{"type":"string"}')]
+    hist = spark.createDataFrame(rows, "stable_id string, version int, ordinal int, schema_json string").withColumn("schema_sha256", F.when(F.col("stable_id") == "b", registry_scan.canonical_hash(F.col("schema_json"))).when(F.col("schema_json").isNotNull(), good))
+    got = sorted((r.stable_id, r.version or 0, r.error) for r in stamping.manifest_errors(hist).collect())
+    assert got == [("", 1, "empty stable_id"), ("a", 1, "versions must rise"), ("b", 1, "contract is not valid"), ("c", 0, "no versions"), ("d", 1, "hash does not match")]
+    assert stamping.manifest_errors(hist.limit(0)).count() == 0
+    (tmp_path / "m.json").write_text('{"manifest_version":2,"schemas":{"x":{"stable_id":"y","versions":[]}}}')
+    assert sorted(r.error for r in stamping.manifest_errors(files.read_manifest(spark, str(tmp_path / "m.json"))).collect()) == ["key is not the stable_id", "no versions", "unknown manifest version"]
+    # An id without versions is a new one, and leaves the manifest with its first version.
+    new = stamping.stamp_batch(hist.filter("stable_id = 'c'"), spark.createDataFrame([("c", schema)], "stable_id string, schema_json string"))
+    assert [(r.status, r.version) for r in new.collect()] == [("new", 1)]
+    assert [(r.stable_id, r.version) for r in stamping.next_manifest(hist.filter("stable_id = 'c'"), new).collect()] == [("c", 1)]
+
+
+def test_envelopes_only_of_references_by_pointer(spark):
+    texts = ['{"$ref":"#"}', '{"$ref":"#/$defs/a"}', '{"$ref":"#a"}', '{"$ref":"b.json#/c"}', '{"properties":{"$ref":{"type":"string"}}}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.e for r in df.select("i", stamping.writer_schema(F.lit(2), F.col("t")).alias("e")).orderBy("i").collect()]
+    assert [None if e is None else json.loads(e)["$defs"]["v2"] for e in got] == [{"$ref": "#/$defs/v2"}, {"$ref": "#/$defs/v2/$defs/a"}, None, None, json.loads(texts[4])]
