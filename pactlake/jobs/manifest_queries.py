@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pactlake.functions.pattern_text import pattern_text
 from pactlake.functions.settled import checkpoint_folder, settle
 from pactlake.operators import generate, openapi, registry_generation, registry_scan, stamping
 from pactlake.sources import files
@@ -101,16 +102,11 @@ PATTERNS = [
 
 def g5_patterns(spark, sf_dir):
     """For each customer a text for one of the patterns, judged without the library."""
-    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % len(PATTERNS)).cast("int").alias("form"))
-    texts = []
-    for i, (pattern, least, most) in enumerate(PATTERNS):
-        own = rows.filter(F.col("form") == i)
-        text = F.try_variant_get(F.try_parse_json(generate.value_json({"type": "string", "pattern": pattern, "minLength": least, "maxLength": most}, 42, [F.col("c_custkey")])), "$", "string")
-        texts.append(own.select("form", text.alias("text")).withColumn("right", F.regexp_like("text", F.lit(pattern)) & F.char_length("text").between(least, most)))
-    made = texts[0]
-    for more in texts[1:]:
-        made = made.unionByName(more)
-    return made.groupBy("form").agg(F.count("*").alias("n"), F.count_if("right").alias("right"))
+    forms = F.array(*(F.struct(F.lit(p).alias("pattern"), F.lit(least).alias("least"), F.lit(most).alias("most")) for p, least, most in PATTERNS))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % len(PATTERNS)).cast("int").alias("form")).withColumn("f", F.get(forms, F.col("form")))
+    made = rows.select("form", "f", pattern_text("f.pattern", "f.least", "f.most", generate.uniform(42, "#", F.col("c_custkey"))).alias("text"))
+    right = F.regexp_like("text", F.col("f.pattern")) & F.char_length("text").between(F.col("f.least"), F.col("f.most"))
+    return made.groupBy("form").agg(F.count("*").alias("n"), F.count_if(right).alias("right"))
 
 
 def g5_registered(spark, sf_dir):
