@@ -19,7 +19,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator, Mapping
 from fractions import Fraction
-from itertools import batched, islice
+from itertools import batched
 from math import lcm
 
 import pyarrow as pa
@@ -32,18 +32,6 @@ _SLOT_ROW = "source string, lane long, phase long, block long, slot long, releas
 _FAR = (1 << 63) - 1
 
 
-def apportion(weights: list[float], period: int) -> list[int]:
-    """Whole slots of a period, at least one each, by largest remainders. A schedule of them drifts away from the
-    weights, so mix() does not use it."""
-    total = sum(weights)
-    spare = period - len(weights)
-    exact = [w / total * spare for w in weights]
-    out = [1 + int(x) for x in exact]
-    for i in sorted(range(len(weights)), key=lambda i: (int(exact[i]) - exact[i], i))[: period - sum(out)]:
-        out[i] += 1
-    return out
-
-
 def schedule(blocks: list[int], weights: list[float | Fraction]) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(lane, phase, block, slot, release, due) of all blocks by slot: earliest deadline first among released blocks.
 
@@ -89,11 +77,6 @@ def schedule(blocks: list[int], weights: list[float | Fraction]) -> Iterator[tup
             phase += 1
 
 
-def pfair_period(shares: list[int]) -> list[int]:
-    """Which lane has each slot of one period of sum(shares) slots."""
-    return [row[0] for row in islice(schedule([n and n + 1 for n in shares], shares), sum(shares))]
-
-
 def slots(lanes: DataFrame, weights: Mapping[str | None, float] | None, block_rows: int, temper: float, batch_rows: int = 8192) -> DataFrame:
     """The schedule as rows, from (source, rows, lane): one task, which reads a row for each source."""
     least = min(weights.values()) if weights else None
@@ -109,10 +92,10 @@ def slots(lanes: DataFrame, weights: Mapping[str | None, float] | None, block_ro
     return lanes.coalesce(1).mapInArrow(plan, _SLOT_ROW)
 
 
-def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 32, period: int = 1024, max_lanes: int = 255, temper: float = 0.7, whole_rows: bool = False, broadcast_blocks: int = 500_000) -> DataFrame:
+def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 32, temper: float = 0.7, whole_rows: bool = False, broadcast_blocks: int = 500_000) -> DataFrame:
     """(id, source, lane, phase, block, slot, release, due, position), one row for each input row, and with whole_rows
     the input row as struct _row. Positions rise with the slots; inside a block they follow the documents' numbers in
-    their lane. period and max_lanes are of no effect: slots follow the exact weights, and no lane is shared."""
+    their lane. Slots follow the exact weights, and no lane is shared."""
     counts = df.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count("*").alias("rows"))
     by_size = Window.orderBy(F.desc("rows"), F.col("source").asc_nulls_first())
     lanes = settle(counts.withColumn("lane", F.row_number().over(by_size).cast("long") - 1))  # a row for each source

@@ -3,7 +3,7 @@ import math
 import zlib
 from collections import Counter
 from fractions import Fraction
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pytest
@@ -236,16 +236,15 @@ def test_packing_pads_least_for_the_lengths_themselves(spark):
 
 def test_mixing_deviates_less_than_a_block(spark, docs):
     for weights in ([0.5, 0.3, 0.2], [0.9, 0.05, 0.05], [1, 1, 1, 1]):
-        shares = mixing.apportion(weights, 64)
-        order, had = mixing.pfair_period(shares), Counter()
-        for t, lane in enumerate(order, 1):
+        exact, had = [Fraction(w) for w in weights], Counter()
+        for t, (lane, *_) in enumerate(islice(mixing.schedule([500] * len(weights), weights), 400), 1):
             had[lane] += 1
-            assert all(abs(had[i] - t * s / 64) < 1 for i, s in enumerate(shares))
+            assert all(abs(had[i] - t * w / sum(exact)) < 1 for i, w in enumerate(exact))
     df = spark.createDataFrame([(i, "ab"[i % 4 == 0], "x") for i in range(3000)], "doc_id long, source string, lane string")
-    rows = mixing.mix(df, {"a": 1, "b": 1}, block_rows=10, period=64).collect()
+    rows = mixing.mix(df, {"a": 1, "b": 1}, block_rows=10).collect()
     assert len({r.position for r in rows}) == 3000 and all(r.release <= r.slot < r.due for r in rows)
     assert Counter(r.source for r in rows if r.slot < 100) == {"a": 500, "b": 500}
-    odd = mixing.mix(docs, max_lanes=2)
+    odd = mixing.mix(docs)
     assert odd.count() == len(ROWS)
     assert sorted(map(str, mixing.in_mixed_order(docs).collect())) == sorted(map(str, docs.collect()))
 
