@@ -70,6 +70,13 @@ def _number(n: Column, h: Column, whole: Column) -> Column:
     return _plain(F.when(step.isNotNull(), (stepped * step).cast("decimal(38,18)")).otherwise(free))
 
 
+def _missed(n: Column) -> Column:
+    """Numbers just outside a rule's own bounds, which a rule that negates it takes."""
+    least = F.when(n["lo_open"], n["lo"]).otherwise((n["lo"] - 1).cast("decimal(38,18)"))
+    most = F.when(n["hi_open"], n["hi"]).otherwise((n["hi"] + 1).cast("decimal(38,18)"))
+    return F.array_compact(F.array(_plain(least), _plain(most)))
+
+
 def _text(n: Column, h: Column) -> Column:
     lo = F.coalesce(n["min_len"], F.lit(0)).cast("int")
     hi = F.least(F.coalesce(n["max_len"], lo + 10), lo + 300).cast("int")
@@ -134,7 +141,7 @@ def _merged(texts: Column) -> Column:
 
 @cache
 def _candidates(_application: str, seed: int, attempts: int, strays: bool) -> Column:
-    """The array of a rule's candidates from the columns contract, rule, n, leads, first, texts and kids."""
+    """The array of a rule's candidates from the columns contract, rule, n, leads, first, texts, kids and beside."""
     n, leads, kids = F.col("n"), F.col("leads"), F.col("kids")
     named = lambda r, rules: F.transform(F.coalesce(rules, F.array().cast(_STRINGS)), lambda _, i: F.concat(F.lit(r), i.cast("string")))
     says = lambda *ks: reduce(lambda x, y: x | y, (n[k].isNotNull() for k in ks))
@@ -160,8 +167,10 @@ def _candidates(_application: str, seed: int, attempts: int, strays: bool) -> Co
         options = F.array_compact(F.concat(F.transform(named("o", F.coalesce(leads["any_of"], leads["one_of"])), branch), chosen))
         picked = let(options, lambda x: F.when(combined & (F.size(x) > 0), F.get(x, F.pmod(turn, F.size(x)).cast("int"))))
         others = F.transform(F.concat(named("a", leads["all_of"]), F.array(F.lit("a")), named("n", F.transform(leads["depends"], lambda d: d["rule"]))), branch)
-        # What lies just below a negated range may well be outside of it.
-        beside = F.when(leads["not_of"].isNotNull(), F.array(_plain(branch(F.lit("v")).try_cast("decimal(38,18)") - 1))).otherwise(F.array().cast(_STRINGS))
+        # What lies just below a negated range may well be outside of it; where bounds are negated, so do numbers at them.
+        below = _plain(branch(F.lit("v")).try_cast("decimal(38,18)") - 1)
+        edge = F.get(F.col("beside"), F.pmod(F.floor(turn / 2), F.greatest(F.size("beside"), F.lit(1))).cast("int"))
+        beside = F.when(leads["not_of"].isNotNull(), F.array(F.when(F.pmod(turn, F.lit(2)) == 0, below).otherwise(F.coalesce(edge, below)))).otherwise(F.array().cast(_STRINGS))
         mixed = combined | leads["not_of"].isNotNull() | leads["ref"].isNotNull() | (F.size(leads["all_of"]) > 0) | (F.size(leads["depends"]) > 0)
         # Parts that are objects become one; of others the first counts, so they take turns to come first.
         turned = lambda x: let(F.pmod(F.xxhash64("rule", at), F.greatest(F.size(x), F.lit(1))).cast("int"), lambda k: let(F.concat(F.slice(x, k + 1, F.size(x)), F.slice(x, F.lit(1), k)), _merged))
@@ -178,20 +187,23 @@ def candidate_values(rules: DataFrame, contracts: DataFrame, attempts: int = 16,
     application = rules.sparkSession.sparkContext.applicationId
     nodes = rules.join(contracts.select("contract").distinct(), "contract", "left_semi").withColumn("first", F.lit(first))
     texts = pattern_texts(F.col("n.pattern"), F.col("n.min_len").cast("double"), F.col("n.max_len").cast("double"), F.xxhash64(F.lit(seed), "contract", "rule", F.lit(first)), F.lit(attempts))
-    nodes = settle(nodes.withColumn("texts", texts))
+    nodes = settle(nodes.drop("leaves").withColumn("texts", texts))
     links = settle(nodes.select("contract", F.col("rule").alias("parent"), F.explode(_edges(F.col("n"), F.col("leads"))).alias("e")).select("contract", "parent", "e.*"))
     empty = F.map_from_arrays(F.array().cast(_STRINGS), F.array().cast("array<array<string>>"))
+    none = F.array().cast(_STRINGS)
     values, before = None, None
     for _ in range(most_rounds):
         if values is None:
-            met = nodes.withColumn("kids", empty)
+            met = nodes.withColumns({"kids": empty, "outside": none, "beside": none})
         else:
             # Of two edges with one name the first counts; which one is the same on every run.
-            met = links.join(values.select("contract", F.col("rule").alias("child"), "found"), ["contract", "child"]).groupBy("contract", "parent", F.concat("role", "name").alias("key")).agg(F.min("found").alias("found"))
-            met = met.groupBy("contract", "parent").agg(F.map_from_entries(F.collect_list(F.struct("key", "found"))).alias("_kids"))
-            met = nodes.join(met.withColumnRenamed("parent", "rule"), ["contract", "rule"], "left").withColumn("kids", F.coalesce("_kids", empty)).drop("_kids")
-        values = settle(met.select("contract", "rule", _candidates(application, seed, attempts, strays).alias("found")))
-        now = values.agg(F.coalesce(F.sum(F.xxhash64("contract", "rule", "found").cast("decimal(38,0)")), F.lit(0))).first()[0]
+            met = links.join(values.select("contract", F.col("rule").alias("child"), "found", "missed"), ["contract", "child"]).groupBy("contract", "parent", "role", F.concat("role", "name").alias("key")).agg(F.min("found").alias("found"), F.min("missed").alias("missed"))
+            numbers = lambda *roles: F.array_sort(F.flatten(F.collect_list(F.when(F.col("role").isin(*roles), F.col("missed")))))
+            met = met.groupBy("contract", "parent").agg(F.map_from_entries(F.collect_list(F.struct("key", "found"))).alias("_kids"), numbers("a", "n", "o").alias("_outside"), numbers("v").alias("_beside"))
+            met = nodes.join(met.withColumnRenamed("parent", "rule"), ["contract", "rule"], "left").withColumns({"kids": F.coalesce("_kids", empty), "outside": F.coalesce("_outside", none), "beside": F.coalesce("_beside", none)})
+        outside = F.slice(F.array_union(_missed(F.col("n")), F.col("outside")), 1, 64)
+        values = settle(met.select("contract", "rule", _candidates(application, seed, attempts, strays).alias("found"), outside.alias("missed")))
+        now = values.agg(F.coalesce(F.sum(F.xxhash64("contract", "rule", "found", "missed").cast("decimal(38,0)")), F.lit(0))).first()[0]
         if now == before:
             break
         before = now

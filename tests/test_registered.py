@@ -116,3 +116,10 @@ def test_envelopes_only_of_references_by_pointer(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r.e for r in df.select("i", stamping.writer_schema(F.lit(2), F.col("t")).alias("e")).orderBy("i").collect()]
     assert [None if e is None else json.loads(e)["$defs"]["v2"] for e in got] == [{"$ref": "#/$defs/v2"}, {"$ref": "#/$defs/v2/$defs/a"}, None, None, json.loads(texts[4])]
+
+
+def test_values_between_negated_bounds(spark):
+    """Ranges of one or two numbers, said by what lies outside of them, are met within a few attempts."""
+    outside = '{"type":"object","properties":{"v":{"type":"number","not":{"anyOf":[{"exclusiveMaximum":%d},{"exclusiveMinimum":%d}]}}},"required":["v"]}'
+    reg = spark.createDataFrame([*((i, outside % (37 * i, 37 * i + i % 2)) for i in range(1, 5)), (5, '{"type":"integer","not":{"exclusiveMinimum":700},"minimum":700}')], "c int, schema_json string")
+    assert {r.c: r.status for r in registry_generation.generate_registered(reg, ["c"], attempts=(8,)).collect()} == {i: "found" for i in range(1, 6)}
