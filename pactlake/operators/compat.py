@@ -604,7 +604,7 @@ def check_compat(pairs: DataFrame, pair: list[str]) -> DataFrame:
 
 
 def _check_different(pairs: DataFrame, pair: list[str]) -> DataFrame:
-    pairs = settle(pairs.withColumn("_good", F.try_parse_json("old").isNotNull() & F.try_parse_json("new").isNotNull()))
+    pairs = settle(spread(pairs, *pair).withColumn("_good", F.try_parse_json("old").isNotNull() & F.try_parse_json("new").isNotNull()))
     open_ones = pairs.filter(F.col("_good") & (F.col("old") != F.col("new")))
     rich = F.col("old").rlike(_RICH) | F.col("new").rlike(_RICH)
     simple, deep = open_ones.filter(~rich), open_ones.filter(rich)
