@@ -123,3 +123,25 @@ def test_values_between_negated_bounds(spark):
     outside = '{"type":"object","properties":{"v":{"type":"number","not":{"anyOf":[{"exclusiveMaximum":%d},{"exclusiveMinimum":%d}]}}},"required":["v"]}'
     reg = spark.createDataFrame([*((i, outside % (37 * i, 37 * i + i % 2)) for i in range(1, 5)), (5, '{"type":"integer","not":{"exclusiveMinimum":700},"minimum":700}')], "c int, schema_json string")
     assert {r.c: r.status for r in registry_generation.generate_registered(reg, ["c"], attempts=(8,)).collect()} == {i: "found" for i in range(1, 6)}
+
+
+def test_proven_pairs_are_not_searched(spark, monkeypatch):
+    """A pair without a counterexample ends the search; before, it went through all attempts."""
+    calls, made = [], registry_generation.candidate_values
+    monkeypatch.setattr(registry_generation, "candidate_values", lambda *a, **k: calls.append(a[2]) or made(*a, **k))
+    texts = ['{"type":"object","properties":{"v":{"type":"number","minimum":%d,"maximum":9}}}' % i for i in (1, 5)]
+    pairs = spark.createDataFrame([(0, "both", *texts)], "pair int, role string, old string, new string")
+    got = registry_generation.counterexamples(pairs, ["pair"]).collect()
+    assert [r.direction for r in got] == ["deserializer"] and calls == [16]
+
+
+def test_records_are_judged_once_by_each_contract(spark, monkeypatch):
+    """Three contracts in two pairs of both directions: three judgements of a record, before eight."""
+    goals, judge = [], registry_validation.judge_parts
+    monkeypatch.setattr(registry_validation, "judge_parts", lambda g, r: goals.append(g.count()) or judge(g, r))
+    text = lambda hi: '{"type":"object","properties":{"v":{"maximum":%d}}}' % hi
+    pairs = spark.createDataFrame([("a", 2, "both", text(1), text(5)), ("a", 3, "both", text(5), text(3))], "id string, version int, role string, old string, new string")
+    records = spark.createDataFrame([("a", t) for t in ('{"v":0}', '{"v":2}', '{"v":4}', '{"v":4,"x":1}', "{", None)], "id string, t string")
+    got = {(r.version, r.direction): (r.seen, r.witnesses) for r in registry_validation.data_compat_registered(records, pairs, "id", "t", ["id", "version"]).collect()}
+    assert got == {(2, "serializer"): (4, 3), (2, "deserializer"): (1, 0), (3, "serializer"): (2, 0), (3, "deserializer"): (3, 1)}
+    assert sum(goals) == 4 * 3
