@@ -145,3 +145,25 @@ def test_records_are_judged_once_by_each_contract(spark, monkeypatch):
     got = {(r.version, r.direction): (r.seen, r.witnesses) for r in registry_validation.data_compat_registered(records, pairs, "id", "t", ["id", "version"]).collect()}
     assert got == {(2, "serializer"): (4, 3), (2, "deserializer"): (1, 0), (3, "serializer"): (2, 0), (3, "deserializer"): (3, 1)}
     assert sum(goals) == 4 * 3
+
+
+def test_equal_texts_are_judged_once(spark, monkeypatch):
+    """Two ids say the same contract, a third another: two texts under two contracts are four goals, before twelve."""
+    goals, judge = [], registry_validation.judge_parts
+    monkeypatch.setattr(registry_validation, "judge_parts", lambda g, r: goals.append(g.count()) or judge(g, r))
+    contracts = spark.createDataFrame([("a", '{"maximum":1}'), ("b", '{"maximum":1}'), ("c", '{"maximum":5}')], "id string, schema_json string")
+    records = spark.createDataFrame([(i, t) for i in "aabbccd" for t in ("1", "3", "{", None)], "id string, t string")
+    got = registry_validation.judge_records(records, contracts, ["id"], "t").collect()
+    assert sorted((r.id, r.t or "", r.valid) for r in got) == sorted((i, t, None if i == "d" else t in ("1", "3") and int(t) <= {"c": 5}.get(i, 1)) for i in "aabbccd" for t in ("1", "3", "{", ""))
+    assert goals == [4]
+
+
+def test_undecided_parts_beside_failing_ones(spark):
+    """What can't be decided counts only where type and enumeration hold; bounds that aren't there hold for any number."""
+    said = ['{"type":"string","pattern":"(a|b)"}', '{"type":"string","pattern":"(a|b)","minLength":3}', '{"minimum":0}', '{"type":"object","patternProperties":{"(a|b)":{"type":"null"}},"additionalProperties":{"type":"integer"}}', '{"properties":{"x":{"type":"integer"}},"patternProperties":{"^x":{"minimum":3}},"additionalProperties":{"type":"null"},"propertyNames":{"maxLength":2}}']
+    contracts = spark.createDataFrame(list(enumerate(said)), "c int, schema_json string")
+    want = [(0, '"a"', None), (0, "1", False), (1, '"a"', False), (1, '"abc"', None), (2, "-1", False), (2, "1e30", True), (2, '"x"', True), (3, "{}", True), (3, '{"k":1}', None), (3, "[]", False)]
+    want += [(4, '{"x":3}', True), (4, '{"x":2}', False), (4, '{"x":3.5}', False), (4, '{"xy":4,"z":null}', True), (4, '{"z":1}', False), (4, '{"xyz":4}', False)]
+    records = spark.createDataFrame(want, "c int, t string, want boolean")
+    got = registry_validation.judge_records(records, contracts, ["c"], "t").collect()
+    assert [(r.c, r.t, r.want, r.valid) for r in got if r.valid != r.want] == [] and len(got) == len(want)
