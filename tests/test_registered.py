@@ -167,3 +167,13 @@ def test_undecided_parts_beside_failing_ones(spark):
     records = spark.createDataFrame(want, "c int, t string, want boolean")
     got = registry_validation.judge_records(records, contracts, ["c"], "t").collect()
     assert [(r.c, r.t, r.want, r.valid) for r in got if r.valid != r.want] == [] and len(got) == len(want)
+
+
+def test_equal_data_of_envelopes_is_judged_once(spark, monkeypatch):
+    """Three ids whose versions say the same, and envelopes that differ around equal data: one goal, before six."""
+    goals, judge = [], registry_validation.judge_parts
+    monkeypatch.setattr(registry_validation, "judge_parts", lambda g, r: goals.append(g.count()) or judge(g, r))
+    history = spark.createDataFrame([(i, v, '{"type":"integer"}') for i in "abc" for v in (1, 2)], "stable_id string, version int, schema_json string")
+    records = spark.createDataFrame([(i, t) for i in "abc" for t in ('{"version":1,"data":7}', '{"data":7,"version":2}', '{"version":3,"data":7}')], "stable_id string, e string")
+    got = registry_validation.read_registered(records, history, "e").collect()
+    assert sorted((r.stable_id, r.version, r.valid) for r in got) == [(i, v, v < 3) for i in "abc" for v in (1, 2, 3)] and goals == [1]
