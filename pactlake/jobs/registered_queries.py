@@ -70,7 +70,7 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     version = (F.col("week") - F.col("event_id") % 3).cast("string")
     version = F.when(F.col("event_id") % 23 == 0, F.concat(F.lit('"'), version, F.lit('"'))).otherwise(version)
     more = F.when(F.col("event_id") % 19 == 0, ',"more":1').otherwise("")
-    return event_records(spark, sf_dir).withColumn("envelope", F.concat(F.lit('{"version":'), version, F.lit(',"data":'), "doc", more, F.lit("}")))
+    return event_records(spark, sf_dir).withColumn("envelope", F.concat(F.lit('{"version":'), version, F.lit(',"data":'), "doc", more, F.lit("}"))).drop("doc", "week")
 
 
 def t9_registered(spark, sf_dir):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import cache, reduce
 
 import pandas as pd
@@ -222,11 +223,29 @@ def _cardinality(v: Column) -> Column:
     return F.least(F.size(F.array_distinct(F.transform(get("enum", "array<variant>"), lambda x: Variant(x).canonical()))).cast("long"), F.when(F.try_variant_get(v, "$.const", "variant").isNotNull(), F.lit(1).cast("long")), typed)
 
 
+def with_normal_form(nodes: DataFrame, to: str) -> DataFrame:
+    """nodes with normal_form() as a column, step by step: columns are compiled, lambdas interpreted."""
+    first, second, third = _normal_steps(nodes.sparkSession.sparkContext.applicationId, to)
+    return nodes.withColumn(to, first).withColumn(to, second).withColumn(to, third)
+
+
+@cache
+def _normal_steps(_application: str, to: str) -> tuple[Column, Column, Column]:
+    first, second, third = _steps(F.col("node"), F.col("pointer"))
+    return first, second(F.col(to)), third(F.col(to))
+
+
 def normalised(node: Column, pointer: Column) -> Column:
     """Struct of what a node says itself, its combinators and references aside: type names (none: any), sorted distinct
     enum (const, types of few values and single numbers included), tightest bounds (closed for integers), counts with
     the minimums and maximums that other keywords imply, and the pointers of child schemas. tags: the values of properties that
     list them; never: properties that no value may have; free: those that are not constrained; opaque: says things that no rule judges."""
+    first, second, third = _steps(node, pointer)
+    return let(let(first, second), third)
+
+
+def _steps(node: Column, pointer: Column) -> tuple[Column, Callable[[Column], Column], Callable[[Column], Column]]:
+    """What normalised() takes from a node, and the two steps that follow."""
     n = Variant(node)
     raw = lambda k: F.try_variant_get(node, f"$['{k}']", "variant")
     get = lambda k, t: F.try_variant_get(node, f"$['{k}']", t)
@@ -294,4 +313,4 @@ def normalised(node: Column, pointer: Column) -> Column:
         one = F.when(kinds("integer", "number") & (x["lo"] == x["hi"]) & ~x["lo_open"] & ~x["hi_open"] & (x["lo"] % 1 == 0), F.array(x["lo"].cast("decimal(20,0)").cast("string")))
         return x.withField("enum", F.coalesce(x["enum"], few, one))
 
-    return let(let(first, second), third)
+    return first, second, third
