@@ -222,9 +222,10 @@ def _different(made: DataFrame) -> DataFrame:
 
 def generate_registered(contracts: DataFrame, key: list[str], attempts: tuple[int, ...] = (8, 32, 128, 512), seed: int = 42) -> DataFrame:
     """(key..., value, tried, status) for contracts (key..., schema_json): the first candidate that the contract accepts
-    (found), or NULL: exhausted. Later rounds of attempts are made only for contracts that have no value yet."""
+    (found), or NULL: exhausted. Later rounds of attempts are made only for contracts that have no value yet. Equal
+    contracts are flattened and searched once."""
     named = settle(contracts.select(*key, contract_key(F.col("schema_json")).alias("contract"), "schema_json"))
-    rules = contract_rules(named)
+    rules = contract_rules(named.select("schema_json"))
     found, first, missing = [], 0, named.select("contract").distinct()
     for many in attempts:
         tried = settle(_different(candidate_values(rules, missing, many, first, seed)).withColumn("row", F.monotonically_increasing_id()))

@@ -194,3 +194,15 @@ def test_plain_parts_are_judged_with_what_leads_to_them(spark, monkeypatch):
     monkeypatch.setattr(registry_validation, "NEAR", 0)
     assert got == judged("true") and len(got) == len(said) * len(texts)
     assert [got[1, t] for t in texts[1:5]] == [True] * 4 and [got[2, t] for t in texts[5:8]] == [True, False, False] and [got[4, t] for t in ("1", "3", '"a"', "{}")] == [False, False, False, False]
+
+
+def test_values_for_contracts_said_more_than_once(spark, monkeypatch):
+    """Three ids say the same contract of properties, one another, one none: two contracts' rules, before four and a
+    duplicate map key; two ids of equal contracts have equal values."""
+    counts, made = [], registry_generation.candidate_values
+    monkeypatch.setattr(registry_generation, "candidate_values", lambda r, *a, **k: counts.append(r.count()) or made(r, *a, **k))
+    text = lambda hi: '{"type":"object","properties":{"k":{"enum":["a","b"]},"v":{"type":"integer","maximum":%d}},"oneOf":[{"required":["k"]},{"required":["v"]}]}' % hi
+    reg = spark.createDataFrame([*((i, text(5)) for i in "abc"), ("d", text(6)), ("e", None), ("f", None), ("g", "{"), ("h", "{")], "id string, schema_json string")
+    got = {r.id: r for r in registry_generation.generate_registered(reg, ["id"], attempts=(8, 16)).collect()}
+    assert counts[0] == 10 and {i: r.status for i, r in got.items()} == {i: "found" if i in "abcd" else "exhausted" for i in "abcdefgh"}
+    assert all(len(json.loads(got[i].value).keys() & {"k", "v"}) == 1 for i in "abcd") and len({(got[i].value, got[i].tried) for i in "abc"}) == 1
